@@ -8,12 +8,22 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.bpe_codec import bpe_encode
 from pulsegrid.llm.common import read_table, utf8
+from pulsegrid.llm.tiff import tiff_encode, tiff_pages
 from pulsegrid.llm.token_counts import token_counts
 
 TOKENIZER = "byte_bpe_50k.json"
 TOKEN_LIMIT = 512
 
 
+def op3_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", utf8(F.col("text")).alias("payload"))
+    stored = tiff_encode(docs, "payload").select("doc_id", F.octet_length("payload").cast("long").alias("n_bytes"), "media")
+    return tiff_pages(stored).select(
+        "doc_id", "n_bytes", F.octet_length("pixels").cast("long").alias("payload_bytes"), F.sha2("pixels", 256).alias("payload_sha256"), F.crc32(F.expr("substring(pixels, -64, 64)")).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
+    )
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_counts(docs, public_tokenizers.path(TOKENIZER))
@@ -27,6 +37,7 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_tiff_media": op3_tiff_media,
     "op5_token_counts": op5_token_counts,
     "op9_bpe_codec": op9_bpe_codec,
 }
