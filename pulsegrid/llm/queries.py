@@ -8,11 +8,20 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.bpe_codec import bpe_encode
 from pulsegrid.llm.common import read_table, utf8
+from pulsegrid.llm.sharding import shard_rows
 from pulsegrid.llm.tiff import tiff_encode, tiff_pages
 from pulsegrid.llm.token_counts import token_counts
 
 TOKENIZER = "byte_bpe_50k.json"
 TOKEN_LIMIT = 512
+SHARDS, ROW_BYTES, SEED = 40, 16, 2024
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = utf8(F.col("text"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(raw).cast("long") + ROW_BYTES).alias("size"), F.crc32(raw).alias("text_crc32"))
+    placed = shard_rows(docs, SHARDS, seed=SEED)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op3_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +46,7 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_sharding": op2_sharding,
     "op3_tiff_media": op3_tiff_media,
     "op5_token_counts": op5_token_counts,
     "op9_bpe_codec": op9_bpe_codec,
