@@ -87,3 +87,18 @@ def quoted(name: str) -> Column:
 
 def texts_of(array: pa.Array) -> list[str]:
     return ["" if x is None else x for x in array.to_pylist()]
+
+
+#: SQL names of the Arrow types that tables between stages use.
+SQL_NAMES = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.string(): "string", pa.float64(): "double", pa.bool_(): "boolean"}
+
+Fields = dict[str, pa.DataType]
+
+
+def ddl(fields: Fields) -> str:
+    return ", ".join(f"{name} {SQL_NAMES[kind]}" for name, kind in fields.items())
+
+
+def batch_of(rows: list, fields: Fields) -> pa.RecordBatch:
+    """Rows as an Arrow batch."""
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(fields.values())], names=list(fields))

@@ -11,6 +11,7 @@ from pulsegrid.llm.common import read_table, utf8
 from pulsegrid.llm.sharding import shard_rows
 from pulsegrid.llm.tiff import tiff_encode, tiff_pages
 from pulsegrid.llm.token_counts import token_counts
+from pulsegrid.llm.vector_search import top_k
 
 TOKENIZER = "byte_bpe_50k.json"
 TOKEN_LIMIT = 512
@@ -39,6 +40,27 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", F.octet_length(utf8(F.col("text"))).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op8_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return top_k(vectors, 5, F.col("vec_id") % 50 == 0, scale=256.0)
+
+
+OP8_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS place, vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.place, q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.place <> q.place AND len(c.e) = len(q.e)
+  WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY place ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY place ORDER BY score DESC, vec_id) <= 5
+"""
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe_encode(docs, public_tokenizers.path(TOKENIZER), decoded_col="decoded")
@@ -49,8 +71,9 @@ QUERIES = {
     "op2_sharding": op2_sharding,
     "op3_tiff_media": op3_tiff_media,
     "op5_token_counts": op5_token_counts,
+    "op8_vector_search": op8_vector_search,
     "op9_bpe_codec": op9_bpe_codec,
 }
 
 #: Queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_vector_search": OP8_SQL}
