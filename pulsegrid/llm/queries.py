@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.bpe_codec import bpe_encode
 from pulsegrid.llm.common import read_table, utf8
+from pulsegrid.llm.quality import quality_scores
 from pulsegrid.llm.sharding import shard_rows
 from pulsegrid.llm.tiff import tiff_encode, tiff_pages
 from pulsegrid.llm.token_counts import token_counts
@@ -40,6 +41,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", F.octet_length(utf8(F.col("text"))).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op8_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return top_k(vectors, 5, F.col("vec_id") % 50 == 0, scale=256.0)
@@ -71,6 +76,7 @@ QUERIES = {
     "op2_sharding": op2_sharding,
     "op3_tiff_media": op3_tiff_media,
     "op5_token_counts": op5_token_counts,
+    "op6_quality_classifier": op6_quality_classifier,
     "op8_vector_search": op8_vector_search,
     "op9_bpe_codec": op9_bpe_codec,
 }
