@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.bpe_codec import bpe_encode
 from pulsegrid.llm.common import read_table, utf8
+from pulsegrid.llm.mixing import mixed
 from pulsegrid.llm.quality import quality_scores
 from pulsegrid.llm.sharding import shard_rows
 from pulsegrid.llm.tiff import tiff_encode, tiff_pages
@@ -45,6 +46,12 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    columns = {"_topic": "topic", "_tokens": "tokens", "_weight": "weight", "_probability": "probability", "_kept": "kept"}
+    return mixed(docs).select("doc_id", "source", "lang", *[F.col(a).alias(b) for a, b in columns.items()])
+
+
 def op8_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return top_k(vectors, 5, F.col("vec_id") % 50 == 0, scale=256.0)
@@ -77,6 +84,7 @@ QUERIES = {
     "op3_tiff_media": op3_tiff_media,
     "op5_token_counts": op5_token_counts,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_mixing": op7_mixing,
     "op8_vector_search": op8_vector_search,
     "op9_bpe_codec": op9_bpe_codec,
 }
