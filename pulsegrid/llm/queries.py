@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pulsegrid.llm.bpe_codec import bpe_encode
 from pulsegrid.llm.common import read_table, utf8
 from pulsegrid.llm.mixing import mixed
+from pulsegrid.llm.near_dedup import near_classes
 from pulsegrid.llm.quality import quality_scores
 from pulsegrid.llm.sharding import shard_rows
 from pulsegrid.llm.tiff import tiff_encode, tiff_pages
@@ -20,6 +21,11 @@ TOKEN_LIMIT = 512
 SHARDS, ROW_BYTES, SEED = 40, 16, 2024
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_classes(docs).select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("is_first"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = utf8(F.col("text"))
     docs = read_table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(raw).cast("long") + ROW_BYTES).alias("size"), F.crc32(raw).alias("text_crc32"))
@@ -80,6 +86,7 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_sharding": op2_sharding,
     "op3_tiff_media": op3_tiff_media,
     "op5_token_counts": op5_token_counts,
