@@ -12,6 +12,7 @@ from pulsegrid.llm.mixing import mixed
 from pulsegrid.llm.near_dedup import near_classes
 from pulsegrid.llm.quality import quality_scores
 from pulsegrid.llm.sharding import shard_rows
+from pulsegrid.llm.suffix_dedup import suffix_dedup
 from pulsegrid.llm.tiff import tiff_encode, tiff_pages
 from pulsegrid.llm.token_counts import token_counts
 from pulsegrid.llm.vector_search import top_k
@@ -85,6 +86,11 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup(docs).select("doc_id", "n_bytes", "n_removed", (F.size("spans") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_sharding": op2_sharding,
@@ -94,6 +100,7 @@ QUERIES = {
     "op7_mixing": op7_mixing,
     "op8_vector_search": op8_vector_search,
     "op9_bpe_codec": op9_bpe_codec,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 #: Queries that SQL can express.
