@@ -11,6 +11,7 @@ from pulsegrid.llm.common import read_table, utf8
 from pulsegrid.llm.mixing import mixed
 from pulsegrid.llm.near_dedup import near_classes
 from pulsegrid.llm.quality import quality_scores
+from pulsegrid.llm.recompression import recompression_dedup
 from pulsegrid.llm.sharding import shard_rows
 from pulsegrid.llm.suffix_dedup import suffix_dedup
 from pulsegrid.llm.tiff import tiff_encode, tiff_pages
@@ -43,6 +44,11 @@ def op3_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return recompression_dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_counts(docs, public_tokenizers.path(TOKENIZER))
@@ -95,6 +101,7 @@ QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_sharding": op2_sharding,
     "op3_tiff_media": op3_tiff_media,
+    "op4_recompression_dedup": op4_recompression_dedup,
     "op5_token_counts": op5_token_counts,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_mixing": op7_mixing,
