@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from pulsegrid.llm.common import Fields, batch_of, ddl, free_shuffles, quoted, tune, write_table
+from pulsegrid.llm.common import Fields, batch_of, ddl, drop_table, free_shuffles, quoted, tune, write_table
 from pulsegrid.llm.hashing import CHUNK, mix
 
 #: Bytes of text in a block, unless one text is longer; blocks whose anchors, or contexts, meet in one group.
@@ -299,6 +299,7 @@ def cut_repeats(docs: DataFrame, kind: Kind, finish: Callable, added: list[T.Str
     free_shuffles(spark)
     found = sent.where("bucket >= 0").groupBy("bucket").applyInArrow(decide, ddl(CONTEXTS))
     found = write_table(found.unionAll(sent.where("bucket < 0")).select("block", "data"), "marks")
+    drop_table(sent)
     free_shuffles(spark)
     kept_names, kinds = [f.name for f in kept], {f.name: T_ARROW[f.dataType.simpleString()] for f in added}
 
