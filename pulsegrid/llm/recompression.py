@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulsegrid.llm.common import add_columns, quoted
-from pulsegrid.llm.hashing import GOLDEN, chunked, mix, words_of
+from pulsegrid.llm.hashing import BASE, GOLDEN, INVERSE, chunked, mix, powers, words_of
 from pulsegrid.llm.repeats import Anchors, Contexts, Kind, cut_repeats, flat, runs_in
 
-WINDOW, LEVELS = 20, 3
+WINDOW, LEVELS = 20, 2
 FAR = 1 << 40
 
 
@@ -80,6 +80,7 @@ def window_anchors(units: np.ndarray, firsts: np.ndarray, window: int = WINDOW,
         return Anchors(none.astype(np.uint64), none, none, none)
     bits = np.uint64(n.bit_length())
     top, places = np.uint64(2**64 - 1), np.uint64((1 << int(bits)) - 1)
+    sums = np.r_[np.uint64(0), np.cumsum(mix(units) * powers("up", BASE, n), dtype=np.uint64)]
     best, name_at, level_of = np.full(n, top), np.zeros(n, np.uint64), np.full(n, -1, np.int8)
     for level, (name, at, low, end) in reversed(list(enumerate(levels(units, firsts, rounds)))):
         open_ = level_of < 0
@@ -94,8 +95,10 @@ def window_anchors(units: np.ndarray, firsts: np.ndarray, window: int = WINDOW,
             np.minimum.at(best, s[mine], key[fits[mine]])
         found = open_ & (best != top)
         level_of[found] = level
+        # an anchor's name tells the words that decided its symbol, which are in all its windows
+        low, end = np.clip(low, 0, n), np.clip(end, 0, n)
         names = np.zeros(n, np.uint64)
-        names[at] = mix(name + np.uint64(level + 1) * GOLDEN)
+        names[at] = mix(mix(name + np.uint64((level + 1) * int(GOLDEN) & 2**64 - 1)) + (sums[end] - sums[low]) * powers("down", INVERSE, n + 1)[low])
         name_at[found] = names[(best[found] & places).astype(np.int64)]
     at, hashes, level = (best[starts] & places).astype(np.int64), name_at[starts], level_of[starts]
     new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (level[1:] != level[:-1]) | (starts[1:] != starts[:-1] + 1)])

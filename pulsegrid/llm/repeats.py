@@ -212,11 +212,29 @@ def earliest_stay(c: Contexts, window: int, kind: Kind) -> Iterator[list]:
         yield from by_block(d.block[row[at[cut]]], start[at[cut]], start[at[last]] + 1)
 
 
-CONTEXT_TYPES = ("<u8", "<i8", "<i8", "<i8", "<i8")
+CONTEXT_TYPES = ("<u8", "<i8", "u1", "u1", "<u4")
+
+
+def pack_contexts(c: Contexts, kind: Kind) -> bytes:
+    """Units wider than a byte go as places in a list of the distinct ones."""
+    units = c.units[flat(c.start, c.windows + kind.window - 1)]
+    named = (np.zeros(0, kind.dtype), units)
+    if units.itemsize > 1:
+        distinct, places = np.unique(units, return_inverse=True)
+        named = (distinct, places.astype("<u2" if len(distinct) < 1 << 16 else "<u4"))
+    return pack(*(x.astype(t) for x, t in zip((c.hash, c.id, c.offset, c.windows, c.low), CONTEXT_TYPES)), named[0].astype(kind.dtype), named[1])
+
+
+def unpack_contexts(data: bytes, kind: Kind) -> list[np.ndarray]:
+    h, ids, offset, windows, low, distinct, places = unpack(data, *CONTEXT_TYPES, kind.dtype, "u1")
+    windows = windows.astype(np.int64)
+    if len(distinct):
+        places = distinct[places.view(f"<u{len(places) // int((windows + kind.window - 1).sum())}")]
+    return [h, offset.astype(np.int64), windows, ids, low.astype(np.int64), places]
 
 
 def read_contexts(blobs: list[tuple[int, bytes]], kind: Kind) -> Contexts:
-    parts = [(block, unpack(data, *CONTEXT_TYPES, kind.dtype)) for block, data in blobs]
+    parts = [(block, unpack_contexts(data, kind)) for block, data in blobs]
     h, offset, windows, ids, low, units = (np.concatenate([p[1][k] for p in parts]) for k in range(6))
     block = np.repeat(np.array([p[0] for p in parts]), [len(p[1][0]) for p in parts])
     lengths = windows + kind.window - 1
@@ -286,8 +304,7 @@ def cut_repeats(docs: DataFrame, kind: Kind, finish: Callable, added: list[T.Str
             order = np.argsort(bucket, kind="stable")
             for lo, hi in zip(*runs_of(bucket[order])):
                 d = c.take(order[lo:hi])
-                packed = pack(d.hash.astype("<u8"), *(x.astype("<i8") for x in (d.offset, d.windows, d.id, d.low)), units[flat(d.start, d.windows + kind.window - 1)].astype(kind.dtype))
-                out.append([int(bucket[order[lo]]), row["block"], packed])
+                out.append([int(bucket[order[lo]]), row["block"], pack_contexts(d, kind)])
         return pa.Table.from_batches([batch_of(out, CONTEXTS)])
 
     def decide(table: pa.Table) -> pa.Table:
