@@ -183,19 +183,21 @@ def mixed(docs: DataFrame, mix: Mix = MIX) -> DataFrame:
     docs has doc_id, text, source and lang. Null sources and languages are categories of their own; null and
     empty texts have topic "empty" and no tokens, and as they weigh nothing in any margin they are kept with
     the budget's probability. Repeated rows share one draw, so all or none of them are kept. An empty table
-    gives an empty table. Only sums come to the driver; the table of cells meets the documents by a join that
-    Spark broadcasts or sorts by its measured size, with skewed sources split.
+    gives an empty table. Only sums come to the driver; the table of cells is broadcast if it
+    was counted to be CELLS_HERE rows at most, and else meets the documents by a sorted join with skewed sources split.
     """
     work = docs.select("*", topic(F.col("text")).alias("_topic"), tokens(F.col("text")).alias("_tokens"))
     narrow = work.select("source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"))
     cells = calibrate(rake(cells_of(narrow), mix), mix.budget)
+    few = cells.count() <= CELLS_HERE
     cells = cells.select(F.struct(*[F.coalesce(F.col(m), F.lit("")).alias(m) for m in MARGINS], *[F.col(m).isNull().alias(f"no_{m}") for m in MARGINS]).alias("_cell"), F.col("weight").alias("_weight"), F.col("probability").alias("_probability"))
     keyed = {"source": F.col("source"), "lang": F.col("lang"), "topic": F.col("_topic")}
     cell = F.struct(*[F.coalesce(c, F.lit("")).alias(m) for m, c in keyed.items()], *[c.isNull().alias(f"no_{m}") for m, c in keyed.items()])
-    joined = work.withColumn("_cell", cell).join(cells, "_cell", "left").drop("_cell")
+    work = work.withColumn("_cell", cell).withColumn("_draw", draw(F.col("doc_id"), F.col("text"), mix.seed))
+    joined = work.join(F.broadcast(cells) if few else cells, "_cell", "left").drop("_cell")
     chance = F.when(F.col("_tokens") == 0, F.lit(float(mix.budget))).otherwise(F.coalesce("_probability", F.lit(0.0)))
     joined = joined.withColumn("_probability", chance)
-    return joined.withColumn("_kept", draw(F.col("doc_id"), F.col("text"), mix.seed) < F.col("_probability"))
+    return joined.withColumn("_kept", F.col("_draw") < F.col("_probability")).drop("_draw")
 
 
 def sample_mix(docs: DataFrame, mix: Mix = MIX) -> DataFrame:
