@@ -57,9 +57,6 @@ class Codec(Remembered):
         return b"".join(map(pieces.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
-_codecs: dict[int, Codec] = {}
-
-
 def bpe_encode(df: DataFrame, tokenizer: str, text_col: str = "text", ids_col: str = "ids", count_col: str = "n_tokens", decoded_col: str | None = None) -> DataFrame:
     """df with the packed ids (binary) and their number (long) of whole texts; a narrow stage, no shuffle.
 
@@ -73,7 +70,7 @@ def bpe_encode(df: DataFrame, tokenizer: str, text_col: str = "text", ids_col: s
     fields += [T.StructField(decoded_col, T.StringType(), False)] if decoded_col else []
 
     def make():
-        codec = vocabulary.worker_wide(_codecs, Codec, data)
+        codec = Codec(vocabulary.load(data))
 
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
             ids = [codec.encode_text(t) for t in texts_of(batch.column(text_col))]
@@ -91,7 +88,7 @@ def bpe_decode(df: DataFrame, tokenizer: str, ids_col: str = "ids", out_col: str
     data = vocabulary.shared(df.sparkSession, tokenizer)
 
     def make():
-        decode = vocabulary.worker_wide(_codecs, Codec, data).decode
+        decode = Codec(vocabulary.load(data)).decode
         return lambda batch: [pa.array([decode(x or b"") for x in batch.column(ids_col).to_pylist()], pa.string())]
 
     return add_columns(df, [ids_col], [T.StructField(out_col, T.StringType(), False)], make)

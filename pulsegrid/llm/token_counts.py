@@ -80,9 +80,6 @@ class Counter(Remembered):
         return self.text(text, lambda _: 1)
 
 
-_counters: dict[int, Counter] = {}
-
-
 def token_counts(df: DataFrame, tokenizer: str, text_col: str = "text", out_col: str = "n_tokens") -> DataFrame:
     """df with a long column of token counts of whole texts; a narrow stage, no shuffle.
 
@@ -94,7 +91,7 @@ def token_counts(df: DataFrame, tokenizer: str, text_col: str = "text", out_col:
     data = vocabulary.shared(df.sparkSession, tokenizer)
 
     def make():
-        count = vocabulary.worker_wide(_counters, Counter, data).count
+        count = Counter(vocabulary.load(data)).count
         return lambda batch: [pa.array([count(t) for t in texts_of(batch.column(text_col))], pa.int64())]
 
     return add_columns(df, [text_col], [T.StructField(out_col, T.LongType(), False)], make)

@@ -10,8 +10,9 @@ import regex
 #: The pre-tokenizer pattern that byte-level BPE files of this kind use.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Words whose results a Python worker remembers, and the longest of them in characters.
-MEMORY_WORDS, MEMORY_CHARS = 1_000_000, 48
+#: Words whose results a task remembers, and the longest of them in characters. Nothing is kept beyond the task:
+#: idle Python workers would hold it while other stages need the memory.
+MEMORY_WORDS, MEMORY_CHARS = 500_000, 48
 
 #: Bits of a symbol id in a pair key.
 ID_BITS = 20
@@ -112,12 +113,3 @@ def load(data) -> Vocabulary:
         _loaded.clear()
         _loaded[key] = Vocabulary.parse(data.value)
     return _loaded[key]
-
-
-def worker_wide(held: dict, kind, data):
-    """The worker's one object of this kind for a broadcast vocabulary, so that what it remembers outlives a task."""
-    key = hash(data.value)
-    if key not in held:
-        held.clear()
-        held[key] = kind(load(data))
-    return held[key]
