@@ -13,6 +13,7 @@ from pulsegrid.functions import scalars as s
 from pulsegrid.operators import auth, host, integrity, points, readback, resolve, retention, rollup, spool, validate
 from pulsegrid.plans.ingest import ingest
 from pulsegrid.sources import adapters as a
+from pulsegrid.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -623,3 +624,57 @@ def rollup_1m(spark, sf_dir):
 def rollup_1h(spark, sf_dir):
     hours = rollup.rollup_1h(rollup.rollup_1m(event_points(spark, sf_dir)))
     return ntz(hours.withColumn("total", F.round("total", 4)).withColumn("mean", F.round("mean", 4)))
+
+
+# -- streams, run to the end of what is there; the SQL is that of the batch form ------------------------------------
+
+
+def streamed(spark: SparkSession, batch: DataFrame, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stream makes of a table: the table is written as files, read as a stream, and run until it is used up."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    batch.write.parquet(f"{path}/in")
+    out = build(spark.readStream.schema(batch.schema).parquet(f"{path}/in"))
+    run = out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{path}/out")
+
+
+@query(ORACLE_SQL["cpu_usage"])
+def cpu_usage_stream(spark, sf_dir):
+    lines = a.snapshots(spark, sf_dir).select("host", "ts", F.substring_index("stat", "\n", 1).alias("content"))
+    return ntz(streamed(spark, lines, jobs.cpu_usage_stream).withColumn("usage", F.round("usage", 6)))
+
+
+@query(ORACLE_SQL["rate_limit"])
+def rate_limit_stream(spark, sf_dir):
+    requests = a.events(spark, sf_dir).select(F.col("event_id").alias("batch_id"), F.col("user_id").alias("key_id"), F.col("ts").alias("received_at"))
+    return streamed(spark, requests, lambda r: jobs.rate_limit_stream(r, 2, DAY)).select("batch_id", "allowed")
+
+
+@query("SELECT user_id AS series_id, ts, value FROM events")
+def dedupe_stream(spark, sf_dir):
+    twice = event_points(spark, sf_dir)
+    return ntz(streamed(spark, twice.unionAll(twice), jobs.dedupe_stream))
+
+
+@query(ORACLE_SQL["ingest_end_to_end"])
+def ingest_stream(spark, sf_dir):
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    path = f"{base.rstrip('/')}/ingest-{uuid.uuid4().hex}"
+    requests = a.daily_requests(spark, sf_dir)
+    requests.write.parquet(f"{path}/in")
+    dims = lambda: {"api_keys": a.api_keys(spark, sf_dir), "sources": a.sources(spark, sf_dir)}
+    stream = spark.readStream.schema(requests.schema).parquet(f"{path}/in")
+    jobs.ingest_stream(stream, dims, jobs.epoch_sink(f"{path}/out"), f"{path}/state", 2, DAY, {"availableNow": True}).awaitTermination()
+    found = spark.read.parquet(f"{path}/out/points")
+    g = found.groupBy("tenant_id", "name").agg(
+        F.count(F.lit(1)).alias("points"), F.count_distinct("source_id", "canonical").alias("series"), F.round(F.sum("value"), 2).alias("total"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
+    )
+    return ntz(g)
