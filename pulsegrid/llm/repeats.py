@@ -298,7 +298,8 @@ def cut_repeats(docs: DataFrame, kind: Kind, finish: Callable, added: list[T.Str
             c = Contexts(h[at], a.at[at] - a.low[at], a.high[at] - a.low[at] + 1, ids, np.full(len(at), row["block"]), a.low[at], a.low[at], units)
             c = c.take(np.lexsort((c.low, c.id)))
             first = equal_to_earlier(c, kind.window)
-            out += marks(c, np.flatnonzero(first != np.arange(len(first))))
+            # what the block finds itself goes through the same exchange, in groups of negative numbers
+            out += [[-1 - row["block"] % groups, *rest] for _, *rest in marks(c, np.flatnonzero(first != np.arange(len(first))))]
             c = c.take(np.flatnonzero(first == np.arange(len(first))))
             bucket = (mix(c.hash) >> one) % np.uint64(groups)
             order = np.argsort(bucket, kind="stable")
@@ -308,15 +309,16 @@ def cut_repeats(docs: DataFrame, kind: Kind, finish: Callable, added: list[T.Str
         return pa.Table.from_batches([batch_of(out, CONTEXTS)])
 
     def decide(table: pa.Table) -> pa.Table:
+        if table.num_rows and table.column("bucket")[0].as_py() < 0:
+            return table
         c = read_contexts(list(zip(table.column("block").to_pylist(), table.column("data").to_pylist())), kind)
         return pa.Table.from_batches([batch_of(list(earliest_stay(c, kind.window, kind)), CONTEXTS)])
 
-    again = blocks.mapInArrow(name, ddl(ANCHORS)).groupBy("bucket").applyInArrow(repeated, ddl(REPEATED))
-    sent = write_table(blocks.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(gather, ddl(CONTEXTS)), "contexts")
+    again = write_table(blocks.mapInArrow(name, ddl(ANCHORS)).groupBy("bucket").applyInArrow(repeated, ddl(REPEATED)), "repeated")
     free_shuffles(spark)
-    found = sent.where("bucket >= 0").groupBy("bucket").applyInArrow(decide, ddl(CONTEXTS))
-    found = write_table(found.unionAll(sent.where("bucket < 0")).select("block", "data"), "marks")
-    drop_table(sent)
+    sent = blocks.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(gather, ddl(CONTEXTS))
+    found = write_table(sent.groupBy("bucket").applyInArrow(decide, ddl(CONTEXTS)).select("block", "data"), "marks")
+    drop_table(again)
     free_shuffles(spark)
     kept_names, kinds = [f.name for f in kept], {f.name: T_ARROW[f.dataType.simpleString()] for f in added}
 
