@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pulsegrid.functions.scalars import canonical_labels
+from pulsegrid.sources.scratch import scratch_dir
 
 SERIES_KEY = ["tenant_id", "source_id", "name", "canonical"]
 
@@ -47,8 +49,7 @@ def assign_ids(rows: DataFrame, order: list[str], first_id: int, id_col: str = "
     Rows are range-partitioned and sorted by the order; the counts of the partitions, one number each, give every
     partition its offset.
     """
-    from pyspark.sql.window import Window
-
+    scratch_dir(rows.sparkSession)
     part = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).checkpoint()
     counts = sorted((r["_part"], r["count"]) for r in part.groupBy("_part").count().collect())
     offsets, total = [], first_id

@@ -13,6 +13,8 @@ from pulsegrid.functions import scalars as s
 from pulsegrid.operators import auth, host, integrity, points, readback, resolve, retention, rollup, spool, validate
 from pulsegrid.plans.ingest import ingest
 from pulsegrid.sources import adapters as a
+from pulsegrid.sources.scratch import scratch_path
+from pulsegrid.sources.tables import read_facts, write_points
 from pulsegrid.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,10 +67,10 @@ DAILY = (
     max(ts) + INTERVAL 1 SECOND + CASE WHEN user_id % 13 = 0 THEN INTERVAL 8 DAY ELSE INTERVAL 0 DAY END AS received_at,
     'vg_' || (user_id % ((SELECT count(*) FROM supplier) + 5)) AS api_key, bool_or(bad) AS bad_point
   FROM q GROUP BY user_id, tenant_id, source, CAST(ts AS DATE)), m AS (
-  SELECT n.*, bad_point OR (SELECT NULL) IS NOT NULL OR user_id % 13 = 0 AS bad FROM n), pn AS (
+  SELECT n.*, bad_point OR user_id % 13 = 0 AS bad FROM n), pn AS (
   SELECT q.*, n.batch_id, n.received_at, CAST(row_number() OVER (PARTITION BY n.batch_id ORDER BY q.event_id) - 1 AS INTEGER) AS pos
   FROM q JOIN n ON q.user_id = n.user_id AND CAST(q.ts AS DATE) = n.day)"""
-).replace("bad_point OR (SELECT NULL) IS NOT NULL OR user_id % 13 = 0 AS bad", "bad_point OR user_id % 13 = 0 AS bad")
+)
 SOURCES = "src AS (SELECT DISTINCT CAST(user_id + 1 AS INTEGER) AS source_id, CAST(user_id % 7 + 1 AS INTEGER) AS tenant_id, 'host-' || user_id AS source FROM events WHERE user_id % 11 <> 0)"
 KEYS = """keys AS (
   SELECT CAST(s_suppkey AS INTEGER) AS id, CAST(s_suppkey % 7 + 1 AS INTEGER) AS tenant_id, sha256('vg_' || s_suppkey) AS key_hash, s_name AS label,
@@ -391,13 +393,7 @@ def last_seen(spark, sf_dir):
 
 @query("WITH " + FACTS + " SELECT week, count(*) AS points, count(DISTINCT series_id) AS series, round(sum(value), 2) AS total FROM f GROUP BY week")
 def write_points_roundtrip(spark, sf_dir):
-    import tempfile
-    import uuid
-
-    from pulsegrid.sources.tables import read_facts, write_points
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    path = f"{base.rstrip('/')}/points-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "points")
     write_points(a.facts(spark, sf_dir).select("series_id", "ts", "value"), path)
     back = read_facts(spark, path).groupBy("week").agg(F.count(F.lit(1)).alias("points"), F.count_distinct("series_id").alias("series"), F.round(F.sum("value"), 2).alias("total"))
     return ntz(back)
@@ -631,11 +627,7 @@ def rollup_1h(spark, sf_dir):
 
 def streamed(spark: SparkSession, batch: DataFrame, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """What a stream makes of a table: the table is written as files, read as a stream, and run until it is used up."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "stream")
     batch.write.parquet(f"{path}/in")
     out = build(spark.readStream.schema(batch.schema).parquet(f"{path}/in"))
     run = out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
@@ -663,11 +655,7 @@ def dedupe_stream(spark, sf_dir):
 
 @query(ORACLE_SQL["ingest_end_to_end"])
 def ingest_stream(spark, sf_dir):
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    path = f"{base.rstrip('/')}/ingest-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "ingest")
     requests = a.daily_requests(spark, sf_dir)
     requests.write.parquet(f"{path}/in")
     dims = lambda: {"api_keys": a.api_keys(spark, sf_dir), "sources": a.sources(spark, sf_dir)}
