@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pulsegrid.sources.scratch import scratch_path
+
 #: Rows per Arrow batch handed to Python: texts are long, so batches are kept far below the default 10,000.
 BATCH_ROWS = 512
 
@@ -25,19 +26,10 @@ def tune(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base
-
-
 def write_table(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes df as Parquet into the shared folder and returns the written table."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.scratch_path = path
@@ -53,8 +45,6 @@ def drop_table(table: DataFrame) -> None:
 
 def free_shuffles(spark: SparkSession) -> None:
     """Lets Spark's context cleaner drop the shuffle files of finished jobs whose plans are out of use."""
-    import gc
-
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
