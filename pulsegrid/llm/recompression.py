@@ -17,20 +17,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulsegrid.llm.common import add_columns, quoted
-from pulsegrid.llm.hashing import BASE, GOLDEN, INVERSE, chunked, mix, powers, words_of
+from pulsegrid.llm.hashing import BASE, GOLDEN, INVERSE, mix, powers, words_of
 from pulsegrid.llm.repeats import Anchors, Contexts, Kind, cut_repeats, flat, runs_in
 
 WINDOW, LEVELS = 20, 2
 FAR = 1 << 40
 
 
-def split_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    hashes, firsts = [], [np.zeros(1, np.int64)]
-    for a, b in chunked(texts):
-        h, _, _, f = words_of(texts[a:b])
-        hashes.append(h)
-        firsts.append(f[1:] + firsts[-1][-1])
-    return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), np.concatenate(firsts)
+def split_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, tuple]:
+    """Hashes of the words, the first word of each text and one more, and the texts with each word's start and end."""
+    hashes, starts, ends, firsts = words_of(texts)
+    return hashes, firsts, (texts, starts, ends)
+
+
+def send_words(c: Contexts, source: tuple) -> np.ndarray:
+    """The text from the first to the last word of each context, with one space after: closer packed than hashes."""
+    texts, starts, ends = source
+    data, low, end = np.frombuffer(b" ".join(texts) + b" ", np.uint8), starts[c.low], ends[c.low + c.windows + WINDOW - 2] + 1
+    return data[flat(low, end - low)]
+
+
+def receive_words(sent: np.ndarray) -> np.ndarray:
+    return words_of([sent.tobytes()])[0]
 
 
 def joined(name: np.ndarray, doc: np.ndarray, low: np.ndarray, end: np.ndarray, first: np.ndarray, last: np.ndarray, new: np.ndarray):
@@ -128,7 +136,7 @@ def window_classes(c: Contexts, window: int = WINDOW) -> np.ndarray:
     return out
 
 
-WORDS = Kind(WINDOW, "<u8", split_words, window_anchors, window_classes)
+WORDS = Kind(WINDOW, split_words, window_anchors, send_words, receive_words, window_classes)
 
 ADDED = [
     T.StructField("kept", T.BinaryType(), False), T.StructField("n_words", T.LongType(), False), T.StructField("n_removed", T.LongType(), False), T.StructField("spans", T.ArrayType(T.LongType()), False),

@@ -68,14 +68,16 @@ class Contexts:
 class Kind:
     """What makes the two operators differ.
 
-    split: texts -> (units, first unit of each text and one more); anchors: (units, firsts) -> Anchors;
-    classes: Contexts whose hashes each occur more than once, none equal -> class of each window, row by row.
+    split: texts -> (units, first unit of each text and one more, what send needs of the texts); anchors: (units,
+    firsts) -> Anchors; send: (Contexts of these texts, what send needs) -> their units as bytes; receive: bytes ->
+    units; classes: Contexts whose hashes each occur more than once, none equal -> class of each window, row by row.
     """
 
     window: int
-    dtype: str
-    split: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
+    split: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, object]]
     anchors: Callable[[np.ndarray, np.ndarray], Anchors]
+    send: Callable[[Contexts, object], np.ndarray]
+    receive: Callable[[np.ndarray], np.ndarray]
     classes: Callable[[Contexts], np.ndarray]
 
 
@@ -215,22 +217,13 @@ def earliest_stay(c: Contexts, window: int, kind: Kind) -> Iterator[list]:
 CONTEXT_TYPES = ("<u8", "<i8", "u1", "u1", "<u4")
 
 
-def pack_contexts(c: Contexts, kind: Kind) -> bytes:
-    """Units wider than a byte go as places in a list of the distinct ones."""
-    units = c.units[flat(c.start, c.windows + kind.window - 1)]
-    named = (np.zeros(0, kind.dtype), units)
-    if units.itemsize > 1:
-        distinct, places = np.unique(units, return_inverse=True)
-        named = (distinct, places.astype("<u2" if len(distinct) < 1 << 16 else "<u4"))
-    return pack(*(x.astype(t) for x, t in zip((c.hash, c.id, c.offset, c.windows, c.low), CONTEXT_TYPES)), named[0].astype(kind.dtype), named[1])
+def pack_contexts(c: Contexts, kind: Kind, source: object) -> bytes:
+    return pack(*(x.astype(t) for x, t in zip((c.hash, c.id, c.offset, c.windows, c.low), CONTEXT_TYPES)), kind.send(c, source))
 
 
 def unpack_contexts(data: bytes, kind: Kind) -> list[np.ndarray]:
-    h, ids, offset, windows, low, distinct, places = unpack(data, *CONTEXT_TYPES, kind.dtype, "u1")
-    windows = windows.astype(np.int64)
-    if len(distinct):
-        places = distinct[places.view(f"<u{len(places) // int((windows + kind.window - 1).sum())}")]
-    return [h, offset.astype(np.int64), windows, ids, low.astype(np.int64), places]
+    h, ids, offset, windows, low, sent = unpack(data, *CONTEXT_TYPES, "u1")
+    return [h, offset.astype(np.int64), windows.astype(np.int64), ids, low.astype(np.int64), kind.receive(sent)]
 
 
 def read_contexts(blobs: list[tuple[int, bytes]], kind: Kind) -> Contexts:
@@ -264,7 +257,7 @@ def cut_repeats(docs: DataFrame, kind: Kind, finish: Callable, added: list[T.Str
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                h = np.sort(kind.anchors(*kind.split(texts_in(block_table(row["data"]), text_col))).hash & clear)
+                h = np.sort(kind.anchors(*kind.split(texts_in(block_table(row["data"]), text_col))[:2]).hash & clear)
                 lo, hi = runs_of(h)
                 h = h[lo] | (hi - lo > 1).astype(np.uint64)
                 bucket = (h >> one) % np.uint64(buckets)
@@ -289,7 +282,7 @@ def cut_repeats(docs: DataFrame, kind: Kind, finish: Callable, added: list[T.Str
             if not right.num_rows:
                 continue
             table = block_table(row["data"])
-            units, firsts = kind.split(texts_in(table, text_col))
+            units, firsts, source = kind.split(texts_in(table, text_col))
             known = np.sort(np.concatenate([np.frombuffer(x, "<u8") for x in right.column("hashes").to_pylist()]))
             a = kind.anchors(units, firsts)
             h = a.hash & clear
@@ -305,7 +298,7 @@ def cut_repeats(docs: DataFrame, kind: Kind, finish: Callable, added: list[T.Str
             order = np.argsort(bucket, kind="stable")
             for lo, hi in zip(*runs_of(bucket[order])):
                 d = c.take(order[lo:hi])
-                out.append([int(bucket[order[lo]]), row["block"], pack_contexts(d, kind)])
+                out.append([int(bucket[order[lo]]), row["block"], pack_contexts(d, kind, source)])
         return pa.Table.from_batches([batch_of(out, CONTEXTS)])
 
     def decide(table: pa.Table) -> pa.Table:

@@ -24,8 +24,12 @@ WINDOW, GRAM = 100, 32
 SHARD = 1 << 21
 
 
-def split_bytes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))]
+def split_bytes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, None]:
+    return np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))], None
+
+
+def send_bytes(c: Contexts, _: None) -> np.ndarray:
+    return c.units[flat(c.start, c.windows + WINDOW - 1)]
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -180,7 +184,7 @@ def window_classes(c: Contexts, window: int = WINDOW, size: int = SHARD) -> np.n
     return out
 
 
-BYTES = Kind(WINDOW, "u1", split_bytes, window_anchors, window_classes)
+BYTES = Kind(WINDOW, split_bytes, window_anchors, send_bytes, np.asarray, window_classes)
 
 ADDED = [
     T.StructField("kept", T.BinaryType(), False), T.StructField("n_bytes", T.LongType(), False), T.StructField("n_removed", T.LongType(), False), T.StructField("spans", T.ArrayType(T.LongType()), False),
