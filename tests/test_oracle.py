@@ -9,7 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-DATA = "/root/testdata/sf0.001"
+DATA = os.environ.get("ORACLE_DIR", "/root/testdata/sf0.001")
 SQL = entry.oracle_sql()
 
 
