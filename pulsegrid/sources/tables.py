@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import limits as lim
@@ -41,16 +41,16 @@ def load_points_jdbc(spark: SparkSession, jdbc: dict[str, str], weeks: list[str]
     return spark.read.jdbc(jdbc["url"], "metric_points", predicates=predicates, properties=properties)
 
 
-def write_points(points: DataFrame, path: str, salts: int = 8, max_records: int = 5_000_000) -> int:
+def write_points(points: DataFrame, path: str, max_records: int = 5_000_000) -> int:
     """Appends series_id, ts and value under week=...; returns the number of rows written.
 
-    Nearly all rows of a stream fall in the current week, so rows are dealt by week and a salt of the series; files
-    are sorted by series and time, so that their statistics serve as an index. The count comes with the write.
+    Nearly all rows of a stream fall in the current week. Rows are rebalanced by week: adaptive execution gives a
+    small week one file, and splits a hot one into as many tasks as its size asks for. Files are sorted by series
+    and time, so that their statistics serve as an index. The count comes with the write.
     """
     seen = Observation()
-    salt: Column = F.pmod(F.xxhash64("series_id"), F.lit(salts))
     dated = points.select("series_id", "ts", "value", F.date_format(week_start(F.col("ts")), "yyyy-MM-dd").alias("week"))
-    dealt = dated.repartition("week", salt).sortWithinPartitions("week", "series_id", "ts")
+    dealt = dated.hint("rebalance", F.col("week")).sortWithinPartitions("week", "series_id", "ts")
     dealt.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("append").option("maxRecordsPerFile", max_records).partitionBy("week").parquet(path)
     return seen.get["rows"]
 
