@@ -33,12 +33,13 @@ def split_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, tuple]:
 def send_words(c: Contexts, source: tuple) -> np.ndarray:
     """The text from the first to the last word of each context, with one space after: closer packed than hashes."""
     texts, starts, ends = source
-    data, low, end = np.frombuffer(b" ".join(texts) + b" ", np.uint8), starts[c.low], ends[c.low + c.windows + WINDOW - 2] + 1
+    data, low, end = np.frombuffer(b" ".join(texts) + b" ", np.uint8), starts[c.start], ends[c.start + c.windows + WINDOW - 2] + 1
     return data[flat(low, end - low)]
 
 
-def receive_words(sent: np.ndarray) -> np.ndarray:
-    return words_of([sent.tobytes()])[0]
+def receive_words(sent: list[np.ndarray]) -> tuple[np.ndarray, tuple]:
+    units, _, source = split_words([x.tobytes() for x in sent])
+    return units, source
 
 
 def joined(name: np.ndarray, doc: np.ndarray, low: np.ndarray, end: np.ndarray, first: np.ndarray, last: np.ndarray, new: np.ndarray):

@@ -20,6 +20,7 @@ import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulsegrid.llm.common import Fields, batch_of, ddl, drop_table, free_shuffles, quoted, tune, write_table
@@ -28,6 +29,8 @@ from pulsegrid.llm.hashing import CHUNK, mix
 #: Bytes of text in a block, unless one text is longer; blocks whose anchors, or contexts, meet in one group.
 BLOCK_BYTES, ANCHOR_BLOCKS, CONTEXT_BLOCKS = CHUNK, 4, 2
 LEAST_GROUPS = 32
+#: Blocks whose equal contexts of one anchor meet at a time: with more blocks, contexts are thinned in rounds first.
+MEET_BLOCKS = 2048
 NO_ID = 2**63 - 1
 
 L, B = pa.int64(), pa.binary()
@@ -69,15 +72,15 @@ class Kind:
     """What makes the two operators differ.
 
     split: texts -> (units, first unit of each text and one more, what send needs of the texts); anchors: (units,
-    firsts) -> Anchors; send: (Contexts of these texts, what send needs) -> their units as bytes; receive: bytes ->
-    units; classes: Contexts whose hashes each occur more than once, none equal -> class of each window, row by row.
+    firsts) -> Anchors; send: (Contexts, what send needs) -> their units as bytes; receive: several such bytes -> (units,
+    what send needs to send them on); classes: Contexts whose hashes each occur more than once, none equal -> class of each window, row by row.
     """
 
     window: int
     split: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, object]]
     anchors: Callable[[np.ndarray, np.ndarray], Anchors]
     send: Callable[[Contexts, object], np.ndarray]
-    receive: Callable[[np.ndarray], np.ndarray]
+    receive: Callable[[list[np.ndarray]], tuple[np.ndarray, object]]
     classes: Callable[[Contexts], np.ndarray]
 
 
@@ -221,18 +224,29 @@ def pack_contexts(c: Contexts, kind: Kind, source: object) -> bytes:
     return pack(*(x.astype(t) for x, t in zip((c.hash, c.id, c.offset, c.windows, c.low), CONTEXT_TYPES)), kind.send(c, source))
 
 
-def unpack_contexts(data: bytes, kind: Kind) -> list[np.ndarray]:
-    h, ids, offset, windows, low, sent = unpack(data, *CONTEXT_TYPES, "u1")
-    return [h, offset.astype(np.int64), windows.astype(np.int64), ids, low.astype(np.int64), kind.receive(sent)]
+def read_contexts(table: pa.Table, kind: Kind) -> tuple[Contexts, object]:
+    """The contexts of several blocks in order, and what is needed to send them on."""
+    parts = [unpack(data, *CONTEXT_TYPES, "u1") for data in table.column("data").to_pylist()]
+    h, ids, offset, windows, low = (np.concatenate([p[k] for p in parts]) for k in range(5))
+    units, source = kind.receive([p[5] for p in parts])
+    block, windows = np.repeat(table.column("block").to_numpy(), [len(p[0]) for p in parts]), windows.astype(np.int64)
+    lengths = windows + kind.window - 1
+    c = Contexts(h, offset.astype(np.int64), windows, ids, block, low.astype(np.int64), np.cumsum(lengths) - lengths, units)
+    return c.take(np.lexsort((low, block, ids))), source
 
 
-def read_contexts(blobs: list[tuple[int, bytes]], kind: Kind) -> Contexts:
-    parts = [(block, unpack_contexts(data, kind)) for block, data in blobs]
-    h, offset, windows, ids, low, units = (np.concatenate([p[1][k] for p in parts]) for k in range(6))
-    block = np.repeat(np.array([p[0] for p in parts]), [len(p[1][0]) for p in parts])
-    lengths = windows + kind.window - 1
-    c = Contexts(h, offset, windows, ids, block, low, np.cumsum(lengths) - lengths, units)
-    return c.take(np.lexsort((low, block, ids)))
+def thinned(table: pa.Table, kind: Kind) -> Iterator[list]:
+    """Of equal contexts the earliest, by block as before, and the others as found windows."""
+    bucket = table.column("bucket")[0].as_py()
+    c, source = read_contexts(table, kind)
+    first = equal_to_earlier(c, kind.window)
+    own = first == np.arange(len(first))
+    for number, block, data in marks(c, np.flatnonzero(~own)):
+        yield [number - bucket, block, data]
+    c = c.take(np.flatnonzero(own))
+    order = np.argsort(c.block, kind="stable")
+    for lo, hi in zip(*runs_of(c.block[order])):
+        yield [bucket, int(c.block[order[lo]]), pack_contexts(c.take(order[lo:hi]), kind, source)]
 
 
 def ids_of(table: pa.Table, id_col: str) -> np.ndarray:
@@ -304,12 +318,23 @@ def cut_repeats(docs: DataFrame, kind: Kind, finish: Callable, added: list[T.Str
     def decide(table: pa.Table) -> pa.Table:
         if table.num_rows and table.column("bucket")[0].as_py() < 0:
             return table
-        c = read_contexts(list(zip(table.column("block").to_pylist(), table.column("data").to_pylist())), kind)
+        c, _ = read_contexts(table, kind)
         return pa.Table.from_batches([batch_of(list(earliest_stay(c, kind.window, kind)), CONTEXTS)])
 
     again = write_table(blocks.mapInArrow(name, ddl(ANCHORS)).groupBy("bucket").applyInArrow(repeated, ddl(REPEATED)), "repeated")
     free_shuffles(spark)
     sent = blocks.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(gather, ddl(CONTEXTS))
+
+    def thin(table: pa.Table) -> pa.Table:
+        if table.num_rows and table.column("bucket")[0].as_py() < 0:
+            return table
+        return pa.Table.from_batches([batch_of(list(thinned(table, kind)), CONTEXTS)])
+
+    parts = -(-count // MEET_BLOCKS)
+    while parts > 1:
+        # a new deal of the blocks each round: what met in one part comes out of it as one context
+        sent = sent.groupBy("bucket", F.pmod(F.xxhash64("block", F.lit(parts)), F.lit(parts))).applyInArrow(thin, ddl(CONTEXTS))
+        parts = -(-parts // MEET_BLOCKS)
     found = write_table(sent.groupBy("bucket").applyInArrow(decide, ddl(CONTEXTS)).select("block", "data"), "marks")
     drop_table(again)
     free_shuffles(spark)

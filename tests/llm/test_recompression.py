@@ -75,6 +75,17 @@ def test_odd_rows(odd):
     assert sum(v[1] for v in got[None]) == sum(v[1] for v in want[None])
 
 
+def test_many_parts_of_blocks(odd, monkeypatch):
+    from pulsegrid.llm import repeats
+    from pyspark.sql import functions as F
+
+    rows, df = odd
+    monkeypatch.setattr(repeats, "MEET_BLOCKS", 2)
+    found = rc.recompression_dedup(df.repartition(9)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    got, want = collected(found), brute(rows)
+    assert {k: v for k, v in got.items() if k is not None} == {k: v for k, v in want.items() if k is not None}
+
+
 def test_texts(odd):
     rows, df = odd
     out = rc.dedup_texts(df)

@@ -94,10 +94,11 @@ def test_odd_rows(odd, monkeypatch):
     assert sum(v[1] for v in got[None]) == sum(v[1] for v in want[None])
 
 
-def test_small_blocks(odd, monkeypatch):
+def test_many_parts_of_blocks(odd, monkeypatch):
     rows, df = odd
-    blocks = [repeats.pack_block(df.where("doc_id < 100").toArrow())]
-    assert repeats.block_table(blocks[0]).num_rows == 60
+    monkeypatch.setattr(repeats, "MEET_BLOCKS", 2)
+    got, want = collected(digest(sd.suffix_dedup(df.repartition(9)))), brute(rows)
+    assert {k: v for k, v in got.items() if k is not None} == {k: v for k, v in want.items() if k is not None}
 
 
 def test_texts_stay_whole_characters(odd):
