@@ -49,6 +49,19 @@ def op4_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompression_dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 18, 1))) AS s FROM d),
+k AS (SELECT doc_id, s, array_to_string(list_slice(ws, s, s + 19), ' ') AS words FROM w),
+f AS (SELECT doc_id, s, row_number() OVER (PARTITION BY words ORDER BY doc_id, s) AS nth FROM k),
+g AS (SELECT DISTINCT doc_id, s + i AS pos FROM f, range(0, 20) t(i) WHERE nth > 1),
+x AS (SELECT doc_id, generate_subscripts(ws, 1) AS pos, unnest(ws) AS word FROM d),
+y AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS kept, count(*) AS n FROM x ANTI JOIN g USING (doc_id, pos) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN y USING (doc_id)
+"""
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_counts(docs, public_tokenizers.path(TOKENIZER))
@@ -97,6 +110,23 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(docs).select("doc_id", "n_bytes", "n_removed", (F.size("spans") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP10_SQL = r"""
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, h, unnest(range(0, greatest(len(h) // 2 - 99, 0))) AS s FROM b),
+k AS (SELECT doc_id, s, md5(substr(h, 2 * s + 1, 200)) AS piece FROM w),
+f AS (SELECT doc_id, s, row_number() OVER (PARTITION BY piece ORDER BY doc_id, s) AS nth FROM k),
+r AS (SELECT doc_id, s, CASE WHEN s > lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 1 ELSE 0 END AS new FROM f WHERE nth > 1),
+i AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS island FROM r),
+j AS (SELECT doc_id, min(s) AS a, max(s) + 100 AS e FROM i GROUP BY doc_id, island),
+p AS (SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 0) AS low, a AS top FROM j
+  UNION ALL SELECT doc_id, coalesce(max(e), 0) AS low, any_value(len(h) // 2) AS top FROM b LEFT JOIN j USING (doc_id) GROUP BY doc_id),
+y AS (SELECT doc_id, string_agg(substr(h, 2 * low + 1, 2 * (top - low)), '' ORDER BY low) AS kept FROM p JOIN b USING (doc_id) GROUP BY doc_id),
+c AS (SELECT doc_id, CAST(sum(e - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM j GROUP BY doc_id)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM b JOIN y USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_sharding": op2_sharding,
@@ -111,4 +141,4 @@ QUERIES = {
 }
 
 #: Queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {"op8_vector_search": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_recompression_dedup": OP4_SQL, "op8_vector_search": OP8_SQL, "op10_suffix_dedup": OP10_SQL}
