@@ -84,6 +84,13 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def shielded(df: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df with its columns of these names called otherwise, and the way back to df's columns from a later table."""
+    other = {c: c + "_" * (1 + max(map(len, df.columns))) for c in df.columns if c in names}
+    away = df.select(*[quoted(c).alias(other.get(c, c)) for c in df.columns])
+    return away, lambda later: later.select(*[quoted(other.get(c, c)).alias(c) for c in df.columns])
+
+
 def texts_of(array: pa.Array) -> list[str]:
     return ["" if x is None else x for x in array.to_pylist()]
 

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import quoted, write_table
+from pulsegrid.llm.common import shielded, write_table
 
 MARGINS = ("source", "lang", "topic")
 
@@ -39,6 +39,9 @@ class Mix:
     seed: int = 2024
 
 
+#: Columns that mixed() uses.
+NAMES = ("_topic", "_tokens", "_weight", "_probability", "_kept", "_cell", "_draw")
+
 #: Cells up to which raking is done in one place: their rows are a few MB.
 CELLS_HERE = 100_000
 
@@ -178,7 +181,7 @@ def draw(doc_id: Column, text: Column, seed: int) -> Column:
 
 
 def mixed(docs: DataFrame, mix: Mix = MIX) -> DataFrame:
-    """Every row of docs with _topic, _tokens, _weight, _probability and _kept, its own columns unchanged.
+    """Every row of docs with _topic, _tokens, _weight, _probability and _kept; its own columns of other names are unchanged.
 
     docs has doc_id, text, source and lang. Null sources and languages are categories of their own; null and
     empty texts have topic "empty" and no tokens, and as they weigh nothing in any margin they are kept with
@@ -186,7 +189,7 @@ def mixed(docs: DataFrame, mix: Mix = MIX) -> DataFrame:
     gives an empty table. Only sums come to the driver; the table of cells is broadcast if it
     was counted to be CELLS_HERE rows at most, and else meets the documents by a sorted join with skewed sources split.
     """
-    work = docs.select("*", topic(F.col("text")).alias("_topic"), tokens(F.col("text")).alias("_tokens"))
+    work = docs.drop(*NAMES).select("*", topic(F.col("text")).alias("_topic"), tokens(F.col("text")).alias("_tokens"))
     narrow = work.select("source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"))
     cells = calibrate(rake(cells_of(narrow), mix), mix.budget)
     few = cells.count() <= CELLS_HERE
@@ -202,4 +205,5 @@ def mixed(docs: DataFrame, mix: Mix = MIX) -> DataFrame:
 
 def sample_mix(docs: DataFrame, mix: Mix = MIX) -> DataFrame:
     """The rows of docs that the mix keeps, whole and unchanged."""
-    return mixed(docs, mix).where("_kept").select(*[quoted(c) for c in docs.columns])
+    away, back = shielded(docs, NAMES)
+    return back(mixed(away, mix).where("_kept"))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsegrid.llm.common import add_columns, tune, write_table
+from pulsegrid.llm.common import add_columns, shielded, tune, write_table
 
 FEATURES = (
     "log_bytes", "upper", "lower", "digit", "space", "comma_stop", "mark", "symbol", "bar", "high", "entropy", "word_length", "longest_word",
@@ -234,5 +234,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> D
     """The rows of docs, whole and unchanged, that the classifier does not reject (score 0.5 or more)."""
     table = write_table(add_features(docs.select("doc_id", "text")).select("doc_id", "features"), "features")
     model = fit_quality(table, labels, fit_rows)
-    scored = add_scores(add_features(docs, out_col="_features"), model, "_features", "_score")
-    return scored.where(F.col("_score") >= 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])
+    away, back = shielded(docs, ("_features", "_score"))
+    scored = add_scores(add_features(away, out_col="_features"), model, "_features", "_score")
+    return back(scored.where(F.col("_score") >= 0.5))

@@ -79,6 +79,12 @@ def test_nulls_repeats_and_clashing_columns(odd):
     assert kept.columns == odd.columns and 60 < kept.count() < 240
 
 
+def test_columns_of_the_names_in_use(odd):
+    clash = odd.where("doc_id < 50").withColumn("_tokens", F.lit("mine")).withColumn("_kept", F.lit(7))
+    kept = mixing.sample_mix(clash)
+    assert kept.columns == clash.columns and {(r._tokens, r._kept) for r in kept.collect()} == {("mine", 7)}
+
+
 def test_empty_table(odd):
     assert mixing.mixed(odd.limit(0)).count() == 0
     assert mixing.sample_mix(odd.where("text = ''")).count() in (0, 2)

@@ -55,7 +55,9 @@ def test_nulls_repeats_and_clashing_columns(spark, small):
     out = quality.quality_scores(docs, labels).collect()
     assert len(out) == 64 and all(0 <= r.score <= 1 for r in out)
     assert all(r.predicted == r.doc_id % 2 for r in out if r.doc_id is not None and r.doc_id < 60)
+    docs = docs.withColumn("_score", F.lit("mine"))
     kept = quality.keep_good(docs, labels)
+    assert {r._score for r in kept.collect()} == {"mine"}
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= set(range(1, 60, 2))
     assert not {r.doc_id for r in kept.collect()} & set(range(0, 60, 2))
 
