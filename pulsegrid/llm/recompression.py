@@ -13,10 +13,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsegrid.llm.common import add_columns, quoted
+from pulsegrid.llm.common import add_columns, shielded
 from pulsegrid.llm.hashing import BASE, GOLDEN, INVERSE, mix, powers, words_of
 from pulsegrid.llm.repeats import Anchors, Contexts, Kind, cut_repeats, flat, runs_in
 
@@ -176,14 +175,14 @@ def recompression_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def dedup_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs with repeated runs of words taken out; a text that loses none stays as it is, null too."""
-    found = recompression_dedup(docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("row"), quoted(id_col).alias("_id"), quoted(text_col).alias("_text")), "_id", "_text")
+    away, back = shielded(docs, tuple(f.name for f in ADDED))
+    found = recompression_dedup(away, id_col, text_col)
 
     def make():
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
-            rows = zip(batch.column("_text").to_pylist(), batch.column("kept").to_pylist(), batch.column("n_removed").to_pylist())
+            rows = zip(batch.column(text_col).to_pylist(), batch.column("kept").to_pylist(), batch.column("n_removed").to_pylist())
             return [pa.array([k.decode() if n else t for t, k, n in rows], pa.string())]
 
         return work
 
-    cut = add_columns(found.select("row", "_text", "kept", "n_removed"), ["_text", "kept", "n_removed"], [T.StructField("_text", T.StringType())], make)
-    return cut.select(*[F.col("_text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
+    return back(add_columns(found, [text_col, "kept", "n_removed"], [T.StructField(text_col, T.StringType())], make))

@@ -12,10 +12,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsegrid.llm.common import add_columns, quoted
+from pulsegrid.llm.common import add_columns, shielded
 from pulsegrid.llm.hashing import INVERSE, mix, powers, prefix_hashes
 from pulsegrid.llm.repeats import Anchors, Contexts, Kind, cut_repeats, flat, runs_in, runs_of
 
@@ -227,15 +226,14 @@ def whole_characters(text: bytes, spans: list[int]) -> str:
 
 def dedup_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs with repeated substrings taken out of the texts; null texts stay null."""
-    plain = docs.select(*[quoted(c) for c in docs.columns])
-    found = suffix_dedup(plain.select(F.struct(*[quoted(c) for c in docs.columns]).alias("row"), quoted(id_col).alias("_id"), quoted(text_col).alias("_text")), "_id", "_text")
+    away, back = shielded(docs, tuple(f.name for f in ADDED))
+    found = suffix_dedup(away, id_col, text_col).drop("kept")
 
     def make():
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
-            texts, spans = batch.column("_text").to_pylist(), batch.column("spans").to_pylist()
+            texts, spans = batch.column(text_col).to_pylist(), batch.column("spans").to_pylist()
             return [pa.array([t if t is None or not s else whole_characters(t.encode(), s) for t, s in zip(texts, spans)], pa.string())]
 
         return work
 
-    cut = add_columns(found.select("row", "_text", "spans"), ["_text", "spans"], [T.StructField("_text", T.StringType())], make)
-    return cut.select(*[F.col("_text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
+    return back(add_columns(found, [text_col, "spans"], [T.StructField(text_col, T.StringType())], make))
