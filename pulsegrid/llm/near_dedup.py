@@ -11,6 +11,7 @@ a slot with the probability of their weighted Jaccard similarity.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -100,18 +101,19 @@ def overlap(a: bytes, b: bytes) -> float:
     return both / whole if whole else 1.0
 
 
-def forests(sig: np.ndarray, likely: float) -> list[tuple[int, int]]:
-    """Pairs of members worth verifying: over the likely pairs, two edge-disjoint forests of greatest agreement, and
-    a star around the member that agrees most with all others."""
+def forests(sig: np.ndarray, likely: float) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs of members to verify first: over the likely pairs, two edge-disjoint forests of greatest agreement, and
+    a star around the member that agrees most with all others; and whether likely pairs are left."""
     n = len(sig)
     if n == 2:
-        return [(0, 1)] if (sig[0] == sig[1]).mean() >= likely else []
+        return [(0, 1)] if (sig[0] == sig[1]).mean() >= likely else [], False
     equal = np.zeros((n, n), np.int16)
     for k in range(sig.shape[1]):
         equal += sig[:, k][:, None] == sig[:, k][None, :]
     a, b = np.nonzero(np.triu(equal >= likely * sig.shape[1], 1))
     order = np.argsort(-equal[a, b], kind="stable")
     edges, centre = list(zip(a[order].tolist(), b[order].tolist())), int(equal.sum(1, dtype=np.int64).argmax())
+    likely_pairs = len(edges)
     out = [(i, j) for i, j in edges if centre in (i, j)]
     for _ in range(2):
         root, rest = list(range(n)), []
@@ -129,7 +131,8 @@ def forests(sig: np.ndarray, likely: float) -> list[tuple[int, int]]:
                 root[max(x, y)] = min(x, y)
                 out.append((i, j))
         edges = rest
-    return list(dict.fromkeys(out))
+    out = list(dict.fromkeys(out))
+    return out, len(out) < likely_pairs
 
 
 PAIRS: Fields = {"a": pa.binary(), "b": pa.binary(), "bucket": pa.int64(), "equal": pa.int32()}
@@ -137,7 +140,8 @@ PAIRS: Fields = {"a": pa.binary(), "b": pa.binary(), "bucket": pa.int64(), "equa
 
 def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over rows (bucket, part, parts, key, sig) sorted by bucket, part and key: likely pairs (a, b), and of each
-    part of a divided bucket the member nearest to the part's most frequent slot values (a, null)."""
+    part of a divided bucket the member nearest to the part's most frequent slot values (a, null); and the buckets
+    (null, null) in whose parts likely pairs are left."""
 
     def groups(table: pa.Table) -> Iterator[list]:
         bucket, part, parts = (table.column(c).to_numpy() for c in ("bucket", "part", "parts"))
@@ -145,9 +149,12 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(keys), -1)
         cut = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1])])
         for lo, hi in zip(cut.tolist(), np.r_[cut[1:], len(keys)].tolist()):
-            for i, j in forests(sig[lo:hi], LIKELY) if hi - lo > 1 else []:
+            first, more = forests(sig[lo:hi], LIKELY) if hi - lo > 1 else ([], False)
+            for i, j in first:
                 x, y = sorted((keys[lo + i], keys[lo + j]))
                 yield [x, y, None, None]
+            if more:
+                yield [None, None, int(bucket[lo]), None]
             if parts[lo] > 1:
                 usual = np.array([np.bincount(c, minlength=256).argmax() for c in sig[lo:hi].T])
                 near = (sig[lo:hi] == usual).sum(1)
@@ -169,6 +176,111 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of(list(groups(pa.Table.from_batches(held))), PAIRS)
 
 
+def groups_of(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
+    """The rows that agree in the columns named, group by group, from batches that are sorted by them."""
+    held, last = [], None
+    for batch in batches:
+        keys, start = list(zip(*(batch.column(c).to_pylist() for c in names))), 0
+        for k, key in enumerate(keys):
+            if key != last:
+                if k > start:
+                    held.append(batch.slice(start, k - start))
+                if held:
+                    yield pa.Table.from_batches(held)
+                held, start, last = [], k, key
+        if len(keys) > start:
+            held.append(batch.slice(start))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def open_pairs(group: pa.Table) -> tuple[list[int], list[int], list[int]]:
+    """Ends of the likely pairs of a group (bucket, left, right, key, root, sig, bands) whose roots differ, most equal
+    first, and a number for each row's root. Of the buckets that two members share, only the first band's gives the pair."""
+    n, roots = group.num_rows, {}
+    root = np.array([roots.setdefault(r, len(roots)) for r in group.column("root").to_pylist()])
+    sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(n, -1)
+    bands = group.column("bands").combine_chunks().flatten().to_numpy().reshape(n, -1)
+    bucket = group.column("bucket")[0].as_py()
+    left, right = (np.flatnonzero(group.column(c).to_numpy()) for c in ("left", "right"))
+    if len(left) * len(right) <= 4096:
+        equal = (sig[left][:, None] == sig[right][None]).sum(2)
+    else:
+        equal = np.zeros((len(left), len(right)), np.int16)
+        for k in range(sig.shape[1]):
+            equal += sig[left, k][:, None] == sig[right, k][None, :]
+    apart = (equal >= LIKELY * sig.shape[1]) & (root[left][:, None] != root[right][None, :])
+    if len(left) == len(right) == n:
+        apart = np.triu(apart, 1)
+    i, j = np.nonzero(apart)
+    order = np.argsort(-equal[i, j], kind="stable")
+    i, j = left[i[order]], right[j[order]]
+    early, here = np.zeros(len(i), bool), np.zeros(len(i), bool)
+    for k in range(bands.shape[1]):
+        same = ~early & (bands[i, k] == bands[j, k])
+        here |= same & (bands[i, k] == bucket)
+        early |= same
+    return i[here].tolist(), j[here].tolist(), root.tolist()
+
+
+GROUP = ["bucket", "lo", "hi"]
+MEMBERS: Fields = {"bucket": pa.int64(), "key": pa.binary(), "root": pa.binary()}
+LINKS: Fields = {"a": pa.binary(), "b": pa.binary()}
+
+
+def in_batches(rows: Iterator[list], fields: Fields) -> Iterator[pa.RecordBatch]:
+    while some := list(islice(rows, 4096)):
+        yield batch_of(some, fields)
+
+
+def unjoined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of the groups that have an open pair there."""
+
+    def rows() -> Iterator[list]:
+        for group in groups_of(batches, GROUP):
+            i, j, _ = open_pairs(group)
+            for row in group.select(list(MEMBERS)).take(pa.array(sorted({*i, *j}), pa.int64())).to_pylist():
+                yield list(row.values())
+
+    return in_batches(rows(), MEMBERS)
+
+
+def verify_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) between the roots of the groups' open pairs that have the overlap; a pair that earlier ones of its
+    group have joined is not looked at."""
+
+    def rows() -> Iterator[list]:
+        for group in groups_of(batches, GROUP):
+            i, j, root = open_pairs(group)
+            names, bags = group.column("root").to_pylist(), group.column("bag").to_pylist() if i else []
+            up = list(range(len(names)))
+
+            def find(x: int) -> int:
+                while up[x] != x:
+                    up[x] = x = up[up[x]]
+                return x
+
+            for a, b in zip(i, j):
+                x, y = find(root[a]), find(root[b])
+                if x != y and overlap(bags[a], bags[b]) >= SIMILARITY:
+                    up[max(x, y)] = min(x, y)
+                    yield [names[a], names[b]]
+
+    return in_batches(rows(), LINKS)
+
+
+def dealt_open(members: DataFrame) -> DataFrame:
+    """members (bucket, part, key, root) of the buckets with several roots, each in the group of its part."""
+    apart = members.groupBy("bucket").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b").select("bucket")
+    yes = F.lit(True)
+    return members.join(apart, "bucket").select("bucket", F.col("part").alias("lo"), F.col("part").alias("hi"), yes.alias("left"), yes.alias("right"), "key", "root")
+
+
+def met_open(dealt: DataFrame, looks: DataFrame) -> DataFrame:
+    """Groups for open_pairs, each whole and in turn, with what looks has of every key."""
+    return dealt.join(looks, "key").repartition(*GROUP).sortWithinPartitions(*GROUP, "key")
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, key (16 bytes that the text decides) and class_id of every row of docs.
 
@@ -179,8 +291,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     gives an empty table; other columns are ignored.
 
     Equal texts become one before anything is compared. Members of a bucket are compared MEET at a time, by
-    signature, and give a number of pairs in proportion to the members; members of different parts of a bucket
+    signature, and first give a number of pairs in proportion to the members; members of different parts of a bucket
     meet through the bucket's most typical member, and in other bands. Every pair is verified on whole multisets.
+    Then all likely pairs of a bucket's part that those links have not joined are verified where the part's
+    multisets meet.
     """
     spark = docs.sparkSession
     tune(spark)
@@ -209,15 +323,11 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     members = write_table(members, "members")
     dealt = members.join(nodes.select("key", "sig"), "key").repartition("bucket", "part").sortWithinPartitions("bucket", "part", "key")
     met = write_table(dealt.select("bucket", "part", "parts", "key", "sig").mapInArrow(meet, ddl(PAIRS)), "pairs")
-    typical = met.where("b is null").groupBy("bucket").agg(F.max_by("a", F.struct("equal", "a")).alias("a"))
+    typical = met.where("b is null and a is not null").groupBy("bucket").agg(F.max_by("a", F.struct("equal", "a")).alias("a"))
     stars = members.where("parts > 1").join(typical, "bucket").select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b"))
     pairs = write_table(met.where("b is not null").select("a", "b").unionAll(stars.where("a <> b")).distinct(), "pairs")
     free_shuffles(spark)
 
-    wanted = pairs.select(F.col("a").alias("key")).unionAll(pairs.select(F.col("b").alias("key"))).distinct()
-    wanted = nodes.select("key", F.col("id").alias("least_id")).join(wanted, "key")
-    found = source.join(wanted.withColumnRenamed("key", "node"), (F.col("key") == F.col("node")) & F.col("id").eqNullSafe(F.col("least_id"))).select("key", "text")
-
     def make_bags():
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
@@ -225,8 +335,13 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         return work
 
-    bags = add_columns(found, ["text"], [T.StructField("bag", T.BinaryType(), False)], make_bags).select("key", "bag")
-    bags = write_table(bags.groupBy("key").agg(F.any_value("bag").alias("bag")), "bags")
+    def bags_of(keys: DataFrame) -> DataFrame:
+        wanted = nodes.select("key", F.col("id").alias("least_id")).join(keys, "key")
+        found = source.join(wanted.withColumnRenamed("key", "node"), (F.col("key") == F.col("node")) & F.col("id").eqNullSafe(F.col("least_id"))).select("key", "text")
+        bags = add_columns(found, ["text"], [T.StructField("bag", T.BinaryType(), False)], make_bags).select("key", "bag")
+        return write_table(bags.groupBy("key").agg(F.any_value("bag").alias("bag")), "bags")
+
+    bags = bags_of(pairs.select(F.col("a").alias("key")).unionAll(pairs.select(F.col("b").alias("key"))).distinct())
     free_shuffles(spark)
     left, right = bags.select(F.col("key").alias("a"), F.col("bag").alias("bag_a")), bags.select(F.col("key").alias("b"), F.col("bag").alias("bag_b"))
 
@@ -238,7 +353,21 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links = pairs.join(left, "a").join(right, "b").mapInArrow(verify, "a binary, b binary")
     roots = components(links)
     free_shuffles(spark)
-    named = nodes.select("key", "id").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    roots = roots.withColumnRenamed("node", "key")
+    rooted = lambda table: table.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    named = rooted(nodes.select("key", "id"))
+
+    left_open = met.where("a is null").select("bucket").distinct()
+    again = dealt_open(rooted(members.join(left_open, "bucket").select("bucket", "part", "key")))
+    looks = nodes.select("key", "sig", "bands")
+    unmet = write_table(met_open(again, looks).mapInArrow(unjoined, ddl(MEMBERS)).distinct(), "unjoined")
+    free_shuffles(spark)
+    if unmet.head(1):
+        again = dealt_open(unmet.join(members.select("bucket", "part", "key"), ["bucket", "key"]))
+        joined = write_table(met_open(again, looks.join(bags, "key")).mapInArrow(verify_open, ddl(LINKS)).distinct(), "links")
+        further = components(joined).select(F.col("node").alias("root"), F.col("root").alias("_further"))
+        named = named.join(further, "root", "left").withColumn("root", F.coalesce("_further", "root")).drop("_further")
+        free_shuffles(spark)
     classes = named.join(named.groupBy("root").agg(F.min("id").alias("class_id")), "root").select("key", "class_id")
     return rows.select("id", "key").join(classes, "key").select(F.col("id").alias(id_col), "key", "class_id")
 

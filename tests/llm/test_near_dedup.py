@@ -74,3 +74,25 @@ def test_keep_one(odd):
 
 def test_empty_table(odd):
     assert near_dedup.near_classes(odd[1].limit(0)).count() == 0 and near_dedup.keep_one(odd[1].limit(0)).count() == 0
+
+
+@pytest.fixture(scope="module")
+def template(spark):
+    """Pairs just over the similarity, in a group of texts that are all just under it to each other."""
+    rng = np.random.default_rng(8)
+    base, rows = ["t%d" % i for i in range(2000)], []
+    for i in range(30):
+        places = rng.choice(np.arange(5, 1990, 5), 47, replace=False)
+        for j in range(2):
+            w = list(base)
+            for k in np.r_[places[:3], places[3 + 22 * j : 25 + 22 * j]]:
+                w[k] = "both%d_%d" % (i, k) if k in places[:3] else "own%d_%d_%d" % (i, j, k)
+            rows.append((2 * i + j, " ".join(w)))
+    return rows, spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+
+
+def test_pairs_over_the_similarity_in_a_template_group(template):
+    rows, df = template
+    want = brute_classes(rows)
+    assert len({c for _, c in want}) == 30
+    assert sorted(((r.doc_id, r.class_id) for r in near_dedup.near_classes(df).collect()), key=str) == want
