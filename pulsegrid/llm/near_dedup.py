@@ -30,6 +30,8 @@ SLOTS = BANDS * ROWS
 #: Members of a bucket that are compared at a time, and the share of equal slots from which a pair is verified:
 #: a pair at the similarity falls below it with a probability under 1e-5.
 MEET, LIKELY = 512, 0.62
+#: Bytes of packed multisets that are meant for one part, where they meet.
+MEET_BYTES = 16 << 20
 
 
 def uniform(x: np.ndarray) -> np.ndarray:
@@ -140,8 +142,8 @@ PAIRS: Fields = {"a": pa.binary(), "b": pa.binary(), "bucket": pa.int64(), "equa
 
 def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over rows (bucket, part, parts, key, sig) sorted by bucket, part and key: likely pairs (a, b), and of each
-    part of a divided bucket the member nearest to the part's most frequent slot values (a, null); and the buckets
-    (null, null) in whose parts likely pairs are left."""
+    part of a divided bucket the member nearest to the part's most frequent slot values (a, null); and (null, null) of
+    the buckets that are divided or in which likely pairs are left."""
 
     def groups(table: pa.Table) -> Iterator[list]:
         bucket, part, parts = (table.column(c).to_numpy() for c in ("bucket", "part", "parts"))
@@ -153,7 +155,7 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i, j in first:
                 x, y = sorted((keys[lo + i], keys[lo + j]))
                 yield [x, y, None, None]
-            if more:
+            if more or parts[lo] > 1:
                 yield [None, None, int(bucket[lo]), None]
             if parts[lo] > 1:
                 usual = np.array([np.bincount(c, minlength=256).argmax() for c in sig[lo:hi].T])
@@ -270,10 +272,25 @@ def verify_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def dealt_open(members: DataFrame) -> DataFrame:
-    """members (bucket, part, key, root) of the buckets with several roots, each in the group of its part."""
-    apart = members.groupBy("bucket").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b").select("bucket")
-    yes = F.lit(True)
-    return members.join(apart, "bucket").select("bucket", F.col("part").alias("lo"), F.col("part").alias("hi"), yes.alias("left"), yes.alias("right"), "key", "root")
+    """members (bucket, key, root, size) of the buckets with several roots, in a group for each two parts that meet.
+
+    A root with more members than one part holds has parts of its own, which do not meet each other; the other roots
+    are dealt whole. Parts have about MEET members or MEET_BYTES.
+    """
+    parts = lambda n, size: F.ceil(F.greatest(F.col(n) / MEET, F.col(size) / MEET_BYTES)).cast("int")
+    roots = members.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_size")).withColumn("_own", parts("_n", "_size"))
+    small = F.col("_own") == 1
+    whole = roots.groupBy("bucket").agg(F.count(F.lit(1)).alias("_roots"), F.sum(F.when(small, F.col("_n"))).alias("_n"), F.sum(F.when(small, F.col("_size"))).alias("_size"))
+    whole = whole.where("_roots > 1").select("bucket", F.coalesce(parts("_n", "_size"), F.lit(1)).alias("_shared"))
+    both = roots.select("bucket", "root", "_own").join(whole, "bucket")
+    home = F.when(F.col("_own") > 1, F.hex("root")).otherwise("")
+    part = F.when(F.col("_own") > 1, F.pmod(F.xxhash64("key"), F.col("_own"))).otherwise(F.pmod(F.xxhash64("root"), F.col("_shared")))
+    dealt = members.select("bucket", "key", "root").join(both, ["bucket", "root"]).select("bucket", "key", "root", home.alias("_home"), F.concat_ws(" ", home, part).alias("_part"))
+    dealt = write_table(dealt, "open")
+    others = dealt.select("bucket", F.col("_home").alias("_home2"), F.col("_part").alias("_part2")).distinct()
+    meeting = dealt.join(others, "bucket").where("_home = '' or _home <> _home2")
+    lo, hi = F.least("_part", "_part2"), F.greatest("_part", "_part2")
+    return meeting.select("bucket", lo.alias("lo"), hi.alias("hi"), (F.col("_part") == lo).alias("left"), (F.col("_part") == hi).alias("right"), "key", "root")
 
 
 def met_open(dealt: DataFrame, looks: DataFrame) -> DataFrame:
@@ -293,8 +310,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Equal texts become one before anything is compared. Members of a bucket are compared MEET at a time, by
     signature, and first give a number of pairs in proportion to the members; members of different parts of a bucket
     meet through the bucket's most typical member, and in other bands. Every pair is verified on whole multisets.
-    Then all likely pairs of a bucket's part that those links have not joined are verified where the part's
-    multisets meet.
+    Then, in each bucket where those links leave several components, every part meets every other and itself, and
+    all likely pairs between components are verified where the parts' multisets meet.
     """
     spark = docs.sparkSession
     tune(spark)
@@ -358,12 +375,15 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     named = rooted(nodes.select("key", "id"))
 
     left_open = met.where("a is null").select("bucket").distinct()
-    again = dealt_open(rooted(members.join(left_open, "bucket").select("bucket", "part", "key")))
+    again = dealt_open(rooted(members.join(left_open, "bucket").select("bucket", "key", F.lit(0).alias("size"))))
     looks = nodes.select("key", "sig", "bands")
     unmet = write_table(met_open(again, looks).mapInArrow(unjoined, ddl(MEMBERS)).distinct(), "unjoined")
     free_shuffles(spark)
     if unmet.head(1):
-        again = dealt_open(unmet.join(members.select("bucket", "part", "key"), ["bucket", "key"]))
+        rest = unmet.select("key").distinct().join(bags, "key", "left_anti")
+        if rest.head(1):
+            bags = bags.unionAll(bags_of(rest))
+        again = dealt_open(unmet.join(bags.select("key", F.length("bag").alias("size")), "key"))
         joined = write_table(met_open(again, looks.join(bags, "key")).mapInArrow(verify_open, ddl(LINKS)).distinct(), "links")
         further = components(joined).select(F.col("node").alias("root"), F.col("root").alias("_further"))
         named = named.join(further, "root", "left").withColumn("root", F.coalesce("_further", "root")).drop("_further")

@@ -96,3 +96,9 @@ def test_pairs_over_the_similarity_in_a_template_group(template):
     want = brute_classes(rows)
     assert len({c for _, c in want}) == 30
     assert sorted(((r.doc_id, r.class_id) for r in near_dedup.near_classes(df).collect()), key=str) == want
+
+
+def test_pairs_over_the_similarity_across_the_parts_of_a_bucket(template, monkeypatch):
+    monkeypatch.setattr(near_dedup, "MEET", 8)
+    rows, df = template
+    assert sorted(((r.doc_id, r.class_id) for r in near_dedup.near_classes(df).collect()), key=str) == brute_classes(rows)
