@@ -36,6 +36,13 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def without(table: DataFrame, names: list[str]) -> DataFrame:
+    """A written table without these columns, still known as written."""
+    rest = table.drop(*names)
+    rest.scratch_path = table.scratch_path
+    return rest
+
+
 def drop_table(table: DataFrame) -> None:
     """Deletes what write_table wrote, once all that was computed from it has been written itself."""
     spark = table.sparkSession

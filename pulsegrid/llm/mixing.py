@@ -10,16 +10,15 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pulsegrid.llm.common import shielded, write_table
+from pulsegrid.llm.common import add_columns, drop_table, shielded, tune, without, write_table
 
 MARGINS = ("source", "lang", "topic")
 
-#: Words, as everywhere in these operators: runs of anything but ASCII white space.
-WORD = "[^\\x20\\x09-\\x0D]+"
-
 
 @dataclass(frozen=True)
 class Mix:
@@ -42,32 +41,42 @@ class Mix:
 #: Columns that mixed() uses.
 NAMES = ("_topic", "_tokens", "_weight", "_probability", "_kept", "_cell", "_draw")
 
-#: Cells up to which raking is done in one place: their rows are a few MB.
-CELLS_HERE = 100_000
-
 #: The production mix: sources flattened strongly, languages and topics mildly.
 MIX = Mix(powers={"source": 0.5, "lang": 0.7, "topic": 0.7})
 
 
-def tokens(text: Column) -> Column:
-    """Words of a text; null counts none."""
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+#: Topics by their order of precedence after "empty", the characters that make them, and the share of
+#: a text's characters above which they hold. A text that none fits is prose.
+TOPICS = (("table", b"|", 0.02), ("numeric", b"0123456789", 0.03), ("symbols", b"#$%&*+<=>@^_~{}[]!", 0.05), ("lines", b"\n", 0.012))
+_marks = np.zeros((256, len(TOPICS) + 1))
+for _k, (_, _bytes, _) in enumerate(TOPICS):
+    _marks[list(_bytes), _k] = 1
+_marks[128:192, -1] = 1  # bytes that go on with a character
+
+
+def topics_and_tokens(texts: list[bytes]) -> tuple[list[str], list[int]]:
+    """What each text is about, by its form, from one histogram of its bytes; and its words."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    counts = np.stack([np.bincount(np.frombuffer(t, np.uint8), minlength=256) for t in texts]) @ _marks
+    share = counts[:, :-1] / np.maximum(sizes - counts[:, -1], 1)[:, None]
+    fits = np.c_[sizes == 0, share > [most for _, _, most in TOPICS], np.ones(len(texts), bool)]
+    names = ["empty", *[name for name, _, _ in TOPICS], "prose"]
+    return [names[k] for k in fits.argmax(1).tolist()], [len(t.split()) for t in texts]
+
+
+def described(docs: DataFrame, seed: int) -> DataFrame:
+    """docs with _topic, _tokens and _draw, in one narrow pass over the texts."""
+    tune(docs.sparkSession)
 
+    def make():
+        def work(batch: pa.RecordBatch) -> list[pa.Array]:
+            names, words = topics_and_tokens([x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()])
+            return [pa.array(names, pa.string()), pa.array(words, pa.int64())]
 
-def topic(text: Column) -> Column:
-    """What a text is about, by its form; the first that holds of: empty, table, numeric, symbols, lines, prose."""
-    text = F.coalesce(text, F.lit(""))
-    size = F.length(text)
-    without = lambda chars: size - F.length(F.translate(text, chars, ""))
-    share = lambda chars: without(chars) / F.greatest(size, F.lit(1))
-    return (
-        F.when(size == 0, "empty")
-        .when(share("|") > 0.02, "table")
-        .when(share("0123456789") > 0.03, "numeric")
-        .when(share("#$%&*+<=>@^_~{}[]!") > 0.05, "symbols")
-        .when(share("\n") > 0.012, "lines")
-        .otherwise("prose")
-    )
+        return work
+
+    fields = [T.StructField("_topic", T.StringType(), False), T.StructField("_tokens", T.LongType(), False)]
+    return add_columns(docs.drop(*NAMES).withColumn("_draw", draw(F.col("doc_id"), F.col("text"), seed)), ["text"], fields, make)
 
 
 def cells_of(docs: DataFrame) -> DataFrame:
@@ -97,59 +106,32 @@ def same(left: DataFrame, right: DataFrame, margin: str, how: str = "inner") ->
     return left.join(right.withColumnRenamed(margin, "_key"), F.col(margin).eqNullSafe(F.col("_key")), how).drop("_key")
 
 
-def rake_here(cells: DataFrame, targets: dict[str, DataFrame], mix: Mix) -> DataFrame:
-    """rake() over few cells, whose number was checked, as arrays on the driver."""
-    rows = cells.collect()
-    n = np.array([r["tokens"] for r in rows], np.float64)
-    weight, total = (n > 0).astype(np.float64), n.sum()
-    codes, goals = [], []
-    for m in MARGINS:
-        place = {c: i for i, c in enumerate(dict.fromkeys(r[m] for r in rows))}
-        goal = np.full(len(place), np.nan)
-        for c, share in targets[m].collect():
-            goal[place[c]] = share
-        codes.append(np.array([place[r[m]] for r in rows]))
-        goals.append(goal)
-    for _ in range(mix.cycles):
-        off = 0.0
-        for code, goal in zip(codes, goals):
-            share = np.bincount(code, n * weight, len(goal)) / total
-            step = np.divide(goal, share, out=np.ones(len(goal)), where=(share > 0) & ~np.isnan(goal))
-            off = max(off, float(np.nanmax(np.abs(goal - share), initial=0.0)))
-            weight *= step[code]
-        if off < mix.tolerance:
-            break
-    out = [(*r, float(w)) for r, w in zip(rows, weight)]
-    return cells.sparkSession.createDataFrame(out, cells.withColumn("weight", F.lit(0.0)).schema)
-
-
-def rake(cells: DataFrame, mix: Mix = MIX, cells_here: int = CELLS_HERE) -> DataFrame:
+def rake(cells: DataFrame, mix: Mix = MIX) -> DataFrame:
     """The MARGINS, tokens, docs and weight of each cell: the factor of its tokens in the mix, 1 on average.
 
-    cells is one row per cell, as cells_of gives it. Cells without tokens get weight 0. Up to cells_here cells
-    are raked as arrays; more by joins and aggregations, the table of cells being written after each cycle, so
-    that the plan does not grow with the cycles. Both do the same steps.
+    cells is one row per cell, as cells_of gives it. Cells without tokens get weight 0. Every step is a join with the
+    sums of one margin; the table of cells is written after each cycle, so that the plan does not grow with them.
     """
-    cells = write_table(cells, "cells")
-    if cells.count() <= cells_here:
-        return rake_here(cells, {m: target_shares(cells, m, mix) for m in MARGINS}, mix) if cells.head(1) else cells.withColumn("weight", F.lit(0.0))
-    total = F.lit(float(cells.agg(F.sum("tokens")).first()[0] or 0.0))
     fitted = write_table(cells.withColumn("weight", F.when(F.col("tokens") > 0, 1.0).otherwise(0.0)), "cells")
-    targets = {m: write_table(target_shares(fitted, m, mix), "targets") for m in MARGINS}
+    total = float(fitted.agg(F.sum("tokens")).first()[0] or 0.0)
+    if not total:
+        return fitted
+    before, columns = fitted, fitted.columns
+    for m in MARGINS:
+        fitted = same(fitted, target_shares(before, m, mix).withColumnRenamed("target", f"_goal_{m}"), m, "left")
     for _ in range(mix.cycles):
-        worst = []
+        seen = Observation()
         for m in MARGINS:
-            now = fitted.groupBy(m).agg((F.sum(F.col("tokens") * F.col("weight")) / total).alias("_share"))
-            step = same(now, targets[m], m).select(m, F.when(F.col("_share") > 0, F.col("target") / F.col("_share")).otherwise(1.0).alias("_step"), F.abs(F.col("target") - F.col("_share")).alias("_off"))
-            step = same(fitted, step, m, "left")
-            fitted = step.withColumn("weight", F.col("weight") * F.coalesce("_step", F.lit(1.0))).withColumn(f"_off_{m}", F.coalesce("_off", F.lit(0.0))).drop("_step", "_off")
-            worst.append(f"_off_{m}")
-        fitted = write_table(fitted, "cells")
-        off = fitted.agg(F.max(F.greatest(*worst))).first()[0] or 0.0
-        fitted = fitted.drop(*worst)
-        if off < mix.tolerance:
+            sums = fitted.groupBy(m).agg((F.sum(F.col("tokens") * F.col("weight")) / F.lit(total)).alias("_share"))
+            goal, share = F.col(f"_goal_{m}"), F.col("_share")
+            fitted = same(fitted, sums, m).withColumn("weight", F.when((share > 0) & goal.isNotNull(), F.col("weight") * goal / share).otherwise(F.col("weight"))).withColumn(f"_off_{m}", F.coalesce(F.abs(goal - share), F.lit(0.0))).drop("_share")
+        worst = F.greatest(*[F.col(f"_off_{m}") for m in MARGINS])
+        fitted = write_table(fitted.observe(seen, F.max(worst).alias("off")).drop(*[f"_off_{m}" for m in MARGINS]), "cells")
+        drop_table(before)
+        before = fitted
+        if seen.get["off"] < mix.tolerance:
             break
-    return fitted
+    return without(fitted, [c for c in fitted.columns if c not in columns])
 
 
 def calibrate(cells: DataFrame, budget: float) -> DataFrame:
@@ -180,30 +162,49 @@ def draw(doc_id: Column, text: Column, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id, text), 11) / F.lit(float(2**53))
 
 
+def weighed(rows: DataFrame, mix: Mix = MIX) -> DataFrame:
+    """rows of described() with _weight, _probability and _kept; the cells' sums are taken over these very rows."""
+    narrow = rows.select("source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"))
+    fitted = rake(cells_of(narrow), mix)
+    cells = write_table(calibrate(fitted, mix.budget), "cells")
+    drop_table(fitted)
+    key = lambda columns: F.struct(*[F.coalesce(c, F.lit("")).alias(m) for m, c in columns.items()], *[c.isNull().alias(f"no_{m}") for m, c in columns.items()])
+    cells = cells.select(key({m: F.col(m) for m in MARGINS}).alias("_cell"), F.col("weight").alias("_weight"), F.col("probability").alias("_probability"))
+    joined = rows.withColumn("_cell", key({"source": F.col("source"), "lang": F.col("lang"), "topic": F.col("_topic")})).join(cells, "_cell", "left").drop("_cell")
+    chance = F.when(F.col("_tokens") == 0, F.lit(float(mix.budget))).otherwise(F.coalesce("_probability", F.lit(0.0)))
+    return joined.withColumn("_probability", chance).withColumn("_kept", F.col("_draw") < F.col("_probability")).drop("_draw")
+
+
 def mixed(docs: DataFrame, mix: Mix = MIX) -> DataFrame:
-    """Every row of docs with _topic, _tokens, _weight, _probability and _kept; its own columns of other names are unchanged.
+    """Every row of docs but for its text, with _topic, _tokens, _weight, _probability and _kept.
 
     docs has doc_id, text, source and lang. Null sources and languages are categories of their own; null and
     empty texts have topic "empty" and no tokens, and as they weigh nothing in any margin they are kept with
     the budget's probability. Repeated rows share one draw, so all or none of them are kept. An empty table
-    gives an empty table. Only sums come to the driver; the table of cells is broadcast if it
-    was counted to be CELLS_HERE rows at most, and else meets the documents by a sorted join with skewed sources split.
+    gives an empty table. Texts are read once: their topics, tokens and draws are written to the shared folder, from
+    which come both the cells and the answer. Only sums come to the driver; Spark broadcasts the table of cells only by
+    its measured size.
     """
-    work = docs.drop(*NAMES).select("*", topic(F.col("text")).alias("_topic"), tokens(F.col("text")).alias("_tokens"))
-    narrow = work.select("source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"))
-    cells = calibrate(rake(cells_of(narrow), mix), mix.budget)
-    few = cells.count() <= CELLS_HERE
-    cells = cells.select(F.struct(*[F.coalesce(F.col(m), F.lit("")).alias(m) for m in MARGINS], *[F.col(m).isNull().alias(f"no_{m}") for m in MARGINS]).alias("_cell"), F.col("weight").alias("_weight"), F.col("probability").alias("_probability"))
-    keyed = {"source": F.col("source"), "lang": F.col("lang"), "topic": F.col("_topic")}
-    cell = F.struct(*[F.coalesce(c, F.lit("")).alias(m) for m, c in keyed.items()], *[c.isNull().alias(f"no_{m}") for m, c in keyed.items()])
-    work = work.withColumn("_cell", cell).withColumn("_draw", draw(F.col("doc_id"), F.col("text"), mix.seed))
-    joined = work.join(F.broadcast(cells) if few else cells, "_cell", "left").drop("_cell")
-    chance = F.when(F.col("_tokens") == 0, F.lit(float(mix.budget))).otherwise(F.coalesce("_probability", F.lit(0.0)))
-    joined = joined.withColumn("_probability", chance)
-    return joined.withColumn("_kept", F.col("_draw") < F.col("_probability")).drop("_draw")
+    return weighed(write_table(described(docs, mix.seed).drop("text"), "described"), mix)
+
+
+def margin_shares(rows: DataFrame, mix: Mix = MIX) -> DataFrame:
+    """margin, category, target, raked and expected: shares of the tokens that were asked for, that the weights give, and
+    that the sample is expected to have. rows as mixed() gives them.
+
+    A cell's probability ends at 1, so where a target asks for more tokens than there are, expected stays below it.
+    """
+    narrow = rows.select("source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").cast("double").alias("tokens"), (F.col("_tokens") * F.col("_weight")).alias("_w"), (F.col("_tokens") * F.col("_probability")).alias("_p"))
+    cells = write_table(narrow.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens"), F.sum("_w").alias("_w"), F.sum("_p").alias("_p")), "shares")
+    total, out = cells.agg(F.sum("_w").alias("_all_w"), F.sum("_p").alias("_all_p")), None
+    for m in MARGINS:
+        sums = same(cells.groupBy(m).agg(F.sum("_w").alias("_w"), F.sum("_p").alias("_p")), target_shares(cells, m, mix), m).crossJoin(F.broadcast(total))
+        part = sums.select(F.lit(m).alias("margin"), F.col(m).cast("string").alias("category"), "target", (F.col("_w") / F.col("_all_w")).alias("raked"), (F.col("_p") / F.col("_all_p")).alias("expected"))
+        out = part if out is None else out.unionAll(part)
+    return out
 
 
 def sample_mix(docs: DataFrame, mix: Mix = MIX) -> DataFrame:
     """The rows of docs that the mix keeps, whole and unchanged."""
     away, back = shielded(docs, NAMES)
-    return back(mixed(away, mix).where("_kept"))
+    return back(weighed(described(away, mix.seed), mix).where("_kept"))

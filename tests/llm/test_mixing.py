@@ -28,9 +28,7 @@ def test_raking_against_brute_force(spark):
     df = spark.createDataFrame([(*c, n, 1) for c, n in cells.items()], "source string, lang string, topic string, tokens double, docs long")
     mix = Mix(powers={"source": 0.5, "lang": 0.0, "topic": 1.0}, cycles=40)
     got = {(r.source, r.lang, r.topic): r.weight for r in mixing.rake(df, mix).collect()}
-    apart = {(r.source, r.lang, r.topic): r.weight for r in mixing.rake(df, Mix(powers=mix.powers, cycles=5), cells_here=0).collect()}
-    here = {(r.source, r.lang, r.topic): r.weight for r in mixing.rake(df, Mix(powers=mix.powers, cycles=5)).collect()}
-    assert all(abs(apart[c] - here[c]) < 1e-9 for c in cells)
+    few = {(r.source, r.lang, r.topic): r.weight for r in mixing.rake(df, Mix(powers=mix.powers, cycles=1, tolerance=0)).collect()}
     targets = []
     for k, m in enumerate(MARGINS):
         sums = {}
@@ -38,10 +36,25 @@ def test_raking_against_brute_force(spark):
             sums[c[k]] = sums.get(c[k], 0) + n
         powered = {c: n ** mix.powers[m] for c, n in sums.items()}
         targets.append({c: n / sum(powered.values()) for c, n in powered.items()})
-    want = brute_rake(cells, targets, 200)
+    once, want = brute_rake(cells, targets, 1), brute_rake(cells, targets, 200)
+    assert all(abs(few[c] - once[c]) < 1e-9 for c in cells)
     assert all(abs(got[c] - want[c]) < 1e-3 * want[c] for c in cells)
 
 
+def test_topics_and_words():
+    texts = ["", "a|b", "x" * 97 + "123", "x" * 96 + "1234", "é" * 94 + "!" * 6, "é" * 95 + "!" * 5, "line of text\n" * 3, "plain words \u3000 here\x0b\x1c", "a|1#\n"]
+    names, words = mixing.topics_and_tokens([t.encode() for t in texts])
+    assert names == ["empty", "table", "prose", "numeric", "symbols", "prose", "lines", "prose", "table"]
+    assert words == [0, 1, 1, 1, 1, 1, 9, 5, 1]
+
+
+def test_shares_of_the_sample(spark):
+    rows = [(i, "word " * 10, "en", "big" if i % 10 else "small") for i in range(200)]
+    out = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), Mix(powers={"source": 0.0}))
+    got = {(r.margin, r.category): (r.target, r.raked, r.expected) for r in mixing.margin_shares(out, Mix(powers={"source": 0.0})).collect()}
+    assert np.allclose(got["source", "small"], (0.5, 0.5, 0.2)) and np.allclose(got["lang", "en"], (1, 1, 1)) and len(got) == 4
+
+
 def test_given_targets_and_budget(spark):
     df = spark.createDataFrame([("a", "x", "p", 700.0, 1), ("b", "x", "p", 200.0, 1), ("c", "x", "p", 100.0, 1)], "source string, lang string, topic string, tokens double, docs long")
     raked = mixing.rake(df, Mix(targets={"source": {"a": 0.5, "b": 0.5, "z": 3.0}}))
