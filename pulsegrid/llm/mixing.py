@@ -110,26 +110,28 @@ def rake(cells: DataFrame, mix: Mix = MIX) -> DataFrame:
     """The MARGINS, tokens, docs and weight of each cell: the factor of its tokens in the mix, 1 on average.
 
     cells is one row per cell, as cells_of gives it. Cells without tokens get weight 0. Every step is a join with the
-    sums of one margin; the table of cells is written after each cycle, so that the plan does not grow with them.
+    sums of one margin, after which the table of cells is written, so that the plan does not grow with the cycles.
     """
     fitted = write_table(cells.withColumn("weight", F.when(F.col("tokens") > 0, 1.0).otherwise(0.0)), "cells")
     total = float(fitted.agg(F.sum("tokens")).first()[0] or 0.0)
     if not total:
         return fitted
-    before, columns = fitted, fitted.columns
+    first, columns = fitted, fitted.columns
     for m in MARGINS:
-        fitted = same(fitted, target_shares(before, m, mix).withColumnRenamed("target", f"_goal_{m}"), m, "left")
+        fitted = same(fitted, target_shares(first, m, mix).withColumnRenamed("target", f"_goal_{m}"), m, "left")
+    fitted = write_table(fitted, "cells")
+    drop_table(first)
     for _ in range(mix.cycles):
-        seen = Observation()
+        worst = 0.0
         for m in MARGINS:
             sums = fitted.groupBy(m).agg((F.sum(F.col("tokens") * F.col("weight")) / F.lit(total)).alias("_share"))
-            goal, share = F.col(f"_goal_{m}"), F.col("_share")
-            fitted = same(fitted, sums, m).withColumn("weight", F.when((share > 0) & goal.isNotNull(), F.col("weight") * goal / share).otherwise(F.col("weight"))).withColumn(f"_off_{m}", F.coalesce(F.abs(goal - share), F.lit(0.0))).drop("_share")
-        worst = F.greatest(*[F.col(f"_off_{m}") for m in MARGINS])
-        fitted = write_table(fitted.observe(seen, F.max(worst).alias("off")).drop(*[f"_off_{m}" for m in MARGINS]), "cells")
-        drop_table(before)
-        before = fitted
-        if seen.get["off"] < mix.tolerance:
+            goal, share, seen, before = F.col(f"_goal_{m}"), F.col("_share"), Observation(), fitted
+            step = same(fitted, sums, m).observe(seen, F.max(F.abs(goal - share)).alias("off"))
+            weight = F.when((share > 0) & goal.isNotNull(), F.col("weight") * goal / share).otherwise(F.col("weight"))
+            fitted = write_table(step.withColumn("weight", weight).drop("_share"), "cells")
+            drop_table(before)
+            worst = max(worst, seen.get["off"] or 0.0)
+        if worst < mix.tolerance:
             break
     return without(fitted, [c for c in fitted.columns if c not in columns])
 

@@ -85,10 +85,11 @@ def odd(spark):
 
 
 def test_nulls_repeats_and_clashing_columns(odd):
-    rows = mixing.mixed(odd).collect()
+    few = Mix(powers=mixing.MIX.powers, cycles=3)
+    rows = mixing.mixed(odd, few).collect()
     assert len(rows) == 304 and all(r._probability is not None and r._kept is not None for r in rows)
     assert len({r._kept for r in rows if r.doc_id == 400}) == 1 and {r._topic for r in rows if r.doc_id in (None, 400)} == {"empty"}
-    kept = mixing.sample_mix(odd)
+    kept = mixing.sample_mix(odd, few)
     assert kept.columns == odd.columns and 60 < kept.count() < 240
 
 
