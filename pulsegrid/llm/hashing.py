@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,17 +46,44 @@ def prefix_hashes(data: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Bytes of a word that are hashed eight at a time; longer words are few, and each is hashed by itself.
+LONG_WORD = 256
+KEY = np.uint64(0xA0761D6478BD642F)
+_masks = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[start:end]: eight bytes at a time are mixed into what the bytes before them gave.
+
+    Every step is a bijection of the eight bytes that depends on all bits before, so there is no sum or power in which
+    regular words could cancel out.
+    """
+    padded = np.r_[data, np.zeros(8, np.uint8)]
+    eights = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    lengths = ends - starts
+    out = mix(lengths.astype(np.uint64) * GOLDEN ^ KEY)
+    at = np.flatnonzero(lengths <= LONG_WORD)
+    for k in range(0, LONG_WORD, 8):
+        if k:
+            at = at[lengths[at] > k]
+        if not len(at):
+            break
+        out[at] = mix((out[at] ^ (eights[starts[at] + k] & _masks[np.minimum(lengths[at] - k, 8)])) * MIX2 + KEY)
+    for i in np.flatnonzero(lengths > LONG_WORD).tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest()
+        out[i] = int.from_bytes(digest, "little")
+    return out
+
+
 def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, start and end (in b" ".join(texts)) of each word, and the first word of each text and one more."""
     data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     gap = _is_space[data]
     before = np.r_[True, gap[:-1]]
     starts, ends = np.flatnonzero(before & ~gap), np.flatnonzero(gap & ~before)
-    h = prefix_hashes(data)
-    hashes = mix((h[ends] - h[starts]) * powers("down", INVERSE, len(data))[starts] + (ends - starts).astype(np.uint64) * GOLDEN)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     firsts = np.searchsorted(starts, np.r_[0, np.cumsum(lengths)])
-    return hashes, starts, ends, firsts
+    return word_hashes(data, starts, ends), starts, ends, firsts
 
 
 def chunked(texts: list[bytes], size: int = CHUNK) -> Iterator[tuple[int, int]]:

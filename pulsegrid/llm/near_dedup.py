@@ -87,16 +87,20 @@ def signatures(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def packed_bag(texts: list[bytes]) -> list[bytes]:
-    """Each text's multiset: 32-bit run hashes, sorted, then their counts."""
+    """Each text's multiset: 64-bit run hashes, sorted, then their counts."""
     doc, element, count = shingles(texts, WORDS)
     at = np.searchsorted(doc, np.arange(len(texts) + 1))
-    short = (element >> np.uint64(32)).astype("<u4")
-    return [short[a:b].tobytes() + count[a:b].astype("<u4").tobytes() for a, b in zip(at, at[1:])]
+    return [element[a:b].astype("<u8").tobytes() + count[a:b].astype("<u4").tobytes() for a, b in zip(at, at[1:])]
+
+
+def unpacked(bag: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(bag) // 12
+    return np.frombuffer(bag, "<u8", n), np.frombuffer(bag, "<u4", n, 8 * n).astype(np.int64)
 
 
 def overlap(a: bytes, b: bytes) -> float:
     """Weighted Jaccard similarity of two packed multisets."""
-    (ha, ca), (hb, cb) = (np.frombuffer(x, "<u4").reshape(2, -1).astype(np.int64) for x in (a, b))
+    (ha, ca), (hb, cb) = unpacked(a), unpacked(b)
     place = np.minimum(np.searchsorted(hb, ha), max(len(hb) - 1, 0))
     both = int(np.minimum(ca, cb[place])[hb[place] == ha].sum()) if len(hb) and len(ha) else 0
     whole = int(ca.sum() + cb.sum()) - both

@@ -21,6 +21,7 @@ from pulsegrid.llm.repeats import Anchors, Contexts, Kind, cut_repeats, flat, ru
 
 WINDOW, LEVELS = 20, 2
 FAR = 1 << 40
+SPACES = bytes.maketrans(b"\x09\x0a\x0b\x0c\x0d", b"     ")
 
 
 def split_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, tuple]:
@@ -29,6 +30,13 @@ def split_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, tuple]:
     return hashes, firsts, (texts, starts, ends)
 
 
+def exact_words(texts: list[bytes]) -> np.ndarray:
+    """A number for each word, the same for words of the same bytes and for no others, within these texts."""
+    known: dict[bytes, int] = {}
+    words = [known.setdefault(w, len(known)) for t in texts for w in t.translate(SPACES).split(b" ") if w]
+    return np.array(words, np.int64)
+
+
 def send_words(c: Contexts, source: tuple) -> np.ndarray:
     """The text from the first to the last word of each context, with one space after: closer packed than hashes."""
     texts, starts, ends = source
@@ -37,8 +45,8 @@ def send_words(c: Contexts, source: tuple) -> np.ndarray:
 
 
 def receive_words(sent: list[np.ndarray]) -> tuple[np.ndarray, tuple]:
-    units, _, source = split_words([x.tobytes() for x in sent])
-    return units, source
+    texts = [x.tobytes() for x in sent]
+    return exact_words(texts), split_words(texts)[2]
 
 
 def joined(name: np.ndarray, doc: np.ndarray, low: np.ndarray, end: np.ndarray, first: np.ndarray, last: np.ndarray, new: np.ndarray):
@@ -123,7 +131,7 @@ def window_classes(c: Contexts, window: int = WINDOW) -> np.ndarray:
     while len(left):
         key = symbol[left]
         for k in range(window):
-            key = mix(key * GOLDEN + c.units[at[left] + k] + np.uint64(turn))
+            key = mix(key * GOLDEN + c.units[at[left] + k].astype(np.uint64) + np.uint64(turn))
         order = np.argsort(key, kind="stable")
         head = np.r_[True, key[order][1:] != key[order][:-1]]
         number, leader = np.cumsum(head) - 1, left[order[np.flatnonzero(head)]]
@@ -136,7 +144,7 @@ def window_classes(c: Contexts, window: int = WINDOW) -> np.ndarray:
     return out
 
 
-WORDS = Kind(WINDOW, split_words, window_anchors, send_words, receive_words, window_classes)
+WORDS = Kind(WINDOW, split_words, window_anchors, lambda units, source: exact_words(source[0]), send_words, receive_words, window_classes)
 
 ADDED = [
     T.StructField("kept", T.BinaryType(), False), T.StructField("n_words", T.LongType(), False), T.StructField("n_removed", T.LongType(), False), T.StructField("spans", T.ArrayType(T.LongType()), False),
@@ -157,9 +165,6 @@ def cut_words(texts: list[bytes], firsts: np.ndarray, covered: np.ndarray) -> li
     return [kept, np.diff(firsts).tolist(), removed, spans]
 
 
-SPACES = bytes.maketrans(b"\x09\x0a\x0b\x0c\x0d", b"     ")
-
-
 def recompression_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with kept (UTF-8 of the words left, joined by one space), n_words, n_removed and spans (first word and
     end of each removed run of words, in turn).
@@ -168,7 +173,7 @@ def recompression_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     in a row of smaller id or in the same row. Null texts have no words. Rows of equal id are told apart by their
     place in storage, rows of null id come last; repeated rows thus lose all to the first. Texts of under 20 words
     stay whole. Columns of docs with the names of those added are replaced; an empty table gives an empty table.
-    Words are compared by 64-bit hashes.
+    Hashes only bring together what may be equal; words are compared by their bytes.
     """
     return cut_repeats(docs, WORDS, cut_words, ADDED, id_col, text_col)
 

@@ -72,13 +72,14 @@ class Kind:
     """What makes the two operators differ.
 
     split: texts -> (units, first unit of each text and one more, what send needs of the texts); anchors: (units,
-    firsts) -> Anchors; send: (Contexts, what send needs) -> their units as bytes; receive: several such bytes -> (units,
+    firsts) -> Anchors; exact: (units, what send needs) -> units that are equal only if what they stand for is; send: (Contexts, what send needs) -> their units as bytes; receive: several such bytes -> (units,
     what send needs to send them on); classes: Contexts whose hashes each occur more than once, none equal -> class of each window, row by row.
     """
 
     window: int
     split: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, object]]
     anchors: Callable[[np.ndarray, np.ndarray], Anchors]
+    exact: Callable[[np.ndarray, object], np.ndarray]
     send: Callable[[Contexts, object], np.ndarray]
     receive: Callable[[list[np.ndarray]], tuple[np.ndarray, object]]
     classes: Callable[[Contexts], np.ndarray]
@@ -302,7 +303,7 @@ def cut_repeats(docs: DataFrame, kind: Kind, finish: Callable, added: list[T.Str
             h = a.hash & clear
             at = np.flatnonzero(known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h)
             ids = ids_of(table, id_col)[np.searchsorted(firsts, a.low[at], "right") - 1]
-            c = Contexts(h[at], a.at[at] - a.low[at], a.high[at] - a.low[at] + 1, ids, np.full(len(at), row["block"]), a.low[at], a.low[at], units)
+            c = Contexts(h[at], a.at[at] - a.low[at], a.high[at] - a.low[at] + 1, ids, np.full(len(at), row["block"]), a.low[at], a.low[at], kind.exact(units, source))
             c = c.take(np.lexsort((c.low, c.id)))
             first = equal_to_earlier(c, kind.window)
             # what the block finds itself goes through the same exchange, in groups of negative numbers

@@ -183,7 +183,7 @@ def window_classes(c: Contexts, window: int = WINDOW, size: int = SHARD) -> np.n
     return out
 
 
-BYTES = Kind(WINDOW, split_bytes, window_anchors, send_bytes, lambda sent: (np.concatenate(sent), None), window_classes)
+BYTES = Kind(WINDOW, split_bytes, window_anchors, lambda units, _: units, send_bytes, lambda sent: (np.concatenate(sent), None), window_classes)
 
 ADDED = [
     T.StructField("kept", T.BinaryType(), False), T.StructField("n_bytes", T.LongType(), False), T.StructField("n_removed", T.LongType(), False), T.StructField("spans", T.ArrayType(T.LongType()), False),

@@ -33,6 +33,27 @@ def test_signatures_are_unbiased_for_weighted_jaccard(top):
     assert abs(np.mean(equal) - want) < 0.025
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [16, 64, 128, 256, 1024, 4096])
+def test_regular_words_have_hashes_of_their_own(n):
+    from pulsegrid.llm.hashing import words_of
+
+    a = thue_morse(n)
+    texts = [a, a.translate(str.maketrans("ab", "ba")), a[1:], a + "a", "a" * n, "\0" * n, "\0" * (n + 1), "é" * n]
+    assert len(set(words_of([t.encode() for t in texts])[0].tolist())) == len(texts)
+
+
+def test_texts_with_a_regular_word_are_not_linked(spark):
+    a = thue_morse(1024)
+    first = " ".join("w%d" % i for i in range(10))
+    rows = [(1, f"{first} {a} {first}"), (2, f"{first} {a.translate(str.maketrans('ab', 'ba'))} {first}")]
+    got = near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.class_id) for r in got) == [(1, 1), (2, 2)]
+
+
 def test_query_against_brute_force(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     got = sorted(((r.doc_id, r.class_id) for r in op1_near_dedup(spark, DATA).collect()), key=str)

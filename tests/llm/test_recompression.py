@@ -86,6 +86,14 @@ def test_many_parts_of_blocks(odd, monkeypatch):
     assert {k: v for k, v in got.items() if k is not None} == {k: v for k, v in want.items() if k is not None}
 
 
+def test_a_regular_word_is_not_its_complement(spark):
+    a = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    first = " ".join("w%d" % i for i in range(10))
+    rows = [(1, f"{first} {a} {first}"), (2, f"{first} {a.translate(str.maketrans('ab', 'ba'))} {first}"), (3, f"{first} {a} {first}")]
+    got = rc.recompression_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in got) == [(1, 0), (2, 0), (3, 21)]
+
+
 def test_texts(odd):
     rows, df = odd
     out = rc.dedup_texts(df)
