@@ -39,7 +39,11 @@ def boxes(rows: int, shards: int, box_rows: int = BOX_ROWS) -> tuple[np.ndarray,
 
 
 def hypergeometric(good: int, bad: int, draws: int, rng: np.random.Generator) -> int:
-    """How many of draws from good and bad rows without return are good, for any number of rows."""
+    """How many of draws from good and bad rows without return are good, for any number of rows.
+
+    Beyond NUMPY_ROWS the chances are added up outwards from the mode, in doubles; what lies over 14 standard
+    deviations away has a chance under 1e-40 and is left out.
+    """
     least, most = max(0, draws - bad), min(good, draws)
     if least == most:
         return least
@@ -54,18 +58,30 @@ def hypergeometric(good: int, bad: int, draws: int, rng: np.random.Generator) ->
     return int(k[min(len(k) - 1, int(np.searchsorted(chance, rng.random() * chance[-1])))])
 
 
-def split(total: np.ndarray, left: int, rng: np.random.Generator) -> np.ndarray:
-    """How many of each kind are among left draws from total without return."""
-    out, rest = np.zeros_like(total), int(total.sum())
-    for j, n in enumerate(total.tolist()):
-        if not left:
-            break
-        rest -= n
-        out[j] = k = hypergeometric(n, rest, left, rng)
-        left -= k
+def hypergeometrics(good: np.ndarray, bad: np.ndarray, draws: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """hypergeometric() for each place of three arrays."""
+    out, small = np.zeros_like(good), good + bad < NUMPY_ROWS
+    out[small] = rng.hypergeometric(good[small], bad[small], draws[small])
+    for i in np.flatnonzero(~small).tolist():
+        out[i] = hypergeometric(int(good[i]), int(bad[i]), int(draws[i]), rng)
     return out
 
 
+def split(total: np.ndarray, left: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of each kind are among left draws from total without return.
+
+    Kinds form a binary tree too: each node's draws are split between its halves, all nodes of a level at once.
+    """
+    levels = [np.r_[total, np.zeros((1 << max(len(total) - 1, 0).bit_length()) - len(total), np.int64)]]
+    while len(levels[-1]) > 1:
+        levels.append(levels[-1].reshape(-1, 2).sum(1))
+    drawn = np.array([left], np.int64)
+    for sums in levels[-2::-1]:
+        first = hypergeometrics(sums[::2], sums[1::2], drawn, rng)
+        drawn = np.stack([first, drawn - first], 1).reshape(-1)
+    return drawn[: len(total)]
+
+
 def matrix_row(i: int, counts: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
     """Row i of the communication matrix: what partition i sends to each box."""
     ends, lo, hi, mine = np.r_[0, np.cumsum(counts)], 0, len(counts), sizes.astype(np.int64)
@@ -80,13 +96,17 @@ def shard_rows(df: DataFrame, shards: int, seed: int = 0, shard_col: str = "shar
     """df with shard (int, from 0) and slot (long, gapless from 0 in each shard): a uniform shuffle of all rows.
 
     Shard sizes differ by one at most. All rows count, also repeated ones and those with nulls; columns of the
-    output names are replaced. An empty table gives an empty table; shards may be more than rows. df is written
+    output names are replaced, and all other names are free. An empty table gives an empty table; shards may be more than rows. df is written
     once to the shared folder, so that a task that runs again deals its rows out alike. Per partition, one count
     comes to the driver; one exchange moves each row once, box by box, and no box is larger than box_rows.
     """
     spark = df.sparkSession
     tune(spark)
     kept = [f for f in df.schema.fields if f.name not in (shard_col, slot_col)]
+    own_names = [f.name for f in kept]
+    # numbered, so that no column of df can have the name of one used here
+    df = df.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(own_names)])
+    kept = [T.StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(kept)]
     kept_names = [f.name for f in kept]
     table = write_table(df.select(*[quoted(c) for c in kept_names]), "sharding").select("*", F.col("_metadata.file_path").alias("_file"))
     per_file = {r["_file"]: r["n"] for r in table.groupBy("_file").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -120,4 +140,4 @@ def shard_rows(df: DataFrame, shards: int, seed: int = 0, shard_col: str = "shar
     dealt = table.select(*[quoted(c) for c in kept_names], "_file", F.col("_metadata.row_index").alias("_row")).mapInArrow(deal, T.StructType(kept + fields))
     inside = Window.partitionBy("_box").orderBy("_order", "_from")
     slot = F.col("_first") + F.row_number().over(inside) - 1
-    return dealt.select(*[quoted(c) for c in kept_names], F.col("_shard").alias(shard_col), slot.alias(slot_col))
+    return dealt.select(*[F.col(c).alias(name) for c, name in zip(kept_names, own_names)], F.col("_shard").alias(shard_col), slot.alias(slot_col))

@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 
 from pulsegrid.llm import sharding
@@ -52,3 +54,33 @@ def test_places_are_uniform(spark):
         for r in shard_rows(df, 4, seed=seed).collect():
             hits[r.id, r.shard] += 1
     assert ((hits - 3) ** 2 / 2.25).sum() < 110  # 57 expected
+
+
+def test_columns_of_the_names_in_use(spark):
+    names = ["_file", "_row", "_box", "_shard", "_first", "_order", "_from", "c0", "c 1", "`x`"]
+    df = spark.range(50).repartition(3)
+    for k, n in enumerate(names):
+        df = df.withColumn(n, df["id"] * 100 + k)
+    out = shard_rows(df, 4, seed=1, box_rows=5)
+    assert out.columns == ["id", *names, "shard", "slot"]
+    assert sorted(tuple(r)[1:-2] for r in out.collect()) == [tuple(i * 100 + k for k in range(len(names))) for i in range(50)]
+
+
+def test_many_boxes_are_split_at_once():
+    import time
+
+    total, began = np.full(40_000, 50_000), time.time()
+    got = sharding.split(total, 10**9, np.random.default_rng(0))
+    assert got.sum() == 10**9 and (got >= 0).all() and (got <= total).all() and abs(got.std() - (50_000 * 0.25) ** 0.5) < 3
+    assert time.time() - began < 1
+
+
+def test_query_against_zlib(spark):
+    from pulsegrid.llm.queries import op2_sharding
+
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    rows = op2_sharding(spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    assert all((r["size"], r.text_crc32, r.law, r.grown_shard) == (len(texts[r.doc_id]) + 16, zlib.crc32(texts[r.doc_id]), "rows", None) for r in rows)
+    slots = [sorted(r.slot for r in rows if r.shard == k) for k in range(40)]
+    assert all(x == list(range(len(x))) for x in slots) and max(map(len, slots)) - min(map(len, slots)) <= 1
