@@ -27,6 +27,10 @@ FIELD_TYPES = {1: "B", 2: "c", 3: "H", 4: "I", 6: "b", 7: "B", 8: "h", 9: "i", 1
 PLAIN, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 LZW_CLEAR, LZW_END = 256, 257
 
+#: Bytes that one stored byte can stand for at most, by scheme: a repeat of 128 for two, a longest table entry for nine
+#: bits, 258 for two bits.
+EXPANSION = {PLAIN: 1, PACKBITS: 64, LZW: 4096, DEFLATE: 1032, OLD_DEFLATE: 1032}
+
 
 class TiffError(ValueError):
     """The bytes are not a TIFF file that this reader knows."""
@@ -208,22 +212,40 @@ def directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
 
 
 def read_page(data: bytes, order: str, fields: dict[int, tuple]) -> Page:
-    one = lambda tag, default=None: fields[tag][0] if fields.get(tag) else default
+    def many(tag: int) -> tuple:
+        values = fields.get(tag) or ()
+        if not all(isinstance(v, int) and v >= 0 for v in values):
+            raise TiffError(f"field {tag} is no whole number")
+        return values
+
+    def one(tag: int, default: int = 0) -> int:
+        values = many(tag)
+        if len(set(values)) > 1:
+            raise TiffError(f"the samples differ in field {tag}")
+        return values[0] if values else default
+
     width, height, samples, bits, scheme = one(WIDTH), one(HEIGHT), one(SAMPLES, 1), one(BITS, 1), one(COMPRESSION, PLAIN)
     kind = {1: "u", 2: "i", 3: "f"}.get(one(SAMPLE_FORMAT, 1))
-    if width is None or height is None or bits not in (8, 16, 32, 64) or kind is None or (kind == "f" and bits < 32):
+    if min(width, height, samples) < 1 or bits not in (8, 16, 32, 64) or kind is None or (kind == "f" and bits < 32):
         raise TiffError("size or sample form is missing or not known")
     if one(PLANAR, 1) != 1 and samples > 1:
         raise TiffError("planes stored apart are not known")
     dtype, predictor = np.dtype(f"{order}{kind}{bits // 8}"), one(PREDICTOR, 1)
     tiled = TILE_OFFSETS in fields
     across, down = (one(TILE_WIDTH), one(TILE_HEIGHT)) if tiled else (width, min(one(ROWS_PER_STRIP, height), height))
-    starts, counts = (fields.get(TILE_OFFSETS), fields.get(TILE_COUNTS)) if tiled else (fields.get(STRIP_OFFSETS), fields.get(STRIP_COUNTS))
+    starts, counts = (many(TILE_OFFSETS), many(TILE_COUNTS)) if tiled else (many(STRIP_OFFSETS), many(STRIP_COUNTS))
     if not across or not down or not starts or not counts or len(starts) != len(counts):
         raise TiffError("strips or tiles are missing")
     per_row = -(-width // across)
-    if len(starts) < per_row * -(-height // down):
+    number = per_row * -(-height // down)
+    if len(starts) < number:
         raise TiffError("strips or tiles are missing")
+    if scheme not in EXPANSION:
+        raise TiffError(f"compression {scheme} is not known")
+    # what the stored bytes cannot hold is refused before room is made for it
+    stored, block_bytes = counts[:number], down * across * samples * dtype.itemsize
+    if sum(stored) > len(data) or block_bytes > max(stored) * EXPANSION[scheme] or height * width * samples * dtype.itemsize > sum(stored) * EXPANSION[scheme]:
+        raise TiffError("the stored bytes are too few for the size")
     pixels = np.zeros((height, width, samples), dtype)
     for k in range(per_row * -(-height // down)):
         top, left = k // per_row * down, k % per_row * across

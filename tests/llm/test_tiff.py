@@ -1,4 +1,5 @@
 import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -86,3 +87,50 @@ def test_operator(spark):
     broken = tiff.tiff_pages(spark.createDataFrame([(1, b"xx"), (2, None)], "doc_id long, media binary")).collect()
     assert [r.page for r in broken] == [None, None] and all(r.error for r in broken)
     assert tiff.tiff_pages(tiff.tiff_encode(df.limit(0), "payload")).count() == 0
+
+
+def one_directory(entries):
+    """A file of one directory of (tag, type, count, packed value)."""
+    body = b"".join(struct.pack("<HHI", tag, kind, count) + value.ljust(4, b"\0") for tag, kind, count, value in entries)
+    return b"II*\0" + struct.pack("<IH", 8, len(entries)) + body + b"\0" * 40
+
+
+def page(width=(4, 1, struct.pack("<I", 4)), height=(4, 1, struct.pack("<I", 1)), scheme=1, offset=(4, 1, struct.pack("<I", 0)), count=(4, 1, struct.pack("<I", 4))):
+    one = (3, 1, struct.pack("<H", 8))
+    return one_directory([(256, *width), (257, *height), (258, *one), (259, 3, 1, struct.pack("<H", scheme)), (273, *offset), (279, *count)])
+
+
+HUGE = (4, 1, struct.pack("<I", 2**31))
+
+
+@pytest.mark.parametrize("scheme", [1, 5, 8, 32773])
+def test_declared_sizes_that_the_bytes_cannot_hold(scheme):
+    with pytest.raises(tiff.TiffError):
+        list(tiff.read_pages(page(HUGE, HUGE, scheme)))
+    with pytest.raises(tiff.TiffError):
+        list(tiff.read_pages(page(HUGE, HUGE, scheme, count=HUGE)))
+
+
+@pytest.mark.parametrize("field", [(2, 1, b"x"), (9, 1, struct.pack("<i", -4)), (11, 1, struct.pack("<f", 4.0)), (4, 1, struct.pack("<I", 0)), (4, 2**31, b"")])
+def test_fields_that_are_no_sizes(field):
+    assert list(tiff.read_pages(page()))[0].width == 4
+    for name in ("width", "height", "count"):
+        with pytest.raises(tiff.TiffError):
+            list(tiff.read_pages(page(**{name: field})))
+
+
+def test_query_against_hashlib(spark):
+    import hashlib
+
+    from pulsegrid.llm.queries import op3_tiff_media
+
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    rows, feature = op3_tiff_media(spark, "/root/testdata/sf0.001").collect(), {}
+    assert len(rows) == len(texts)
+    for r in rows:
+        raw = texts[r.doc_id]
+        payload = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        stored = tiff.write_page(payload, 64, 1024)
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        assert feature.setdefault(payload, r.feature) == r.feature
