@@ -188,52 +188,59 @@ def add_features(df: DataFrame, text_col: str = "text", out_col: str = "features
     return add_columns(df, [text_col], [T.StructField(out_col, T.ArrayType(T.DoubleType()), False)], make)
 
 
-def fit_quality(featured: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """Fits on featured (doc_id, features) with labels (doc_id, quality), rows that are not held out only.
+def labelled(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """doc_id, text and quality of the rows to learn from: fit_rows at most, none of them held out.
 
-    Rows with a null id or label, or a label other than 0 and 1, are not learned from; repeated rows count as
-    often as they are there. Beyond fit_rows labelled rows, those with the smallest hashes of their ids are
-    taken; only they come to the driver.
+    Rows with a null id or label, or a label other than 0 and 1, are not learned from. An id counts once for each of
+    its labels, with the text of least hash if it has several. Beyond fit_rows, those with the smallest hashes of
+    their ids are taken: ids alone are chosen first, and only the texts of those chosen are looked up.
     """
-    known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (fold(F.col("doc_id")) != 1))
-    both = featured.select("doc_id", "features").join(known, "doc_id").withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(2**30)))
-    rows = both.count()
+    known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (fold(F.col("doc_id")) != 1)).distinct()
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(2**30))
+    ids = known.join(docs.select("doc_id"), "doc_id", "left_semi").withColumn("place", place)
+    rows = ids.count()
     if rows > fit_rows:
-        both = both.where(F.col("place") < int(2**30 * min(1.0, 1.1 * fit_rows / rows)))
-    sample = both.select("place", "doc_id", "features", "quality").toPandas().sort_values(["place", "doc_id"]).head(fit_rows)
+        ids = ids.where(F.col("place") < int(2**30 * min(1.0, 1.1 * fit_rows / rows)))
+    chosen = write_table(ids.orderBy("place", "doc_id", "quality").limit(fit_rows), "labelled")
+    # fit_rows rows at most
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("place", "doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
+    """Fits on the labelled() rows of docs; the features of those rows alone are computed, and come to the driver."""
+    sample = add_features(labelled(docs, labels, fit_rows)).select("place", "doc_id", "quality", "features").toPandas().sort_values(["place", "doc_id", "quality"])
     x = np.array(sample["features"].tolist(), np.float64).reshape(-1, len(FEATURES))
     return fit(x, sample["quality"].to_numpy(np.float64))
 
 
-def add_scores(df: DataFrame, model: Model, features_col: str = "features", out_col: str = "score") -> DataFrame:
+def add_scores(df: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
     """df with the probability of label 1; no shuffle. The model's tables are a few tens of KB."""
     tune(df.sparkSession)
 
     def make():
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
-            x = batch.column(features_col).flatten().to_numpy().reshape(-1, len(FEATURES))
-            return [pa.array(model.score(x))]
+            rows = [features(x or b"") for x in batch.column(text_col).cast(pa.binary()).to_pylist()]
+            return [pa.array(model.score(np.array(rows, np.float64).reshape(-1, len(FEATURES))))]
 
         return work
 
-    return add_columns(df, [features_col], [T.StructField(out_col, T.DoubleType(), False)], make)
+    return add_columns(df, [text_col], [T.StructField(out_col, T.DoubleType(), False)], make)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """doc_id, held_out, score and predicted (1 from a score of 0.5 on) of every row of docs (doc_id, text).
 
-    The features of all rows are written once, narrow, to the shared folder; the model is fitted on them and
-    scores them. Texts that are null or empty get scores like any others; no other column of docs is an input.
+    Every text is read once, to be scored; only the labelled rows to learn from are read before. Texts that are null or
+    empty get scores like any others; no other column of docs is an input.
     """
-    table = write_table(add_features(docs.select("doc_id", "text")).select("doc_id", "features"), "features")
-    scored = add_scores(table, fit_quality(table, labels, fit_rows))
+    docs = docs.select("doc_id", "text")
+    scored = add_scores(docs, fit_quality(docs, labels, fit_rows))
     return scored.select("doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """The rows of docs, whole and unchanged, that the classifier does not reject (score 0.5 or more)."""
-    table = write_table(add_features(docs.select("doc_id", "text")).select("doc_id", "features"), "features")
-    model = fit_quality(table, labels, fit_rows)
-    away, back = shielded(docs, ("_features", "_score"))
-    scored = add_scores(add_features(away, out_col="_features"), model, "_features", "_score")
-    return back(scored.where(F.col("_score") >= 0.5))
+    model = fit_quality(docs.select("doc_id", "text"), labels, fit_rows)
+    away, back = shielded(docs, ("_score",))
+    return back(add_scores(away, model, out_col="_score").where(F.col("_score") >= 0.5))
