@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -24,43 +26,88 @@ def authenticate(requests: DataFrame, keys: DataFrame) -> DataFrame:
     return base.join(k, (F.col("_h") == F.col("_hash")) & lived, "left").drop("_h", "_hash", "_from", "_to")
 
 
-def rate_limit(requests: DataFrame, permit: int = RATE_PERMIT, window_seconds: int = RATE_WINDOW_SECONDS, mode: str = "epoch") -> DataFrame:
-    """requests with allowed: at most permit per key and window, in order of arrival.
+def limit_window(window_seconds: int) -> Column:
+    """The number of the window that a request comes in: windows lie on multiples of their length."""
+    return F.floor(F.unix_micros("received_at") / (window_seconds * 1_000_000)).cast("long")
 
-    mode "epoch": windows lie on multiples of their length, so a hot key is spread over its windows. mode
-    "anchored": a key's window starts at its first request, the next at the first request after its end.
-    Requests without a key are not limited, and spread by batch_id so that they fill no single group. Anchored
-    windows are walked key by key over ids and times alone; their verdict joins back by batch_id.
+
+def permits_used(requests: DataFrame, window_seconds: int = RATE_WINDOW_SECONDS) -> DataFrame:
+    """key_id, win and used: requests by key and window."""
+    return requests.where("key_id is not null").groupBy("key_id", limit_window(window_seconds).alias("win")).agg(F.count(F.lit(1)).alias("used"))
+
+
+def over_limit(requests: DataFrame, permit: int = RATE_PERMIT, window_seconds: int = RATE_WINDOW_SECONDS, mode: str = "epoch", used: DataFrame | None = None, oldest: int | None = None) -> DataFrame:
+    """batch_id and key_id of the requests that are over their key's limit, by ids and times alone.
+
+    used (key_id, win, used) counts what came before these requests; requests of windows before oldest are over.
     """
+    narrow = requests.where("key_id is not null").select("key_id", "batch_id", "received_at")
     if mode == "epoch":
-        window = F.floor(F.unix_micros("received_at") / (window_seconds * 1_000_000))
-        group = F.coalesce(F.col("key_id").cast("long"), -1 - F.pmod(F.xxhash64("batch_id"), F.lit(65536)))
-        order = Window.partitionBy(group, window).orderBy("received_at", "batch_id")
-        return requests.withColumn("allowed", F.col("key_id").isNull() | (F.row_number().over(order) <= permit))
+        dealt = narrow.withColumn("win", limit_window(window_seconds))
+        nth = F.row_number().over(Window.partitionBy("key_id", "win").orderBy("received_at", "batch_id"))
+        ranked = dealt.withColumn("nth", nth)
+        if used is not None:
+            ranked = ranked.join(used.select("key_id", "win", "used"), ["key_id", "win"], "left").withColumn("nth", F.col("nth") + F.coalesce("used", F.lit(0)))
+        over = F.col("nth") > permit
+        ranked = ranked.where(over if oldest is None else over | (F.col("win") < oldest))
+        return ranked.select("batch_id", "key_id").distinct()
     if mode != "anchored":
         raise ValueError(f"unknown mode {mode!r}")
-    narrow = requests.where("key_id is not null").select("key_id", "batch_id", F.unix_micros("received_at").alias("at"))
+    wide = window_seconds * 1_000_000
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Over rows in order of key and time, a batch at a time; what is carried on is one key, its window's end and count."""
+        key, end, count = None, 0, 0
+        for batch in batches:
+            keys, at = batch.column("key_id").to_numpy(), batch.column("at").to_numpy()
+            over = np.zeros(len(at), bool)
+            for lo, hi in zip(*_runs(keys)):
+                if keys[lo] != key:
+                    key, end, count = keys[lo], -(2**63), 0
+                while lo < hi:
+                    if at[lo] >= end:
+                        end, count = int(at[lo]) + wide, 0
+                    stop = lo + int(np.searchsorted(at[lo:hi], end, "left"))
+                    over[lo + max(0, permit - count) : stop] = True
+                    count, lo = count + stop - lo, stop
+            yield batch.select(["batch_id", "key_id"]).filter(pa.array(over))
+
+    ordered = narrow.select(F.col("key_id").cast("long"), "batch_id", F.unix_micros("received_at").alias("at")).repartition("key_id").sortWithinPartitions("key_id", "at", "batch_id")
+    return ordered.mapInArrow(walk, f"batch_id {dict(requests.dtypes)['batch_id']}, key_id long").distinct()
+
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "batch_id"], kind="stable")
-        at, ok, i = pdf["at"].to_numpy(), np.zeros(len(pdf), bool), 0
-        while i < len(at):
-            end = int(np.searchsorted(at, at[i] + window_seconds * 1_000_000, "left"))
-            ok[i : min(end, i + permit)] = True
-            i = end
-        return pd.DataFrame({"batch_id": pdf["batch_id"], "_ok": ok})
+def _runs(keys: np.ndarray) -> tuple[list[int], list[int]]:
+    cut = (np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist()
+    return ([0, *cut], [*cut, len(keys)]) if len(keys) else ([], [])
 
-    verdict = narrow.groupBy("key_id").applyInPandas(walk, "batch_id long, _ok boolean")
-    return requests.join(verdict, "batch_id", "left").withColumn("allowed", F.coalesce("_ok", F.lit(True))).drop("_ok")
 
+def rate_limit(requests: DataFrame, permit: int = RATE_PERMIT, window_seconds: int = RATE_WINDOW_SECONDS, mode: str = "epoch", used: DataFrame | None = None, oldest: int | None = None) -> DataFrame:
+    """requests with allowed: at most permit per key and window, in order of arrival; batch_id names one request.
 
-def ingest_status(requests: DataFrame, keys: DataFrame, permit: int = RATE_PERMIT, window_seconds: int = RATE_WINDOW_SECONDS, required: str = "ingest") -> DataFrame:
-    """requests with tenant_id, key_id, the one status each gets, in this order: 401, 403, 429, 400, 202; and accepted, the points of a 202."""
+    mode "epoch": windows lie on multiples of their length, so a hot key is spread over its windows. mode
+    "anchored": a key's window starts at its first request, the next at the first request after its end. Requests
+    without a key are not limited. Bodies do not move: only the ids of requests over the limit come back to them.
+    """
+    over = over_limit(requests, permit, window_seconds, mode, used, oldest).select(F.col("batch_id").alias("_batch"), F.col("key_id").alias("_key_id"))
+    joined = requests.join(over, (F.col("batch_id") == F.col("_batch")) & (F.col("key_id") == F.col("_key_id")), "left")
+    return joined.withColumn("allowed", F.col("_batch").isNull()).drop("_batch", "_key_id")
+
+
+def entitled_requests(known: DataFrame, required: str = "ingest") -> DataFrame:
+    """Of authenticated requests those whose scope satisfies: only they count against a key's limit."""
+    return known.where(scope_satisfies(F.col("scope"), F.lit(required)))
+
+
+def ingest_status(requests: DataFrame, keys: DataFrame, permit: int = RATE_PERMIT, window_seconds: int = RATE_WINDOW_SECONDS, required: str = "ingest", used: DataFrame | None = None, oldest: int | None = None) -> DataFrame:
+    """requests with tenant_id, key_id, the one status each gets, in this order: 401, 403, 429, 400, 202; and accepted, the points of a 202.
+
+    used and oldest: as over_limit takes them.
+    """
     known = authenticate(requests, keys)
     entitled = scope_satisfies(F.col("scope"), F.lit(required))
-    # only requests that pass both checks count against a key's limit
-    limited = rate_limit(known.withColumn("_key", F.col("key_id")).withColumn("key_id", F.when(entitled, F.col("key_id"))), permit, window_seconds)
-    limited = limited.withColumn("key_id", F.col("_key")).drop("_key")
+    over = over_limit(entitled_requests(known.select("batch_id", "key_id", "received_at", "scope"), required), permit, window_seconds, "epoch", used, oldest)
+    over = over.select(F.col("batch_id").alias("_batch"), F.col("key_id").alias("_key_id"))
+    limited = known.join(over, (F.col("batch_id") == F.col("_batch")) & (F.col("key_id") == F.col("_key_id")), "left").withColumn("allowed", F.col("_batch").isNull()).drop("_batch", "_key_id")
     checked = with_reasons(limited)
     bad = F.size(F.concat("batch_reasons", F.flatten("point_reasons"))) > 0
     status = F.when(F.col("key_id").isNull(), 401).when(~entitled, 403).when(~F.col("allowed"), 429).when(bad, 400).otherwise(202)

@@ -96,6 +96,20 @@ def host_metrics(snapshots: DataFrame) -> DataFrame:
     return parsed.withColumn("b", before).select("host", "ts", F.explode(rows).alias("m")).select("host", "ts", "m.*").where("value is not null")
 
 
+def parse_proc_snapshots(snapshots: DataFrame, disks: DataFrame | None = None) -> DataFrame:
+    """host_metrics' wide input from snapshots as collected: host, ts, kind (stat, meminfo, uptime) and content.
+
+    disks: host, ts, total_bytes and free_bytes. Of several contents of one kind at one time the greatest counts; other
+    kinds are passed over.
+    """
+    kinds = [F.max(F.when(F.col("kind") == k, F.col("content"))).alias(k) for k in ("stat", "meminfo", "uptime")]
+    wide = snapshots.groupBy("host", "ts").agg(*kinds)
+    if disks is None:
+        return wide.withColumn("disk_total", F.lit(None).cast("double")).withColumn("disk_free", F.lit(None).cast("double"))
+    d = disks.groupBy("host", "ts").agg(F.max_by(F.struct("total_bytes", "free_bytes"), F.struct("total_bytes", "free_bytes")).alias("_d"))
+    return wide.join(d, ["host", "ts"], "full").select("host", "ts", "stat", "meminfo", "uptime", F.col("_d.total_bytes").alias("disk_total"), F.col("_d.free_bytes").alias("disk_free"))
+
+
 def build_payloads(metrics: DataFrame) -> DataFrame:
     """host, ts and payload: the request of each host and cycle as JSON; one time stamp for all its points, no labels."""
     stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")

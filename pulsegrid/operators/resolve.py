@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pulsegrid.functions.scalars import canonical_labels
-from pulsegrid.sources.scratch import scratch_dir
+from pulsegrid.sources.scratch import written
 
 SERIES_KEY = ["tenant_id", "source_id", "name", "canonical"]
 
@@ -49,8 +49,7 @@ def assign_ids(rows: DataFrame, order: list[str], first_id: int, id_col: str = "
     Rows are range-partitioned and sorted by the order; the counts of the partitions, one number each, give every
     partition its offset.
     """
-    scratch_dir(rows.sparkSession)
-    part = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    part = written(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "numbered")
     counts = sorted((r["_part"], r["count"]) for r in part.groupBy("_part").count().collect())
     offsets, total = [], first_id
     for p, n in counts:
@@ -61,11 +60,16 @@ def assign_ids(rows: DataFrame, order: list[str], first_id: int, id_col: str = "
     return part.join(F.broadcast(table), "_part").withColumn(id_col, (F.col("_offset") + nth).cast("int")).drop("_part", "_offset")
 
 
-def upsert_series(points: DataFrame, series: DataFrame) -> DataFrame:
-    """The dimension with the new series of points added; a second run adds none. Existing rows stay as they are."""
+def numbered_series(points: DataFrame, series: DataFrame) -> DataFrame:
+    """The series of points that the dimension lacks, with ids that follow its own, in the dimension's columns."""
     last = series.agg(F.max("id")).first()[0] or 0
     added = assign_ids(new_series(points, series), SERIES_KEY, last + 1)
-    return series.unionByName(added.withColumnRenamed("canonical", "labels").select(*series.columns))
+    return added.withColumnRenamed("canonical", "labels").select(*[c for c in series.columns if c != "epoch"])
+
+
+def upsert_series(points: DataFrame, series: DataFrame) -> DataFrame:
+    """The dimension with the new series of points added; a second run adds none. Existing rows stay as they are."""
+    return series.unionByName(numbered_series(points, series))
 
 
 def resolve_series(points: DataFrame, series: DataFrame) -> DataFrame:

@@ -32,9 +32,13 @@ def rejects_of(batches: DataFrame, reason) -> DataFrame:
     return batches.select("batch_id", F.lit(None).cast("int").alias("pos"), reason.alias("reason"), size.alias("n_points"))
 
 
-def ingest(requests: DataFrame, keys: DataFrame, sources: DataFrame, permit: int = RATE_PERMIT, window_seconds: int = RATE_WINDOW_SECONDS) -> Ingested:
-    """The tenant of a request is that of its key. Only whole requests are accepted or rejected."""
-    statuses = ingest_status(requests, keys, permit, window_seconds)
+def ingest(requests: DataFrame, keys: DataFrame, sources: DataFrame, permit: int = RATE_PERMIT, window_seconds: int = RATE_WINDOW_SECONDS, used: DataFrame | None = None, oldest: int | None = None) -> Ingested:
+    """The tenant of a request is that of its key. Only whole requests are accepted or rejected. used, oldest: as in over_limit."""
+    return ingested(ingest_status(requests, keys, permit, window_seconds, used=used, oldest=oldest), sources)
+
+
+def ingested(statuses: DataFrame, sources: DataFrame) -> Ingested:
+    """What follows from the requests' statuses; statuses are used several times, so they should be kept."""
     reason = F.lit(None).cast("string")
     for status, text in STATUS_REASONS.items():
         reason = F.when(F.col("status") == status, text).otherwise(reason)

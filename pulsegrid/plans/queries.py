@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,10 @@ from pyspark.sql import functions as F
 from pulsegrid.functions import limits as lim
 from pulsegrid.functions import scalars as s
 from pulsegrid.operators import auth, host, integrity, points, readback, resolve, retention, rollup, spool, validate
+from pulsegrid.plans import store
 from pulsegrid.plans.ingest import ingest
 from pulsegrid.sources import adapters as a
+from pulsegrid.sources import tables as files
 from pulsegrid.sources.scratch import scratch_path
 from pulsegrid.sources.tables import read_facts, write_points
 from pulsegrid.streaming import jobs
@@ -65,7 +68,7 @@ DAILY = (
     + """, n AS (
   SELECT user_id, tenant_id, source, CAST(ts AS DATE) AS day, min(event_id) AS batch_id, count(*) AS n_points, max(ts) AS last_ts,
     max(ts) + INTERVAL 1 SECOND + CASE WHEN user_id % 13 = 0 THEN INTERVAL 8 DAY ELSE INTERVAL 0 DAY END AS received_at,
-    'vg_' || (user_id % ((SELECT count(*) FROM supplier) + 5)) AS api_key, bool_or(bad) AS bad_point
+    'key-' || (user_id % ((SELECT count(*) FROM supplier) + 5)) AS api_key, bool_or(bad) AS bad_point
   FROM q GROUP BY user_id, tenant_id, source, CAST(ts AS DATE)), m AS (
   SELECT n.*, bad_point OR user_id % 13 = 0 AS bad FROM n), pn AS (
   SELECT q.*, n.batch_id, n.received_at, CAST(row_number() OVER (PARTITION BY n.batch_id ORDER BY q.event_id) - 1 AS INTEGER) AS pos
@@ -73,7 +76,7 @@ DAILY = (
 )
 SOURCES = "src AS (SELECT DISTINCT CAST(user_id + 1 AS INTEGER) AS source_id, CAST(user_id % 7 + 1 AS INTEGER) AS tenant_id, 'host-' || user_id AS source FROM events WHERE user_id % 11 <> 0)"
 KEYS = """keys AS (
-  SELECT CAST(s_suppkey AS INTEGER) AS id, CAST(s_suppkey % 7 + 1 AS INTEGER) AS tenant_id, sha256('vg_' || s_suppkey) AS key_hash, s_name AS label,
+  SELECT CAST(s_suppkey AS INTEGER) AS id, CAST(s_suppkey % 7 + 1 AS INTEGER) AS tenant_id, sha256('key-' || s_suppkey) AS key_hash, s_name AS label,
     CASE WHEN s_suppkey % 10 < 8 THEN 0 WHEN s_suppkey % 10 = 8 THEN 1 ELSE 2 END AS scope,
     CASE WHEN s_suppkey % 5 = 0 THEN TIMESTAMP '2024-01-15' END AS revoked_at FROM supplier)"""
 STATUS = (
@@ -120,9 +123,9 @@ def canonical_labels(spark, sf_dir):
     return e.select("event_id", s.canonical_labels(F.when(F.col("event_id") % 10 != 0, labels)).alias("labels"))
 
 
-@query("SELECT c_custkey, sha256('vg_' || c_custkey || c_name) AS key_hash FROM customer")
+@query("SELECT c_custkey, sha256('key-' || c_custkey || c_name) AS key_hash FROM customer")
 def key_hash(spark, sf_dir):
-    return a.table(spark, sf_dir, "customer").select("c_custkey", s.key_hash(F.concat(F.lit("vg_"), F.col("c_custkey").cast("string"), "c_name")).alias("key_hash"))
+    return a.table(spark, sf_dir, "customer").select("c_custkey", s.key_hash(F.concat(F.lit("key-"), F.col("c_custkey").cast("string"), "c_name")).alias("key_hash"))
 
 
 @query(
@@ -318,7 +321,12 @@ def new_series(spark, sf_dir):
     "WITH " + VALID + OLD + FRESH + ", numbered AS (SELECT 0 AS part, * FROM old UNION ALL SELECT 1 AS part, * FROM fresh) SELECT CAST(row_number() OVER (ORDER BY part, tenant_id, source_id, name, canonical) AS INTEGER) AS id, tenant_id, source_id, name, unit, canonical AS labels, created_at FROM numbered"
 )
 def upsert_series(spark, sf_dir):
-    return ntz(resolve.upsert_series(valid_points(spark, sf_dir), known_series(spark, sf_dir)))
+    """Two epochs of the stored dimension, the second of them run twice."""
+    path, found = scratch_path(spark, "series"), valid_points(spark, sf_dir)
+    store.append_series(found.where(F.col("batch_id") % 3 == 0), path, 0)
+    store.append_series(found, path, 1)
+    store.append_series(found, path, 1)
+    return ntz(store.read_series(spark, path))
 
 
 @query("WITH " + VALID + OLD + " SELECT batch_id, pos, v.tenant_id, v.source_id, v.name, v.canonical, v.unit FROM v JOIN old USING (tenant_id, source_id, name, canonical)")
@@ -576,7 +584,7 @@ def purge_tenants(spark, sf_dir):
 @query("WITH " + KEYS + " SELECT id, CASE WHEN id % 4 = 1 THEN TIMESTAMP '2024-02-01' + to_days(id % 3) ELSE revoked_at END AS revoked_at FROM keys")
 def apply_revocations(spark, sf_dir):
     k = F.col("s_suppkey")
-    asked = a.table(spark, sf_dir, "supplier").where(k % 4 == 1).select(F.concat(F.lit("vg_"), k.cast("string")).alias("api_key"), (F.lit("2024-02-01").cast("timestamp") + F.make_interval(days=(k % 3).cast("int"))).alias("revoked_at"))
+    asked = a.table(spark, sf_dir, "supplier").where(k % 4 == 1).select(F.concat(F.lit("key-"), k.cast("string")).alias("api_key"), (F.lit("2024-02-01").cast("timestamp") + F.make_interval(days=(k % 3).cast("int"))).alias("revoked_at"))
     return ntz(integrity.apply_revocations(a.api_keys(spark, sf_dir), asked)[0].select("id", "revoked_at"))
 
 
@@ -590,16 +598,50 @@ def check_widths(spark, sf_dir):
 # -- the whole path, rollups ---------------------------------------------------------------------------------------
 
 
+ACCEPTED = STATUS + ", " + SOURCES + ", g AS (SELECT st.batch_id, st.received_at, st.last_ts, st.key_tenant AS tenant_id, src.source_id FROM st JOIN src ON src.source = st.source AND src.tenant_id = st.key_tenant WHERE st.status = 202)"
+NO_WEEK = dt.datetime(2024, 1, 15)
+
+
+def ingest_dims(spark, sf_dir):
+    """Keys, sources, and the weeks that exist: one week of the events is missing."""
+    weeks = a.events(spark, sf_dir).select(s.week_start(F.col("ts")).alias("week")).distinct().where(F.col("week") != F.lit(NO_WEEK))
+    return {"api_keys": a.api_keys(spark, sf_dir), "sources": a.sources(spark, sf_dir), "weeks": weeks}
+
+
+def stored_points(spark, path):
+    g = store.read_points_of(spark, path).groupBy("tenant_id", "name", "week").agg(
+        F.count(F.lit(1)).alias("points"), F.count_distinct("series_id").alias("series"), F.round(F.sum("value"), 2).alias("total"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
+    )
+    return ntz(g)
+
+
+def rejected_points(spark, path):
+    return store.read_rejects(spark, path).groupBy("reason").agg(F.count(F.lit(1)).alias("rejects"), F.sum("n_points").alias("points"))
+
+
+def ingested_once(spark, sf_dir):
+    path = scratch_path(spark, "ingest")
+    store.ingest_epoch(a.daily_requests(spark, sf_dir), ingest_dims(spark, sf_dir), path, 0, 2, DAY)
+    return path
+
+
 @query(
-    "WITH " + STATUS + ", " + SOURCES + """, g AS (SELECT st.batch_id, st.key_tenant AS tenant_id, src.source_id FROM st JOIN src ON src.source = st.source AND src.tenant_id = st.key_tenant WHERE st.status = 202)
-SELECT g.tenant_id, pn.name, count(*) AS points, count(DISTINCT (g.source_id, pn.canonical)) AS series, round(sum(pn.value), 2) AS total, min(pn.ts) AS first_ts, max(pn.ts) AS last_ts FROM pn JOIN g USING (batch_id) GROUP BY g.tenant_id, pn.name"""
+    "WITH " + ACCEPTED + """ SELECT g.tenant_id, pn.name, CAST(date_trunc('week', pn.ts) AS TIMESTAMP) AS week, count(*) AS points, count(DISTINCT (g.source_id, pn.canonical)) AS series, round(sum(pn.value), 2) AS total, min(pn.ts) AS first_ts, max(pn.ts) AS last_ts
+FROM pn JOIN g USING (batch_id) WHERE date_trunc('week', pn.ts) <> TIMESTAMP '2024-01-15' GROUP BY ALL"""
 )
 def ingest_end_to_end(spark, sf_dir):
-    done = ingest(a.daily_requests(spark, sf_dir), a.api_keys(spark, sf_dir), a.sources(spark, sf_dir), 2, DAY)
-    g = done.points.groupBy("tenant_id", "name").agg(
-        F.count(F.lit(1)).alias("points"), F.count_distinct("source_id", "canonical").alias("series"), F.round(F.sum("value"), 2).alias("total"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
-    )
-    return ntz(g)
+    """Requests through every stage to points by week, read back by their series' natural key."""
+    return stored_points(spark, ingested_once(spark, sf_dir))
+
+
+@query(
+    "WITH " + ACCEPTED + """, x AS (SELECT CASE st.status WHEN 401 THEN 'unauthorized' WHEN 403 THEN 'forbidden' WHEN 429 THEN 'rate_limited' WHEN 400 THEN 'invalid' ELSE 'unknown_source' END AS reason, n_points
+  FROM st ANTI JOIN g USING (batch_id) UNION ALL SELECT 'no_partition', 1 FROM pn JOIN g USING (batch_id) WHERE date_trunc('week', pn.ts) = TIMESTAMP '2024-01-15')
+SELECT reason, count(*) AS rejects, CAST(sum(n_points) AS BIGINT) AS points FROM x GROUP BY reason"""
+)
+def ingest_rejects(spark, sf_dir):
+    """What the same path rejects, written by reason."""
+    return rejected_points(spark, ingested_once(spark, sf_dir))
 
 
 MINUTES = """mi AS (SELECT user_id AS series_id, date_trunc('minute', ts) AS bucket, count(*) AS n, sum(value) AS total, min(value) AS least, max(value) AS most, arg_max(value, (ts, value)) AS last FROM events GROUP BY ALL)"""
@@ -653,16 +695,118 @@ def dedupe_stream(spark, sf_dir):
     return ntz(streamed(spark, twice.unionAll(twice), jobs.dedupe_stream))
 
 
-@query(ORACLE_SQL["ingest_end_to_end"])
-def ingest_stream(spark, sf_dir):
+@functools.lru_cache(maxsize=4)
+def ingested_stream(spark, sf_dir):
+    """Request logs of three spans of time, streamed one after the other, each as a micro-batch of its own."""
     path = scratch_path(spark, "ingest")
     requests = a.daily_requests(spark, sf_dir)
-    requests.write.parquet(f"{path}/in")
-    dims = lambda: {"api_keys": a.api_keys(spark, sf_dir), "sources": a.sources(spark, sf_dir)}
-    stream = spark.readStream.schema(requests.schema).parquet(f"{path}/in")
-    jobs.ingest_stream(stream, dims, jobs.epoch_sink(f"{path}/out"), f"{path}/state", 2, DAY, {"availableNow": True}).awaitTermination()
-    found = spark.read.parquet(f"{path}/out/points")
-    g = found.groupBy("tenant_id", "name").agg(
-        F.count(F.lit(1)).alias("points"), F.count_distinct("source_id", "canonical").alias("series"), F.round(F.sum("value"), 2).alias("total"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
-    )
-    return ntz(g)
+    lines = requests.select("received_at", F.to_json(F.struct("batch_id", "received_at", "api_key", F.to_json(F.struct("source", "points")).alias("body"))).alias("value"))
+    spans = [dt.datetime(1970, 1, 1), dt.datetime(2024, 1, 11), dt.datetime(2024, 1, 22, 7), dt.datetime(2100, 1, 1)]
+    dims = lambda: ingest_dims(spark, sf_dir)
+    for lo, hi in zip(spans, spans[1:]):
+        lines.where((F.col("received_at") >= F.lit(lo)) & (F.col("received_at") < F.lit(hi))).select("value").write.mode("append").text(f"{path}/in")
+        jobs.ingest_stream(files.request_stream(spark, f"{path}/in", 10_000), dims, f"{path}/out", f"{path}/state", 2, DAY, {"availableNow": True}).awaitTermination()
+    return f"{path}/out"
+
+
+@query(ORACLE_SQL["ingest_end_to_end"])
+def ingest_stream(spark, sf_dir):
+    return stored_points(spark, ingested_stream(spark, sf_dir))
+
+
+@query(ORACLE_SQL["ingest_rejects"])
+def ingest_stream_rejects(spark, sf_dir):
+    return rejected_points(spark, ingested_stream(spark, sf_dir))
+
+
+@query("WITH " + ACCEPTED + " SELECT source_id AS id, arg_max(last_ts, (received_at, batch_id)) AS last_seen_at FROM g GROUP BY source_id")
+def ingest_stream_last_seen(spark, sf_dir):
+    seen = store.read_sources(a.sources(spark, sf_dir), ingested_stream(spark, sf_dir))
+    return ntz(seen.where("last_seen_at is not null").select("id", "last_seen_at"))
+
+
+# -- files, limits of batches, foreign keys, purges -----------------------------------------------------------------
+
+
+@query("WITH " + DAILY + " SELECT m.batch_id, m.api_key, m.source, m.received_at, n_points, max(pn.name) AS last_name, round(sum(CASE WHEN pn.event_id % 53 = 0 THEN 0 ELSE pn.value END), 4) AS total FROM m JOIN pn USING (batch_id) GROUP BY ALL")
+def read_requests(spark, sf_dir):
+    """Request logs written as JSON lines and read back."""
+    path, requests = scratch_path(spark, "logs"), a.daily_requests(spark, sf_dir)
+    requests.select(F.to_json(F.struct("batch_id", "received_at", "api_key", F.to_json(F.struct("source", "points")).alias("body"))).alias("value")).write.text(path)
+    back = files.read_requests(spark, path)
+    total = F.aggregate("points", F.lit(0.0), lambda x, p: x + F.when(F.isnan(p["value"]), 0.0).otherwise(p["value"]))
+    return ntz(back.select("batch_id", "api_key", "source", "received_at", F.size("points").cast("long").alias("n_points"), F.array_max("points.name").alias("last_name"), F.round(total, 4).alias("total")))
+
+
+@query(
+    "WITH " + FACTS + ", " + KEYS + """ SELECT 'tenants' AS tab, tenant_id, count(DISTINCT tenant_id) AS rows FROM keys GROUP BY tenant_id UNION ALL SELECT 'api_keys', tenant_id, count(*) FROM keys GROUP BY tenant_id
+UNION ALL SELECT 'sources', tenant_id, count(*) FROM keys GROUP BY tenant_id UNION ALL SELECT 'series', tenant_id, count(DISTINCT series_id) FROM f GROUP BY tenant_id"""
+)
+def load_dims(spark, sf_dir):
+    """The dimension tables, written as Parquet and read with their schemas."""
+    path, no_time = scratch_path(spark, "dims"), F.lit(None).cast("timestamp")
+    sources = a.fact_sources(spark, sf_dir)
+    tenants = sources.select(F.col("tenant_id").alias("id")).distinct().select("id", F.concat(F.lit("tenant-"), F.col("id").cast("string")).alias("name"), F.col("id").cast("string").alias("slug"), no_time.alias("created_at"))
+    sources = sources.select("id", "tenant_id", "name", F.lit(0).alias("kind"), F.lit("{}").alias("config"), no_time.alias("last_seen_at"))
+    for name, table in {"tenants": tenants, "api_keys": a.api_keys(spark, sf_dir), "sources": sources, "series": a.fact_series(spark, sf_dir).withColumn("created_at", no_time)}.items():
+        table.write.parquet(f"{path}/{name}")
+    out = None
+    for name, table in files.load_dims(spark, path).items():
+        part = table.groupBy(F.col("id" if name == "tenants" else "tenant_id").alias("tenant_id")).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("tab"), "tenant_id", "rows")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(
+    """WITH u AS (SELECT user_id, min(event_id) AS batch_id FROM events GROUP BY user_id), v AS (SELECT *, user_id % 5 IN (1, 2, 4) AS bad_source, user_id % 4 = 1 AS empty, user_id % 4 = 3 AS large FROM u)
+SELECT batch_id, concat_ws(',', CASE WHEN bad_source THEN 'source' END, CASE WHEN empty THEN 'batch_empty' END, CASE WHEN large THEN 'batch_too_large' END) AS reasons FROM v"""
+)
+def batch_limits(spark, sf_dir):
+    """Sources that are blank or too long, batches without points and with too many."""
+    return validate.with_reasons(a.odd_requests(spark, sf_dir)).select("batch_id", F.array_join("batch_reasons", ",").alias("reasons"))
+
+
+@query(ORACLE_SQL["host_metrics"])
+def proc_snapshots(spark, sf_dir):
+    """Host metrics from snapshots in long form."""
+    wide = a.snapshots(spark, sf_dir)
+    long = wide.select("host", "ts", F.expr("stack(3, 'stat', stat, 'meminfo', meminfo, 'uptime', uptime) as (kind, content)"))
+    disks = wide.select("host", "ts", F.col("disk_total").alias("total_bytes"), F.col("disk_free").alias("free_bytes"))
+    return ntz(host.host_metrics(host.parse_proc_snapshots(long, disks)).withColumn("value", F.round("value", 6)))
+
+
+@query(
+    "WITH " + FACTS + ", " + KEYS + """, se AS (SELECT DISTINCT series_id, tenant_id, source_id FROM f)
+SELECT 'api_keys.tenant_id' AS fk, count(*) AS orphans FROM keys WHERE tenant_id IN (2, 5) UNION ALL SELECT 'sources.tenant_id', count(*) FROM keys WHERE tenant_id IN (2, 5)
+UNION ALL SELECT 'series.tenant_id', count(*) FROM se WHERE tenant_id IN (2, 5) UNION ALL SELECT 'series.source_id', count(*) FROM se WHERE source_id % 9 = 4 UNION ALL SELECT 'points.series_id', count(*) FROM f WHERE series_id % 11 = 3"""
+)
+def orphan_checks(spark, sf_dir):
+    """Every foreign key, with some of the parents gone."""
+    sources, series = a.fact_sources(spark, sf_dir), a.fact_series(spark, sf_dir)
+    tenants = sources.select(F.col("tenant_id").alias("id")).distinct().where("id not in (2, 5)")
+    checks = {
+        "api_keys.tenant_id": (a.api_keys(spark, sf_dir), "tenant_id", tenants), "sources.tenant_id": (sources, "tenant_id", tenants), "series.tenant_id": (series, "tenant_id", tenants),
+        "series.source_id": (series, "source_id", sources.where("id % 9 <> 4")), "points.series_id": (a.facts(spark, sf_dir), "series_id", series.where("id % 11 <> 3")),
+    }
+    out = None
+    for name, (table, column, parents) in checks.items():
+        part = integrity.find_orphans(table, column, parents).agg(F.count(F.lit(1)).alias("orphans")).select(F.lit(name).alias("fk"), "orphans")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(
+    "WITH " + FACTS + ", " + KEYS + """ SELECT 'sources' AS tab, CAST(NULL AS TIMESTAMP) AS week, count(*) AS rows FROM keys WHERE id % 9 <> 4 UNION ALL SELECT 'series', NULL, count(DISTINCT series_id) FROM f WHERE source_id % 9 <> 4
+UNION ALL SELECT 'points', week, count(*) FROM f WHERE source_id % 9 <> 4 GROUP BY week"""
+)
+def purge_sources(spark, sf_dir):
+    """Sources and what hangs from them; of the stored points only the weeks concerned are written anew."""
+    path, sources, series = scratch_path(spark, "points"), a.fact_sources(spark, sf_dir), a.fact_series(spark, sf_dir)
+    write_points(a.facts(spark, sf_dir).select("series_id", "ts", "value"), path)
+    gone = sources.where("id % 9 = 4")
+    left = integrity.purge_sources({"sources": sources, "series": series, "points": a.facts(spark, sf_dir)}, gone)
+    files.purge_points(spark, path, series.join(gone.select(F.col("id").alias("source_id")), "source_id", "left_semi"))
+    no_week, rows = F.lit(None).cast("timestamp").alias("week"), F.count(F.lit(1)).alias("rows")
+    counts = [left[t].agg(rows).select(F.lit(t).alias("tab"), no_week, "rows") for t in ("sources", "series")]
+    points_left = read_facts(spark, path).groupBy("week").agg(rows).select(F.lit("points").alias("tab"), "week", "rows")
+    return ntz(counts[0].unionByName(counts[1]).unionByName(points_left))

@@ -57,11 +57,20 @@ def daily_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = g.withColumn("points", F.transform(by_event, lambda x: x["point"]))
     wait = F.when(F.col("user_id") % 13 == 0, F.expr("INTERVAL '8 00:00:01' DAY TO SECOND")).otherwise(F.expr("INTERVAL '0 00:00:01' DAY TO SECOND"))
     suppliers = table(spark, sf_dir, "supplier").agg(F.count(F.lit(1)).alias("_n"))
-    key = F.concat(F.lit("vg_"), (F.col("user_id") % (F.col("_n") + 5)).cast("string"))
+    key = F.concat(F.lit("key-"), (F.col("user_id") % (F.col("_n") + 5)).cast("string"))
     # one row, the count of suppliers
     return g.crossJoin(F.broadcast(suppliers)).select("batch_id", (F.col("last") + wait).alias("received_at"), key.alias("api_key"), "user_id", "tenant_id", "source", "points")
 
 
+def odd_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request per user that may have a blank or long source, and no point, one, as many as are allowed, or one more."""
+    first = F.min_by("point", "event_id").alias("point")
+    g = points_of(events(spark, sf_dir)).groupBy("user_id").agg(F.min("event_id").alias("batch_id"), F.max("event_ts").alias("received_at"), first)
+    names = [F.lit("host"), F.lit("  "), F.lit("\u3000"), F.repeat(F.lit("s"), 200), F.repeat(F.lit("s"), 201)]
+    sizes = F.get(F.array(*map(F.lit, (1, 0, 1000, 1001))), (F.col("user_id") % 4).cast("int"))
+    return g.select("batch_id", "received_at", F.get(F.array(*names), (F.col("user_id") % 5).cast("int")).alias("source"), F.array_repeat("point", sizes).alias("points"))
+
+
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A source per user, but for those divisible by 11."""
     u = table(spark, sf_dir, "events").where("user_id % 11 <> 0").select("user_id").distinct()
@@ -74,7 +83,7 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def api_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
     return table(spark, sf_dir, "supplier").select(
-        k.cast("int").alias("id"), (k % 7 + 1).cast("int").alias("tenant_id"), key_hash(F.concat(F.lit("vg_"), k.cast("string"))).alias("key_hash"), F.col("s_name").alias("label"),
+        k.cast("int").alias("id"), (k % 7 + 1).cast("int").alias("tenant_id"), key_hash(F.concat(F.lit("key-"), k.cast("string"))).alias("key_hash"), F.col("s_name").alias("label"),
         F.when(k % 10 < 8, 0).when(k % 10 == 8, 1).otherwise(2).alias("scope"), F.lit("2023-12-01").cast("timestamp").alias("created_at"), F.lit(None).cast("timestamp").alias("last_used_at"),
         F.when(k % 5 == 0, F.lit("2024-01-15").cast("timestamp")).alias("revoked_at"),
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions import limits as lim
 from pulsegrid.functions.scalars import week_start
+from pulsegrid.sources.scratch import delete, written
 
 
 def parse_requests(bodies: DataFrame) -> DataFrame:
@@ -41,20 +42,47 @@ def load_points_jdbc(spark: SparkSession, jdbc: dict[str, str], weeks: list[str]
     return spark.read.jdbc(jdbc["url"], "metric_points", predicates=predicates, properties=properties)
 
 
-def write_points(points: DataFrame, path: str, max_records: int = 5_000_000) -> int:
+def write_points(points: DataFrame, path: str, max_records: int = 5_000_000, epoch: int | None = None) -> int:
     """Appends series_id, ts and value under week=...; returns the number of rows written.
 
     Nearly all rows of a stream fall in the current week. Rows are rebalanced by week: adaptive execution gives a
     small week one file, and splits a hot one into as many tasks as its size asks for. Files are sorted by series
-    and time, so that their statistics serve as an index. The count comes with the write.
+    and time, so that their statistics serve as an index. The count comes with the write. With an epoch, rows go
+    under week=.../epoch=... and replace what a failed try of the same epoch left there.
     """
-    seen = Observation()
+    seen, by = Observation(), ["week"] + ["epoch"] * (epoch is not None)
     dated = points.select("series_id", "ts", "value", F.date_format(week_start(F.col("ts")), "yyyy-MM-dd").alias("week"))
-    dealt = dated.hint("rebalance", F.col("week")).sortWithinPartitions("week", "series_id", "ts")
-    dealt.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("append").option("maxRecordsPerFile", max_records).partitionBy("week").parquet(path)
+    dated = dated if epoch is None else dated.withColumn("epoch", F.lit(epoch).cast("long"))
+    dealt = dated.hint("rebalance", F.col("week")).sortWithinPartitions("week", "series_id", "ts").observe(seen, F.count(F.lit(1)).alias("rows"))
+    how = dealt.write.mode("append") if epoch is None else dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    how.option("maxRecordsPerFile", max_records).partitionBy(*by).parquet(path)
     return seen.get["rows"]
 
 
 def read_facts(spark: SparkSession, path: str) -> DataFrame:
     """Points as written, week as the Monday's time stamp; filters on week prune folders."""
-    return spark.read.schema(f"{lim.POINT}, week date").parquet(path).withColumn("week", F.col("week").cast("timestamp"))
+    facts = spark.read.schema(f"{lim.POINT}, week date").parquet(path)
+    return facts.select("series_id", "ts", "value", F.col("week").cast("timestamp").alias("week"))
+
+
+def purge_points(spark: SparkSession, path: str, lost: DataFrame) -> list[str]:
+    """Takes the points of the lost series (id) out of the files under path; returns the weeks that were rewritten.
+
+    Only weeks that hold such points are read whole and written anew, in the shared folder first; a week of which
+    nothing is left goes. What comes to the driver is the list of weeks.
+    """
+    facts, gone = read_facts(spark, path), lost.select(F.col("id").alias("series_id")).distinct()
+    weeks = [r["week"] for r in facts.join(gone, "series_id", "left_semi").select("week").distinct().collect()]
+    if not weeks:
+        return []
+    kept = written(facts.where(F.col("week").isin(weeks)).join(gone, "series_id", "left_anti"), "purged")
+    for week in weeks:
+        delete(spark, f"{path}/week={week:%Y-%m-%d}")
+    write_points(kept, path)
+    return sorted(f"{week:%Y-%m-%d}" for week in weeks)
+
+
+def request_stream(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
+    """Request logs as read_requests has them, as a stream; a micro-batch takes max_files files at most."""
+    raw = spark.readStream.schema("batch_id long, received_at timestamp, api_key string, body string").option("maxFilesPerTrigger", max_files).json(path)
+    return parse_requests(raw)

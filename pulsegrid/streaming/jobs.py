@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,71 +11,49 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pulsegrid.functions.limits import RATE_PERMIT, RATE_WINDOW_SECONDS
-from pulsegrid.operators import points as pts
 from pulsegrid.operators.host import parse_cpu
-from pulsegrid.plans.ingest import ingest
-from pulsegrid.sources.tables import write_points
+from pulsegrid.plans.store import KEEP_WINDOWS, ingest_epoch
 
 
-def ingest_stream(requests: DataFrame, dims: Callable[[], dict[str, DataFrame]], sink: Callable[[dict[str, DataFrame], int], None], checkpoint: str, permit: int = RATE_PERMIT, window_seconds: int = RATE_WINDOW_SECONDS, trigger: dict | None = None):
-    """Starts the ingest of a stream of requests; each micro-batch goes through the batch path.
+def ingest_stream(requests: DataFrame, dims: Callable[[], dict[str, DataFrame]], path: str, checkpoint: str, permit: int = RATE_PERMIT, window_seconds: int = RATE_WINDOW_SECONDS, trigger: dict | None = None, keep_windows: int = KEEP_WINDOWS):
+    """Starts the ingest of a stream of requests into the tables under path; each micro-batch is an epoch of ingest_epoch.
 
-    dims() gives keys and sources afresh for every micro-batch. sink(tables, epoch) gets points, rejects and
-    last_seen; it is called again with the same epoch after a failure, so it should overwrite by epoch. Late data
-    are judged by their time of arrival in the rows, not by a watermark. Limits count within a micro-batch: where a
-    key's window spans several, rate_limit_stream comes first.
+    dims() gives api_keys, sources and weeks afresh for every micro-batch. Limits, series and last_seen carry on from
+    epoch to epoch; one that is tried again after a failure replaces its own part. How much a micro-batch takes is
+    limited where the stream is read (request_stream). Late data are judged by their time of arrival, not by a watermark.
     """
 
     def run(batch: DataFrame, epoch: int) -> None:
-        held = batch.persist()
-        try:
-            d = dims()
-            done = ingest(held, d["api_keys"], d["sources"], permit, window_seconds)
-            sink({"points": done.points, "rejects": done.rejects, "last_seen": pts.last_seen(done.accepted)}, epoch)
-        finally:
-            held.unpersist()
+        ingest_epoch(batch, dims(), path, epoch, permit, window_seconds, keep_windows)
 
     return requests.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()
 
 
-def epoch_sink(path: str) -> Callable[[dict[str, DataFrame], int], None]:
-    """Writes each table under path/table/epoch=n, overwriting what a failed try left."""
+def rate_limit_stream(requests: DataFrame, permit: int = RATE_PERMIT, window_seconds: int = RATE_WINDOW_SECONDS, keep_windows: int = KEEP_WINDOWS) -> DataFrame:
+    """key_id, batch_id, received_at, allowed and reason of a stream of requests; the permits used in a key's latest windows are its state.
 
-    def sink(tables: dict[str, DataFrame], epoch: int) -> None:
-        for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{path}/{name}/epoch={epoch}")
-
-    return sink
-
-
-def write_points_sink(path: str) -> Callable[[dict[str, DataFrame], int], None]:
-    """Appends resolved points by week; at least once, and duplicates are stored, as there is no key over points."""
-    return lambda tables, epoch: write_points(tables["points"], path) and None
-
-
-def rate_limit_stream(requests: DataFrame, permit: int = RATE_PERMIT, window_seconds: int = RATE_WINDOW_SECONDS) -> DataFrame:
-    """key_id, batch_id, received_at and allowed of a stream of requests; a window's used permits are the state of its key.
-
-    Within a micro-batch requests count in order of arrival; over micro-batches in the order in which they come.
-    A key's state is one window and one number; it ends a window after the key falls silent, by the watermark on received_at.
+    Within a micro-batch requests count in order of arrival; over micro-batches in the order in which they come. Every
+    request gets a verdict: one of a window more than keep_windows behind its key's latest is refused as late. A key's
+    state is a few numbers for each kept window with requests, and stays, as keys do.
     """
     wide = window_seconds * 1_000_000
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(frames)).sort_values(["received_at", "batch_id"], kind="stable")
+        used = {int(w): n for w, n in json.loads(state.get[0]).items()} if state.exists else {}
+        # a key's rows of one micro-batch, which the stream's admission limit bounds
+        rows = pd.concat(list(frames)).sort_values(["at", "batch_id"], kind="stable")
         window = rows["at"] // wide
-        held, used = state.get if state.exists else (-1, 0)
-        nth = rows.groupby(window).cumcount() + 1 + (window == held) * used
-        last = int(max(window.max(), held))
-        state.update((last, int(nth[window == last].max()) if (window == last).any() else used))
-        state.setTimeoutTimestamp(max((last + 2) * wide // 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"key_id": rows["key_id"], "batch_id": rows["batch_id"], "received_at": rows["received_at"], "allowed": nth <= permit})
-
-    narrow = requests.withWatermark("received_at", f"{window_seconds} seconds").select("key_id", "batch_id", "received_at", F.unix_micros("received_at").alias("at"))
-    return narrow.groupBy("key_id").applyInPandasWithState(step, "key_id long, batch_id long, received_at timestamp, allowed boolean", "win long, used long", "append", GroupStateTimeout.EventTimeTimeout)
+        late = window < max(used, default=int(window.min())) - keep_windows
+        over = rows.groupby(window).cumcount() + 1 + window.map(used).fillna(0).astype("int64") > permit
+        for w, n in window.value_counts().items():
+            used[int(w)] = used.get(int(w), 0) + int(n)
+        reason = ["late" if x else "rate_limited" if y else None for x, y in zip(late, over)]
+        yield pd.DataFrame({"key_id": rows["key_id"], "batch_id": rows["batch_id"], "received_at": rows["received_at"], "allowed": ~(late | over), "reason": pd.Series(reason, rows.index, dtype=object)})
+        newest = max(used, default=0)
+        state.update((json.dumps({w: n for w, n in used.items() if w >= newest - keep_windows}),))
+
+    narrow = requests.select("key_id", "batch_id", "received_at", F.unix_micros("received_at").alias("at"))
+    return narrow.groupBy("key_id").applyInPandasWithState(step, "key_id long, batch_id long, received_at timestamp, allowed boolean, reason string", "used string", "append", GroupStateTimeout.NoTimeout)
 
 
 def cpu_usage_stream(samples: DataFrame, silence: str = "1 day") -> DataFrame:

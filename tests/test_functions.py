@@ -126,14 +126,14 @@ def test_batch_rules(spark, n, source, reasons):
 
 
 def keyed(spark):
-    rows = [(1, 1, "vg_a", 0, None), (2, 1, "vg_r", 1, None), (3, 2, "vg_old", 0, "2034-02-06 11:59:59"), (4, 2, "vg_b", 0, "2034-02-06 12:00:01")]
+    rows = [(1, 1, "key-a", 0, None), (2, 1, "key-r", 1, None), (3, 2, "key-old", 0, "2034-02-06 11:59:59"), (4, 2, "key-b", 0, "2034-02-06 12:00:01")]
     df = spark.createDataFrame(rows, "id int, tenant_id int, key string, scope int, revoked_at string")
     return df.select("id", "tenant_id", s.key_hash(F.col("key")).alias("key_hash"), F.lit("l").alias("label"), "scope", F.lit(None).cast("timestamp").alias("created_at"), F.lit(None).cast("timestamp").alias("last_used_at"), F.to_timestamp("revoked_at").alias("revoked_at"))
 
 
 def test_statuses_in_order(spark):
     base = request(spark, [point()])
-    tries = [(1, None), (2, "vg_r"), (3, "vg_a"), (4, "vg_a"), (5, "vg_old"), (6, "vg_b"), (7, "nobody")]
+    tries = [(1, None), (2, "key-r"), (3, "key-a"), (4, "key-a"), (5, "key-old"), (6, "key-b"), (7, "nobody")]
     rows = spark.createDataFrame(tries, "b long, k string")
     df = base.crossJoin(rows).select(F.col("b").alias("batch_id"), "received_at", F.col("k").alias("api_key"), "source", "points")
     out = {r.batch_id: (r.status, r.accepted) for r in auth.ingest_status(df, keyed(spark), 1, 60).collect()}
@@ -247,7 +247,7 @@ def test_spool(spark):
 
 def test_integrity(spark):
     keys = keyed(spark)
-    asked = spark.createDataFrame([("vg_a",), ("vg_old",), ("unknown",)], "api_key string")
+    asked = spark.createDataFrame([("key-a",), ("key-old",), ("unknown",)], "api_key string")
     new, missing = integrity.apply_revocations(keys, asked, dt.datetime(2036, 1, 1))
     assert {r.id: r.revoked_at for r in new.collect()}[1] == dt.datetime(2036, 1, 1) and missing.count() == 1
     assert {r.id: r.revoked_at for r in new.collect()}[3] == dt.datetime(2036, 1, 1)

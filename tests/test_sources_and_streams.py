@@ -6,7 +6,8 @@ import json
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import limits as lim
-from pulsegrid.sources.tables import load_dims, read_facts, read_requests, read_spool, write_points
+from pulsegrid.plans import store
+from pulsegrid.sources.tables import load_dims, purge_points, read_facts, read_requests, read_spool, write_points
 from pulsegrid.streaming import jobs
 
 ANCHOR = dt.datetime(2034, 2, 6, 12)
@@ -55,6 +56,87 @@ def test_limits_hold_across_batches(spark, tmp_path):
     assert {r.batch_id: r.allowed for r in got} == {0: True, 1: True, 2: True, 3: False, 61: True}
 
 
+def test_late_requests_get_a_verdict(spark, tmp_path):
+    rows = lambda xs: spark.createDataFrame([(i, 1, ANCHOR + dt.timedelta(seconds=s)) for i, s in xs], "batch_id long, key_id long, received_at timestamp")
+    turns = [rows([(0, 0), (1, 1), (2, 2), (3, 61)]), rows([(4, 5), (5, 62)]), rows([(6, 3600)]), rows([(7, 63)])]
+    got = in_turns(spark, tmp_path, turns, lambda r: jobs.rate_limit_stream(r, 3, 60, keep_windows=30))
+    assert {r.batch_id: r.reason for r in got} == {0: None, 1: None, 2: None, 3: None, 4: "rate_limited", 5: None, 6: None, 7: "late"}
+    assert all(r.allowed == (r.reason is None) for r in got)
+
+
+def requests_at(spark, seconds, first=0):
+    """One request of one point at each second, with the key "k" and the source "h"."""
+    at = lambda s: ANCHOR + dt.timedelta(seconds=s)
+    rows = [(first + i, at(s), "k", "h", [("a.b", "u", at(s).isoformat() + "Z", float(s), {"n": str(s % 2)})]) for i, s in enumerate(seconds)]
+    return spark.createDataFrame(rows, lim.REQUEST)
+
+
+def dims_of(spark):
+    from pulsegrid.functions.scalars import key_hash
+
+    keys = spark.createDataFrame([(1, 7, "k", 0)], "id int, tenant_id int, key string, scope int").select("id", "tenant_id", key_hash(F.col("key")).alias("key_hash"), "scope", F.lit(None).cast("timestamp").alias("created_at"), F.lit(None).cast("timestamp").alias("revoked_at"))
+    sources = spark.createDataFrame([(3, 7, "h", 0, "{}", None)], lim.SOURCE)
+    return {"api_keys": keys, "sources": sources, "weeks": spark.createDataFrame([(dt.datetime(2034, 2, 6),)], "week timestamp")}
+
+
+def test_ingest_over_micro_batches(spark, tmp_path):
+    path = str(tmp_path / "out")
+    turns = [requests_at(spark, [0, 1, 2]), requests_at(spark, [3, 4, 61], 10), requests_at(spark, [5, 62, 7 * 86400 + 1], 20)]
+    for i, turn in enumerate(turns):
+        turn.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(turn.schema).parquet(f"{tmp_path}/in")
+        jobs.ingest_stream(stream, lambda: dims_of(spark), path, f"{tmp_path}/state", 3, 60, {"availableNow": True}, keep_windows=20_000).awaitTermination()
+    seen = lambda: sorted((r.ts.minute, r.ts.second, r.value, r.labels) for r in store.read_points_of(spark, path).collect())
+    want = [(0, s, float(s), '{"n":"%d"}' % (s % 2)) for s in (0, 1, 2)] + [(1, s - 60, float(s), '{"n":"%d"}' % (s % 2)) for s in (61, 62)]
+    rejects = lambda: sorted((r.reason, r.batch_id) for r in store.read_rejects(spark, path).collect())
+    lost = [("no_partition", 22), ("rate_limited", 10), ("rate_limited", 11), ("rate_limited", 20)]
+    assert seen() == want and rejects() == lost
+    assert store.read_series(spark, path).count() == 2
+    assert [r.last_seen_at for r in store.read_sources(dims_of(spark)["sources"], path).collect()] == [ANCHOR + dt.timedelta(days=7, seconds=1)]
+    # an epoch that runs again changes nothing
+    store.ingest_epoch(turns[1], dims_of(spark), path, 1, 3, 60, 20_000)
+    assert seen() == want and rejects() == lost and sorted(r.id for r in store.read_series(spark, path).collect()) == [1, 2]
+
+
+def test_requests_older_than_the_kept_windows_are_refused(spark, tmp_path):
+    path = str(tmp_path)
+    assert store.ingest_epoch(requests_at(spark, [7200]), dims_of(spark), path, 0, 3, 60, 60) == 1
+    assert store.ingest_epoch(requests_at(spark, [0, 7201], 10), dims_of(spark), path, 1, 3, 60, 60) == 1
+    assert [(r.reason, r.batch_id) for r in store.read_rejects(spark, path).collect()] == [("rate_limited", 10)]
+
+
+def test_anchored_walk_over_small_batches(spark):
+    import random
+
+    from pulsegrid.operators.auth import rate_limit
+
+    rng = random.Random(3)
+    rows = [(i, rng.choice([1, 2, None]), ANCHOR + dt.timedelta(seconds=rng.randrange(4000))) for i in range(600)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r.batch_id: r.allowed for r in rate_limit(spark.createDataFrame(rows, "batch_id long, key_id long, received_at timestamp"), 3, 60, "anchored").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = {i: True for i, k, _ in rows if k is None}
+    for key in (1, 2):
+        end, count = None, 0
+        for at, i in sorted((at, i) for i, k, at in rows if k == key):
+            if end is None or at >= end:
+                end, count = at + dt.timedelta(seconds=60), 0
+            count += 1
+            want[i] = count <= 3
+    assert got == want
+
+
+def test_purge_rewrites_only_the_weeks_concerned(spark, tmp_path):
+    rows = [(1, ANCHOR, 1.0), (2, ANCHOR, 2.0), (2, ANCHOR + dt.timedelta(days=7), 3.0), (1, ANCHOR + dt.timedelta(days=14), 4.0)]
+    write_points(spark.createDataFrame(rows, lim.POINT), f"{tmp_path}/p")
+    assert purge_points(spark, f"{tmp_path}/p", spark.createDataFrame([(1,)], "id int")) == ["2034-02-06", "2034-02-20"]
+    assert sorted((r.series_id, r.value) for r in read_facts(spark, f"{tmp_path}/p").collect()) == [(2, 2.0), (2, 3.0)]
+    assert purge_points(spark, f"{tmp_path}/p", spark.createDataFrame([(1,)], "id int")) == []
+
+
 def test_cpu_state_goes_from_batch_to_batch(spark, tmp_path):
     line = lambda idle, total: f"cpu {total - idle} 0 0 {idle} 0 0"
     rows = lambda xs: spark.createDataFrame([("h", ANCHOR + dt.timedelta(seconds=s), c) for s, c in xs], "host string, ts timestamp, content string")
