@@ -700,7 +700,7 @@ def ingested_stream(spark, sf_dir):
     """Request logs of three spans of time, streamed one after the other, each as a micro-batch of its own."""
     path = scratch_path(spark, "ingest")
     requests = a.daily_requests(spark, sf_dir)
-    lines = requests.select("received_at", F.to_json(F.struct("batch_id", "received_at", "api_key", F.to_json(F.struct("source", "points")).alias("body"))).alias("value"))
+    lines = a.request_lines(requests)
     spans = [dt.datetime(1970, 1, 1), dt.datetime(2024, 1, 11), dt.datetime(2024, 1, 22, 7), dt.datetime(2100, 1, 1)]
     dims = lambda: ingest_dims(spark, sf_dir)
     for lo, hi in zip(spans, spans[1:]):
@@ -732,7 +732,7 @@ def ingest_stream_last_seen(spark, sf_dir):
 def read_requests(spark, sf_dir):
     """Request logs written as JSON lines and read back."""
     path, requests = scratch_path(spark, "logs"), a.daily_requests(spark, sf_dir)
-    requests.select(F.to_json(F.struct("batch_id", "received_at", "api_key", F.to_json(F.struct("source", "points")).alias("body"))).alias("value")).write.text(path)
+    a.request_lines(requests).select("value").write.text(path)
     back = files.read_requests(spark, path)
     total = F.aggregate("points", F.lit(0.0), lambda x, p: x + F.when(F.isnan(p["value"]), 0.0).otherwise(p["value"]))
     return ntz(back.select("batch_id", "api_key", "source", "received_at", F.size("points").cast("long").alias("n_points"), F.array_max("points.name").alias("last_name"), F.round(total, 4).alias("total")))

@@ -62,6 +62,12 @@ def daily_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.crossJoin(F.broadcast(suppliers)).select("batch_id", (F.col("last") + wait).alias("received_at"), key.alias("api_key"), "user_id", "tenant_id", "source", "points")
 
 
+def request_lines(requests: DataFrame) -> DataFrame:
+    """received_at and value: requests as lines of a log."""
+    stamp = F.date_format("received_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("received_at")
+    return requests.select("received_at", F.to_json(F.struct("batch_id", stamp, "api_key", F.to_json(F.struct("source", "points")).alias("body"))).alias("value"))
+
+
 def odd_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A request per user that may have a blank or long source, and no point, one, as many as are allowed, or one more."""
     first = F.min_by("point", "event_id").alias("point")
