@@ -83,6 +83,23 @@ def levels(units: np.ndarray, firsts: np.ndarray, rounds: int = LEVELS):
         yield name, at, low, end
 
 
+def least_over(start: np.ndarray, end: np.ndarray, key: np.ndarray, n: int, top: np.uint64) -> np.ndarray:
+    """The least key of the ranges start to end over each of n places, top where there is none.
+
+    A range is two that overlap, of a power of two places; the tables of each power are handed down from the longest.
+    """
+    power = np.log2(np.maximum(end - start, 1)).astype(np.int64)
+    out = np.full(n, top)
+    for k in range(int(power.max(initial=0)), -1, -1):
+        mine = power == k
+        np.minimum.at(out, start[mine], key[mine])
+        np.minimum.at(out, end[mine] - (1 << k), key[mine])
+        if k:
+            half = 1 << k - 1
+            out[half:] = np.minimum(out[half:], out[:-half])
+    return out
+
+
 def window_anchors(units: np.ndarray, firsts: np.ndarray, window: int = WINDOW, rounds: int = LEVELS) -> Anchors:
     """The highest symbol decided within each window; of several the one of least hash, then the leftmost."""
     n = len(units)
@@ -101,15 +118,10 @@ def window_anchors(units: np.ndarray, firsts: np.ndarray, window: int = WINDOW,
     for level, (name, at, low, end) in reversed(list(enumerate(levels(units, firsts, rounds)))):
         open_ = level_of < 0
         key = (mix(name ^ np.uint64(level)) >> bits << bits) | at.astype(np.uint64)
-        fits = np.flatnonzero(end - low <= window)
-        for t in range(window if len(fits) and open_[starts].any() else 0):
-            s = low[fits] - t
-            fits, s = fits[(s + window >= end[fits]) & (s >= 0)], s[(s + window >= end[fits]) & (s >= 0)]
-            if not len(fits):
-                break
-            mine = open_[s]
-            np.minimum.at(best, s[mine], key[fits[mine]])
-        found = open_ & (best != top)
+        fits = np.flatnonzero(end - low <= window) if open_[starts].any() else starts[:0]
+        least = least_over(np.maximum(end[fits] - window, 0), low[fits] + 1, key[fits], n, top)
+        found = open_ & (least != top)
+        best[found] = least[found]
         level_of[found] = level
         # an anchor's name tells the words that decided its symbol, which are in all its windows
         low, end = np.clip(low, 0, n), np.clip(end, 0, n)
@@ -127,7 +139,7 @@ def window_classes(c: Contexts, window: int = WINDOW) -> np.ndarray:
     at, row = flat(c.start, c.windows), np.repeat(np.arange(len(c.windows)), c.windows)
     distance = (c.offset[row] - (at - c.start[row])).astype(np.uint64)
     symbol = mix(c.hash[row] + distance * GOLDEN)
-    out, total, left, turn = np.empty(len(at), np.int64), 0, np.arange(len(at)), 0
+    out, left, turn = np.empty(len(at), np.int64), np.arange(len(at)), 0
     while len(left):
         key = symbol[left]
         for k in range(window):
@@ -139,12 +151,20 @@ def window_classes(c: Contexts, window: int = WINDOW) -> np.ndarray:
         same = c.hash[row[rows]] == c.hash[row[lead]]
         for k in range(window):
             same &= c.units[at[rows] + k] == c.units[at[lead] + k]
-        out[rows[same]] = total + number[same]
-        total, left, turn = total + int(head.sum()), np.sort(rows[~same]), turn + 1
+        out[rows[same]] = lead[same]
+        left, turn = np.sort(rows[~same]), turn + 1
     return out
 
 
-WORDS = Kind(WINDOW, split_words, window_anchors, lambda units, source: exact_words(source[0]), send_words, receive_words, window_classes)
+def shared_symbols(exact: np.ndarray, firsts: np.ndarray, a: Anchors) -> Contexts:
+    """The windows of a block whose symbols it has more than once."""
+    _, which, times = np.unique(a.hash, return_inverse=True, return_counts=True)
+    at = np.flatnonzero(times[which] > 1)
+    zero = np.zeros(len(at), np.int64)
+    return Contexts(a.hash[at], a.at[at] - a.low[at], a.high[at] - a.low[at] + 1, zero, zero, a.low[at], a.low[at], exact)
+
+
+WORDS = Kind(WINDOW, split_words, window_anchors, lambda units, source: exact_words(source[0]), shared_symbols, send_words, receive_words, window_classes)
 
 ADDED = [
     T.StructField("kept", T.BinaryType(), False), T.StructField("n_words", T.LongType(), False), T.StructField("n_removed", T.LongType(), False), T.StructField("spans", T.ArrayType(T.LongType()), False),

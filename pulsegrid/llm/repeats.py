@@ -1,13 +1,14 @@
 """Finding repeated windows of units (bytes or words) over a corpus, and cutting all occurrences but the first.
 
-The work both substring operators share. Texts are packed into blocks, written once. Every window of a document
-has one anchor that its own units decide, so that equal windows have equal anchors at equal distances. Hashes of
-anchors meet by value; each block learns which of its anchors are repeated, and sends those anchors' contexts
-(the units of all windows that belong to an anchor) to be compared exactly with the contexts of the same anchor
-from other blocks. What is found comes back to the blocks, which cut it out.
-
-Equal contexts of a block are reduced to the earliest before they leave it, so that an anchor sends as many
-contexts as there are blocks and different surroundings, however often its passage occurs.
+The work both substring operators share. Texts are packed into blocks, in order of their ids, and written once. Inside
+a block, equal windows are found over the whole texts. Across blocks, every window has one anchor that its own units
+decide, so that equal windows have equal anchors at equal distances. Hashes of anchors meet by value; each block
+learns which of its anchors other blocks have too, and sends those anchors' contexts (the units of all their windows
+that are the first of their kind in the block) to be compared exactly with the contexts of the same anchor from other
+blocks. What is found comes back to the blocks, which cut it out.
+
+An anchor that occurs very often, with ever different surroundings, would fill one group: its contexts are parted into
+single windows, which go to groups by their own content.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ LEAST_GROUPS = 32
 #: Blocks whose equal contexts of one anchor meet at a time: with more blocks, contexts are thinned in rounds first.
 MEET_BLOCKS = 2048
 NO_ID = 2**63 - 1
+#: Occurrences from which an anchor's contexts are parted, and the bits of a hash that carry a count's logarithm.
+HOT, COUNT_BITS = 1 << 14, np.uint64(15)
 
 L, B = pa.int64(), pa.binary()
 BLOCKS: Fields = {"block": L, "data": B}
@@ -72,14 +75,15 @@ class Kind:
     """What makes the two operators differ.
 
     split: texts -> (units, first unit of each text and one more, what send needs of the texts); anchors: (units,
-    firsts) -> Anchors; exact: (units, what send needs) -> units that are equal only if what they stand for is; send: (Contexts, what send needs) -> their units as bytes; receive: several such bytes -> (units,
-    what send needs to send them on); classes: Contexts whose hashes each occur more than once, none equal -> class of each window, row by row.
+    firsts) -> Anchors; inside: (exact units, firsts, Anchors) -> Contexts, in order, with all windows of a block that may be equal; exact: (units, what send needs) -> units that are equal only if what they stand for is; send: (Contexts, what send needs) -> their units as bytes; receive: several such bytes -> (units,
+    what send needs to send them on); classes: Contexts -> class of each window, row by row, as the number of one of its windows.
     """
 
     window: int
     split: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, object]]
     anchors: Callable[[np.ndarray, np.ndarray], Anchors]
     exact: Callable[[np.ndarray, object], np.ndarray]
+    inside: Callable[[np.ndarray, np.ndarray, Anchors], Contexts]
     send: Callable[[Contexts, object], np.ndarray]
     receive: Callable[[list[np.ndarray]], tuple[np.ndarray, object]]
     classes: Callable[[Contexts], np.ndarray]
@@ -126,13 +130,14 @@ def texts_in(table: pa.Table, text_col: str) -> list[bytes]:
     return [x or b"" for x in table.column(text_col).cast(pa.binary()).to_pylist()]
 
 
-def pack_blocks(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.RecordBatch]:
+def pack_blocks(batches: Iterator[pa.RecordBatch], id_col: str, text_col: str) -> Iterator[pa.RecordBatch]:
     number, held, size = TaskContext.get().partitionId() << 32, [], 0
 
     def out() -> pa.RecordBatch:
         nonlocal number, held, size
         number += 1
-        row, held, size = [number, pack_block(pa.Table.from_batches(held))], [], 0
+        table = pa.Table.from_batches(held)
+        row, held, size = [number, pack_block(table.take(pa.array(np.argsort(ids_of(table, id_col), kind="stable"))))], [], 0
         return batch_of([row], BLOCKS)
 
     for batch in batches:
@@ -151,14 +156,6 @@ def pack_blocks(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa
         yield out()
 
 
-def same_units(units: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Whether the units from a and from b agree over the whole length, row by row."""
-    if not len(a):
-        return np.zeros(0, bool)
-    equal = units[flat(a, lengths)] == units[flat(b, lengths)]
-    return np.logical_and.reduceat(equal, np.cumsum(lengths) - lengths)
-
-
 def content_hash(units: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """A hash of each row's units, from sums that need no loop over rows."""
     if not len(starts):
@@ -168,24 +165,13 @@ def content_hash(units: np.ndarray, starts: np.ndarray, lengths: np.ndarray) ->
     return mix(np.add.reduceat(terms, np.cumsum(lengths) - lengths) + lengths.astype(np.uint64))
 
 
-def equal_to_earlier(c: Contexts, window: int) -> np.ndarray:
-    """For each row the first row with the same hash, offset and units; rows are in order."""
-    lengths = c.windows + window - 1
-    key = content_hash(c.units, c.start, lengths)
-    order = np.lexsort((np.arange(len(key)), c.windows, c.offset, key, c.hash))
-    h, k, o, w = c.hash[order], key[order], c.offset[order], c.windows[order]
-    new = np.r_[True, (h[1:] != h[:-1]) | (k[1:] != k[:-1]) | (o[1:] != o[:-1]) | (w[1:] != w[:-1])][: len(order)]
-    first = np.empty(len(order), np.int64)
-    first[order] = order[new][np.cumsum(new) - 1] if len(order) else order
-    late = np.flatnonzero(first != np.arange(len(first)))
-    differ = late[~same_units(c.units, c.start[late], c.start[first[late]], lengths[late])]
-    first[differ] = differ
-    return first
-
-
-def marks(c: Contexts, rows: np.ndarray) -> Iterator[list]:
-    """Whole rows as found windows, by block."""
-    yield from by_block(c.block[rows], c.low[rows], c.low[rows] + c.windows[rows])
+def late_windows(classes: np.ndarray) -> np.ndarray:
+    """Of windows in order, those of a class that an earlier one has; a class is the number of one of its windows."""
+    late, others = np.zeros(len(classes), bool), np.flatnonzero(classes != np.arange(len(classes)))
+    members = np.unique(np.r_[others, classes[others]])
+    order = members[np.argsort(classes[members], kind="stable")]
+    late[order[1:]] = classes[order[1:]] == classes[order[:-1]]
+    return late
 
 
 def by_block(block: np.ndarray, low: np.ndarray, end: np.ndarray) -> Iterator[list]:
@@ -195,27 +181,31 @@ def by_block(block: np.ndarray, low: np.ndarray, end: np.ndarray) -> Iterator[li
         yield [-1, int(block[part[0]]), pack(low[part].astype("<i8"), end[part].astype("<i8"))]
 
 
-def earliest_stay(c: Contexts, window: int, kind: Kind) -> Iterator[list]:
-    """Marks of all windows in c (rows in order) that also start earlier in c."""
-    first = equal_to_earlier(c, window)
-    own = first == np.arange(len(first))
-    yield from marks(c, np.flatnonzero(~own))
-    kept = np.flatnonzero(own)
-    _, inverse, times = np.unique(c.hash[kept], return_inverse=True, return_counts=True)
-    kept = kept[times[inverse] > 1]
-    if not len(kept):
-        return
-    d = c.take(kept)
-    classes = kind.classes(d)
-    row, start = np.repeat(np.arange(len(kept)), d.windows), flat(d.low, d.windows)
-    order = np.argsort(classes, kind="stable")
-    late = np.zeros(len(classes), bool)
-    late[order] = np.r_[False, classes[order][1:] == classes[order][:-1]]
+def runs_within(row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last places of the runs in which the row stays and the start goes up by one."""
+    if not len(row):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    cut = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)])
+    return cut, np.r_[cut[1:], len(row)] - 1
+
+
+def first_windows(c: Contexts, kind: Kind) -> tuple[list[list], Contexts]:
+    """Marks of the windows of c (rows in order) that also start earlier in c; and the contexts of all others."""
+    late = late_windows(kind.classes(c))
+    row, step = np.repeat(np.arange(len(c.windows)), c.windows), flat(np.zeros(len(c.windows), np.int64), c.windows)
     at = np.flatnonzero(late)
-    if len(at):
-        cut = np.flatnonzero(np.r_[True, (row[at][1:] != row[at][:-1]) | (start[at][1:] != start[at][:-1] + 1)])
-        last = np.r_[cut[1:], len(at)] - 1
-        yield from by_block(d.block[row[at[cut]]], start[at[cut]], start[at[last]] + 1)
+    head, last = runs_within(row[at], step[at])
+    head, last = at[head], at[last]
+    marks = list(by_block(c.block[row[head]], c.low[row[head]] + step[head], c.low[row[last]] + step[last] + 1))
+    at = np.flatnonzero(~late)
+    head, last = runs_within(row[at], step[at])
+    return marks, parts_of(c, row[at[head]], step[at[head]], step[at[last]] - step[at[head]] + 1)
+
+
+def parts_of(c: Contexts, row: np.ndarray, skip: np.ndarray, windows: np.ndarray) -> Contexts:
+    """Of the rows named, windows from the skip-th on."""
+    d = c.take(row)
+    return Contexts(d.hash, d.offset - skip, windows, d.id, d.block, d.low + skip, d.start + skip, c.units)
 
 
 CONTEXT_TYPES = ("<u8", "<i8", "u1", "u1", "<u4")
@@ -237,14 +227,12 @@ def read_contexts(table: pa.Table, kind: Kind) -> tuple[Contexts, object]:
 
 
 def thinned(table: pa.Table, kind: Kind) -> Iterator[list]:
-    """Of equal contexts the earliest, by block as before, and the others as found windows."""
+    """The contexts of windows that are the first of their kind, by block as before, and the others as found windows."""
     bucket = table.column("bucket")[0].as_py()
     c, source = read_contexts(table, kind)
-    first = equal_to_earlier(c, kind.window)
-    own = first == np.arange(len(first))
-    for number, block, data in marks(c, np.flatnonzero(~own)):
+    marks, c = first_windows(c, kind)
+    for number, block, data in marks:
         yield [number - bucket, block, data]
-    c = c.take(np.flatnonzero(own))
     order = np.argsort(c.block, kind="stable")
     for lo, hi in zip(*runs_of(c.block[order])):
         yield [bucket, int(c.block[order[lo]]), pack_contexts(c.take(order[lo:hi]), kind, source)]
@@ -264,67 +252,80 @@ def cut_repeats(docs: DataFrame, kind: Kind, finish: Callable, added: list[T.Str
     tune(spark)
     names = [f.name for f in added]
     kept = [f for f in docs.schema.fields if f.name not in names]
-    blocks = write_table(docs.select(*[quoted(f.name) for f in kept]).mapInArrow(lambda it: pack_blocks(it, text_col), ddl(BLOCKS)), "blocks")
+    blocks = write_table(docs.select(*[quoted(f.name) for f in kept]).mapInArrow(lambda it: pack_blocks(it, id_col, text_col), ddl(BLOCKS)), "blocks")
     count = blocks.count()
     buckets, groups = max(LEAST_GROUPS, count // ANCHOR_BLOCKS), max(LEAST_GROUPS, count // CONTEXT_BLOCKS)
-    one, clear = np.uint64(1), np.uint64(2**64 - 2)
+    # as many partitions as the blocks ask for, so that what a task reads does not grow with the corpus
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), count // CONTEXT_BLOCKS)
+    one, clear = np.uint64(1), ~COUNT_BITS
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 h = np.sort(kind.anchors(*kind.split(texts_in(block_table(row["data"]), text_col))[:2]).hash & clear)
                 lo, hi = runs_of(h)
-                h = h[lo] | (hi - lo > 1).astype(np.uint64)
-                bucket = (h >> one) % np.uint64(buckets)
+                h = h[lo] | np.minimum(np.log2(hi - lo).astype(np.uint64), COUNT_BITS)
+                bucket = (h >> np.uint64(4)) % np.uint64(buckets)
                 order = np.argsort(bucket, kind="stable")
                 yield batch_of([[int(bucket[order[a]]), row["block"], h[order[a:b]].astype("<u8").tobytes()] for a, b in zip(*runs_of(bucket[order]))], ANCHORS)
 
     def repeated(table: pa.Table) -> pa.Table:
+        """For each block the hashes that other blocks have too; the lowest bit tells of very frequent ones."""
         parts = [np.frombuffer(x, "<u8") for x in table.column("hashes").to_pylist()]
         blocks, h = table.column("block").to_numpy(), np.concatenate(parts)
         origin, order = np.repeat(np.arange(len(parts)), list(map(len, parts))), np.argsort(h, kind="stable")
         h, origin = h[order], origin[order]
         lo, hi = runs_of(h & clear)
-        again = np.repeat((hi - lo > 1) | ((h[hi - 1] & one) == one), hi - lo) if len(h) else np.zeros(0, bool)
-        h, origin = h[again] & clear, origin[again]
+        times = np.add.reduceat(np.uint64(1) << (h & COUNT_BITS), lo) if len(h) else np.zeros(0, np.uint64)
+        again, hot = np.repeat(hi - lo > 1, hi - lo), np.repeat(times >= HOT, hi - lo)
+        h, origin = (h & clear | hot.astype(np.uint64))[again], origin[again]
         order = np.argsort(origin, kind="stable")
         rows = [[int(blocks[origin[order[a]]]), h[order[a:b]].astype("<u8").tobytes()] for a, b in zip(*runs_of(origin[order]))]
         return pa.Table.from_batches([batch_of(rows, REPEATED)])
 
+    def sent_from(row: dict, known: np.ndarray) -> Iterator[list]:
+        table, block = block_table(row["data"]), row["block"]
+        units, firsts, source = kind.split(texts_in(table, text_col))
+        a, exact = kind.anchors(units, firsts), kind.exact(units, source)
+        within = kind.inside(exact, firsts, a)
+        late, starts = late_windows(kind.classes(within)), flat(within.low, within.windows)
+        # what the block finds itself goes through the same exchange, in groups of negative numbers
+        found = starts[late]
+        head, last = runs_within(np.zeros(len(found)), found)
+        for _, *rest in by_block(np.full(len(head), block), found[head], found[last] + 1):
+            yield [-1 - block % groups, *rest]
+        if not len(known):
+            return
+        gone = np.zeros(len(units) + 1, bool)
+        gone[found] = True
+        h = a.hash & clear
+        near = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        at = np.flatnonzero(known[near] & clear == h)
+        hot = (known[near[at]] & one).astype(bool)
+        ids = ids_of(table, id_col)[np.searchsorted(firsts, a.low[at], "right") - 1]
+        c = Contexts(h[at], a.at[at] - a.low[at], a.high[at] - a.low[at] + 1, ids, np.full(len(at), block), a.low[at], a.low[at], exact)
+        which, step = np.repeat(np.arange(len(at)), c.windows), flat(np.zeros(len(at), np.int64), c.windows)
+        left = np.flatnonzero(~gone[c.low[which] + step])
+        head, last = runs_within(np.where(hot[which[left]], np.arange(len(left)) + len(at), which[left]), step[left])
+        c, hot = parts_of(c, which[left[head]], step[left[head]], step[left[last]] - step[left[head]] + 1), hot[which[left[head]]]
+        c.hash[hot] = mix(c.hash[hot] ^ content_hash(units, c.start[hot], np.full(int(hot.sum()), kind.window))) & clear
+        bucket = mix(c.hash) % np.uint64(groups)
+        order = np.argsort(bucket, kind="stable")
+        for lo, hi in zip(*runs_of(bucket[order])):
+            yield [int(bucket[order[lo]]), block, pack_contexts(c.take(order[lo:hi]), kind, source)]
+
     def gather(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[list] = []
-        for row in left.to_pylist():
-            if not right.num_rows:
-                continue
-            table = block_table(row["data"])
-            units, firsts, source = kind.split(texts_in(table, text_col))
-            known = np.sort(np.concatenate([np.frombuffer(x, "<u8") for x in right.column("hashes").to_pylist()]))
-            a = kind.anchors(units, firsts)
-            h = a.hash & clear
-            at = np.flatnonzero(known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h)
-            ids = ids_of(table, id_col)[np.searchsorted(firsts, a.low[at], "right") - 1]
-            c = Contexts(h[at], a.at[at] - a.low[at], a.high[at] - a.low[at] + 1, ids, np.full(len(at), row["block"]), a.low[at], a.low[at], kind.exact(units, source))
-            c = c.take(np.lexsort((c.low, c.id)))
-            first = equal_to_earlier(c, kind.window)
-            # what the block finds itself goes through the same exchange, in groups of negative numbers
-            out += [[-1 - row["block"] % groups, *rest] for _, *rest in marks(c, np.flatnonzero(first != np.arange(len(first))))]
-            c = c.take(np.flatnonzero(first == np.arange(len(first))))
-            bucket = (mix(c.hash) >> one) % np.uint64(groups)
-            order = np.argsort(bucket, kind="stable")
-            for lo, hi in zip(*runs_of(bucket[order])):
-                d = c.take(order[lo:hi])
-                out.append([int(bucket[order[lo]]), row["block"], pack_contexts(d, kind, source)])
-        return pa.Table.from_batches([batch_of(out, CONTEXTS)])
+        known = np.sort(np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(x, "<u8") for x in right.column("hashes").to_pylist())]))
+        return pa.Table.from_batches([batch_of([x for row in left.to_pylist() for x in sent_from(row, known)], CONTEXTS)])
 
     def decide(table: pa.Table) -> pa.Table:
         if table.num_rows and table.column("bucket")[0].as_py() < 0:
             return table
-        c, _ = read_contexts(table, kind)
-        return pa.Table.from_batches([batch_of(list(earliest_stay(c, kind.window, kind)), CONTEXTS)])
+        return pa.Table.from_batches([batch_of(first_windows(read_contexts(table, kind)[0], kind)[0], CONTEXTS)])
 
-    again = write_table(blocks.mapInArrow(name, ddl(ANCHORS)).groupBy("bucket").applyInArrow(repeated, ddl(REPEATED)), "repeated")
+    again = write_table(blocks.mapInArrow(name, ddl(ANCHORS)).repartition(tasks, "bucket").groupBy("bucket").applyInArrow(repeated, ddl(REPEATED)), "repeated")
     free_shuffles(spark)
-    sent = blocks.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(gather, ddl(CONTEXTS))
+    sent = blocks.repartition(tasks, "block").groupBy("block").cogroup(again.repartition(tasks, "block").groupBy("block")).applyInArrow(gather, ddl(CONTEXTS))
 
     def thin(table: pa.Table) -> pa.Table:
         if table.num_rows and table.column("bucket")[0].as_py() < 0:
@@ -336,7 +337,7 @@ def cut_repeats(docs: DataFrame, kind: Kind, finish: Callable, added: list[T.Str
         # a new deal of the blocks each round: what met in one part comes out of it as one context
         sent = sent.groupBy("bucket", F.pmod(F.xxhash64("block", F.lit(parts)), F.lit(parts))).applyInArrow(thin, ddl(CONTEXTS))
         parts = -(-parts // MEET_BLOCKS)
-    found = write_table(sent.groupBy("bucket").applyInArrow(decide, ddl(CONTEXTS)).select("block", "data"), "marks")
+    found = write_table(sent.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(decide, ddl(CONTEXTS)).select("block", "data"), "marks")
     drop_table(again)
     free_shuffles(spark)
     kept_names, kinds = [f.name for f in kept], {f.name: T_ARROW[f.dataType.simpleString()] for f in added}
@@ -357,7 +358,7 @@ def cut_repeats(docs: DataFrame, kind: Kind, finish: Callable, added: list[T.Str
             tables.append(pa.table({**{c: table.column(c) for c in kept_names}, **{n: pa.array(x, kinds[n]) for n, x in zip(names, columns)}}))
         return pa.concat_tables(tables)
 
-    return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(cut, T.StructType(kept + added))
+    return blocks.repartition(tasks, "block").groupBy("block").cogroup(found.repartition(tasks, "block").groupBy("block")).applyInArrow(cut, T.StructType(kept + added))
 
 
 T_ARROW = {"bigint": pa.int64(), "binary": pa.binary(), "string": pa.string(), "array<bigint>": pa.list_(pa.int64())}

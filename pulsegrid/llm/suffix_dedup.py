@@ -1,10 +1,11 @@
 """Suffix-array dedup of exact byte substrings.
 
-Where repeats may be is found by anchors: the least hash among the 32-byte strings of each 100-byte window. The
-bytes around repeated anchors form shards. A shard's suffix array is made by Larsson-Sadakane refinement: suffixes
-are sorted by eight bytes, then only unfinished groups by the ranks 8, 16, 32 and 64 bytes on. Kasai's common
-prefixes, carried along all contexts of a shard side by side, give the classes of equal windows. Where one anchor
-fills several shards, their sorted windows are merged by binary search.
+Each block of whole texts is a shard with a suffix array, made by Larsson-Sadakane refinement: suffixes are sorted by
+eight bytes, then only unfinished groups by the ranks 8, 16, 32 and 64 bytes on. Kasai's common prefixes, carried
+along stretches of the shard side by side, give the classes of equal windows, so that each shard keeps the first of
+each. Shards are compared where they share anchors, the least hashes among the 32-byte strings of each 100-byte
+window: the first windows around shared anchors meet in shards of their own, which are treated alike; where one anchor
+fills several of these, their sorted windows are merged by binary search.
 """
 
 from __future__ import annotations
@@ -16,11 +17,11 @@ from pyspark.sql import types as T
 
 from pulsegrid.llm.common import add_columns, shielded
 from pulsegrid.llm.hashing import INVERSE, mix, powers, prefix_hashes
-from pulsegrid.llm.repeats import Anchors, Contexts, Kind, cut_repeats, flat, runs_in, runs_of
+from pulsegrid.llm.repeats import Anchors, Contexts, Kind, cut_repeats, flat, runs_in, runs_of, runs_within
 
 WINDOW, GRAM = 100, 32
-#: Bytes of contexts in a shard.
-SHARD = 1 << 21
+#: Bytes of a shard, unless one text is longer, and of a stretch of it whose prefixes are followed side by side.
+SHARD, STRETCH = 1 << 21, 256
 
 
 def split_bytes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, None]:
@@ -65,39 +66,57 @@ def window_anchors(units: np.ndarray, firsts: np.ndarray, window: int = WINDOW,
 
 
 def suffix_array(data: np.ndarray, end: np.ndarray, depth: int) -> np.ndarray:
-    """Places sorted by their next depth bytes or more, equal ones by place; end: for each place, where its context ends."""
+    """Places sorted by their next depth bytes or more, equal ones by place; end: for each place, where its text or context ends."""
+    order, rank = refined(data, end, depth)[:2]
+    return order[np.lexsort((order, rank[order]))]
+
+
+def refined(data: np.ndarray, end: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The suffix array to depth bytes, equal ones in any order; the rank of each place; the slots that shared bytes with
+    others before the last round; and for each of these how many bytes it shares at least with the one before it."""
     n = len(data)
-    padded, room = np.r_[data, np.zeros(8, np.uint8)].astype(np.uint64), end - np.arange(n)
-    key = np.zeros(n, np.uint64)
-    for k in range(8):
-        key = key << np.uint64(8) | np.where(room > k, padded[k : n + k], np.uint64(0))
-    short = np.flatnonzero(room < 8)  # go first among equal keys, so that an end comes before a byte 0
-    order = np.r_[short[np.argsort(room[short], kind="stable")], np.flatnonzero(room >= 8)]
-    order = order[np.argsort(key[order], kind="stable")]
-    key, room = key[order], np.minimum(room[order], 8)
-    head = np.r_[True, (key[1:] != key[:-1]) | (room[1:] != room[:-1])][:n]
+    room, padded = end - np.arange(n), np.r_[data, np.zeros(8, np.uint8)]
+    key = np.ndarray(n, ">u8", padded, strides=(1,)).astype(np.uint64)
+    short = np.flatnonzero(room < 8)
+    key[short] &= ~((np.uint64(1) << (64 - 8 * room[short]).astype(np.uint64)) - np.uint64(1))
+    ends_of = key[short]
+    order = np.argsort(key)
+    key = key[order]
+    head = np.r_[True, key[1:] != key[:-1]][:n]
+    if len(short):  # ends go first among equal keys, so that an end comes before a byte 0
+        runs = np.r_[np.flatnonzero(head), n]
+        mine = np.unique(np.searchsorted(runs, np.searchsorted(key, ends_of), "right") - 1)
+        mixed, group = flat(runs[mine], runs[mine + 1] - runs[mine]), np.repeat(mine, runs[mine + 1] - runs[mine])
+        left = np.minimum(room[order[mixed]], 8)
+        turn = np.lexsort((left, group))
+        order[mixed], left = order[mixed[turn]], left[turn]
+        head[mixed[1:]] |= left[1:] != left[:-1]
     rank = np.empty(n, np.int64)
     rank[order] = np.flatnonzero(head)[np.cumsum(head) - 1] if n else 0
     h, open_slots = 8, np.flatnonzero(~(head & np.r_[head[1:], True][:n]))
+    deep, shared = open_slots, np.where(head[open_slots], 0, h)
     while h < depth and len(open_slots):
         places = order[open_slots]
         group = rank[places]
+        deep, shared = open_slots, np.where(group == open_slots, 0, h)
         onward = np.where(places + h < end[places], rank[np.minimum(places + h, n - 1)] + 1, 0)
-        sorting = np.lexsort((onward, group)) if n >= 1 << 31 else np.argsort(group << 32 | onward, kind="stable")
+        sorting = np.lexsort((onward, group)) if n >= 1 << 31 else np.argsort(group << 32 | onward)
         places, group, onward = places[sorting], group[sorting], onward[sorting]
         order[open_slots] = places
         head = np.r_[True, (group[1:] != group[:-1]) | (onward[1:] != onward[:-1])]
         rank[places] = open_slots[np.flatnonzero(head)[np.cumsum(head) - 1]]
+        shared = np.where(head, shared, 2 * h)
         open_slots = open_slots[~(head & np.r_[head[1:], True])]
         h *= 2
-    return order
+    return order, rank, deep, shared
 
 
-def common_prefixes(data: np.ndarray, order: np.ndarray, starts: np.ndarray, ends: np.ndarray, end: np.ndarray, most: int) -> np.ndarray:
-    """For each place of order the bytes, most at most, that it shares with the one before it.
+def common_prefixes(data: np.ndarray, order: np.ndarray, starts: np.ndarray, ends: np.ndarray, end: np.ndarray, most: int, least: np.ndarray | None = None) -> np.ndarray:
+    """For each place the bytes, most at most, that it shares with the one before it in order.
 
-    Kasai's way: a place shares at least one byte less than the place to its left did. All contexts go from left
-    to right at the same time.
+    Kasai's way: a place shares at least one byte less than the place to its left did. All stretches starts to ends go
+    from left to right at the same time; places in none of them count 0. least: bytes that each place is known to share;
+    those that share most of them or more need not be in order among each other, so nothing follows for the next place.
     """
     before = np.empty(len(order), np.int64)
     before[order[1:]], before[order[:1]] = order[:-1], -1
@@ -109,32 +128,62 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, starts: np.ndarray, end
         i = starts[live] + t
         j = before[i]
         room = np.where(j >= 0, np.minimum(np.minimum(end[i] - i, end[np.maximum(j, 0)] - j), most), 0)
-        h = np.minimum(np.maximum(carried[live] - 1, 0), room)
+        h = np.minimum(np.maximum(carried[live] - 1, 0 if least is None else least[i]), room)
         grow = np.flatnonzero(h < room)
         while len(grow):
             grow = grow[data[i[grow] + h[grow]] == data[j[grow] + h[grow]]]
             h[grow] += 1
             grow = grow[h[grow] < room[grow]]
-        shared[i], carried[live] = h, h
-    return shared[order]
+        shared[i], carried[live] = h, h if least is None else np.where(least[i] >= most, 0, h)
+    return shared
 
 
 def shard_classes(c: Contexts, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of the windows of a shard, row by row: the class of equal ones, and the classes' windows in sorted order."""
+    """Of the windows of a shard, row by row: the class of equal ones, by its least window in suffix order; and all
+    windows in suffix order.
+
+    Prefixes are followed where the last refinement still had company: elsewhere fewer bytes than a window are shared.
+    """
     lengths = c.windows + window - 1
     data, ends = c.units[flat(c.start, lengths)], np.cumsum(lengths)
-    starts, end = ends - lengths, np.repeat(ends, lengths)
-    order = suffix_array(data, end, int(lengths.max(initial=0)))
-    shared = common_prefixes(data, order, starts, ends, end, window)
-    number = np.full(len(data), -1, np.int64)
-    number[flat(starts, c.windows)] = np.arange(int(c.windows.sum()))
-    whole = np.flatnonzero(number[order] >= 0)
-    reach = np.minimum.reduceat(shared[: whole[-1] + 1], np.r_[0, whole[:-1] + 1]) if len(whole) else shared[:0]
-    head = reach < window
-    head[:1] = True
-    classes = np.empty(len(whole), np.int64)
-    classes[number[order[whole]]] = np.cumsum(head) - 1
-    return classes, number[order[whole[head]]]
+    starts, end, first = ends - lengths, np.repeat(ends, lengths), np.cumsum(c.windows) - c.windows
+
+    def windows_at(places: np.ndarray) -> np.ndarray:
+        """The numbers of the windows that start at places, -1 where none does."""
+        row = np.searchsorted(ends, places, "right")
+        step = places - starts[row]
+        return np.where(step < c.windows[row], first[row] + step, -1)
+
+    order, _, deep, known = refined(data, end, window)
+    at = order[deep]
+    least = np.zeros(len(data), np.int64)
+    least[at] = known
+    places = np.sort(at)
+    head, last = runs_within(places // STRETCH, places)
+    shared = common_prefixes(data, order, places[head], places[last] + 1, end, window, least)
+    number = windows_at(at)
+    # what shares a window with the one before it follows a window of its class
+    mine, follows = number[number >= 0], (shared[at] >= window)[number >= 0]
+    classes = np.arange(int(c.windows.sum()))
+    classes[mine] = mine[np.maximum.accumulate(np.where(follows, 0, np.arange(len(mine))))]
+    return classes, order
+
+
+def windows_in_order(c: Contexts, window: int, classes: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """One window of each class, in suffix order."""
+    lengths = c.windows + window - 1
+    number = np.full(len(order), -1, np.int64)
+    number[flat(np.cumsum(lengths) - lengths, c.windows)] = np.arange(len(classes))
+    number = number[order]
+    number = number[number >= 0]
+    return number[classes[number] == number]
+
+
+def whole_texts(units: np.ndarray, firsts: np.ndarray, _: Anchors) -> Contexts:
+    """Every text of a block as one row: the block's suffix array is that of its whole texts."""
+    at = np.flatnonzero(np.diff(firsts) >= WINDOW)
+    zero, low = np.zeros(len(at), np.int64), firsts[at]
+    return Contexts(zero.astype(np.uint64), zero, firsts[at + 1] - low - WINDOW + 1, zero, zero, low, low, units)
 
 
 def shards_of(hashes: np.ndarray, lengths: np.ndarray, size: int) -> list[np.ndarray]:
@@ -156,34 +205,34 @@ def shards_of(hashes: np.ndarray, lengths: np.ndarray, size: int) -> list[np.nda
 
 
 def window_classes(c: Contexts, window: int = WINDOW, size: int = SHARD) -> np.ndarray:
-    """Classes of equal windows over all rows of c, from the shards' suffix arrays."""
+    """Classes of equal windows over all rows of c, each the number of one of its windows, from the shards' suffix arrays."""
     first = np.cumsum(c.windows) - c.windows
-    out, known, total = np.empty(int(c.windows.sum()), np.int64), {}, 0
+    out, known = np.empty(int(c.windows.sum()), np.int64), {}
     shards = shards_of(c.hash, c.windows + window - 1, size)
     parted = {int(h) for a, b in zip(shards, shards[1:]) for h in np.intersect1d(c.hash[a], c.hash[b])}
     place = flat(c.start, c.windows)
     for rows in shards:
         part = c.take(rows)
         at = flat(first[rows], part.windows)
-        classes, heads = shard_classes(part, window)
-        base, total = total, total + len(heads)
+        classes, order = shard_classes(part, window)
         if len(h := np.unique(part.hash)) == 1 and int(h[0]) in parted:
             # every such shard has one hash: its sorted windows are looked up among those of the shards before it
+            heads = windows_in_order(part, window, classes, order)
             content = c.units[place[at[heads]][:, None] + np.arange(window)].view(f"S{window}").reshape(-1)
-            mine = classes[heads] + base
+            mine = at[heads]
             for other, theirs in known.get(int(h[0]), []):
                 k = np.minimum(np.searchsorted(other, content), len(other) - 1)
                 mine = np.where(other[k] == content, theirs[k], mine)
-            rename = np.empty(len(heads), np.int64)
-            rename[classes[heads]] = mine
+            rename = np.empty(len(classes), np.int64)
+            rename[heads] = mine
             out[at] = rename[classes]
             known.setdefault(int(h[0]), []).append((content, mine))
         else:
-            out[at] = classes + base
+            out[at] = at[classes]
     return out
 
 
-BYTES = Kind(WINDOW, split_bytes, window_anchors, lambda units, _: units, send_bytes, lambda sent: (np.concatenate(sent), None), window_classes)
+BYTES = Kind(WINDOW, split_bytes, window_anchors, lambda units, _: units, whole_texts, send_bytes, lambda sent: (np.concatenate(sent), None), window_classes)
 
 ADDED = [
     T.StructField("kept", T.BinaryType(), False), T.StructField("n_bytes", T.LongType(), False), T.StructField("n_removed", T.LongType(), False), T.StructField("spans", T.ArrayType(T.LongType()), False),

@@ -86,6 +86,17 @@ def test_many_parts_of_blocks(odd, monkeypatch):
     assert {k: v for k, v in got.items() if k is not None} == {k: v for k, v in want.items() if k is not None}
 
 
+def test_parted_contexts_of_frequent_anchors(odd, monkeypatch):
+    from pulsegrid.llm import repeats
+    from pyspark.sql import functions as F
+
+    rows, df = odd
+    monkeypatch.setattr(repeats, "HOT", 4)
+    found = rc.recompression_dedup(df.repartition(9)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    got, want = collected(found), brute(rows)
+    assert {k: v for k, v in got.items() if k is not None} == {k: v for k, v in want.items() if k is not None}
+
+
 def test_a_regular_word_is_not_its_complement(spark):
     a = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
     first = " ".join("w%d" % i for i in range(10))

@@ -69,7 +69,7 @@ def test_suffix_array_and_common_prefixes():
         n = 0
         while n < 40 and i + n < end[i] and j + n < end[j] and data[i + n] == data[j + n]:
             n += 1
-        assert shared[k] == n
+        assert shared[i] == n
 
 
 def test_query_against_brute_force(spark):
@@ -101,6 +101,28 @@ def test_many_parts_of_blocks(odd, monkeypatch):
     assert {k: v for k, v in got.items() if k is not None} == {k: v for k, v in want.items() if k is not None}
 
 
+def test_parted_contexts_of_frequent_anchors(odd, monkeypatch):
+    rows, df = odd
+    monkeypatch.setattr(repeats, "HOT", 4)
+    got, want = collected(digest(sd.suffix_dedup(df.repartition(9)))), brute(rows)
+    assert {k: v for k, v in got.items() if k is not None} == {k: v for k, v in want.items() if k is not None}
+
+
+def test_a_shard_of_whole_texts():
+    rng = np.random.default_rng(4)
+    line = bytes(rng.integers(97, 100, 400, dtype=np.uint8))
+    texts = [bytes(rng.integers(97, 99, int(n), dtype=np.uint8)) + line[int(k) :] + b"\0" * 120 for n, k in zip(rng.integers(0, 700, 40), rng.integers(0, 300, 40))]
+    texts += [b"", b"ab" * 700, b"\0" * 300, line, texts[3], line[:99]]
+    units, firsts, _ = sd.split_bytes(texts)
+    c = sd.whole_texts(units, firsts, None)
+    late, seen, want = repeats.late_windows(sd.window_classes(c)), set(), []
+    for t in texts:
+        for i in range(len(t) - 99):
+            want.append(t[i : i + 100] in seen)
+            seen.add(t[i : i + 100])
+    assert late.tolist() == want
+
+
 def test_texts_stay_whole_characters(odd):
     rows, df = odd
     out = sd.dedup_texts(df)
