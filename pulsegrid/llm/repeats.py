@@ -156,6 +156,14 @@ def pack_blocks(batches: Iterator[pa.RecordBatch], id_col: str, text_col: str) -
         yield out()
 
 
+def same_units(units: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether the units from a and from b agree over the whole length, row by row."""
+    if not len(a):
+        return np.zeros(0, bool)
+    equal = units[flat(a, lengths)] == units[flat(b, lengths)]
+    return np.logical_and.reduceat(equal, np.cumsum(lengths) - lengths)
+
+
 def content_hash(units: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """A hash of each row's units, from sums that need no loop over rows."""
     if not len(starts):
@@ -165,6 +173,25 @@ def content_hash(units: np.ndarray, starts: np.ndarray, lengths: np.ndarray) ->
     return mix(np.add.reduceat(terms, np.cumsum(lengths) - lengths) + lengths.astype(np.uint64))
 
 
+def merged(c: Contexts, window: int) -> np.ndarray:
+    """For each context the first one that is the same as a whole, in anchor, distance and units; contexts are in order.
+
+    Contexts of different blocks are looked up in sorted order by a hash of their units, and then compared.
+    """
+    lengths = c.windows + window - 1
+    key = mix(content_hash(c.units, c.start, lengths) ^ c.hash) + c.offset.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    order = np.argsort(key, kind="stable")
+    new = np.r_[True, key[order][1:] != key[order][:-1]][: len(order)]
+    first = np.empty(len(order), np.int64)
+    first[order] = order[new][np.cumsum(new) - 1] if len(order) else order
+    late = np.flatnonzero(first != np.arange(len(first)))
+    lead = first[late]
+    equal = (c.hash[late] == c.hash[lead]) & (c.offset[late] == c.offset[lead]) & (c.windows[late] == c.windows[lead])
+    equal[equal] = same_units(c.units, c.start[late[equal]], c.start[lead[equal]], lengths[late[equal]])
+    first[late[~equal]] = late[~equal]
+    return first
+
+
 def late_windows(classes: np.ndarray) -> np.ndarray:
     """Of windows in order, those of a class that an earlier one has; a class is the number of one of its windows."""
     late, others = np.zeros(len(classes), bool), np.flatnonzero(classes != np.arange(len(classes)))
@@ -189,17 +216,33 @@ def runs_within(row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndar
     return cut, np.r_[cut[1:], len(row)] - 1
 
 
+def joined(parts: list[Contexts]) -> Contexts:
+    """Contexts over the same units, one after the other."""
+    return Contexts(*(np.concatenate([getattr(p, f) for p in parts]) for f in ("hash", "offset", "windows", "id", "block", "low", "start")), parts[0].units)
+
+
 def first_windows(c: Contexts, kind: Kind) -> tuple[list[list], Contexts]:
-    """Marks of the windows of c (rows in order) that also start earlier in c; and the contexts of all others."""
+    """Marks of the windows of c (rows in order) that also start earlier in c; and the contexts of all others.
+
+    Of contexts that are the same as a whole the first stays; those left whose anchor has several are told apart window
+    by window.
+    """
+    first = merged(c, kind.window)
+    own = first == np.arange(len(first))
+    again = np.flatnonzero(~own)
+    marks = list(by_block(c.block[again], c.low[again], c.low[again] + c.windows[again]))
+    c = c.take(np.flatnonzero(own))
+    _, which, times = np.unique(c.hash, return_inverse=True, return_counts=True)
+    alone, c = c.take(np.flatnonzero(times[which] == 1)), c.take(np.flatnonzero(times[which] > 1))
     late = late_windows(kind.classes(c))
     row, step = np.repeat(np.arange(len(c.windows)), c.windows), flat(np.zeros(len(c.windows), np.int64), c.windows)
     at = np.flatnonzero(late)
     head, last = runs_within(row[at], step[at])
     head, last = at[head], at[last]
-    marks = list(by_block(c.block[row[head]], c.low[row[head]] + step[head], c.low[row[last]] + step[last] + 1))
+    marks += by_block(c.block[row[head]], c.low[row[head]] + step[head], c.low[row[last]] + step[last] + 1)
     at = np.flatnonzero(~late)
     head, last = runs_within(row[at], step[at])
-    return marks, parts_of(c, row[at[head]], step[at[head]], step[at[last]] - step[at[head]] + 1)
+    return marks, joined([alone, parts_of(c, row[at[head]], step[at[head]], step[at[last]] - step[at[head]] + 1)])
 
 
 def parts_of(c: Contexts, row: np.ndarray, skip: np.ndarray, windows: np.ndarray) -> Contexts:
