@@ -39,13 +39,18 @@ def powers(name: str, base: np.uint64, n: int) -> np.ndarray:
     return _powers[name][:n]
 
 
-def prefix_hashes(data: np.ndarray) -> np.ndarray:
-    """H with H[i] = sum of value(byte j) * BASE**j over j < i, modulo 2**64."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_values[data] * powers("up", BASE, len(data)), out=out[1:])
+def prefix_sums(values: np.ndarray) -> np.ndarray:
+    """H with H[i] = sum of values[j] * BASE**j over j < i, modulo 2**64."""
+    out = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * powers("up", BASE, len(values)), out=out[1:])
     return out
 
 
+def prefix_hashes(data: np.ndarray) -> np.ndarray:
+    """prefix_sums of a value for each byte."""
+    return prefix_sums(_values[data])
+
+
 #: Bytes of a word that are hashed eight at a time; longer words are few, and each is hashed by itself.
 LONG_WORD = 256
 KEY = np.uint64(0xA0761D6478BD642F)

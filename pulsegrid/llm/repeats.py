@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulsegrid.llm.common import Fields, batch_of, ddl, drop_table, free_shuffles, quoted, tune, write_table
-from pulsegrid.llm.hashing import CHUNK, mix
+from pulsegrid.llm.hashing import CHUNK, INVERSE, mix, powers, prefix_hashes, prefix_sums
 
 #: Bytes of text in a block, unless one text is longer; blocks whose anchors, or contexts, meet in one group.
 BLOCK_BYTES, ANCHOR_BLOCKS, CONTEXT_BLOCKS = CHUNK, 4, 2
@@ -160,17 +160,21 @@ def same_units(units: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndar
     """Whether the units from a and from b agree over the whole length, row by row."""
     if not len(a):
         return np.zeros(0, bool)
-    equal = units[flat(a, lengths)] == units[flat(b, lengths)]
-    return np.logical_and.reduceat(equal, np.cumsum(lengths) - lengths)
+    if units.itemsize == 1 and lengths.min() >= 8:  # bytes, eight at a time, the last eight again if need be
+        units, steps = np.ndarray(len(units) - 7, "<u8", np.ascontiguousarray(units), strides=(1,)), -(-lengths // 8)
+        skip = np.minimum(8 * flat(np.zeros(len(steps), np.int64), steps), np.repeat(lengths - 8, steps))
+        equal = units[np.repeat(a, steps) + skip] == units[np.repeat(b, steps) + skip]
+    else:
+        steps, equal = lengths, units[flat(a, lengths)] == units[flat(b, lengths)]
+    return np.logical_and.reduceat(equal, np.cumsum(steps) - steps)
 
 
 def content_hash(units: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """A hash of each row's units, from sums that need no loop over rows."""
+    """A hash of each row's units, from prefix sums over all of them."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    step = flat(np.zeros(len(starts), np.int64), lengths).astype(np.uint64)
-    terms = mix(units[flat(starts, lengths)].astype(np.uint64) + step * np.uint64(0x9E3779B97F4A7C15))
-    return mix(np.add.reduceat(terms, np.cumsum(lengths) - lengths) + lengths.astype(np.uint64))
+    h = prefix_hashes(units) if units.itemsize == 1 else prefix_sums(mix(units.astype(np.uint64)))
+    return mix((h[starts + lengths] - h[starts]) * powers("down", INVERSE, len(units) + 1)[starts] + lengths.astype(np.uint64))
 
 
 def merged(c: Contexts, window: int) -> np.ndarray:
@@ -351,7 +355,8 @@ def cut_repeats(docs: DataFrame, kind: Kind, finish: Callable, added: list[T.Str
         left = np.flatnonzero(~gone[c.low[which] + step])
         head, last = runs_within(np.where(hot[which[left]], np.arange(len(left)) + len(at), which[left]), step[left])
         c, hot = parts_of(c, which[left[head]], step[left[head]], step[left[last]] - step[left[head]] + 1), hot[which[left[head]]]
-        c.hash[hot] = mix(c.hash[hot] ^ content_hash(units, c.start[hot], np.full(int(hot.sum()), kind.window))) & clear
+        if hot.any():
+            c.hash[hot] = mix(c.hash[hot] ^ content_hash(units, c.start[hot], np.full(int(hot.sum()), kind.window))) & clear
         bucket = mix(c.hash) % np.uint64(groups)
         order = np.argsort(bucket, kind="stable")
         for lo, hi in zip(*runs_of(bucket[order])):

@@ -91,15 +91,17 @@ def refined(data: np.ndarray, end: np.ndarray, depth: int) -> tuple[np.ndarray,
         turn = np.lexsort((left, group))
         order[mixed], left = order[mixed[turn]], left[turn]
         head[mixed[1:]] |= left[1:] != left[:-1]
-    rank = np.empty(n, np.int64)
-    rank[order] = np.flatnonzero(head)[np.cumsum(head) - 1] if n else 0
+    # ranks as small as they can be: they are looked up at random
+    rank = np.empty(n, np.int32 if n < 1 << 31 else np.int64)
+    leads = np.flatnonzero(head).astype(rank.dtype)
+    rank[order] = np.repeat(leads, np.diff(np.r_[leads, n])) if n else 0
     h, open_slots = 8, np.flatnonzero(~(head & np.r_[head[1:], True][:n]))
     deep, shared = open_slots, np.where(head[open_slots], 0, h)
     while h < depth and len(open_slots):
         places = order[open_slots]
-        group = rank[places]
+        group = rank[places].astype(np.int64)
         deep, shared = open_slots, np.where(group == open_slots, 0, h)
-        onward = np.where(places + h < end[places], rank[np.minimum(places + h, n - 1)] + 1, 0)
+        onward = np.where(places + h < end[places], rank[np.minimum(places + h, n - 1)].astype(np.int64) + 1, 0)
         sorting = np.lexsort((onward, group)) if n >= 1 << 31 else np.argsort(group << 32 | onward)
         places, group, onward = places[sorting], group[sorting], onward[sorting]
         order[open_slots] = places
@@ -115,12 +117,14 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, starts: np.ndarray, end
     """For each place the bytes, most at most, that it shares with the one before it in order.
 
     Kasai's way: a place shares at least one byte less than the place to its left did. All stretches starts to ends go
-    from left to right at the same time; places in none of them count 0. least: bytes that each place is known to share;
-    those that share most of them or more need not be in order among each other, so nothing follows for the next place.
+    from left to right at the same time; places in none of them count what is
+    known of them, else 0. least: bytes that each place is known to share; those
+    that share most of them or more need not be in order among each other, so they are in no stretch.
     """
     before = np.empty(len(order), np.int64)
     before[order[1:]], before[order[:1]] = order[:-1], -1
-    shared, carried = np.zeros(len(order), np.int64), np.zeros(len(starts), np.int64)
+    shared = np.zeros(len(order), np.int64) if least is None else np.minimum(least, most)
+    carried = np.zeros(len(starts), np.int64)
     lengths = ends - starts
     by_length = np.argsort(-lengths, kind="stable")
     for t in range(int(lengths.max(initial=0))):
@@ -134,7 +138,7 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, starts: np.ndarray, end
             grow = grow[data[i[grow] + h[grow]] == data[j[grow] + h[grow]]]
             h[grow] += 1
             grow = grow[h[grow] < room[grow]]
-        shared[i], carried[live] = h, h if least is None else np.where(least[i] >= most, 0, h)
+        shared[i], carried[live] = h, h
     return shared
 
 
@@ -158,7 +162,7 @@ def shard_classes(c: Contexts, window: int) -> tuple[np.ndarray, np.ndarray]:
     at = order[deep]
     least = np.zeros(len(data), np.int64)
     least[at] = known
-    places = np.sort(at)
+    places = np.sort(at[known < window])
     head, last = runs_within(places // STRETCH, places)
     shared = common_prefixes(data, order, places[head], places[last] + 1, end, window, least)
     number = windows_at(at)
