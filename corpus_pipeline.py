@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pulsegrid.llm.bpe_codec import bpe_encode
-from pulsegrid.llm.common import read_table, write_table
+from pulsegrid.llm.common import drop_table, read_table, write_table
 from pulsegrid.llm.mixing import sample_mix
 from pulsegrid.llm.near_dedup import keep_one
 from pulsegrid.llm.quality import keep_good
@@ -53,10 +53,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each one's result written to the shared folder and read again."""
-    docs = read_table(spark, sf_dir, "documents")
+    """The stages over documents, each one's result written to the shared folder and read again; what the next one has
+    written replaces it."""
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = write_table(docs, name)
+            if before is not None:
+                drop_table(before)
+            before = docs
     return docs

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import write_table
+from pulsegrid.llm.common import drop_table, write_table
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -33,6 +33,8 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == last or not mark[0]:
             break
-        now, last = write_table(small(large(now)), "edges"), mark
+        before, last = now, mark
+        now = write_table(small(large(before)), "edges")
+        drop_table(before)
     pairs = now.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root"))
     return pairs.unionAll(pairs.select(F.col("root").alias("node"), "root")).distinct()

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsegrid.llm.common import Fields, add_columns, batch_of, ddl, free_shuffles, quoted, shielded, tune, write_table
+from pulsegrid.llm.common import Fields, add_columns, batch_of, ddl, drop_table, free_shuffles, quoted, shielded, tune, write_table
 from pulsegrid.llm.components import components
 from pulsegrid.llm.hashing import GOLDEN, chunked, mix, shingles
 
@@ -362,6 +362,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         bags = add_columns(found, ["text"], [T.StructField("bag", T.BinaryType(), False)], make_bags).select("key", "bag")
         return write_table(bags.groupBy("key").agg(F.any_value("bag").alias("bag")), "bags")
 
+    made = [nodes, members, met, pairs]
     bags = bags_of(pairs.select(F.col("a").alias("key")).unionAll(pairs.select(F.col("b").alias("key"))).distinct())
     free_shuffles(spark)
     left, right = bags.select(F.col("key").alias("a"), F.col("bag").alias("bag_a")), bags.select(F.col("key").alias("b"), F.col("bag").alias("bag_b"))
@@ -386,13 +387,17 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if unmet.head(1):
         rest = unmet.select("key").distinct().join(bags, "key", "left_anti")
         if rest.head(1):
-            bags = bags.unionAll(bags_of(rest))
+            made.append(bags_of(rest))
+            bags = bags.unionAll(made[-1])
         again = dealt_open(unmet.join(bags.select("key", F.length("bag").alias("size")), "key"))
         joined = write_table(met_open(again, looks.join(bags, "key")).mapInArrow(verify_open, ddl(LINKS)).distinct(), "links")
+        made.append(joined)
         further = components(joined).select(F.col("node").alias("root"), F.col("root").alias("_further"))
         named = named.join(further, "root", "left").withColumn("root", F.coalesce("_further", "root")).drop("_further")
         free_shuffles(spark)
-    classes = named.join(named.groupBy("root").agg(F.min("id").alias("class_id")), "root").select("key", "class_id")
+    classes = write_table(named.join(named.groupBy("root").agg(F.min("id").alias("class_id")), "root").select("key", "class_id"), "classes")
+    for table in [*made, unmet]:
+        drop_table(table)
     return rows.select("id", "key").join(classes, "key").select(F.col("id").alias(id_col), "key", "class_id")
 
 
