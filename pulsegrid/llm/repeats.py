@@ -170,11 +170,18 @@ def same_units(units: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndar
 
 
 def content_hash(units: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """A hash of each row's units, from prefix sums over all of them."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    h = prefix_hashes(units) if units.itemsize == 1 else prefix_sums(mix(units.astype(np.uint64)))
-    return mix((h[starts + lengths] - h[starts]) * powers("down", INVERSE, len(units) + 1)[starts] + lengths.astype(np.uint64))
+    """A hash of each row's units, from prefix sums over CHUNK of them at a time."""
+    out, order = np.zeros(len(starts), np.uint64), np.argsort(starts, kind="stable")
+    cuts = np.searchsorted(starts[order], np.arange(0, len(units) + 1, CHUNK))
+    for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)]):
+        rows = order[lo:hi]
+        if not len(rows):
+            continue
+        at, size = starts[rows] - starts[rows[0]], lengths[rows]
+        part = units[starts[rows[0]] :][: int((at + size).max())]
+        h = prefix_hashes(part) if part.itemsize == 1 else prefix_sums(mix(part.astype(np.uint64)))
+        out[rows] = mix((h[at + size] - h[at]) * powers("down", INVERSE, len(part) + 1)[at] + size.astype(np.uint64))
+    return out
 
 
 def merged(c: Contexts, window: int) -> np.ndarray:

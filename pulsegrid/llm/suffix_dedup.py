@@ -91,6 +91,7 @@ def refined(data: np.ndarray, end: np.ndarray, depth: int) -> tuple[np.ndarray,
         turn = np.lexsort((left, group))
         order[mixed], left = order[mixed[turn]], left[turn]
         head[mixed[1:]] |= left[1:] != left[:-1]
+    del key, padded, room
     # ranks as small as they can be: they are looked up at random
     rank = np.empty(n, np.int32 if n < 1 << 31 else np.int64)
     leads = np.flatnonzero(head).astype(rank.dtype)
