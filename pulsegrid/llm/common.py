@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
@@ -56,6 +57,22 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def give_back() -> None:
+    """Returns the memory that a Python worker has freed to the machine: idle workers would hold it while others need it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def giving_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches; once they end, so does the hold on what making them took."""
+    try:
+        yield from batches
+    finally:
+        give_back()
+
+
 def utf8(col: Column) -> Column:
     """UTF-8 bytes of a text column, null as empty."""
     return F.coalesce(col, F.lit("")).cast("binary")
@@ -83,6 +100,8 @@ def add_columns(
         for batch in batches:
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept_names] + work(batch), names=kept_names + names)
+        del work
+        give_back()
 
     return source.mapInArrow(run, schema)
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsegrid.llm.common import Fields, add_columns, batch_of, ddl, drop_table, free_shuffles, quoted, shielded, tune, write_table
+from pulsegrid.llm.common import Fields, add_columns, batch_of, ddl, drop_table, free_shuffles, giving_back, quoted, shielded, tune, write_table
 from pulsegrid.llm.components import components
 from pulsegrid.llm.hashing import GOLDEN, chunked, mix, shingles
 
@@ -343,7 +343,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     members = banded.join(shared, "bucket").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("key", "bucket"), F.col("parts")).cast("int")).drop("members")
     members = write_table(members, "members")
     dealt = members.join(nodes.select("key", "sig"), "key").repartition("bucket", "part").sortWithinPartitions("bucket", "part", "key")
-    met = write_table(dealt.select("bucket", "part", "parts", "key", "sig").mapInArrow(meet, ddl(PAIRS)), "pairs")
+    met = write_table(dealt.select("bucket", "part", "parts", "key", "sig").mapInArrow(lambda it: giving_back(meet(it)), ddl(PAIRS)), "pairs")
     typical = met.where("b is null and a is not null").groupBy("bucket").agg(F.max_by("a", F.struct("equal", "a")).alias("a"))
     stars = members.where("parts > 1").join(typical, "bucket").select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b"))
     pairs = write_table(met.where("b is not null").select("a", "b").unionAll(stars.where("a <> b")).distinct(), "pairs")
@@ -382,7 +382,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     left_open = met.where("a is null").select("bucket").distinct()
     again = dealt_open(rooted(members.join(left_open, "bucket").select("bucket", "key", F.lit(0).alias("size"))))
     looks = nodes.select("key", "sig", "bands")
-    unmet = write_table(met_open(again, looks).mapInArrow(unjoined, ddl(MEMBERS)).distinct(), "unjoined")
+    unmet = write_table(met_open(again, looks).mapInArrow(lambda it: giving_back(unjoined(it)), ddl(MEMBERS)).distinct(), "unjoined")
     free_shuffles(spark)
     if unmet.head(1):
         rest = unmet.select("key").distinct().join(bags, "key", "left_anti")
@@ -390,7 +390,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             made.append(bags_of(rest))
             bags = bags.unionAll(made[-1])
         again = dealt_open(unmet.join(bags.select("key", F.length("bag").alias("size")), "key"))
-        joined = write_table(met_open(again, looks.join(bags, "key")).mapInArrow(verify_open, ddl(LINKS)).distinct(), "links")
+        joined = write_table(met_open(again, looks.join(bags, "key")).mapInArrow(lambda it: giving_back(verify_open(it)), ddl(LINKS)).distinct(), "links")
         made.append(joined)
         further = components(joined).select(F.col("node").alias("root"), F.col("root").alias("_further"))
         named = named.join(further, "root", "left").withColumn("root", F.coalesce("_further", "root")).drop("_further")

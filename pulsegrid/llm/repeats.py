@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsegrid.llm.common import Fields, batch_of, ddl, drop_table, free_shuffles, quoted, tune, write_table
+from pulsegrid.llm.common import Fields, batch_of, ddl, drop_table, free_shuffles, give_back, giving_back, quoted, tune, write_table
 from pulsegrid.llm.hashing import CHUNK, INVERSE, mix, powers, prefix_hashes, prefix_sums
 
 #: Bytes of text in a block, unless one text is longer; blocks whose anchors, or contexts, meet in one group.
@@ -306,7 +306,7 @@ def cut_repeats(docs: DataFrame, kind: Kind, finish: Callable, added: list[T.Str
     tune(spark)
     names = [f.name for f in added]
     kept = [f for f in docs.schema.fields if f.name not in names]
-    blocks = write_table(docs.select(*[quoted(f.name) for f in kept]).mapInArrow(lambda it: pack_blocks(it, id_col, text_col), ddl(BLOCKS)), "blocks")
+    blocks = write_table(docs.select(*[quoted(f.name) for f in kept]).mapInArrow(lambda it: giving_back(pack_blocks(it, id_col, text_col)), ddl(BLOCKS)), "blocks")
     count = blocks.count()
     buckets, groups = max(LEAST_GROUPS, count // ANCHOR_BLOCKS), max(LEAST_GROUPS, count // CONTEXT_BLOCKS)
     # as many partitions as the blocks ask for, so that what a task reads does not grow with the corpus
@@ -371,14 +371,18 @@ def cut_repeats(docs: DataFrame, kind: Kind, finish: Callable, added: list[T.Str
 
     def gather(left: pa.Table, right: pa.Table) -> pa.Table:
         known = np.sort(np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(x, "<u8") for x in right.column("hashes").to_pylist())]))
-        return pa.Table.from_batches([batch_of([x for row in left.to_pylist() for x in sent_from(row, known)], CONTEXTS)])
+        out = pa.Table.from_batches([batch_of([x for row in left.to_pylist() for x in sent_from(row, known)], CONTEXTS)])
+        give_back()
+        return out
 
     def decide(table: pa.Table) -> pa.Table:
         if table.num_rows and table.column("bucket")[0].as_py() < 0:
             return table
-        return pa.Table.from_batches([batch_of(first_windows(read_contexts(table, kind)[0], kind)[0], CONTEXTS)])
+        out = pa.Table.from_batches([batch_of(first_windows(read_contexts(table, kind)[0], kind)[0], CONTEXTS)])
+        give_back()
+        return out
 
-    again = write_table(blocks.mapInArrow(name, ddl(ANCHORS)).repartition(tasks, "bucket").groupBy("bucket").applyInArrow(repeated, ddl(REPEATED)), "repeated")
+    again = write_table(blocks.mapInArrow(lambda it: giving_back(name(it)), ddl(ANCHORS)).repartition(tasks, "bucket").groupBy("bucket").applyInArrow(repeated, ddl(REPEATED)), "repeated")
     free_shuffles(spark)
     sent = blocks.repartition(tasks, "block").groupBy("block").cogroup(again.repartition(tasks, "block").groupBy("block")).applyInArrow(gather, ddl(CONTEXTS))
 
@@ -411,6 +415,7 @@ def cut_repeats(docs: DataFrame, kind: Kind, finish: Callable, added: list[T.Str
             covered = np.cumsum(edge)[:-2] > 0
             columns = finish(texts, firsts, covered)
             tables.append(pa.table({**{c: table.column(c) for c in kept_names}, **{n: pa.array(x, kinds[n]) for n, x in zip(names, columns)}}))
+        give_back()
         return pa.concat_tables(tables)
 
     return blocks.repartition(tasks, "block").groupBy("block").cogroup(found.repartition(tasks, "block").groupBy("block")).applyInArrow(cut, T.StructType(kept + added))
