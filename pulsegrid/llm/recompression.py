@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from pulsegrid.llm.common import add_columns, shielded
 from pulsegrid.llm.hashing import BASE, GOLDEN, INVERSE, mix, powers, words_of
-from pulsegrid.llm.repeats import Anchors, Contexts, Kind, cut_repeats, flat, runs_in
+from pulsegrid.llm.repeats import Anchors, Contexts, Kind, cut_repeats, flat, removed_runs
 
 WINDOW, LEVELS = 20, 2
 FAR = 1 << 40
@@ -172,16 +172,14 @@ ADDED = [
 
 
 def cut_words(texts: list[bytes], firsts: np.ndarray, covered: np.ndarray) -> list[list]:
-    kept, removed, spans = [], [], []
-    for i, text in enumerate(texts):
-        a, b = runs_in(covered, firsts[i], firsts[i + 1])
-        words = text.translate(SPACES).split(b" ")
-        words = [w for w in words if w]
-        if len(a):
-            words = [w for x, y in zip(np.r_[0, b].tolist(), np.r_[a, len(words)].tolist()) for w in words[x:y]]
+    kept, removed, spans = [], [], removed_runs(covered, firsts)
+    for text, gone in zip(texts, spans):
+        words = [w for w in text.translate(SPACES).split(b" ") if w]
+        if gone:
+            edges = [0, *gone, len(words)]
+            words = [w for x, y in zip(edges[::2], edges[1::2]) for w in words[x:y]]
         kept.append(b" ".join(words))
-        removed.append(int((b - a).sum()))
-        spans.append(np.stack([a, b], 1).reshape(-1).tolist())
+        removed.append(sum(gone[1::2]) - sum(gone[::2]))
     return [kept, np.diff(firsts).tolist(), removed, spans]
 
 

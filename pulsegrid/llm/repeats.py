@@ -424,7 +424,15 @@ def cut_repeats(docs: DataFrame, kind: Kind, finish: Callable, added: list[T.Str
 T_ARROW = {"bigint": pa.int64(), "binary": pa.binary(), "string": pa.string(), "array<bigint>": pa.list_(pa.int64())}
 
 
-def runs_in(covered: np.ndarray, first: int, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends, within the text, of its runs of removed units."""
-    step = np.diff(np.r_[0, covered[first:end].astype(np.int8), 0])
-    return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+def removed_runs(covered: np.ndarray, firsts: np.ndarray) -> list[list[int]]:
+    """For each text the starts and ends, in turn and within the text, of its runs of removed units."""
+    begin, stop = covered.copy(), covered.copy()
+    begin[1:] &= ~covered[:-1]
+    stop[:-1] &= ~covered[1:]
+    full = np.flatnonzero(np.diff(firsts) > 0)
+    begin[firsts[full]], stop[firsts[full + 1] - 1] = covered[firsts[full]], covered[firsts[full + 1] - 1]
+    starts, ends = np.flatnonzero(begin), np.flatnonzero(stop) + 1
+    cut = np.searchsorted(starts, firsts)
+    base = np.repeat(firsts[:-1], np.diff(cut))
+    spans = np.stack([starts - base, ends - base], 1).reshape(-1).tolist()
+    return [spans[2 * a : 2 * b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]

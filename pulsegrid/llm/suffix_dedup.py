@@ -1,7 +1,7 @@
 """Suffix-array dedup of exact byte substrings.
 
 Each block of whole texts is a shard with a suffix array, made by Larsson-Sadakane refinement: suffixes are sorted by
-eight bytes, then only unfinished groups by the ranks 8, 16, 32 and 64 bytes on. Kasai's common prefixes, carried
+their first h bytes (six, for most texts), then only unfinished groups by the ranks h, 2h, 4h and so on bytes on. Kasai's common prefixes, carried
 along stretches of the shard side by side, give the classes of equal windows, so that each shard keeps the first of
 each. Shards are compared where they share anchors, the least hashes among the 32-byte strings of each 100-byte
 window: the first windows around shared anchors meet in shards of their own, which are treated alike; where one anchor
@@ -17,11 +17,13 @@ from pyspark.sql import types as T
 
 from pulsegrid.llm.common import add_columns, shielded
 from pulsegrid.llm.hashing import INVERSE, mix, powers, prefix_hashes
-from pulsegrid.llm.repeats import Anchors, Contexts, Kind, cut_repeats, flat, runs_in, runs_of, runs_within
+from pulsegrid.llm.repeats import Anchors, Contexts, Kind, cut_repeats, flat, removed_runs, runs_of, runs_within
 
 WINDOW, GRAM = 100, 32
 #: Bytes of a shard, unless one text is longer, and of a stretch of it whose prefixes are followed side by side.
 SHARD, STRETCH = 1 << 21, 256
+#: Windows whose anchors are sought at a time.
+PIECE = 1 << 16
 
 
 def split_bytes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, None]:
@@ -47,11 +49,16 @@ def window_anchors(units: np.ndarray, firsts: np.ndarray, window: int = WINDOW,
     none = np.zeros(0, np.int64)
     if n < window:
         return Anchors(none.astype(np.uint64), none, none, none)
-    h = prefix_hashes(units)
-    grams = mix((h[gram:] - h[:-gram]) * powers("down", INVERSE, n - gram + 1))
-    bits = np.uint64(n.bit_length())
-    least = sliding_least((grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64), window - gram + 1)
-    chosen = (least & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
+    grams, chosen, more = np.empty(n - gram + 1, np.uint64), np.empty(n - window + 1, np.int32 if n < 1 << 31 else np.int64), window - gram
+    # piece by piece, so that what is computed on the way stays small; the place within a piece parts equal hashes
+    bits = np.uint64((PIECE + more).bit_length())
+    for lo in range(0, len(chosen), PIECE):
+        part = units[lo : lo + PIECE + window - 1]
+        h = prefix_hashes(part)
+        g = mix((h[gram:] - h[:-gram]) * powers("down", INVERSE, len(part) - gram + 1))
+        grams[lo : lo + len(g)] = g
+        least = sliding_least((g >> bits << bits) | np.arange(len(g), dtype=np.uint64), more + 1)
+        chosen[lo : lo + len(least)] = (least & np.uint64((1 << int(bits)) - 1)).astype(chosen.dtype) + lo
     inside = np.zeros(n + 1, np.int32)
     long = np.flatnonzero(np.diff(firsts) >= window)
     inside[firsts[long]] += 1
@@ -59,7 +66,8 @@ def window_anchors(units: np.ndarray, firsts: np.ndarray, window: int = WINDOW,
     starts = np.flatnonzero(np.cumsum(inside)[: len(chosen)] > 0)
     if not len(starts):
         return Anchors(none.astype(np.uint64), none, none, none)
-    at = chosen[starts]
+    at = chosen[starts].astype(np.int64)
+    del chosen, inside
     new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1)])
     last = np.r_[new[1:], len(at)] - 1
     return Anchors(grams[at[new]], at[new], starts[new], starts[last])
@@ -71,43 +79,64 @@ def suffix_array(data: np.ndarray, end: np.ndarray, depth: int) -> np.ndarray:
     return order[np.lexsort((order, rank[order]))]
 
 
+def placed(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of keys, equal ones by place, and which of them differ from the one before; keys leave the upper bits
+    free, and are changed: sorting values is several times as fast as sorting places by them."""
+    key <<= np.uint64(bits)
+    key |= np.arange(len(key), dtype=np.uint64)
+    key.sort()
+    order = (key & np.uint64((1 << bits) - 1)).view(np.int64)
+    key >>= np.uint64(bits)
+    return order, np.r_[True, key[1:] != key[:-1]][: len(key)]
+
+
 def refined(data: np.ndarray, end: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The suffix array to depth bytes, equal ones in any order; the rank of each place; the slots that shared bytes with
     others before the last round; and for each of these how many bytes it shares at least with the one before it."""
     n = len(data)
-    room, padded = end - np.arange(n), np.r_[data, np.zeros(8, np.uint8)]
-    key = np.ndarray(n, ">u8", padded, strides=(1,)).astype(np.uint64)
-    short = np.flatnonzero(room < 8)
-    key[short] &= ~((np.uint64(1) << (64 - 8 * room[short]).astype(np.uint64)) - np.uint64(1))
-    ends_of = key[short]
-    order = np.argsort(key)
-    key = key[order]
-    head = np.r_[True, key[1:] != key[:-1]][:n]
-    if len(short):  # ends go first among equal keys, so that an end comes before a byte 0
-        runs = np.r_[np.flatnonzero(head), n]
-        mine = np.unique(np.searchsorted(runs, np.searchsorted(key, ends_of), "right") - 1)
-        mixed, group = flat(runs[mine], runs[mine + 1] - runs[mine]), np.repeat(mine, runs[mine + 1] - runs[mine])
-        left = np.minimum(room[order[mixed]], 8)
-        turn = np.lexsort((left, group))
-        order[mixed], left = order[mixed[turn]], left[turn]
-        head[mixed[1:]] |= left[1:] != left[:-1]
-    del key, padded, room
-    # ranks as small as they can be: they are looked up at random
-    rank = np.empty(n, np.int32 if n < 1 << 31 else np.int64)
-    leads = np.flatnonzero(head).astype(rank.dtype)
+    # places and ranks as small as they can be: they are looked up at random
+    small = np.int32 if n < 1 << 31 else np.int64
+    symbols = np.flatnonzero(np.bincount(data, minlength=1))
+    code = np.zeros(256, np.uint16)
+    code[symbols] = np.arange(1, len(symbols) + 1)
+    bits, width = n.bit_length(), max(1, len(symbols).bit_length())
+    # as many symbols as fit above the place; 0 is the end, so that an end comes before every symbol
+    h = min(8, (64 - bits) // width)
+    padded, key = np.r_[code[data], np.zeros(h, np.uint16)], np.zeros(n, np.uint64)
+    for k in range(h):
+        key <<= np.uint64(width)
+        key |= padded[k : k + n]
+    room = end - np.arange(n)
+    short = np.flatnonzero(room < h)
+    cut = (width * (h - room[short])).astype(np.uint64)
+    key[short] = key[short] >> cut << cut
+    del padded, room
+    order, head = placed(key, bits)
+    order = order.astype(small)
+    del key
+    rank, leads = np.empty(n, small), np.flatnonzero(head).astype(small)
     rank[order] = np.repeat(leads, np.diff(np.r_[leads, n])) if n else 0
-    h, open_slots = 8, np.flatnonzero(~(head & np.r_[head[1:], True][:n]))
+    open_slots = np.flatnonzero(~(head & np.r_[head[1:], True][:n]))
     deep, shared = open_slots, np.where(head[open_slots], 0, h)
     while h < depth and len(open_slots):
         places = order[open_slots]
-        group = rank[places].astype(np.int64)
-        deep, shared = open_slots, np.where(group == open_slots, 0, h)
-        onward = np.where(places + h < end[places], rank[np.minimum(places + h, n - 1)].astype(np.int64) + 1, 0)
-        sorting = np.lexsort((onward, group)) if n >= 1 << 31 else np.argsort(group << 32 | onward)
-        places, group, onward = places[sorting], group[sorting], onward[sorting]
+        lead = rank[places] == open_slots
+        deep, shared = open_slots, np.where(lead, 0, h)
+        onward = np.where(places + h < end[places], rank[np.minimum(places + h, n - 1)] + 1, 0)
+        group, bits = np.cumsum(lead, dtype=np.uint64), len(places).bit_length()
+        if int(group[-1]).bit_length() + n.bit_length() + bits <= 64:
+            group <<= np.uint64(n.bit_length())
+            group |= onward.astype(np.uint64)
+            sorting, head = placed(group, bits)
+        else:
+            sorting = np.lexsort((onward, group))
+            group, onward = group[sorting], onward[sorting]
+            head = np.r_[True, (group[1:] != group[:-1]) | (onward[1:] != onward[:-1])]
+        places = places[sorting]
         order[open_slots] = places
-        head = np.r_[True, (group[1:] != group[:-1]) | (onward[1:] != onward[:-1])]
-        rank[places] = open_slots[np.flatnonzero(head)[np.cumsum(head) - 1]]
+        del group, onward, sorting, lead
+        leads = np.flatnonzero(head)
+        rank[places] = np.repeat(open_slots[leads].astype(small), np.diff(np.r_[leads, len(head)]))
         shared = np.where(head, shared, 2 * h)
         open_slots = open_slots[~(head & np.r_[head[1:], True])]
         h *= 2
@@ -122,16 +151,16 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, starts: np.ndarray, end
     known of them, else 0. least: bytes that each place is known to share; those
     that share most of them or more need not be in order among each other, so they are in no stretch.
     """
-    before = np.empty(len(order), np.int64)
+    before = np.empty(len(order), order.dtype if order.dtype.kind == "i" else np.int64)
     before[order[1:]], before[order[:1]] = order[:-1], -1
-    shared = np.zeros(len(order), np.int64) if least is None else np.minimum(least, most)
+    shared = np.zeros(len(order), np.int32) if least is None else np.minimum(least, most)
     carried = np.zeros(len(starts), np.int64)
     lengths = ends - starts
     by_length = np.argsort(-lengths, kind="stable")
     for t in range(int(lengths.max(initial=0))):
         live = by_length[: np.searchsorted(-lengths[by_length], -t, "left")]
         i = starts[live] + t
-        j = before[i]
+        j = before[i].astype(np.int64)
         room = np.where(j >= 0, np.minimum(np.minimum(end[i] - i, end[np.maximum(j, 0)] - j), most), 0)
         h = np.minimum(np.maximum(carried[live] - 1, 0 if least is None else least[i]), room)
         grow = np.flatnonzero(h < room)
@@ -147,11 +176,13 @@ def shard_classes(c: Contexts, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Of the windows of a shard, row by row: the class of equal ones, by its least window in suffix order; and all
     windows in suffix order.
 
-    Prefixes are followed where the last refinement still had company: elsewhere fewer bytes than a window are shared.
+    Suffixes run on to the end of the shard, over the ends of rows: a window lies within its row, so that two of them
+    share window bytes or more just where they are equal. Prefixes are followed where the last refinement still had
+    company: elsewhere fewer bytes than a window are shared.
     """
     lengths = c.windows + window - 1
     data, ends = c.units[flat(c.start, lengths)], np.cumsum(lengths)
-    starts, end, first = ends - lengths, np.repeat(ends, lengths), np.cumsum(c.windows) - c.windows
+    starts, end, first = ends - lengths, np.broadcast_to(np.int64(len(data)), len(data)), np.cumsum(c.windows) - c.windows
 
     def windows_at(places: np.ndarray) -> np.ndarray:
         """The numbers of the windows that start at places, -1 where none does."""
@@ -161,16 +192,18 @@ def shard_classes(c: Contexts, window: int) -> tuple[np.ndarray, np.ndarray]:
 
     order, _, deep, known = refined(data, end, window)
     at = order[deep]
-    least = np.zeros(len(data), np.int64)
+    least = np.zeros(len(data), np.int32)
     least[at] = known
     places = np.sort(at[known < window])
     head, last = runs_within(places // STRETCH, places)
     shared = common_prefixes(data, order, places[head], places[last] + 1, end, window, least)
     number = windows_at(at)
-    # what shares a window with the one before it follows a window of its class
-    mine, follows = number[number >= 0], (shared[at] >= window)[number >= 0]
+    # suffixes of one run share a window each with the one before, be that a window or not
+    run = np.cumsum(shared[at] < window)[number >= 0]
+    mine = number[number >= 0]
+    head, last = runs_of(run)
     classes = np.arange(int(c.windows.sum()))
-    classes[mine] = mine[np.maximum.accumulate(np.where(follows, 0, np.arange(len(mine))))]
+    classes[mine] = np.repeat(mine[head], last - head)
     return classes, order
 
 
@@ -211,9 +244,11 @@ def shards_of(hashes: np.ndarray, lengths: np.ndarray, size: int) -> list[np.nda
 
 def window_classes(c: Contexts, window: int = WINDOW, size: int = SHARD) -> np.ndarray:
     """Classes of equal windows over all rows of c, each the number of one of its windows, from the shards' suffix arrays."""
+    shards = shards_of(c.hash, c.windows + window - 1, size)
+    if len(shards) == 1:
+        return shard_classes(c, window)[0]
     first = np.cumsum(c.windows) - c.windows
     out, known = np.empty(int(c.windows.sum()), np.int64), {}
-    shards = shards_of(c.hash, c.windows + window - 1, size)
     parted = {int(h) for a, b in zip(shards, shards[1:]) for h in np.intersect1d(c.hash[a], c.hash[b])}
     place = flat(c.start, c.windows)
     for rows in shards:
@@ -245,12 +280,11 @@ ADDED = [
 
 
 def cut_bytes(texts: list[bytes], firsts: np.ndarray, covered: np.ndarray) -> list[list]:
-    kept, removed, spans = [], [], []
-    for i, text in enumerate(texts):
-        a, b = runs_in(covered, firsts[i], firsts[i + 1])
-        kept.append(b"".join(text[x:y] for x, y in zip(np.r_[0, b].tolist(), np.r_[a, len(text)].tolist())) if len(a) else text)
-        removed.append(int((b - a).sum()))
-        spans.append(np.stack([a, b], 1).reshape(-1).tolist())
+    kept, removed, spans = [], [], removed_runs(covered, firsts)
+    for text, gone in zip(texts, spans):
+        edges = [0, *gone, len(text)]
+        kept.append(b"".join(text[x:y] for x, y in zip(edges[::2], edges[1::2])) if gone else text)
+        removed.append(sum(gone[1::2]) - sum(gone[::2]))
     return [kept, list(map(len, texts)), removed, spans]
 
 
