@@ -1,11 +1,11 @@
 """Suffix-array dedup of exact byte substrings.
 
 Each block of whole texts is a shard with a suffix array, made by Larsson-Sadakane refinement: suffixes are sorted by
-their first h bytes (six, for most texts), then only unfinished groups by the ranks h, 2h, 4h and so on bytes on. Kasai's common prefixes, carried
-along stretches of the shard side by side, give the classes of equal windows, so that each shard keeps the first of
-each. Shards are compared where they share anchors, the least hashes among the 32-byte strings of each 100-byte
-window: the first windows around shared anchors meet in shards of their own, which are treated alike; where one anchor
-fills several of these, their sorted windows are merged by binary search.
+their first h bytes (six, for most texts), then only unfinished groups by the ranks h, 2h, 4h and so on bytes on.
+Kasai's common prefixes, carried along stretches of the shard side by side, give the classes of equal windows, so that
+each shard keeps the first of each. Shards are compared where they share anchors, the least hashes among the 32-byte
+strings of each 100-byte window: the first windows around shared anchors meet in shards of their own, which are treated
+alike; where one anchor fills several of these, their sorted windows are merged by binary search.
 """
 
 from __future__ import annotations
