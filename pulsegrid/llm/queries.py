@@ -12,6 +12,7 @@ from pulsegrid.llm.mixing import mixed
 from pulsegrid.llm.near_dedup import near_classes
 from pulsegrid.llm.quality import quality_scores
 from pulsegrid.llm.recompression import recompression_dedup
+from pulsegrid.llm.secret_scan import ADDED, BASE, Rule, secret_spans, spans_text
 from pulsegrid.llm.sharding import shard_rows
 from pulsegrid.llm.suffix_dedup import suffix_dedup
 from pulsegrid.llm.tiff import tiff_encode, tiff_pages
@@ -143,6 +144,33 @@ FROM b JOIN y USING (doc_id) LEFT JOIN c USING (doc_id)
 """
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = secret_spans(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = lambda kinds: F.filter("spans", lambda s: s["kind"].isin(kinds))
+    counts = [F.size(kept([r.kind])).cast("long").alias(f"n_{r.kind}") for r in BASE]
+    base = kept([r.kind for r in BASE])
+    return docs.select("doc_id", *counts, F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
+
+
+def sql_of_rule(i: int, rule: Rule) -> str:
+    """Places of a rule's matches in SQL: pieces between matches and the matches themselves, their lengths added up."""
+    pattern = rule.pattern.replace("'", "''")
+    return f"""p{i} AS (SELECT doc, string_split_regex(t, '{pattern}') AS ps, regexp_extract_all(t, '{pattern}') AS fs, regexp_extract_all(t, '{pattern}', {rule.group}) AS gs FROM d),
+u{i} AS (SELECT doc, generate_subscripts(fs, 1) AS k, unnest(list_transform(fs, lambda x: length(x))) AS size, unnest(list_transform(gs, lambda x: length(x))) AS measured, unnest(list_transform(ps[:len(fs)], lambda x: length(x))) AS gap FROM p{i} WHERE len(fs) > 0),
+s{i} AS (SELECT doc, {i} AS rule, '{rule.kind}' AS kind, measured, CAST(sum(gap + size) OVER (PARTITION BY doc ORDER BY k) AS BIGINT) AS e, size FROM u{i})"""
+
+
+OP13_SQL = (
+    "WITH d AS (SELECT row_number() OVER () AS doc, doc_id, coalesce(text, '') AS t FROM documents), "
+    + ", ".join(sql_of_rule(i, r) for i, r in enumerate(BASE + ADDED))
+    + ", x AS ("
+    + " UNION ALL ".join(f"SELECT doc, rule, kind, e - size AS s, e FROM s{i} WHERE measured >= {r.least}" for i, r in enumerate(BASE + ADDED))
+    + f"""), g AS (SELECT doc, {", ".join(f"count(*) FILTER (WHERE kind = '{r.kind}') AS n_{r.kind}" for r in BASE)},
+  string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rule) FILTER (WHERE rule < {len(BASE)}) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rule) AS spans FROM x GROUP BY doc)
+SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc)"""
+)
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_sharding": op2_sharding,
@@ -154,7 +182,8 @@ QUERIES = {
     "op8_vector_search": op8_vector_search,
     "op9_bpe_codec": op9_bpe_codec,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op13_secret_scan": op13_secret_scan,
 }
 
 #: Queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {"op1_near_dedup": OP1_SQL, "op4_recompression_dedup": OP4_SQL, "op8_vector_search": OP8_SQL, "op10_suffix_dedup": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_near_dedup": OP1_SQL, "op4_recompression_dedup": OP4_SQL, "op8_vector_search": OP8_SQL, "op10_suffix_dedup": OP10_SQL, "op13_secret_scan": OP13_SQL}
