@@ -10,6 +10,7 @@ from pulsegrid.llm.bpe_codec import bpe_encode
 from pulsegrid.llm.common import read_table, utf8
 from pulsegrid.llm.mixing import mixed
 from pulsegrid.llm.near_dedup import near_classes
+from pulsegrid.llm.period_runs import period_runs
 from pulsegrid.llm.quality import quality_scores
 from pulsegrid.llm.recompression import recompression_dedup
 from pulsegrid.llm.secret_scan import ADDED, BASE, Rule, secret_spans, spans_text
@@ -144,6 +145,62 @@ FROM b JOIN y USING (doc_id) LEFT JOIN c USING (doc_id)
 """
 
 
+def repeated_tails(docs: DataFrame) -> DataFrame:
+    """documents in which every tenth text, by a hash of its id, repeats its words from some place on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    picked = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("words"), F.expr("crc32(cast(cast(doc_id as string) as binary)) div 10").alias("g"))
+    n = F.size("words").cast("long")
+    placed = picked.withColumn("n", n).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.when(F.col("n") > 0, F.col("n"))))
+    placed = placed.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    tail = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - F.col("a") - 1), lambda k: F.get("words", (F.col("a") + k % F.col("p")).cast("int")))
+    made = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a").cast("int")), tail), " ")
+    return placed.select("doc_id", F.when(F.col("n") > 0, made).otherwise(F.col("text")).alias("text"))
+
+
+def op12_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = period_runs(repeated_tails(read_table(spark, sf_dir, "documents"))).select("doc_id", "runs", F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    # runs are in order of start and period: of equal exponents the first one stays
+    better = lambda best, r: F.when(best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"]), r).otherwise(best)
+    best = F.aggregate("runs", F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>"), better)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n")))
+    out = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), "collapsed_sha256")
+    return out.select("doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of an ASCII text in SQL: bytes are mixed in, each followed by eight shifts."""
+    steps = f"list_concat([4294967295], flatten(list_transform(string_split({text}, ''), lambda c: [CAST(ord(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])))"
+    return f"xor(list_reduce({steps}, lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, (c & 1) * 3988292384) END), 4294967295)"
+
+
+#: Ranks by 1, 2, 4, ... words; a period d shows as the distance to the next equal stretch of m words with m / 2 < d <= m.
+OP12_SQL = (
+    r"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS doc, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, """
+    + crc32_sql("CAST(doc_id AS VARCHAR)")
+    + r""" AS h FROM documents),
+g AS (SELECT *, CAST(len(ws) AS BIGINT) AS n, h // 10 AS g FROM d),
+a AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a FROM g),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+x AS (SELECT doc, CASE WHEN a IS NULL THEN ws ELSE list_transform(range(0, n), lambda i: CASE WHEN i < a THEN ws[i + 1] ELSE ws[a + (i - a) % p + 1] END) END AS ws FROM p),
+y AS (SELECT doc, generate_subscripts(ws, 1) - 1 AS i, unnest(ws) AS word FROM x),
+w AS (SELECT doc, i, word, min(i) OVER (PARTITION BY doc, word) AS r FROM y),
+v AS (SELECT 1 AS m, doc, i, r FROM w
+  UNION ALL SELECT 2 * m, doc, i, min(i) OVER (PARTITION BY doc, r, s) FROM (SELECT m, doc, i, r, lead(r, m) OVER (PARTITION BY doc ORDER BY i) AS s FROM v) WHERE s IS NOT NULL),
+c AS (SELECT DISTINCT doc, q FROM (SELECT doc, m, lead(i) OVER (PARTITION BY m, doc, r ORDER BY i) - i AS q FROM v) WHERE q <= m AND 2 * q > m),
+e AS (SELECT c.doc, q, s.i, s.i - row_number() OVER (PARTITION BY c.doc, q ORDER BY s.i) AS part FROM c JOIN w s ON s.doc = c.doc JOIN w t ON t.doc = c.doc AND t.i = s.i + q AND t.r = s.r),
+f AS (SELECT doc, q, min(i) AS start, count(*) + q AS length FROM e GROUP BY doc, q, part HAVING count(*) >= 3 * q AND count(*) >= 6 - q),
+o AS (SELECT doc, start, length, min(q) AS period FROM f GROUP BY doc, start, length),
+b AS (SELECT doc, count(*) AS n_runs, arg_min(struct_pack(start := start, length := length, period := period), (-(CAST(length AS HUGEINT) * 1000000000000 // period), start, period)) AS best,
+  string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM o GROUP BY doc),
+z AS (SELECT DISTINCT doc, unnest(range(start + period, start + length)) AS i FROM o),
+k AS (SELECT doc, string_agg(word, ' ' ORDER BY i) AS kept FROM w ANTI JOIN z USING (doc, i) GROUP BY doc)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(best.start AS BIGINT) AS start, CAST(best.length AS BIGINT) AS length, CAST(best.period AS BIGINT) AS period, CAST(1000 * best.length // best.period AS BIGINT) AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN b USING (doc) LEFT JOIN k USING (doc)"""
+)
+
+
 def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = secret_spans(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     kept = lambda kinds: F.filter("spans", lambda s: s["kind"].isin(kinds))
@@ -182,8 +239,9 @@ QUERIES = {
     "op8_vector_search": op8_vector_search,
     "op9_bpe_codec": op9_bpe_codec,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op12_period_runs": op12_period_runs,
     "op13_secret_scan": op13_secret_scan,
 }
 
 #: Queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {"op1_near_dedup": OP1_SQL, "op4_recompression_dedup": OP4_SQL, "op8_vector_search": OP8_SQL, "op10_suffix_dedup": OP10_SQL, "op13_secret_scan": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_near_dedup": OP1_SQL, "op4_recompression_dedup": OP4_SQL, "op8_vector_search": OP8_SQL, "op10_suffix_dedup": OP10_SQL, "op12_period_runs": OP12_SQL, "op13_secret_scan": OP13_SQL}
