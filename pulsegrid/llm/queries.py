@@ -18,6 +18,7 @@ from pulsegrid.llm.sharding import shard_rows
 from pulsegrid.llm.suffix_dedup import suffix_dedup
 from pulsegrid.llm.tiff import tiff_encode, tiff_pages
 from pulsegrid.llm.token_counts import token_counts
+from pulsegrid.llm.turn_repair import repair_report, repair_turns
 from pulsegrid.llm.vector_search import top_k
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -145,6 +146,78 @@ FROM b JOIN y USING (doc_id) LEFT JOIN c USING (doc_id)
 """
 
 
+def damaged_turns(rows: DataFrame) -> DataFrame:
+    """conversations with faults put in by a hash of conversation and turn: rows dropped, emptied, without an end, repeated, of another role."""
+    space = F.lit(" ")
+    text, role = F.coalesce("text", space), F.coalesce("role", space)
+    place = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), space) for c in ("conv_id", "turn")])
+    h = F.crc32(place.cast("binary")) % 20
+    copies = F.when(h == 0, 0).when(h == 3, 2).otherwise(1)
+    made = rows.select(
+        "conv_id", "turn", F.when(h == 4, "user").otherwise(role).alias("role"),
+        F.when(h == 1, "").when(h == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"), F.explode(F.array_repeat(F.lit(1), copies)).alias("copy"),
+    )
+    return made.drop("copy")
+
+
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    report = repair_report(repair_turns(damaged_turns(rows)))
+    every = rows.select("conv_id").distinct().join(report, F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+    numbers = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of an ASCII text in SQL: bytes are mixed in, each followed by eight shifts."""
+    steps = f"list_concat([4294967295], flatten(list_transform(string_split({text}, ''), lambda c: [CAST(ord(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])))"
+    return f"xor(list_reduce({steps}, lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, (c & 1) * 3988292384) END), 4294967295)"
+
+
+def turn_repair_sql() -> str:
+    """Row after row in a recursion: the cheapest way (cost c, letters a, turns r) to each state; the least of equally cheap letters."""
+
+    def way(q: str, cost: str, letter: str, item: str = "") -> str:
+        return f"CASE WHEN {q} IS NOT NULL THEN {{'c': {q}.c + {cost}, 'a': {q}.a || '{letter}', 'r': " + (f"list_append({q}.r, {item})" if item else f"{q}.r") + "} END"
+
+    def best(*ways: str) -> str:
+        return f"list_sort(list_filter([{', '.join(ways)}], lambda z: z IS NOT NULL))[1]"
+
+    def row(q: str, letter: str) -> str:
+        """The row kept, or given the role of a letter."""
+        kept = f"CASE WHEN x = '{letter}' THEN " + way(q, "t", "K", "role || ':' || text") + " END"
+        if letter == "s":
+            return f"CASE WHEN NOT gone THEN {kept} END"
+        name = {"u": "user", "a": "assistant"}[letter]
+        return f"CASE WHEN NOT gone THEN {best(kept, way(q, '2 + t', 'R', f"'{name}:' || text"))} END"
+
+    start = "{'c': CAST(0 AS BIGINT), 'a': CAST('' AS VARCHAR), 'r': CAST([] AS VARCHAR[])}"
+    put_in = "p0 AS q0, p1 AS q1, " + best("p2", way("p0", "2", "I", "'user:'"), way("p1", "2", "I", "'user:'"), way("p3", "2", "I", "'user:'")) + " AS q2, p3"
+    last = f"q0, q1, q2, {best('p3', way('q2', '2', 'I', "'assistant:'"))} AS q3"
+    step = ", ".join([way("q0", "3", "D") + " AS p0", best(way("q1", "3", "D"), row("q0", "s")) + " AS p1", best(way("q2", "3", "D"), *[row(q, "u") for q in ("q0", "q1", "q3")]) + " AS p2", best(way("q3", "3", "D"), row("q2", "a")) + " AS p3"])
+    pairs = "lag(x) OVER w IS NOT NULL AND lag(x) OVER w || x NOT IN ('su', 'ua', 'au')"
+    return (
+        "WITH RECURSIVE b AS (SELECT dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS k, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, "
+        + crc32_sql("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")
+        + r""" % 20 AS h FROM conversations),
+d AS (SELECT k, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM b),
+n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, text) AS i, left(role, 1) AS x FROM d),
+m AS (SELECT *, NOT regexp_matches(text, '[^ 	-]') AS blank, row_number() OVER (PARTITION BY k, role, text ORDER BY i) > 1 AS again, NOT regexp_matches(text, '[.!?][ 	-]*\z') AS cut,
+  """ + pairs + r""" AS bad FROM n WINDOW w AS (PARTITION BY k ORDER BY i)),
+r AS (SELECT *, blank OR again AS gone, CAST(NOT blank AND NOT again AND cut AS BIGINT) AS t FROM m),
+v AS (SELECT k, CAST(0 AS BIGINT) AS i, """ + last + f" FROM (SELECT k, {put_in} FROM (SELECT DISTINCT k, {start} AS p0, CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, r VARCHAR[])) AS p1, CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, r VARCHAR[])) AS p2, CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, r VARCHAR[])) AS p3 FROM r))"
+        + f" UNION ALL SELECT k, i, {last} FROM (SELECT k, i, {put_in} FROM (SELECT v.k, r.i, {step} FROM v JOIN r ON r.k = v.k AND r.i = v.i + 1))),"
+        + f"""
+g AS (SELECT k, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE again AND NOT blank) AS duplicate, CAST(sum(t) AS BIGINT) AS truncated, count(*) FILTER (WHERE bad) AS illegal FROM r GROUP BY k),
+f AS (SELECT g.*, {best('q0', 'q3')} AS z FROM g JOIN v ON v.k = g.k AND v.i = g.n)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(z.c, 0) AS cost, coalesce(z.a, '') AS audit,
+  sha256(coalesce(array_to_string(z.r, chr(10)), '')) AS repaired_sha256 FROM (SELECT DISTINCT k, conv_id FROM b) LEFT JOIN f USING (k)"""
+    )
+
+
+OP11_SQL = turn_repair_sql()
+
+
 def repeated_tails(docs: DataFrame) -> DataFrame:
     """documents in which every tenth text, by a hash of its id, repeats its words from some place on."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -168,12 +241,6 @@ def op12_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
-def crc32_sql(text: str) -> str:
-    """The unsigned CRC-32 of an ASCII text in SQL: bytes are mixed in, each followed by eight shifts."""
-    steps = f"list_concat([4294967295], flatten(list_transform(string_split({text}, ''), lambda c: [CAST(ord(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])))"
-    return f"xor(list_reduce({steps}, lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, (c & 1) * 3988292384) END), 4294967295)"
-
-
 #: Ranks by 1, 2, 4, ... words; a period d shows as the distance to the next equal stretch of m words with m / 2 < d <= m.
 OP12_SQL = (
     r"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS doc, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, """
@@ -239,9 +306,10 @@ QUERIES = {
     "op8_vector_search": op8_vector_search,
     "op9_bpe_codec": op9_bpe_codec,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_turn_repair": op11_turn_repair,
     "op12_period_runs": op12_period_runs,
     "op13_secret_scan": op13_secret_scan,
 }
 
 #: Queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {"op1_near_dedup": OP1_SQL, "op4_recompression_dedup": OP4_SQL, "op8_vector_search": OP8_SQL, "op10_suffix_dedup": OP10_SQL, "op12_period_runs": OP12_SQL, "op13_secret_scan": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_near_dedup": OP1_SQL, "op4_recompression_dedup": OP4_SQL, "op8_vector_search": OP8_SQL, "op10_suffix_dedup": OP10_SQL, "op11_turn_repair": OP11_SQL, "op12_period_runs": OP12_SQL, "op13_secret_scan": OP13_SQL}
