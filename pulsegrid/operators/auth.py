@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,6 +9,8 @@ from pyspark.sql.window import Window
 from pulsegrid.functions.limits import RATE_PERMIT, RATE_WINDOW_SECONDS
 from pulsegrid.functions.scalars import key_hash, scope_name, scope_satisfies
 from pulsegrid.operators.validate import with_reasons
+from pulsegrid.operators.windows import anchored_starts, in_windows
+from pulsegrid.sources.scratch import written
 
 
 def authenticate(requests: DataFrame, keys: DataFrame) -> DataFrame:
@@ -36,61 +34,84 @@ def permits_used(requests: DataFrame, window_seconds: int = RATE_WINDOW_SECONDS)
     return requests.where("key_id is not null").groupBy("key_id", limit_window(window_seconds).alias("win")).agg(F.count(F.lit(1)).alias("used"))
 
 
-def over_limit(requests: DataFrame, permit: int = RATE_PERMIT, window_seconds: int = RATE_WINDOW_SECONDS, mode: str = "epoch", used: DataFrame | None = None, oldest: int | None = None) -> DataFrame:
-    """batch_id and key_id of the requests that are over their key's limit, by ids and times alone.
+#: Rows of limit_cuts up to which they are broadcast whatever Spark's own threshold: some 40 bytes each.
+BROADCAST_CUTS = 200_000
+
+
+def limit_cuts(requests: DataFrame, permit: int = RATE_PERMIT, window_seconds: int = RATE_WINDOW_SECONDS, mode: str = "epoch", used: DataFrame | None = None) -> DataFrame:
+    """Where the windows that are over their limit are cut: key_id, bin, start, end, cut and free.
 
-    used (key_id, win, used) counts what came before these requests; requests of windows before oldest are over.
+    Requests come in order of (received_at, batch_id), nulls first. cut is the place in it (micros, batch_id) at which
+    permits run out: requests before it have one, those after it none, and so many as free of those at that very place.
+    bin is a number of a window's length that the window touches: a window on multiples of its length touches one,
+    another one touches two, and has a row for each.
+
+    Counts by key and window come first, so that only requests of windows over the limit are ranked, by their times and
+    ids alone. used (key_id, win, used; mode "epoch") counts what came before.
     """
-    narrow = requests.where("key_id is not null").select("key_id", "batch_id", "received_at")
+    if mode not in ("epoch", "anchored"):
+        raise ValueError(f"unknown mode {mode!r}")
+    wide = window_seconds * 1_000_000
+    narrow = requests.where("key_id is not null and received_at is not null").select("key_id", F.unix_micros("received_at").alias("at"), "batch_id")
     if mode == "epoch":
-        dealt = narrow.withColumn("win", limit_window(window_seconds))
-        nth = F.row_number().over(Window.partitionBy("key_id", "win").orderBy("received_at", "batch_id"))
-        ranked = dealt.withColumn("nth", nth)
+        win = F.floor(F.col("at") / wide).cast("long")
+        counts = narrow.groupBy("key_id", win.alias("win")).agg(F.count(F.lit(1)).alias("n"))
+        before = F.lit(0).cast("long")
         if used is not None:
-            ranked = ranked.join(used.select("key_id", "win", "used"), ["key_id", "win"], "left").withColumn("nth", F.col("nth") + F.coalesce("used", F.lit(0)))
-        over = F.col("nth") > permit
-        ranked = ranked.where(over if oldest is None else over | (F.col("win") < oldest))
-        return ranked.select("batch_id", "key_id").distinct()
-    if mode != "anchored":
-        raise ValueError(f"unknown mode {mode!r}")
+            counts, before = counts.join(used.select("key_id", "win", "used"), ["key_id", "win"], "left"), F.coalesce("used", F.lit(0)).cast("long")
+        over = counts.where(F.col("n") + before > permit).select("key_id", "win", before.alias("before"))
+        placed = narrow.withColumn("win", win).join(over, ["key_id", "win"]).withColumn("start", F.col("win") * wide)
+    else:
+        inside = in_windows(narrow, anchored_starts(narrow, wide), wide)
+        over = inside.groupBy("key_id", "start").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > permit)
+        placed = inside.join(over.select("key_id", "start", F.lit(0).cast("long").alias("before")), ["key_id", "start"])
+    by = ["key_id", "start", "before"]
+    alike = placed.groupBy(*by, "at", "batch_id").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("key_id", "start").orderBy("at", "batch_id")
+    upto = alike.withColumn("upto", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) + F.col("before"))
+    last = upto.where(F.col("upto") > permit).groupBy("key_id", "start").agg(F.min_by(F.struct("at", "batch_id", "n", "upto"), "upto").alias("x"))
+    # the place where the limit is passed: those before it have a permit, and so many at it
+    free = F.col("x.n") - (F.col("x.upto") - permit)
+    cut = F.struct(F.col("x.at").alias("at"), F.col("x.batch_id").alias("batch_id"))
+    found = last.select("key_id", "start", (F.col("start") + wide).alias("end"), cut.alias("cut"), F.greatest(free, F.lit(0)).alias("free"))
+    bins = F.array_distinct(F.array(F.floor(F.col("start") / wide), F.floor((F.col("end") - 1) / wide)))
+    return found.select("key_id", F.explode(bins).alias("bin"), "start", "end", "cut", "free")
+
+
+def with_verdict(requests: DataFrame, cuts: DataFrame, window_seconds: int, oldest: int | None = None) -> DataFrame:
+    """requests with allowed, by the cuts of their keys' windows; those of windows before oldest are refused.
+
+    Bodies stay where they are: the cuts, one or two rows for each window over its limit, are written, counted, and
+    broadcast while they are at most BROADCAST_CUTS; beyond that they are joined as Spark sees fit. Only requests at
+    the very place of a cut, where some are free and some are not, are numbered among each other.
+    """
     wide = window_seconds * 1_000_000
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Over rows in order of key and time, a batch at a time; what is carried on is one key, its window's end and count."""
-        key, end, count = None, 0, 0
-        for batch in batches:
-            keys, at = batch.column("key_id").to_numpy(), batch.column("at").to_numpy()
-            over = np.zeros(len(at), bool)
-            for lo, hi in zip(*_runs(keys)):
-                if keys[lo] != key:
-                    key, end, count = keys[lo], -(2**63), 0
-                while lo < hi:
-                    if at[lo] >= end:
-                        end, count = int(at[lo]) + wide, 0
-                    stop = lo + int(np.searchsorted(at[lo:hi], end, "left"))
-                    over[lo + max(0, permit - count) : stop] = True
-                    count, lo = count + stop - lo, stop
-            yield batch.select(["batch_id", "key_id"]).filter(pa.array(over))
-
-    ordered = narrow.select(F.col("key_id").cast("long"), "batch_id", F.unix_micros("received_at").alias("at")).repartition("key_id").sortWithinPartitions("key_id", "at", "batch_id")
-    return ordered.mapInArrow(walk, f"batch_id {dict(requests.dtypes)['batch_id']}, key_id long").distinct()
-
-
-def _runs(keys: np.ndarray) -> tuple[list[int], list[int]]:
-    cut = (np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist()
-    return ([0, *cut], [*cut, len(keys)]) if len(keys) else ([], [])
+    known = written(cuts, "cuts")
+    size, tied = known.agg(F.count(F.lit(1)), F.max(F.col("free") > 0)).first()
+    c = known.select(F.col("key_id").alias("_key"), F.col("bin").alias("_bin"), F.col("start").alias("_start"), F.col("end").alias("_end"), F.col("cut").alias("_cut"), F.col("free").alias("_free"))
+    at = F.unix_micros("received_at")
+    where = (F.col("key_id") == F.col("_key")) & (F.floor(at / wide).cast("long") == F.col("_bin")) & (at >= F.col("_start")) & (at < F.col("_end"))
+    joined = requests.join(F.broadcast(c) if size <= BROADCAST_CUTS else c, where, "left")
+    place = F.struct(at.alias("at"), F.col("batch_id").alias("batch_id"))
+    late = F.lit(False) if oldest is None else F.col("key_id").isNotNull() & (F.floor(at / wide) < oldest)
+    free = F.lit(False)
+    if tied:
+        at_cut = F.col("_cut").isNotNull() & (place == F.col("_cut")) & (F.col("_free") > 0)
+        inside = joined.where(at_cut).withColumn("_nth", F.row_number().over(Window.partitionBy("key_id", "received_at", "batch_id").orderBy(F.lit(1))))
+        joined = inside.unionByName(joined.where(F.coalesce(~at_cut, F.lit(True))).withColumn("_nth", F.lit(0)))
+        free = (F.col("_nth") > 0) & (F.col("_nth") <= F.col("_free"))
+    allowed = (F.col("_key").isNull() | F.coalesce(place < F.col("_cut"), F.lit(False)) | free) & ~late
+    return joined.withColumn("allowed", allowed).drop("_key", "_bin", "_start", "_end", "_cut", "_free", "_nth")
 
 
 def rate_limit(requests: DataFrame, permit: int = RATE_PERMIT, window_seconds: int = RATE_WINDOW_SECONDS, mode: str = "epoch", used: DataFrame | None = None, oldest: int | None = None) -> DataFrame:
-    """requests with allowed: at most permit per key and window, in order of arrival; batch_id names one request.
+    """requests with allowed: at most permit per key and window, in order of arrival.
 
-    mode "epoch": windows lie on multiples of their length, so a hot key is spread over its windows. mode
-    "anchored": a key's window starts at its first request, the next at the first request after its end. Requests
-    without a key are not limited. Bodies do not move: only the ids of requests over the limit come back to them.
+    Every row is a request of its own, also where ids are null or come again. mode "epoch": windows lie on multiples of
+    their length, so a hot key is spread over its windows. mode "anchored": a key's window starts at its first request,
+    the next at the first request after its end. Requests without a key or a time are not limited.
     """
-    over = over_limit(requests, permit, window_seconds, mode, used, oldest).select(F.col("batch_id").alias("_batch"), F.col("key_id").alias("_key_id"))
-    joined = requests.join(over, (F.col("batch_id") == F.col("_batch")) & (F.col("key_id") == F.col("_key_id")), "left")
-    return joined.withColumn("allowed", F.col("_batch").isNull()).drop("_batch", "_key_id")
+    return with_verdict(requests, limit_cuts(requests, permit, window_seconds, mode, used), window_seconds, oldest)
 
 
 def entitled_requests(known: DataFrame, required: str = "ingest") -> DataFrame:
@@ -105,9 +126,9 @@ def ingest_status(requests: DataFrame, keys: DataFrame, permit: int = RATE_PERMI
     """
     known = authenticate(requests, keys)
     entitled = scope_satisfies(F.col("scope"), F.lit(required))
-    over = over_limit(entitled_requests(known.select("batch_id", "key_id", "received_at", "scope"), required), permit, window_seconds, "epoch", used, oldest)
-    over = over.select(F.col("batch_id").alias("_batch"), F.col("key_id").alias("_key_id"))
-    limited = known.join(over, (F.col("batch_id") == F.col("_batch")) & (F.col("key_id") == F.col("_key_id")), "left").withColumn("allowed", F.col("_batch").isNull()).drop("_batch", "_key_id")
+    counted = entitled_requests(known.select("batch_id", "key_id", "received_at", "scope"), required)
+    # a request that is not entitled counts for nothing, and its verdict is not used
+    limited = with_verdict(known, limit_cuts(counted, permit, window_seconds, "epoch", used), window_seconds, oldest)
     checked = with_reasons(limited)
     bad = F.size(F.concat("batch_reasons", F.flatten("point_reasons"))) > 0
     status = F.when(F.col("key_id").isNull(), 401).when(~entitled, 403).when(~F.col("allowed"), 429).when(bad, 400).otherwise(202)

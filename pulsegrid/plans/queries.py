@@ -16,7 +16,7 @@ from pulsegrid.plans import store
 from pulsegrid.plans.ingest import ingest
 from pulsegrid.sources import adapters as a
 from pulsegrid.sources import tables as files
-from pulsegrid.sources.scratch import scratch_path
+from pulsegrid.sources.scratch import scratch_path, written
 from pulsegrid.sources.tables import read_facts, write_points
 from pulsegrid.streaming import jobs
 
@@ -321,11 +321,10 @@ def new_series(spark, sf_dir):
     "WITH " + VALID + OLD + FRESH + ", numbered AS (SELECT 0 AS part, * FROM old UNION ALL SELECT 1 AS part, * FROM fresh) SELECT CAST(row_number() OVER (ORDER BY part, tenant_id, source_id, name, canonical) AS INTEGER) AS id, tenant_id, source_id, name, unit, canonical AS labels, created_at FROM numbered"
 )
 def upsert_series(spark, sf_dir):
-    """Two epochs of the stored dimension, the second of them run twice."""
-    path, found = scratch_path(spark, "series"), valid_points(spark, sf_dir)
-    store.append_series(found.where(F.col("batch_id") % 3 == 0), path, 0)
-    store.append_series(found, path, 1)
-    store.append_series(found, path, 1)
+    """The stored dimension, grown twice, and a third time by nothing new."""
+    path, found = scratch_path(spark, "series"), written(valid_points(spark, sf_dir), "valid")
+    for part in (found.where(F.col("batch_id") % 3 == 0), found, found):
+        store.append_series(part, path)
     return ntz(store.read_series(spark, path))
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import limits as lim
 from pulsegrid.functions.scalars import week_start
-from pulsegrid.sources.scratch import delete, written
+from pulsegrid.operators.retention import judge_partitions
+from pulsegrid.sources.log import commit, new_try, read_folders, read_state, written_parts
 
 
 def parse_requests(bodies: DataFrame) -> DataFrame:
@@ -42,44 +45,94 @@ def load_points_jdbc(spark: SparkSession, jdbc: dict[str, str], weeks: list[str]
     return spark.read.jdbc(jdbc["url"], "metric_points", predicates=predicates, properties=properties)
 
 
-def write_points(points: DataFrame, path: str, max_records: int = 5_000_000, epoch: int | None = None) -> int:
-    """Appends series_id, ts and value under week=...; returns the number of rows written.
+def add_points(points: DataFrame, path: str, max_records: int = 5_000_000) -> tuple[list[str], int]:
+    """Writes series_id, ts and value to folders by week that do not count yet; (the folders, number of rows).
 
     Nearly all rows of a stream fall in the current week. Rows are rebalanced by week: adaptive execution gives a
     small week one file, and splits a hot one into as many tasks as its size asks for. Files are sorted by series
-    and time, so that their statistics serve as an index. The count comes with the write. With an epoch, rows go
-    under week=.../epoch=... and replace what a failed try of the same epoch left there.
+    and time, so that their statistics serve as an index. The count comes with the write.
     """
-    seen, by = Observation(), ["week"] + ["epoch"] * (epoch is not None)
+    seen, token = Observation(), new_try()
     dated = points.select("series_id", "ts", "value", F.date_format(week_start(F.col("ts")), "yyyy-MM-dd").alias("week"))
-    dated = dated if epoch is None else dated.withColumn("epoch", F.lit(epoch).cast("long"))
     dealt = dated.hint("rebalance", F.col("week")).sortWithinPartitions("week", "series_id", "ts").observe(seen, F.count(F.lit(1)).alias("rows"))
-    how = dealt.write.mode("append") if epoch is None else dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    how.option("maxRecordsPerFile", max_records).partitionBy(*by).parquet(path)
-    return seen.get["rows"]
+    dealt.write.option("maxRecordsPerFile", max_records).partitionBy("week").parquet(f"{path}/points/{token}")
+    return written_parts(points.sparkSession, path, "points", token, "week"), seen.get["rows"]
+
+
+def write_points(points: DataFrame, path: str, max_records: int = 5_000_000) -> int:
+    """Appends series_id, ts and value under path, by week, in one step; returns the number of rows written."""
+    spark = points.sparkSession
+    state = read_state(spark, path)
+    folders, rows = add_points(points, path, max_records)
+    if folders:
+        commit(spark, path, state, {"add": {"points": folders}})
+    return rows
+
 
+def week_of(folder: str) -> str:
+    """The Monday in the name of a folder of points, as it is written there."""
+    return folder.rsplit("week=", 1)[-1]
 
-def read_facts(spark: SparkSession, path: str) -> DataFrame:
-    """Points as written, week as the Monday's time stamp; filters on week prune folders."""
-    facts = spark.read.schema(f"{lim.POINT}, week date").parquet(path)
+
+def read_facts(spark: SparkSession, path: str, folders: list[str] | None = None) -> DataFrame:
+    """Points as written, week as the Monday's time stamp; filters on week prune folders. folders: of all that count, only these."""
+    found = read_state(spark, path).folders("points") if folders is None else folders
+    facts = read_folders(spark, path, "points", found, f"{lim.POINT}, week date")
     return facts.select("series_id", "ts", "value", F.col("week").cast("timestamp").alias("week"))
 
 
 def purge_points(spark: SparkSession, path: str, lost: DataFrame) -> list[str]:
-    """Takes the points of the lost series (id) out of the files under path; returns the weeks that were rewritten.
+    """Takes the points of the lost series (id) out of the table under path; returns the weeks that were written anew.
+
+    Only weeks that hold such points are read whole. What is left of them goes to new folders, which then take the
+    place of the old ones in one step; a week of which nothing is left goes. What comes to the driver is the list of
+    weeks.
+    """
+    state, gone = read_state(spark, path), lost.select(F.col("id").alias("series_id")).distinct()
+    hit = read_facts(spark, path, state.folders("points")).join(gone, "series_id", "left_semi").select("week").distinct().collect()
+    weeks = {f"{r['week']:%Y-%m-%d}" if r["week"] else NO_WEEK for r in hit}
+    if weeks:
+        old = [f for f in state.folders("points") if week_of(f) in weeks]
+        folders, _ = add_points(read_facts(spark, path, old).join(gone, "series_id", "left_anti"), path)
+        commit(spark, path, state, {"remove": {"points": old}, "add": {"points": folders}})
+    return sorted(weeks)
+
+
+#: Fixed value: the name of the folder of points without a time.
+NO_WEEK = "__HIVE_DEFAULT_PARTITION__"
+
+
+def compact_points(spark: SparkSession, path: str, most: int = 1) -> list[str]:
+    """Joins the folders of weeks that have more than most, so that a week of many epochs is a few large files again; returns the weeks.
+
+    The new folders take the place of the old ones in one step. Weeks are rebalanced by their size as they are written.
+    """
+    state, by_week = read_state(spark, path), {}
+    for f in state.folders("points"):
+        by_week.setdefault(week_of(f), []).append(f)
+    old = [f for found in by_week.values() if len(found) > most for f in found]
+    if old:
+        folders, _ = add_points(read_facts(spark, path, old), path)
+        commit(spark, path, state, {"remove": {"points": old}, "add": {"points": folders}})
+    return sorted({week_of(f) for f in old})
+
+
+def retire_weeks(spark: SparkSession, path: str, as_of: dt.datetime, retention_days: int = lim.RETENTION_DAYS) -> DataFrame:
+    """Drops the weeks of stored points that are over, in one step; week and verdict (drop, keep, unknown) of all there were.
 
-    Only weeks that hold such points are read whole and written anew, in the shared folder first; a week of which
-    nothing is left goes. What comes to the driver is the list of weeks.
+    No row is read: the folders of a week stop counting. Folders whose names are not those of weeks are kept and
+    reported as unknown.
     """
-    facts, gone = read_facts(spark, path), lost.select(F.col("id").alias("series_id")).distinct()
-    weeks = [r["week"] for r in facts.join(gone, "series_id", "left_semi").select("week").distinct().collect()]
-    if not weeks:
-        return []
-    kept = written(facts.where(F.col("week").isin(weeks)).join(gone, "series_id", "left_anti"), "purged")
-    for week in weeks:
-        delete(spark, f"{path}/week={week:%Y-%m-%d}")
-    write_points(kept, path)
-    return sorted(f"{week:%Y-%m-%d}" for week in weeks)
+    state = read_state(spark, path)
+    weeks = sorted({week_of(f) for f in state.folders("points")})
+    names = spark.createDataFrame([(w, "metric_points_" + w.replace("-", "")) for w in weeks], "folder string, name string")
+    verdicts = {r["name"]: r["verdict"] for r in judge_partitions(names.select("name"), as_of, retention_days).collect()}
+    judged = [(w, verdicts["metric_points_" + w.replace("-", "")]) for w in weeks]
+    gone = {w for w, verdict in judged if verdict == "drop"}
+    old = [f for f in state.folders("points") if week_of(f) in gone]
+    if old:
+        commit(spark, path, state, {"remove": {"points": old}})
+    return spark.createDataFrame(judged, "week string, verdict string")
 
 
 def request_stream(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:

@@ -13,18 +13,22 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pulsegrid.functions.limits import RATE_PERMIT, RATE_WINDOW_SECONDS
 from pulsegrid.operators.host import parse_cpu
 from pulsegrid.plans.store import KEEP_WINDOWS, ingest_epoch
+from pulsegrid.sources.log import read_json
 
 
 def ingest_stream(requests: DataFrame, dims: Callable[[], dict[str, DataFrame]], path: str, checkpoint: str, permit: int = RATE_PERMIT, window_seconds: int = RATE_WINDOW_SECONDS, trigger: dict | None = None, keep_windows: int = KEEP_WINDOWS):
     """Starts the ingest of a stream of requests into the tables under path; each micro-batch is an epoch of ingest_epoch.
 
     dims() gives api_keys, sources and weeks afresh for every micro-batch. Limits, series and last_seen carry on from
-    epoch to epoch; one that is tried again after a failure replaces its own part. How much a micro-batch takes is
-    limited where the stream is read (request_stream). Late data are judged by their time of arrival, not by a watermark.
+    epoch to epoch; one that is tried again after a failure takes the place of what it committed before, if it did. The
+    stream is known by the id in its checkpoint, so that a new checkpoint adds epochs and replaces none. How much a
+    micro-batch takes is limited where the stream is read (request_stream). Late data are judged by their time of
+    arrival, not by a watermark.
     """
 
     def run(batch: DataFrame, epoch: int) -> None:
-        ingest_epoch(batch, dims(), path, epoch, permit, window_seconds, keep_windows)
+        stream = read_json(batch.sparkSession, f"{checkpoint}/metadata")["id"]
+        ingest_epoch(batch, dims(), path, epoch, permit, window_seconds, keep_windows, stream)
 
     return requests.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()
 

@@ -3,11 +3,14 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import limits as lim
+from pulsegrid.operators import resolve
 from pulsegrid.plans import store
-from pulsegrid.sources.tables import load_dims, purge_points, read_facts, read_requests, read_spool, write_points
+from pulsegrid.sources.log import Conflict, commit, read_state, vacuum
+from pulsegrid.sources.tables import compact_points, load_dims, purge_points, read_facts, read_requests, read_spool, retire_weeks, write_points
 from pulsegrid.streaming import jobs
 
 ANCHOR = dt.datetime(2034, 2, 6, 12)
@@ -149,3 +152,164 @@ def test_rollup_stream_and_losses(spark, tmp_path):
     got = in_turns(spark, tmp_path, [rows([(0, 1.0), (30, 3.0)]), rows([(3600, 9.0)]), rows([(7200, 1.0)])], lambda p: jobs.rollup_1m_stream(p, "1 minute"))
     assert ("2034-02-06 12:00:00", 2, 4.0, 3.0) in {(str(r.bucket), r.n, r.total, r.last) for r in got}
     assert jobs.losses_stream(spark.createDataFrame([(1, None, "x", 3)], lim.REJECT)).count() == 1
+
+
+# -- tables at rest ----------------------------------------------------------------------------------------------------
+
+
+def point_rows(spark, path):
+    return sorted(r.value for r in store.read_points_of(spark, path).collect())
+
+
+def reject_rows(spark, path):
+    return sorted((r.reason, r.batch_id) for r in store.read_rejects(spark, path).collect())
+
+
+def without_sources(spark):
+    return dims_of(spark) | {"sources": spark.createDataFrame([], lim.SOURCE)}
+
+
+def test_retry_leaves_one_outcome(spark, tmp_path):
+    """The first run finds no source, the second does: the point is there and its reject is not."""
+    path = str(tmp_path)
+    assert store.ingest_epoch(requests_at(spark, [1]), without_sources(spark), path, 0, 3, 60, stream="a") == 0
+    assert reject_rows(spark, path) == [("unknown_source", 0)] and point_rows(spark, path) == []
+    assert store.ingest_epoch(requests_at(spark, [1]), dims_of(spark), path, 0, 3, 60, stream="a") == 1
+    assert reject_rows(spark, path) == [] and point_rows(spark, path) == [1.0]
+    # and the other way round; a week, a series and permits that the first run had are gone too
+    assert store.ingest_epoch(requests_at(spark, [2, 3, 4, 5]), dims_of(spark), path, 1, 3, 60, stream="a") == 2
+    assert store.ingest_epoch(requests_at(spark, [2, 62]), without_sources(spark), path, 1, 3, 60, stream="a") == 0
+    assert point_rows(spark, path) == [1.0] and reject_rows(spark, path) == [("unknown_source", 0), ("unknown_source", 1)]
+    assert [r.id for r in store.read_series(spark, path).collect()] == [1]
+    assert store.ingest_epoch(requests_at(spark, [3, 4], 10), dims_of(spark), path, 2, 3, 60, stream="a") == 1
+
+
+def test_restart_and_gap(spark, tmp_path):
+    path = str(tmp_path)
+    for epoch in (0, 1):
+        store.ingest_epoch(requests_at(spark, [epoch]), dims_of(spark), path, epoch, 3, 60, stream="a")
+    # another stream begins at 0 again: it takes nothing away, and limits go on
+    for epoch in (0, 1):
+        store.ingest_epoch(requests_at(spark, [10 + epoch]), dims_of(spark), path, epoch, 3, 60, stream="b")
+    assert point_rows(spark, path) == [0.0, 1.0, 10.0] and reject_rows(spark, path) == [("rate_limited", 0)]
+    # numbers may be missing: the latest limits count
+    assert store.ingest_epoch(requests_at(spark, [20]), dims_of(spark), path, 7, 3, 60, stream="b") == 0
+    # the first stream's last epoch is no longer the latest: it stays as it is
+    assert store.ingest_epoch(requests_at(spark, [30]), dims_of(spark), path, 1, 3, 60, stream="a") == 1
+    assert point_rows(spark, path) == [0.0, 1.0, 10.0]
+
+
+@pytest.mark.parametrize("failing", range(6))
+def test_failure_after_each_write(spark, tmp_path, monkeypatch, failing):
+    """A try that fails after any of its writes, or on committing, leaves nothing that is read; the next one gives what one try would."""
+    path, turns = str(tmp_path), [requests_at(spark, [0, 1]), requests_at(spark, [2, 3, 61], 10)]
+    store.ingest_epoch(turns[0], dims_of(spark), path, 0, 3, 60, stream="a")
+    before = point_rows(spark, path), reject_rows(spark, path), store.read_series(spark, path).count()
+    steps = ["add_series", "add_points", "written_parts", "last_seen", "permits_used", "commit"]
+    name, real = steps[failing], getattr(store, steps[failing])
+
+    def broken(*args, **kwargs):
+        if name != "commit":
+            real(*args, **kwargs)
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(store, name, broken)
+    with pytest.raises(RuntimeError):
+        store.ingest_epoch(turns[1], dims_of(spark), path, 1, 3, 60, stream="a")
+    monkeypatch.setattr(store, name, real)
+    assert (point_rows(spark, path), reject_rows(spark, path), store.read_series(spark, path).count()) == before
+    store.ingest_epoch(turns[1], dims_of(spark), path, 1, 3, 60, stream="a")
+    assert point_rows(spark, path) == [0.0, 1.0, 2.0, 61.0] and reject_rows(spark, path) == [("rate_limited", 11)]
+    assert sorted(r.id for r in store.read_series(spark, path).collect()) == [1, 2]
+
+
+def test_two_writers_of_epochs(spark, tmp_path):
+    path = str(tmp_path)
+    state = read_state(spark, path)
+    store.ingest_epoch(requests_at(spark, [0]), dims_of(spark), path, 0, 3, 60, stream="a")
+    with pytest.raises(Conflict):
+        commit(spark, path, state, {"stream": "b", "epoch": 0, "add": {}})
+    # what takes nothing away that is gone, and is no epoch, goes in
+    assert commit(spark, path, state, {"add": {"other": ["other/try=x"]}}).version == 1
+    with pytest.raises(Conflict):
+        commit(spark, path, state, {"remove": {"points": ["points/try=none/week=2034-02-06"]}})
+
+
+def test_states_are_written_now_and_then(spark, tmp_path):
+    path, state = str(tmp_path), read_state(spark, str(tmp_path))
+    for i in range(70):
+        state = commit(spark, path, state, {"add": {"t": [f"t/try={i}"]}, "remove": {"t": [f"t/try={i - 1}"] if i % 2 else []}, "facts": {"n": i}})
+    assert read_state(spark, path) == state and state.facts == {"n": 69} and len(state.folders("t")) == 35
+    assert read_state(spark, path, 10).folders("t") == [f"t/try={i}" for i in (1, 3, 5, 7, 9, 10)]
+    vacuum(spark, path, dt.datetime(2100, 1, 1))
+    assert read_state(spark, path) == state and len([n for n in (tmp_path / "_log").iterdir() if n.suffix == ".json" and n.name[0] != "."]) < 12
+
+
+def test_purge_compaction_and_retention_between_epochs(spark, tmp_path, monkeypatch):
+    path, week = str(tmp_path), 7 * 86400
+    dims = dims_of(spark)
+    dims["weeks"] = spark.createDataFrame([(dt.datetime(2034, 2, 6),), (dt.datetime(2034, 2, 13),)], "week timestamp")
+    many = lambda epoch, seconds: store.ingest_epoch(requests_at(spark, seconds, 100 * epoch), dims, path, epoch, 100, 60, 20_000, stream="a")
+    many(0, [0, 1, 2, week])
+    odd = store.read_series(spark, path).where("labels like '%1%'").select("id")
+    assert purge_points(spark, path, odd) == ["2034-02-06"]
+    # the next epochs go beside what the purge has written
+    many(1, [3, 4, week + 1])
+    many(2, [6, week + 2])
+    assert point_rows(spark, path) == [0.0, 2.0, 3.0, 4.0, 6.0, *(float(week + i) for i in range(3))]
+    monkeypatch.setattr("pulsegrid.sources.tables.commit", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        compact_points(spark, path)
+    with pytest.raises(RuntimeError):
+        purge_points(spark, path, odd)
+    monkeypatch.undo()
+    rows, rejects, seen = point_rows(spark, path), reject_rows(spark, path), [r.last_seen_at for r in store.read_sources(dims["sources"], path).collect()]
+    gone = store.compact(spark, path)
+    assert gone["points"] == 4 and gone["last_seen"] == 2 and sum(gone.values()) == 6
+    assert len(read_state(spark, path).folders("points")) == 2 and store.compact(spark, path) == dict.fromkeys(gone, 0)
+    assert (point_rows(spark, path), reject_rows(spark, path)) == (rows, rejects) and [r.last_seen_at for r in store.read_sources(dims["sources"], path).collect()] == seen
+    # an epoch whose folders have been joined with others is not run again
+    assert many(2, [6, week + 2, 7]) == 2 and point_rows(spark, path) == rows
+    files = len(list((tmp_path / "points").rglob("*.parquet")))
+    vacuum(spark, path, dt.datetime(2000, 1, 1))
+    assert len(list((tmp_path / "points").rglob("*.parquet"))) == files
+    vacuum(spark, path, dt.datetime(2100, 1, 1))
+    assert len(list((tmp_path / "points").rglob("*.parquet"))) < files and point_rows(spark, path) == rows and reject_rows(spark, path) == rejects
+    state = read_state(spark, path)
+    commit(spark, path, state, {"add": {"points": ["points/try=x/week=rogue"]}})
+    judged = retire_weeks(spark, path, dt.datetime(2034, 2, 20), 7)
+    assert sorted(map(tuple, judged.collect())) == [("2034-02-06", "drop"), ("2034-02-13", "keep"), ("rogue", "unknown")]
+    state = read_state(spark, path)
+    assert [f.rsplit("=")[-1] for f in state.folders("points")] == ["2034-02-13", "rogue"]
+    commit(spark, path, state, {"remove": {"points": ["points/try=x/week=rogue"]}})
+    many(3, [8])
+    assert point_rows(spark, path) == [8.0, *(float(week + i) for i in range(3))]
+
+
+def test_series_are_looked_up_in_their_buckets_alone(spark, tmp_path):
+    from pulsegrid.operators.resolve import with_canonical
+
+    path, schema = str(tmp_path), "tenant_id int, source_id int, name string, unit string, labels map<string,string>, received_at timestamp, batch_id long, pos int"
+    points = lambda ids: with_canonical(spark.createDataFrame([(1, i % 50, f"m.{i}", "u", {"k": str(i)}, ANCHOR, i, 0) for i in ids], schema))
+    store.append_series(points(range(600)), path)
+    all_folders = read_state(spark, path).folders("series")
+    assert len(all_folders) == store.SERIES_BUCKETS
+    known = store.append_series(points([3, 700]), path)
+    plan = known._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.name for r in known.collect()) == ["m.3", "m.700"] and "PushedFilters: [Or(EqualTo(key_hash" in plan
+    scanned = {f.rsplit("/", 1)[0] for f in known.inputFiles()}
+    assert len(scanned) <= 3 < len(all_folders)
+    ids = {r.name: r.id for r in store.read_series(spark, path).collect()}
+    assert sorted(ids.values()) == list(range(1, 602)) and ids["m.700"] == 601
+    # the same ids as the batch form gives
+    batch = {r.name: r.id for r in resolve.upsert_series(points(range(600)), spark.createDataFrame([], lim.SERIES)).collect()}
+    assert {n: i for n, i in ids.items() if n != "m.700"} == batch
+    assert store.compact(spark, path)["series"] > 0 and {r.name: r.id for r in store.read_series(spark, path).collect()} == ids
+
+
+def test_a_new_checkpoint_adds_epochs(spark, tmp_path):
+    path = str(tmp_path / "out")
+    for i, turn in enumerate([requests_at(spark, [0, 1]), requests_at(spark, [2, 3], 10)]):
+        turn.coalesce(1).write.parquet(f"{tmp_path}/in{i}")
+        jobs.ingest_stream(spark.readStream.schema(turn.schema).parquet(f"{tmp_path}/in{i}"), lambda: dims_of(spark), path, f"{tmp_path}/state{i}", 100, 60, {"availableNow": True}).awaitTermination()
+    assert point_rows(spark, path) == [0.0, 1.0, 2.0, 3.0] and len(read_state(spark, path).streams) == 2
