@@ -86,9 +86,9 @@ def entries_of(placed: DataFrame, across: DataFrame, wide: int, key: str) -> Dat
         return pd.DataFrame({"key_id": rows["key_id"].iloc[0], "nth": rows["nth"].iloc[0], "upto": upto, "exit": out})
 
     def composed(first: pd.DataFrame, second: pd.DataFrame) -> pd.DataFrame:
-        """The two maps one after the other; entries that the first lets through meet the second as they are."""
+        """The two maps one after the other; entries that the first lets through meet the second as they are. No rows: all stays as it is."""
         if not len(first):
-            return first
+            return second[["key_id", "nth", "upto", "exit"]]
         if len(second):
             second = second.sort_values("upto")
             through = second[second["upto"] > first["upto"].max()]
@@ -99,6 +99,8 @@ def entries_of(placed: DataFrame, across: DataFrame, wide: int, key: str) -> Dat
     def entered(known: pd.DataFrame, maps: pd.DataFrame) -> pd.DataFrame:
         if not len(known):
             return known.assign(entry=pd.Series(dtype="int64"))[["key_id", "nth", "entry"]]
+        if not len(maps):
+            return known[["key_id", "nth", "entry"]]
         maps = maps.sort_values("upto")
         return known.assign(entry=applied(known["entry"].to_numpy(), maps["upto"].to_numpy(), maps["exit"].to_numpy()))[["key_id", "nth", "entry"]]
 
@@ -110,7 +112,7 @@ def entries_of(placed: DataFrame, across: DataFrame, wide: int, key: str) -> Dat
         reached = known.groupBy("key_id", "nth").cogroup(maps.groupBy("key_id", "nth")).applyInPandas(entered, f"key_id {key}, nth int, entry long")
         known = written(known.unionByName(reached.withColumn("nth", F.col("nth") + step)), "entries")
         if 2 * step <= widest:
-            after = maps.withColumn("nth", F.col("nth") - step)
+            after = maps.withColumn("nth", F.col("nth") - step).where("nth >= 0")
             maps = written(maps.groupBy("key_id", "nth").cogroup(after.groupBy("key_id", "nth")).applyInPandas(composed, schema), "maps")
         step *= 2
     found = known.join(across, "key_id").where(F.col("nth") <= F.col("last") - F.col("first"))

@@ -45,18 +45,18 @@ def series_hash(labels: str) -> Column:
 def read_series(spark: SparkSession, path: str, state: State | None = None) -> DataFrame:
     """The series dimension."""
     state = read_state(spark, path) if state is None else state
-    return read_folders(spark, path, "series", state.folders("series"), STORED_SERIES).drop("key_hash", "bucket")
+    return read_folders(spark, path, state, "series", STORED_SERIES).drop("key_hash", "bucket")
 
 
 def read_rejects(spark: SparkSession, path: str) -> DataFrame:
     """batch_id, pos, reason, n_points and epoch; filters on reason prune folders."""
-    return read_folders(spark, path, "rejects", read_state(spark, path).folders("rejects"), REJECT)
+    return read_folders(spark, path, read_state(spark, path), "rejects", REJECT)
 
 
 def read_sources(sources: DataFrame, path: str) -> DataFrame:
     """sources with the last_seen_at that the latest epoch gave each."""
     spark = sources.sparkSession
-    seen = read_folders(spark, path, "last_seen", read_state(spark, path).folders("last_seen"), SEEN)
+    seen = read_folders(spark, path, read_state(spark, path), "last_seen", SEEN)
     return touch_sources(sources, seen.groupBy("source_id").agg(F.max_by("last_seen_at", "epoch").alias("last_seen_at")))
 
 
@@ -68,7 +68,7 @@ def known_series(spark: SparkSession, path: str, state: State, keys: DataFrame)
     """
     n, buckets = keys.agg(F.count(F.lit(1)), F.collect_set("bucket")).first()
     folders = [f for f in state.folders("series") if int(f.rsplit("bucket=", 1)[-1]) in set(buckets)]
-    found = read_folders(spark, path, "series", folders, STORED_SERIES)
+    found = read_folders(spark, path, state, "series", STORED_SERIES, folders)
     if 0 < n <= LOOK_UP:
         wanted = F.lit(False)
         for row in keys.select("key_hash").distinct().collect():
@@ -102,7 +102,7 @@ def add_series(points: DataFrame, path: str, state: State) -> Series:
     dealt = added.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "key_hash")
     dealt.write.option("parquet.bloom.filter.enabled#key_hash", "true").partitionBy("bucket").parquet(f"{path}/series/{token}")
     folders = written_parts(spark, path, "series", token, "bucket")
-    new = read_folders(spark, path, "series", folders, STORED_SERIES).drop("key_hash", "bucket")
+    new = read_folders(spark, path, state, "series", STORED_SERIES, [f"series/{token}"] if folders else []).drop("key_hash", "bucket")
     return Series(known.unionByName(new), folders, new.agg(F.max("id")).first()[0] or last)
 
 
@@ -137,7 +137,7 @@ def ingest_epoch(requests: DataFrame, dims: dict[str, DataFrame], path: str, epo
     else:
         old, limits, first_id = {}, state.folders("limits"), state.facts.get("last_series_id", 0)
     base = state.after(state.version, {"remove": old, "facts": {"last_series_id": first_id}})
-    before = read_folders(spark, path, "limits", limits, USED)
+    before = read_folders(spark, path, state, "limits", USED, limits)
     latest = before.agg(F.max("win")).first()[0]
     oldest = None if latest is None else latest - keep_windows
     number, token = state.version + 1, new_try()
@@ -183,7 +183,7 @@ def compact(spark: SparkSession, path: str, most: int = 1) -> dict[str, int]:
         old = [f for found in by_part.values() if len(found) > most for f in found]
         if not old:
             continue
-        rows = read_folders(spark, path, table, old, schema)
+        rows = read_folders(spark, path, state, table, schema, old)
         if column is None:
             rows.groupBy("source_id").agg(F.max_by("last_seen_at", "epoch").alias("last_seen_at"), F.max("epoch").alias("epoch")).write.parquet(f"{path}/{table}/{token}")
             new = [f"{table}/{token}"]

@@ -76,8 +76,7 @@ def week_of(folder: str) -> str:
 
 def read_facts(spark: SparkSession, path: str, folders: list[str] | None = None) -> DataFrame:
     """Points as written, week as the Monday's time stamp; filters on week prune folders. folders: of all that count, only these."""
-    found = read_state(spark, path).folders("points") if folders is None else folders
-    facts = read_folders(spark, path, "points", found, f"{lim.POINT}, week date")
+    facts = read_folders(spark, path, read_state(spark, path), "points", f"{lim.POINT}, week date", folders)
     return facts.select("series_id", "ts", "value", F.col("week").cast("timestamp").alias("week"))
 
 
