@@ -57,5 +57,6 @@ TENANT = "id int, name string, slug string, created_at timestamp"
 API_KEY = "id int, tenant_id int, key_hash string, label string, scope int, created_at timestamp, last_used_at timestamp, revoked_at timestamp"
 SOURCE = "id int, tenant_id int, name string, kind int, config string, last_seen_at timestamp"
 SERIES = "id int, tenant_id int, source_id int, name string, unit string, labels string, created_at timestamp"
+ROLLUP = "series_id int, bucket timestamp, n long, total double, least double, most double, last double, version long, week date"
 POINT = "series_id int, ts timestamp, value double"
 REJECT = "batch_id long, pos int, reason string, n_points long"

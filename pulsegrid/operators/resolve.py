@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -97,3 +99,20 @@ def top_cardinality(series: DataFrame, k: int = 10) -> DataFrame:
 def approx_cardinality(points: DataFrame) -> DataFrame:
     """Distinct label sets per tenant and name straight from points, by a sketch."""
     return points.groupBy("tenant_id", "name").agg(F.approx_count_distinct(F.struct("source_id", "canonical")).alias("series"))
+
+
+#: Registers of a sketch: 2**12, so that one standard error is 1.04 / 64.
+SKETCH_LOG = 12
+SKETCH_ERROR = 1.04 / 2 ** (SKETCH_LOG / 2)
+
+
+def cardinality_sketches(points: DataFrame) -> DataFrame:
+    """tenant_id, name, day and sketch of the series of points (with canonical): small, and to be put together over any span of days."""
+    series = F.concat_ws("\x1f", F.col("source_id").cast("string"), "canonical")
+    return points.groupBy("tenant_id", "name", F.to_date("ts").alias("day")).agg(F.hll_sketch_agg(series, F.lit(SKETCH_LOG)).alias("sketch"))
+
+
+def cardinality_between(sketches: DataFrame, first: dt.date, last: dt.date) -> DataFrame:
+    """tenant_id, name and series: an estimate of how many there were from first to last, without their points."""
+    inside = sketches.where((F.col("day") >= F.lit(first)) & (F.col("day") <= F.lit(last)))
+    return inside.groupBy("tenant_id", "name").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("series"))

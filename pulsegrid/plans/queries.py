@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions import limits as lim
 from pulsegrid.functions import scalars as s
 from pulsegrid.operators import auth, host, integrity, points, readback, resolve, retention, rollup, spool, validate
-from pulsegrid.plans import store
+from pulsegrid.plans import rollups, store
 from pulsegrid.plans.ingest import ingest
 from pulsegrid.sources import adapters as a
 from pulsegrid.sources import tables as files
@@ -809,3 +809,77 @@ def purge_sources(spark, sf_dir):
     counts = [left[t].agg(rows).select(F.lit(t).alias("tab"), no_week, "rows") for t in ("sources", "series")]
     points_left = read_facts(spark, path).groupBy("week").agg(rows).select(F.lit("points").alias("tab"), "week", "rows")
     return ntz(counts[0].unionByName(counts[1]).unionByName(points_left))
+
+
+# -- tables at rest over many epochs ---------------------------------------------------------------------------------
+
+
+@query(
+    """WITH w AS (SELECT event_id, user_id, value, CAST(date_trunc('week', ts) AS TIMESTAMP) AS week FROM events),
+l AS (SELECT * FROM w WHERE (event_id % 3 <> 0 OR user_id % 11 <> 3) AND week >= TIMESTAMP '2024-01-15')
+SELECT k.week, CASE WHEN k.week >= TIMESTAMP '2024-01-15' THEN 'keep' ELSE 'drop' END AS verdict, count(l.event_id) AS points, count(DISTINCT user_id) AS series, coalesce(round(sum(value), 2), 0) AS total
+FROM (SELECT DISTINCT week FROM w) k LEFT JOIN l ON l.week = k.week GROUP BY k.week"""
+)
+def stored_weeks(spark, sf_dir):
+    """Points of one epoch, a purge of series, two more epochs, compaction, retention; what is left by week, with retention's verdict."""
+    path = scratch_path(spark, "weeks")
+    found = a.events(spark, sf_dir).select("event_id", F.col("user_id").cast("int").alias("series_id"), "ts", "value")
+    for epoch in range(3):
+        write_points(found.where(F.col("event_id") % 3 == epoch), path)
+        if epoch == 0:
+            files.purge_points(spark, path, found.where("series_id % 11 = 3").select(F.col("series_id").alias("id")).distinct())
+    files.compact_points(spark, path)
+    judged = files.retire_weeks(spark, path, dt.datetime(2024, 1, 24), 7)
+    left = read_facts(spark, path).groupBy("week").agg(F.count(F.lit(1)).alias("points"), F.count_distinct("series_id").alias("series"), F.round(F.sum("value"), 2).alias("total"))
+    weeks = judged.select(F.to_timestamp("week").alias("week"), "verdict")
+    return ntz(weeks.join(left, "week", "left").na.fill(0, ["points", "series", "total"]))
+
+
+@functools.lru_cache(maxsize=4)
+def rolled_up(spark, sf_dir):
+    """Points of events, streamed in three micro-batches; each brings points of the whole month, so that nearly all of the later ones are late."""
+    path = scratch_path(spark, "rolled")
+    found = a.events(spark, sf_dir).select("event_id", F.col("user_id").cast("int").alias("series_id"), "ts", "value")
+    schema = found.drop("event_id").schema
+    for turn in range(3):
+        found.where(F.col("event_id") % 3 == turn).drop("event_id").write.mode("append").parquet(f"{path}/in")
+        jobs.rollup_stream(spark.readStream.schema(schema).parquet(f"{path}/in"), f"{path}/out", f"{path}/state", {"availableNow": True}).awaitTermination()
+    return f"{path}/out"
+
+
+@query(ORACLE_SQL["rollup_1m"])
+def rollup_stored_1m(spark, sf_dir):
+    minutes = rollups.stored_rollup(spark, rolled_up(spark, sf_dir), "minutes")
+    return ntz(minutes.select(F.col("series_id").cast("long").alias("series_id"), "bucket", "n", F.round("total", 4).alias("total"), "least", "most", "last"))
+
+
+@query(ORACLE_SQL["rollup_1h"])
+def rollup_stored_1h(spark, sf_dir):
+    hours = rollups.stored_rollup(spark, rolled_up(spark, sf_dir), "hours").withColumn("mean", F.round(F.col("total") / F.col("n"), 4))
+    return ntz(hours.select(F.col("series_id").cast("long").alias("series_id"), "bucket", "n", F.round("total", 4).alias("total"), "least", "most", "last", "mean"))
+
+
+@query(ORACLE_SQL["rollup_1h"])
+def rollup_1h_stream(spark, sf_dir):
+    """Minutes and hours in one stream; a point of no series, far ahead, lets the watermark pass all others."""
+    found, end = event_points(spark, sf_dir), F.lit("2100-01-01").cast("timestamp")
+    path = scratch_path(spark, "hours")
+    found.write.parquet(f"{path}/in")
+    for _ in range(2):
+        out = jobs.rollup_1h_stream(spark.readStream.schema(found.schema).parquet(f"{path}/in"), "40 days")
+        out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+        spark.range(1).select((F.col("id") - 1).alias("series_id"), end.alias("ts"), F.lit(0.0).alias("value")).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in found.schema]).write.mode("append").parquet(f"{path}/in")
+    hours = spark.read.schema(out.schema).parquet(f"{path}/out").where("series_id >= 0")
+    return ntz(hours.withColumn("total", F.round("total", 4)).withColumn("mean", F.round("mean", 4)))
+
+
+@query("WITH " + VALID + " SELECT tenant_id, name, count(DISTINCT (source_id, canonical)) AS series, TRUE AS within FROM v WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20' GROUP BY tenant_id, name")
+def sketch_cardinality(spark, sf_dir):
+    """The exact number of series over a span of days, and whether that from stored sketches of single days is within four standard errors."""
+    path, found = scratch_path(spark, "sketches"), valid_points(spark, sf_dir)
+    resolve.cardinality_sketches(found).write.parquet(path)
+    first, last = dt.date(2024, 1, 5), dt.date(2024, 1, 19)
+    guess = resolve.cardinality_between(spark.read.parquet(path), first, last).withColumnRenamed("series", "guess")
+    exact = found.where(F.to_date("ts").between(F.lit(first), F.lit(last))).groupBy("tenant_id", "name").agg(F.count_distinct("source_id", "canonical").alias("series"))
+    error = F.abs(F.col("guess") - F.col("series")) / F.col("series")
+    return exact.join(guess, ["tenant_id", "name"], "left").select("tenant_id", "name", "series", F.coalesce(error <= 4 * resolve.SKETCH_ERROR, F.lit(False)).alias("within"))

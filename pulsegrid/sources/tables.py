@@ -85,18 +85,31 @@ def purge_points(spark: SparkSession, path: str, lost: DataFrame) -> list[str]:
 
     Only weeks that hold such points are read whole. What is left of them goes to new folders, which then take the
     place of the old ones in one step; a week of which nothing is left goes. What comes to the driver is the list of
-    weeks.
+    weeks. Stored rollups of these series go in the same step.
     """
     state, gone = read_state(spark, path), lost.select(F.col("id").alias("series_id")).distinct()
     hit = read_facts(spark, path, state.folders("points")).join(gone, "series_id", "left_semi").select("week").distinct().collect()
     weeks = {f"{r['week']:%Y-%m-%d}" if r["week"] else NO_WEEK for r in hit}
     if weeks:
-        old = [f for f in state.folders("points") if week_of(f) in weeks]
-        folders, _ = add_points(read_facts(spark, path, old).join(gone, "series_id", "left_anti"), path)
-        commit(spark, path, state, {"remove": {"points": old}, "add": {"points": folders}})
+        old = {"points": [f for f in state.folders("points") if week_of(f) in weeks]}
+        new = {"points": add_points(read_facts(spark, path, old["points"]).join(gone, "series_id", "left_anti"), path)[0]}
+        for table in ("minutes", "hours"):
+            if old_rows := [f for f in state.folders(table) if week_of(f) in weeks]:
+                left = read_folders(spark, path, state, table, lim.ROLLUP, old_rows).join(gone, "series_id", "left_anti")
+                old[table], new[table] = old_rows, add_weeks(left, path, table)
+        # points that were rolled up stay so
+        rolled = {"rolled": state.version + 1} if not state.since("points", state.facts.get("rolled", -1)) else {}
+        commit(spark, path, state, {"remove": old, "add": new, "facts": rolled})
     return sorted(weeks)
 
 
+def add_weeks(rows: DataFrame, path: str, table: str) -> list[str]:
+    """Writes rows with a week (date) to folders by week that do not count yet, sorted by series."""
+    token = new_try()
+    rows.hint("rebalance", F.col("week")).sortWithinPartitions("week", "series_id").write.partitionBy("week").parquet(f"{path}/{table}/{token}")
+    return written_parts(rows.sparkSession, path, table, token, "week")
+
+
 #: Fixed value: the name of the folder of points without a time.
 NO_WEEK = "__HIVE_DEFAULT_PARTITION__"
 

@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pulsegrid.functions.limits import RATE_PERMIT, RATE_WINDOW_SECONDS
 from pulsegrid.operators.host import parse_cpu
 from pulsegrid.plans.store import KEEP_WINDOWS, ingest_epoch
+from pulsegrid.plans.rollups import roll_in
 from pulsegrid.sources.log import read_json
 
 
@@ -107,3 +108,23 @@ def rollup_1m_stream(points: DataFrame, delay: str = "7 days") -> DataFrame:
     g = points.withWatermark("ts", delay).groupBy("series_id", F.window("ts", "1 minute").alias("w"))
     out = g.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.min("value").alias("least"), F.max("value").alias("most"), F.max_by("value", F.struct("ts", "value")).alias("last"))
     return out.select("series_id", F.col("w.start").alias("bucket"), "n", "total", "least", "most", "last")
+
+
+def rollup_1h_stream(points: DataFrame, delay: str = "7 days") -> DataFrame:
+    """Hours of a stream of points, added up from its minutes in the same stream, each when the watermark has passed it (an extension)."""
+    g = points.withWatermark("ts", delay).groupBy("series_id", F.window("ts", "1 minute").alias("w"))
+    minutes = g.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.min("value").alias("least"), F.max("value").alias("most"), F.max_by("value", F.struct("ts", "value")).alias("last"))
+    hours = minutes.groupBy("series_id", F.window("w", "1 hour").alias("h")).agg(
+        F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("least").alias("least"), F.max("most").alias("most"), F.max_by("last", F.col("w.start")).alias("last")
+    )
+    out = hours.select("series_id", F.col("h.start").alias("bucket"), "n", "total", "least", "most", "last")
+    return out.withColumn("mean", F.col("total") / F.col("n"))
+
+
+def rollup_stream(points: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
+    """Starts a stream of points into the table under path and its rollups at rest; late points are rolled up whenever they come."""
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        roll_in(batch, path, read_json(batch.sparkSession, f"{checkpoint}/metadata")["id"], epoch)
+
+    return points.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 minute"})).start()
