@@ -883,3 +883,19 @@ def sketch_cardinality(spark, sf_dir):
     exact = found.where(F.to_date("ts").between(F.lit(first), F.lit(last))).groupBy("tenant_id", "name").agg(F.count_distinct("source_id", "canonical").alias("series"))
     error = F.abs(F.col("guess") - F.col("series")) / F.col("series")
     return exact.join(guess, ["tenant_id", "name"], "left").select("tenant_id", "name", "series", F.coalesce(error <= 4 * resolve.SKETCH_ERROR, F.lit(False)).alias("within"))
+
+
+@query(ORACLE_SQL["dropped_by_reason"])
+def losses_stream(spark, sf_dir):
+    """Points lost by reason, as a listener has added them up over the micro-batches of a stream of rejects."""
+    rejects = ingest(a.daily_requests(spark, sf_dir), a.api_keys(spark, sf_dir), a.sources(spark, sf_dir), 2, DAY).rejects
+    path, counter = scratch_path(spark, "losses"), jobs.LossCounter()
+    rejects.repartition(3).write.parquet(f"{path}/in")
+    spark.streams.addListener(counter)
+    try:
+        stream = jobs.losses_stream(spark.readStream.schema(rejects.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in"))
+        stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+        counter.ended.wait(60)
+    finally:
+        spark.streams.removeListener(counter)
+    return spark.createDataFrame(sorted(counter.points.items()), "reason string, points long")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions import limits as lim
 from pulsegrid.operators.auth import entitled_requests, ingest_status, permits_used
-from pulsegrid.operators.points import last_seen, touch_sources
+from pulsegrid.operators.points import last_seen, loss_summary, touch_sources
 from pulsegrid.operators.resolve import SERIES_KEY, assign_ids, series_seen
 from pulsegrid.plans.ingest import ingested, resolved_points
 from pulsegrid.sources.log import State, commit, new_try, read_folders, read_state, written_parts
@@ -34,6 +34,7 @@ SERIES_BUCKETS = 64
 LOOK_UP = 256
 
 REJECT, SEEN, USED = f"{lim.REJECT}, epoch long", "source_id int, last_seen_at timestamp, epoch long", "key_id int, win long, used long"
+LOSS = "reason string, points long, first_ts timestamp, last_ts timestamp, series long, series_ids array<int>, epoch long"
 STORED_SERIES = f"{lim.SERIES}, key_hash long, bucket int"
 
 
@@ -53,6 +54,11 @@ def read_rejects(spark: SparkSession, path: str) -> DataFrame:
     return read_folders(spark, path, read_state(spark, path), "rejects", REJECT)
 
 
+def read_losses(spark: SparkSession, path: str) -> DataFrame:
+    """reason, points, first_ts, last_ts, series, series_ids (the least ones) and epoch of epochs whose points were given up."""
+    return read_folders(spark, path, read_state(spark, path), "losses", LOSS)
+
+
 def read_sources(sources: DataFrame, path: str) -> DataFrame:
     """sources with the last_seen_at that the latest epoch gave each."""
     spark = sources.sparkSession
@@ -116,7 +122,7 @@ def append_series(points: DataFrame, path: str) -> DataFrame:
     return series.known
 
 
-def ingest_epoch(requests: DataFrame, dims: dict[str, DataFrame], path: str, epoch: int, permit: int = lim.RATE_PERMIT, window_seconds: int = lim.RATE_WINDOW_SECONDS, keep_windows: int = KEEP_WINDOWS, stream: str | None = None) -> int:
+def ingest_epoch(requests: DataFrame, dims: dict[str, DataFrame], path: str, epoch: int, permit: int = lim.RATE_PERMIT, window_seconds: int = lim.RATE_WINDOW_SECONDS, keep_windows: int = KEEP_WINDOWS, stream: str | None = None, lost_as: str | None = None) -> int:
     """Takes requests through all stages, writes every table's part and commits them in one step; returns the number of points written.
 
     dims: api_keys, sources and weeks (week). Permits that earlier epochs used count, in windows up to keep_windows
@@ -124,6 +130,9 @@ def ingest_epoch(requests: DataFrame, dims: dict[str, DataFrame], path: str, epo
 
     epoch counts up within its stream; without one it is the stream that committed last. The last epoch of a stream may run again: it starts from where its first run
     started and takes its place. An earlier one, or one whose folders have been changed since, is left as it is.
+
+    lost_as: a reason for which the points are given up. They are not written; a row of losses says how many there were,
+    of what span and series, and each request has a reject of that reason. Sources are not seen by such an epoch.
     """
     spark = requests.sparkSession
     state = read_state(spark, path)
@@ -146,10 +155,17 @@ def ingest_epoch(requests: DataFrame, dims: dict[str, DataFrame], path: str, epo
         done = ingested(statuses, dims["sources"])
         series = add_series(done.points, path, base)
         covered, lost, _ = resolved_points(done, series.known, dims["weeks"])
-        points, rows = add_points(covered, path)
-        rejects = done.rejects.unionByName(lost).withColumn("epoch", F.lit(number).cast("long"))
+        refused, seen, lost_rows = done.rejects.unionByName(lost), done.accepted, []
+        if lost_as is None:
+            points, rows = add_points(covered, path)
+        else:
+            points, rows, lost_rows, seen = [], 0, [f"losses/{token}"], done.accepted.limit(0)
+            gone = covered.withColumn("reason", F.lit(lost_as))
+            loss_summary(gone, ["reason"]).withColumn("epoch", F.lit(number).cast("long")).write.parquet(f"{path}/losses/{token}")
+            refused = refused.unionByName(gone.groupBy("batch_id", F.lit(None).cast("int").alias("pos"), "reason").agg(F.count(F.lit(1)).alias("n_points")))
+        rejects = refused.withColumn("epoch", F.lit(number).cast("long"))
         rejects.write.partitionBy("reason").parquet(f"{path}/rejects/{token}")
-        last_seen(done.accepted).withColumn("epoch", F.lit(number).cast("long")).write.parquet(f"{path}/last_seen/{token}")
+        last_seen(seen).withColumn("epoch", F.lit(number).cast("long")).write.parquet(f"{path}/last_seen/{token}")
         entitled = entitled_requests(statuses.select("batch_id", "key_id", "received_at", "scope"))
         used = permits_used(entitled, window_seconds).unionByName(before.select("key_id", "win", "used"))
         used = used.groupBy(F.col("key_id").cast("int").alias("key_id"), "win").agg(F.sum("used").alias("used"))
@@ -157,7 +173,7 @@ def ingest_epoch(requests: DataFrame, dims: dict[str, DataFrame], path: str, epo
         # one row, the latest window
         used = used.crossJoin(F.broadcast(newest)).where(F.col("win") >= F.col("_newest") - keep_windows).drop("_newest")
         used.write.parquet(f"{path}/limits/{token}")
-        add = {"series": series.folders, "points": points, "rejects": written_parts(spark, path, "rejects", token, "reason"), "last_seen": [f"last_seen/{token}"], "limits": [f"limits/{token}"]}
+        add = {"series": series.folders, "points": points, "rejects": written_parts(spark, path, "rejects", token, "reason"), "last_seen": [f"last_seen/{token}"], "limits": [f"limits/{token}"], "losses": lost_rows}
         remove = {t: f for t, f in old.items() if f and t != "limits"} | {"limits": state.folders("limits")}
         record = {"stream": stream, "epoch": epoch, "rows": rows, "keep": {"limits": limits}, "first_id": first_id, "add": add, "remove": remove, "facts": {"last_series_id": series.last}}
         commit(spark, path, state, record)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions import limits as lim
 from pulsegrid.functions.scalars import week_start
 from pulsegrid.operators.retention import judge_partitions
-from pulsegrid.sources.log import commit, new_try, read_folders, read_state, written_parts
+from pulsegrid.sources.log import State, commit, new_try, read_folders, read_state, written_parts
 
 
 def parse_requests(bodies: DataFrame) -> DataFrame:
@@ -97,9 +97,7 @@ def purge_points(spark: SparkSession, path: str, lost: DataFrame) -> list[str]:
             if old_rows := [f for f in state.folders(table) if week_of(f) in weeks]:
                 left = read_folders(spark, path, state, table, lim.ROLLUP, old_rows).join(gone, "series_id", "left_anti")
                 old[table], new[table] = old_rows, add_weeks(left, path, table)
-        # points that were rolled up stay so
-        rolled = {"rolled": state.version + 1} if not state.since("points", state.facts.get("rolled", -1)) else {}
-        commit(spark, path, state, {"remove": old, "add": new, "facts": rolled})
+        commit(spark, path, state, {"remove": old, "add": new, "facts": still_rolled(state)})
     return sorted(weeks)
 
 
@@ -125,10 +123,15 @@ def compact_points(spark: SparkSession, path: str, most: int = 1) -> list[str]:
     old = [f for found in by_week.values() if len(found) > most for f in found]
     if old:
         folders, _ = add_points(read_facts(spark, path, old), path)
-        commit(spark, path, state, {"remove": {"points": old}, "add": {"points": folders}})
+        commit(spark, path, state, {"remove": {"points": old}, "add": {"points": folders}, "facts": still_rolled(state)})
     return sorted({week_of(f) for f in old})
 
 
+def still_rolled(state: State) -> dict[str, int]:
+    """What a commit says that moves points: where all of them have been rolled up, they still are."""
+    return {} if state.since("points", state.facts.get("rolled", -1)) else {"rolled": state.version + 1}
+
+
 def retire_weeks(spark: SparkSession, path: str, as_of: dt.datetime, retention_days: int = lim.RETENTION_DAYS) -> DataFrame:
     """Drops the weeks of stored points that are over, in one step; week and verdict (drop, keep, unknown) of all there were.
 

@@ -3,21 +3,32 @@
 from __future__ import annotations
 
 import json
+import logging
+import threading
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pulsegrid.functions.limits import RATE_PERMIT, RATE_WINDOW_SECONDS
 from pulsegrid.operators.host import parse_cpu
 from pulsegrid.plans.store import KEEP_WINDOWS, ingest_epoch
+from pulsegrid.plans.ingest import STATUS_REASONS
 from pulsegrid.plans.rollups import roll_in
-from pulsegrid.sources.log import read_json
+from pulsegrid.sources.log import Conflict, read_json
 
+log = logging.getLogger(__name__)
 
-def ingest_stream(requests: DataFrame, dims: Callable[[], dict[str, DataFrame]], path: str, checkpoint: str, permit: int = RATE_PERMIT, window_seconds: int = RATE_WINDOW_SECONDS, trigger: dict | None = None, keep_windows: int = KEEP_WINDOWS):
+#: Why points are lost beside a request's status.
+FLUSH_FAILURE = "flush_failure"
+REASONS = [*STATUS_REASONS.values(), "unknown_source", "no_partition", FLUSH_FAILURE]
+
+
+def ingest_stream(requests: DataFrame, dims: Callable[[], dict[str, DataFrame]], path: str, checkpoint: str, permit: int = RATE_PERMIT, window_seconds: int = RATE_WINDOW_SECONDS, trigger: dict | None = None, keep_windows: int = KEEP_WINDOWS, pass_over: bool = False):
     """Starts the ingest of a stream of requests into the tables under path; each micro-batch is an epoch of ingest_epoch.
 
     dims() gives api_keys, sources and weeks afresh for every micro-batch. Limits, series and last_seen carry on from
@@ -25,11 +36,24 @@ def ingest_stream(requests: DataFrame, dims: Callable[[], dict[str, DataFrame]],
     stream is known by the id in its checkpoint, so that a new checkpoint adds epochs and replaces none. How much a
     micro-batch takes is limited where the stream is read (request_stream). Late data are judged by their time of
     arrival, not by a watermark.
+
+    pass_over: a micro-batch whose points cannot be written is not tried for ever. It is committed without them, with a
+    row of losses and rejects of the reason flush_failure, and the stream goes on. What fails then too ends the stream,
+    and so does another writer's commit.
     """
 
     def run(batch: DataFrame, epoch: int) -> None:
         stream = read_json(batch.sparkSession, f"{checkpoint}/metadata")["id"]
-        ingest_epoch(batch, dims(), path, epoch, permit, window_seconds, keep_windows, stream)
+        how = (path, epoch, permit, window_seconds, keep_windows, stream)
+        try:
+            ingest_epoch(batch, dims(), *how)
+        except Conflict:
+            raise
+        except Exception as error:
+            if not pass_over:
+                raise
+            log.warning("epoch %s of stream %s is passed over: %s", epoch, stream, error)
+            ingest_epoch(batch, dims(), *how, lost_as=FLUSH_FAILURE)
 
     return requests.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()
 
@@ -99,8 +123,33 @@ def dedupe_stream(points: DataFrame, delay: str = "7 days") -> DataFrame:
 
 
 def losses_stream(rejects: DataFrame, name: str = "losses") -> DataFrame:
-    """Rejects that report their lost points to a listener or to the query's progress."""
-    return rejects.observe(name, F.sum("n_points").alias("points"), F.count(F.lit(1)).alias("rejects"))
+    """Rejects that report their lost points, all and by reason, to a listener (LossCounter) or to the query's progress."""
+    by_reason = [F.sum(F.when((F.col("reason") == r) & (F.col("n_points") > 0), F.col("n_points"))).alias(r) for r in REASONS]
+    return rejects.observe(name, F.sum("n_points").alias("points"), F.count(F.lit(1)).alias("rejects"), *by_reason)
+
+
+class LossCounter(StreamingQueryListener):
+    """Adds up the lost points by reason that streams of losses_stream report; reasons without any are left out.
+
+    It hears of each micro-batch once, a little after it ended; ended is set when a query has.
+    """
+
+    def __init__(self, name: str = "losses") -> None:
+        self.name, self.points, self.ended = name, Counter(), threading.Event()
+
+    def onQueryStarted(self, event) -> None:
+        self.ended.clear()
+
+    def onQueryProgress(self, event) -> None:
+        row = event.progress.observedMetrics.get(self.name)
+        if row is not None:
+            self.points.update({r: row[r] for r in REASONS if row[r]})
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.set()
 
 
 def rollup_1m_stream(points: DataFrame, delay: str = "7 days") -> DataFrame:

@@ -313,3 +313,47 @@ def test_a_new_checkpoint_adds_epochs(spark, tmp_path):
         turn.coalesce(1).write.parquet(f"{tmp_path}/in{i}")
         jobs.ingest_stream(spark.readStream.schema(turn.schema).parquet(f"{tmp_path}/in{i}"), lambda: dims_of(spark), path, f"{tmp_path}/state{i}", 100, 60, {"availableNow": True}).awaitTermination()
     assert point_rows(spark, path) == [0.0, 1.0, 2.0, 3.0] and len(read_state(spark, path).streams) == 2
+
+
+def test_a_micro_batch_that_cannot_be_written_is_passed_over(spark, tmp_path, monkeypatch):
+    path, turns = str(tmp_path / "out"), [requests_at(spark, [0]), requests_at(spark, [1, 2, 7 * 86400], 10), requests_at(spark, [3], 20)]
+    real, calls = store.add_points, []
+
+    def failing(points, where):
+        calls.append(1)
+        if len(calls) == 2:
+            raise OSError("disk")
+        return real(points, where)
+
+    monkeypatch.setattr(store, "add_points", failing)
+    for turn in turns:
+        turn.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(turn.schema).parquet(f"{tmp_path}/in")
+        jobs.ingest_stream(stream, lambda: dims_of(spark), path, f"{tmp_path}/state", 100, 60, {"availableNow": True}, 20_000, pass_over=True).awaitTermination()
+    assert point_rows(spark, path) == [0.0, 3.0] and len(calls) == 3
+    (loss,) = store.read_losses(spark, path).collect()
+    assert (loss.reason, loss.points, loss.first_ts, loss.last_ts, loss.series, loss.series_ids) == ("flush_failure", 2, ANCHOR + dt.timedelta(seconds=1), ANCHOR + dt.timedelta(seconds=2), 2, [1, 2])
+    assert reject_rows(spark, path) == [("flush_failure", 10), ("flush_failure", 11), ("no_partition", 12)]
+    assert [r.last_seen_at for r in store.read_sources(dims_of(spark)["sources"], path).collect()] == [ANCHOR + dt.timedelta(seconds=3)]
+
+
+def test_only_touched_minutes_are_rolled_up_again(spark, tmp_path):
+    from pulsegrid.operators.rollup import rollup_1h, rollup_1m
+    from pulsegrid.plans import rollups
+
+    path = str(tmp_path)
+    points = lambda xs: spark.createDataFrame([(s, ANCHOR + dt.timedelta(seconds=t), v) for s, t, v in xs], lim.POINT)
+    turns = [[(1, 0, 1.0), (1, 30, 3.0), (2, 0, 5.0), (2, 4000, 7.0)], [(1, 10, 4.0), (1, 3600, 9.0)], [(2, 59, 6.0), (3, 7 * 86400, 1.0)]]
+    assert [rollups.roll_in(points(t), path, "a", i) for i, t in enumerate(turns)] == [3, 2, 2]
+    assert rollups.roll_in(points(turns[2]), path, "a", 2) == 0 and rollups.refresh_rollups(spark, path) == 0
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    whole = rollup_1m(points(sum(turns, [])))
+    assert rows(rollups.stored_rollup(spark, path, "minutes")) == rows(whole)
+    assert rows(rollups.stored_rollup(spark, path, "hours")) == rows(rollup_1h(whole).drop("mean"))
+    assert rollups.compact_rollups(spark, path) > 0 and rows(rollups.stored_rollup(spark, path, "minutes")) == rows(whole)
+    compact_points(spark, path)
+    assert rollups.refresh_rollups(spark, path) == 0
+    purge_points(spark, path, spark.createDataFrame([(2,)], "id int"))
+    left = rollup_1m(points([p for t in turns for p in t if p[0] != 2]))
+    assert rollups.refresh_rollups(spark, path) == 0 and rows(rollups.stored_rollup(spark, path, "minutes")) == rows(left)
+    assert rows(rollups.stored_rollup(spark, path, "hours")) == rows(rollup_1h(left).drop("mean"))
