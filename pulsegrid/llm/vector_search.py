@@ -21,8 +21,10 @@ from pulsegrid.llm.common import Fields, batch_of, ddl, quoted, write_table
 
 #: Vectors in a tile, vectors that meet a block of queries in one task, and queries in a block, on average.
 TILE, GROUP, BLOCK = 2048, 8192, 2048
-#: Segments at each resolution, coarse to fine.
-LEVELS = (1, 4, 16)
+#: Segments at each resolution, coarse to fine: the finest has two components of 64 in each.
+LEVELS = (1, 4, 16, 32)
+#: Where the pairs of a tile that are left are parted, by the place of their bound among a query's: the best are multiplied first, in multiples of k, and raise its floor for the others.
+FIRST = (4, 16, 64)
 #: Shares of pairs left, above which a level is computed for all pairs at once.
 DENSE = 0.15
 LONG = (-(2**63), 2**63 - 1)
@@ -56,6 +58,11 @@ def statistics(x: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
     return np.hstack([means, np.stack([p.std(1) * np.sqrt(p.shape[1]) for p in parts], 1)])
 
 
+def segments_of(dim: int) -> list[int]:
+    """Numbers of segments at each level, for vectors of dim components."""
+    return [max(1, min(dim, n)) for n in LEVELS]
+
+
 def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Row-wise integer products; beyond what doubles hold exactly by Python's integers, held to the range of a long."""
     if len(q) == 0 or q.shape[1] * np.abs(q).max(initial=0) * np.abs(x).max(initial=0) < 2**53:
@@ -65,36 +72,51 @@ def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 class TopK:
-    """The k best (score, id) of each query so far; ties go to the smaller id."""
+    """The k best (score, id) of each query so far; ties go to the smaller id.
+
+    left counts the pairs that met, those that each level left, and those that were multiplied.
+    """
 
     def __init__(self, q: np.ndarray, k: int):
         self.q, self.k = q, k
-        self.stats = [statistics(q, s) for s in LEVELS]
+        self.stats = [statistics(q, s) for s in segments_of(q.shape[1])]
         self.floor = np.full(len(q), -np.inf)
         self.best = [np.zeros(0, np.int64)] * 4  # query, score, id, place
+        self.left = np.zeros(len(self.stats) + 2, np.int64)
 
     def offer(self, x: np.ndarray, ids: np.ndarray, places: np.ndarray, own: np.ndarray) -> None:
         """own: for each query, its own row among x, or -1."""
         nq, nx = len(self.q), len(x)
         a, b = np.divmod(np.arange(nq * nx), nx) if nq * nx else (np.zeros(0, int),) * 2
-        whole = True
-        for of_q, segments in zip(self.stats, LEVELS):
-            if not np.isfinite(self.floor).any():
-                break
-            of_x = statistics(x, segments)
-            if whole or len(a) > DENSE * nq * nx:
-                bound = (of_q @ of_x.T)[a, b] if not whole else (of_q @ of_x.T).reshape(-1)
+        self.left[0] += nq * nx
+        whole, bound = True, np.zeros(len(a))
+        for level, segments in enumerate(segments_of(x.shape[1])):
+            of_q, of_x = self.stats[level], statistics(x, segments)
+            if whole:
+                bound = (of_q @ of_x.T).reshape(-1)
+            elif len(a) > DENSE * nq * nx:
+                bound = (of_q @ of_x.T)[a, b]
             else:
                 bound = np.concatenate([np.einsum("ij,ij->i", of_q[a[k : k + 65536]], of_x[b[k : k + 65536]]) for k in range(0, len(a), 65536)] or [np.zeros(0)])
-            left = bound + 1e-6 * (1 + np.abs(bound)) >= self.floor[a]
+            bound = bound + 1e-6 * (1 + np.abs(bound))
+            left = bound >= self.floor[a]
             if not left.all():
-                a, b, whole = a[left], b[left], False
-        left = own[a] != b
-        a, b = a[left], b[left]
-        if len(a) > DENSE * nq * nx and self.q.shape[1] * np.abs(self.q).max(initial=0) * np.abs(x).max(initial=0) < 2**53:
-            score = (self.q @ x.T)[a, b].astype(np.int64)
-        else:
-            score = np.concatenate([exact_scores(self.q[a[k : k + 65536]], x[b[k : k + 65536]]) for k in range(0, len(a), 65536)] or [np.zeros(0, np.int64)])
+                a, b, bound, whole = a[left], b[left], bound[left], False
+            self.left[1 + level] += len(a)
+        order = np.lexsort((-bound, a))
+        order = order[own[a[order]] != b[order]]
+        a, b, bound = a[order], b[order], bound[order]
+        nth = np.arange(len(a)) - np.searchsorted(a, np.arange(nq))[a] if len(a) else a
+        turn = np.searchsorted(np.array(FIRST) * self.k, nth, "right")
+        for t in range(len(FIRST) + 1):
+            left = (turn == t) & (bound >= self.floor[a])
+            self.multiply(a[left], b[left], x, ids, places)
+
+    def multiply(self, a: np.ndarray, b: np.ndarray, x: np.ndarray, ids: np.ndarray, places: np.ndarray) -> None:
+        """Exact products of queries a with rows b; the best of them and of those before stay."""
+        nq = len(self.q)
+        self.left[-1] += len(a)
+        score = np.concatenate([exact_scores(self.q[a[k : k + 65536]], x[b[k : k + 65536]]) for k in range(0, len(a), 65536)] or [np.zeros(0, np.int64)])
         left = score >= self.floor[a]
         rows = [np.r_[old, new] for old, new in zip(self.best, (a[left], score[left], ids[b[left]], places[b[left]]))]
         order = np.lexsort((rows[3], rows[2], -rows[1].astype(np.float64), rows[0])) if np.abs(rows[1]).max(initial=0) < 2**53 else np.array(sorted(range(len(rows[0])), key=lambda i: (rows[0][i], -int(rows[1][i]), rows[2][i], rows[3][i])), int)

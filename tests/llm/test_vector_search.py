@@ -48,3 +48,19 @@ def test_many_tiles_give_what_one_gives():
         want = sorted((-int(s), int(i)) for s, i in zip(x @ q[n], ids))[:5]
         m = top.best[0] == n
         assert [(-int(s), int(i)) for s, i in zip(top.best[1][m], top.best[2][m])] == want
+
+
+def test_fewer_than_half_of_the_pairs_are_multiplied():
+    """On the largest given table, as the query has it: one tile, queries divisible by 50."""
+    import pyarrow.parquet as pq
+
+    table = pq.read_table("/root/testdata/sf0.1/embeddings.parquet")
+    x, ids = np.floor(256 * np.array(table.column("embedding").to_pylist(), float)), table.column("vec_id").to_numpy()
+    asked = np.flatnonzero(ids % 50 == 0)
+    top = TopK(x[asked], 5)
+    top.offer(x, ids, np.arange(len(x)), asked)
+    assert top.left[0] == len(asked) * len(x) and top.left[-1] < top.left[0] / 2
+    scores = x[asked] @ x.T
+    scores[np.arange(len(asked)), asked] = -np.inf
+    for n in range(len(asked)):
+        assert sorted(top.best[1][top.best[0] == n]) == sorted(np.sort(scores[n])[-5:])
