@@ -15,7 +15,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -141,6 +141,11 @@ def forests(sig: np.ndarray, likely: float) -> tuple[list[tuple[int, int]], bool
     return out, len(out) < likely_pairs
 
 
+def text_key(text: Column) -> Column:
+    """16 bytes that stand for a text; texts that differ under one key cannot be made on purpose, as they could with MD5."""
+    return F.substring(F.unhex(F.sha2(text.cast("binary"), 256)), 1, 16)
+
+
 PAIRS: Fields = {"a": pa.binary(), "b": pa.binary(), "bucket": pa.int64(), "equal": pa.int32()}
 
 
@@ -166,18 +171,19 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 near = (sig[lo:hi] == usual).sum(1)
                 yield [keys[lo + int(near.argmax())], None, int(bucket[lo]), int(near.max())]
 
+    # whole groups go on with each batch; what is held is the last one, which the next batch may go on with
     held: list[pa.RecordBatch] = []
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        if held:
-            table = pa.Table.from_batches(held)
-            b, p = table.column("bucket").to_numpy(), table.column("part").to_numpy()
-            if batch.column("bucket")[0].as_py() == b[-1] and batch.column("part")[0].as_py() == p[-1]:
-                held.append(batch)
-                continue
-            yield batch_of(list(groups(table)), PAIRS)
-        held = [batch]
+        bucket, part = batch.column("bucket").to_numpy(), batch.column("part").to_numpy()
+        cut = np.flatnonzero((bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1])) + 1
+        if held and len(bucket) and (held[-1].column("bucket")[-1].as_py(), held[-1].column("part")[-1].as_py()) != (bucket[0], part[0]):
+            cut = np.r_[0, cut]
+        if len(cut):
+            held.append(batch.slice(0, cut[-1]))
+            yield batch_of(list(groups(pa.Table.from_batches(held))), PAIRS)
+            held, batch = [], batch.slice(cut[-1])
+        if batch.num_rows:
+            held.append(batch)
     if held:
         yield batch_of(list(groups(pa.Table.from_batches(held))), PAIRS)
 
@@ -320,7 +326,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     tune(spark)
     text = F.coalesce(quoted(text_col), F.lit(""))
-    source = docs.select(quoted(id_col).cast("long").alias("id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("key"))
+    source = docs.select(quoted(id_col).cast("long").alias("id"), text.alias("text"), text_key(text).alias("key"))
 
     def make_signatures():
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
@@ -410,7 +416,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     classes = write_table(near_classes(docs.select(quoted(id_col), quoted(text_col)), id_col, text_col).withColumnRenamed("class_id", "_class"), "classes")
     firsts = classes.where(quoted(id_col).eqNullSafe(F.col("_class"))).withColumn("_no_id", F.when(F.col("_class").isNull(), F.col("key")))
     kept = firsts.groupBy("_class", "_no_id").agg(F.min("key").alias("_keep"), F.count(F.lit(1)).alias("_n")).drop("_no_id")
-    key = F.unhex(F.md5(F.coalesce(quoted(text_col), F.lit("")).cast("binary")))
+    key = text_key(F.coalesce(quoted(text_col), F.lit("")))
     away, back = shielded(docs, ("_keep", "_class", "_n"))
     out = away.join(kept, (key == F.col("_keep")) & quoted(id_col).eqNullSafe(F.col("_class")))
     plain = back(out.where("_n = 1"))

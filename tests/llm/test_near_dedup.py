@@ -123,3 +123,28 @@ def test_pairs_over_the_similarity_across_the_parts_of_a_bucket(template, monkey
     monkeypatch.setattr(near_dedup, "MEET", 8)
     rows, df = template
     assert sorted(((r.doc_id, r.class_id) for r in near_dedup.near_classes(df).collect()), key=str) == brute_classes(rows)
+
+
+def test_meet_gives_groups_out_as_they_end():
+    """Groups of 300 in batches of 512: what one task holds is a group and a batch, whatever it reads."""
+    import numpy as np
+    import pyarrow as pa
+
+    from pulsegrid.llm import near_dedup
+
+    rng, read = np.random.default_rng(0), []
+    rows = [(g, 0, 1, b"%016d" % (g * 300 + i), rng.integers(0, 256, 96, dtype=np.uint8).tobytes()) for g in range(60) for i in range(300)]
+    rows[7] = (*rows[7][:4], rows[3][4])
+    rows[513] = (*rows[513][:4], rows[512][4])
+
+    def batches():
+        for k in range(0, len(rows), 512):
+            read.append(k)
+            part = list(zip(*rows[k : k + 512]))
+            yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int64()), pa.array(part[1], pa.int64()), pa.array(part[2], pa.int64()), pa.array(part[3], pa.binary()), pa.array(part[4], pa.binary())], names=["bucket", "part", "parts", "key", "sig"])
+
+    out = near_dedup.meet(batches())
+    first = next(out)
+    assert len(read) == 1 and first.num_rows == 1
+    rest = [r for b in out for r in b.to_pylist()]
+    assert [(r["a"], r["b"]) for r in first.to_pylist() + rest] == [(rows[3][3], rows[7][3]), (rows[512][3], rows[513][3])]
