@@ -33,3 +33,8 @@ def spool_replay(files: DataFrame, most: int = SPOOL_DEPTH) -> DataFrame:
     body = F.from_json("payload", WIRE_REQUEST)
     out = kept.withColumn("nth", nth).withColumn("b", body).select("host", "file_name", "nth", spool_parked_at(F.col("file_name")).alias("parked_at"), "b.source", "b.points")
     return out.sortWithinPartitions("host", "nth")
+
+
+def spool_requests(files: DataFrame) -> DataFrame:
+    """host, file_name, parked_at, source and points of files (host, file_name, payload), in any number and order, as of a stream."""
+    return files.withColumn("b", F.from_json("payload", WIRE_REQUEST)).select("host", "file_name", spool_parked_at(F.col("file_name")).alias("parked_at"), "b.source", "b.points")

@@ -17,6 +17,8 @@ from pulsegrid.plans.ingest import ingest
 from pulsegrid.sources import adapters as a
 from pulsegrid.sources import tables as files
 from pulsegrid.sources.scratch import scratch_path, written
+from pulsegrid.sources.spool import park
+from pulsegrid.sources.spool import spool_stream as spool_stream_of
 from pulsegrid.sources.tables import read_facts, write_points
 from pulsegrid.streaming import jobs
 
@@ -899,3 +901,41 @@ def losses_stream(spark, sf_dir):
     finally:
         spark.streams.removeListener(counter)
     return spark.createDataFrame(sorted(counter.points.items()), "reason string, points long")
+
+
+SPOOLED = FILES + ", nf AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY file_name DESC) AS age FROM fl QUALIFY age <= 3)"
+
+
+def spooled(spark, sf_dir, folder):
+    """The three newest files of each host, as files in folders of their hosts."""
+    park(spool.spool_evict(a.spool_files(spark, sf_dir), 3).select("host", "file_name", "payload"), folder)
+
+
+@query(
+    "WITH " + SPOOLED + ", " + POINTS + " SELECT host, file_name, ts AS parked_at, q.source, q.name FROM nf JOIN q USING (event_id, ts)"
+)
+def read_spool(spark, sf_dir):
+    """Spool folders read back as requests, each with its parking time."""
+    folder = scratch_path(spark, "spool")
+    spooled(spark, sf_dir, folder)
+    out = spool.spool_replay(files.read_spool(spark, folder))
+    return ntz(out.select("host", "file_name", "parked_at", "source", F.get("points", F.lit(0))["name"].alias("name")))
+
+
+@query("WITH " + SPOOLED + ", t AS (SELECT row_number() OVER (PARTITION BY host ORDER BY file_name) - 1 AS trigger FROM nf) SELECT trigger, count(*) AS files, count(*) AS points FROM t GROUP BY trigger")
+def spool_stream(spark, sf_dir):
+    """The same folders as a stream: files and points of each trigger, which takes one file of every host."""
+    folder = scratch_path(spark, "spool")
+    spooled(spark, sf_dir, folder)
+    found = spool.spool_requests(spool_stream_of(spark, folder, 10**9))
+
+    def keep(batch: DataFrame, epoch: int) -> None:
+        batch.select(F.lit(epoch).cast("long").alias("trigger"), "file_name", F.size("points").alias("n")).write.mode("append").parquet(f"{folder}-out")
+
+    run = found.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}-state").start()
+    try:
+        run.processAllAvailable()
+    finally:
+        run.stop()
+    out = spark.read.schema("trigger long, file_name string, n int").parquet(f"{folder}-out")
+    return out.groupBy("trigger").agg(F.count(F.lit(1)).alias("files"), F.sum("n").alias("points"))

@@ -357,3 +357,61 @@ def test_only_touched_minutes_are_rolled_up_again(spark, tmp_path):
     left = rollup_1m(points([p for t in turns for p in t if p[0] != 2]))
     assert rollups.refresh_rollups(spark, path) == 0 and rows(rollups.stored_rollup(spark, path, "minutes")) == rows(left)
     assert rows(rollups.stored_rollup(spark, path, "hours")) == rows(rollup_1h(left).drop("mean"))
+
+
+# -- spools as a stream --------------------------------------------------------------------------------------------------
+
+
+def spool_file(folder, host, n, points=1):
+    name = f"20340206T1200{n:02d}0000000-{n:06d}-a.json"
+    (folder / host).mkdir(parents=True, exist_ok=True)
+    (folder / host / name).write_text(json.dumps({"source": host, "points": [{"name": "a.b", "unit": "u", "ts": "2034-02-06T12:00:00Z", "value": n}] * points}))
+    return name
+
+
+def test_spool_offsets(tmp_path):
+    from pulsegrid.sources.spool import SpoolReader
+
+    a = [spool_file(tmp_path, "a", i, 3) for i in (1, 2, 4)]
+    b = [spool_file(tmp_path, "b", i, 2) for i in (3, 5)]
+    (tmp_path / "b" / "x.json.tmp").write_text("{}")
+    reader = SpoolReader(f"file://{tmp_path}", 100)
+    first = reader.latestOffset()
+    assert first == {"a": a[0], "b": b[0]} and [(p.host, p.name) for p in reader.partitions({}, first)] == [("a", a[0]), ("b", b[0])]
+    assert [next(reader.read(p))[:2] for p in reader.partitions({}, first)] == [("a", a[0]), ("b", b[0])]
+    second = reader.latestOffset()
+    assert second == {"a": a[1], "b": b[1]} and reader.latestOffset() == {"a": a[2], "b": b[1]} == reader.latestOffset()
+    # nothing goes before it is processed; a new reader finds what is left
+    assert len(list(tmp_path.rglob("*.json"))) == 5
+    reader.commit(first)
+    assert sorted(f.name for f in tmp_path.rglob("*.json")) == sorted(a[1:] + b[1:]) and (tmp_path / "b" / "x.json.tmp").exists()
+    again = SpoolReader(f"file://{tmp_path}", 100)
+    assert [(p.host, p.name) for p in again.partitions(first, second)] == [("a", a[1]), ("b", b[1])] and again.latestOffset() == {"a": a[2], "b": b[1]}
+    # a trigger ends with the file that reaches the most points, the oldest first
+    few = SpoolReader(f"file://{tmp_path}", 3)
+    assert [few.latestOffset() for _ in range(3)] == [{"a": a[1]}, {"a": a[2]}, {"a": a[2], "b": b[1]}]
+    assert SpoolReader(f"file://{tmp_path}/none", 3).latestOffset() == {}
+
+
+def test_spool_stream_goes_on_after_a_failure(spark, tmp_path):
+    from pulsegrid.operators.spool import spool_requests
+    from pulsegrid.sources.spool import spool_stream
+
+    names, seen, fail = [spool_file(tmp_path / "in", h, i) for i in range(3) for h in ("a", "b")], [], [True]
+
+    def take(batch, epoch):
+        rows = [(r.host, r.file_name, r.points[0].value) for r in batch.collect()]
+        if epoch == 1 and fail[0]:
+            fail[0] = False
+            raise RuntimeError("lost")
+        seen.extend(rows)
+
+    for _ in range(2):
+        run = spool_requests(spool_stream(spark, str(tmp_path / "in"), 2)).writeStream.foreachBatch(take).option("checkpointLocation", str(tmp_path / "state")).start()
+        try:
+            run.processAllAvailable()
+        except Exception:
+            assert len(seen) == 2
+        finally:
+            run.stop()
+    assert len(seen) == 6 == len(set(seen)) and sorted(n for _, n, _ in seen) == sorted(names)
