@@ -15,6 +15,7 @@ from pulsegrid.operators import auth, host, integrity, points, readback, resolve
 from pulsegrid.plans import rollups, store
 from pulsegrid.plans.ingest import ingest
 from pulsegrid.sources import adapters as a
+from pulsegrid.sources import jdbc
 from pulsegrid.sources import tables as files
 from pulsegrid.sources.scratch import scratch_path, written
 from pulsegrid.sources.spool import park
@@ -939,3 +940,23 @@ def spool_stream(spark, sf_dir):
         run.stop()
     out = spark.read.schema("trigger long, file_name string, n int").parquet(f"{folder}-out")
     return out.groupBy("trigger").agg(F.count(F.lit(1)).alias("files"), F.sum("n").alias("points"))
+
+
+@query(
+    "WITH e AS (SELECT user_id, event_type, value, CAST(date_trunc('week', ts) AS TIMESTAMP) AS week FROM events) SELECT CAST(user_id AS INTEGER) AS source_id, 'event.' || event_type AS name, week, count(*) AS points, round(sum(value), 3) AS total FROM e GROUP BY ALL"
+)
+def jdbc_roundtrip(spark, sf_dir):
+    """Series and points in a relational database and back: series inserted twice are there once, points are read by weeks."""
+    path = scratch_path(spark, "derby")
+    db = {"url": f"jdbc:derby:memory:{path.rsplit('/', 1)[-1]};create=true", "driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    spark.sparkContext._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
+    jdbc.create_tables(spark, db)
+    e = a.events(spark, sf_dir).select(F.col("user_id").cast("int").alias("source_id"), F.concat(F.lit("event."), "event_type").alias("name"), "ts", "value")
+    series = e.groupBy("source_id", "name").agg(F.min("ts").alias("created_at")).select((F.col("source_id") % 7 + 1).alias("tenant_id"), "source_id", "name", F.lit("count").alias("unit"), F.lit("{}").alias("labels"), "created_at")
+    jdbc.add_series_jdbc(series.where("source_id % 2 = 0"), db)
+    jdbc.add_series_jdbc(series, db)
+    known = jdbc.read_series_jdbc(spark, db).select(F.col("id").alias("series_id"), "source_id", "name")
+    jdbc.add_points_jdbc(e.join(known, ["source_id", "name"]), db)
+    weeks = [f"{r.week:%Y-%m-%d}" for r in e.select(s.week_start(F.col("ts")).alias("week")).distinct().collect()]
+    back = jdbc.read_points_jdbc(spark, db, sorted(weeks)).join(known, "series_id")
+    return ntz(back.groupBy("source_id", "name", s.week_start(F.col("ts")).alias("week")).agg(F.count(F.lit(1)).alias("points"), F.round(F.sum("value"), 3).alias("total")))

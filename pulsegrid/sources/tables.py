@@ -31,20 +31,13 @@ def read_spool(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_dims(spark: SparkSession, path: str | None = None, jdbc: dict[str, str] | None = None) -> dict[str, DataFrame]:
-    """tenants, api_keys, sources and series, from Parquet under path or over JDBC (needs a driver on the class path)."""
+    """tenants, api_keys, sources and series, from Parquet under path or over JDBC (sources/jdbc.py has its points and writes)."""
     names = {"tenants": lim.TENANT, "api_keys": lim.API_KEY, "sources": lim.SOURCE, "series": lim.SERIES}
     if jdbc:
         return {n: spark.read.format("jdbc").options(**jdbc, dbtable="metric_series" if n == "series" else n).load() for n in names}
     return {n: spark.read.schema(s).parquet(f"{path}/{n}") for n, s in names.items()}
 
 
-def load_points_jdbc(spark: SparkSession, jdbc: dict[str, str], weeks: list[str]) -> DataFrame:
-    """Points over JDBC, one partition per week (its Monday as yyyy-MM-dd)."""
-    predicates = [f"ts >= '{w}' AND ts < CAST('{w}' AS timestamp) + INTERVAL '7 days'" for w in weeks]
-    properties = {k: v for k, v in jdbc.items() if k != "url"}
-    return spark.read.jdbc(jdbc["url"], "metric_points", predicates=predicates, properties=properties)
-
-
 def add_points(points: DataFrame, path: str, max_records: int = 5_000_000) -> tuple[list[str], int]:
     """Writes series_id, ts and value to folders by week that do not count yet; (the folders, number of rows).
 
