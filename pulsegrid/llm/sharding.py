@@ -113,13 +113,14 @@ def shard_rows(df: DataFrame, shards: int, seed: int = 0, shard_col: str = "shar
     files = sorted(per_file)
     place, counts = {f: i for i, f in enumerate(files)}, np.array([per_file[f] for f in files], np.int64)
     rows = int(counts.sum())
-    shard, first, sizes = boxes(rows, shards, box_rows)
     fields = [T.StructField("_box", T.IntegerType()), T.StructField("_shard", T.IntegerType()), T.StructField("_first", T.LongType())]
     fields += [T.StructField("_order", T.LongType()), T.StructField("_from", T.LongType())]
     added = [f.name for f in fields]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: dict[str, list] = {}
+        # from three numbers, so that tasks are not sent a list of all boxes
+        shard, first, sizes = boxes(rows, shards, box_rows)
         for batch in batches:
             box, order = np.empty(batch.num_rows, np.int32), np.empty(batch.num_rows, np.int64)
             origin = np.empty(batch.num_rows, np.int64)

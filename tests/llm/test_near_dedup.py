@@ -148,3 +148,18 @@ def test_meet_gives_groups_out_as_they_end():
     assert len(read) == 1 and first.num_rows == 1
     rest = [r for b in out for r in b.to_pylist()]
     assert [(r["a"], r["b"]) for r in first.to_pylist() + rest] == [(rows[3][3], rows[7][3]), (rows[512][3], rows[513][3])]
+
+
+def test_keep_one_of_an_id_with_several_texts(spark):
+    """Rows of one id with different texts of one class, and the same rows again: one row stays, whatever the order."""
+    from pulsegrid.llm.near_dedup import keep_one
+
+    words = [f"w{i}" for i in range(60)]
+    near = [" ".join(words), " ".join([*words[:-1], "other"]), " ".join(["first", *words[1:]])]
+    rows = [(5, t, i) for i, t in enumerate(near)] * 2 + [(7, near[0], 9), (8, "something else altogether", 1), (None, near[1], 4)]
+    kept = set()
+    for parts in (1, 5):
+        got = keep_one(spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(parts)).collect()
+        assert sorted((r.doc_id for r in got), key=str) == [5, 8] and {r.text for r in got} <= {*near, "something else altogether"}
+        kept.add(next(r.text for r in got if r.doc_id == 5))
+    assert len(kept) == 1

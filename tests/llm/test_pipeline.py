@@ -62,3 +62,20 @@ def test_odd_documents(spark, tmp_path, empty):
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     out = cp.run(spark, str(tmp_path)).collect()
     assert len(out) <= (0 if empty else 4)
+
+
+def test_extra_columns_with_clashing_names(spark, tmp_path):
+    """Names that stages use inside go through the whole pipeline up to the last stage, which has columns of its own."""
+    clash = ["key", "kept", "class_id", "_keep", "n_removed", "topic", "weight", "label", "score", "ids", "raw", "block"]
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    plain, wide = tmp_path / "plain", tmp_path / "wide"
+    for folder, table in ((plain, docs), (wide, docs.select("*", *[F.lit(f"of {c}").alias(c) for c in clash]))):
+        table.write.parquet(f"{folder}/documents.parquet")
+        spark.read.parquet(f"{DATA}/labels.parquet").write.parquet(f"{folder}/labels.parquet")
+    rows = lambda df: sorted((r.doc_id, r.source, r.lang, r.n_tokens, bytes(r.ids)) for r in df.collect())
+    assert rows(cp.run(spark, str(plain))) == rows(cp.run(spark, str(wide)))
+    table = spark.read.parquet(f"{wide}/documents.parquet")
+    for name, stage in cp.STAGES[:-1]:
+        table = cp.write_table(stage(spark, table, str(wide)), name)
+        assert table.columns == docs.columns + clash
+    assert table.select(*clash).distinct().collect() == [tuple(f"of {c}" for c in clash)]
