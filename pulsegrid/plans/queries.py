@@ -289,9 +289,10 @@ def valid_points(spark, sf_dir):
     return resolve.with_canonical(validate.explode_points(known.select("batch_id", "received_at", "tenant_id", "source_id", "points")))
 
 
-def known_series(spark, sf_dir):
-    """The dimension as it was before the first of February 2024's half: series of early batches, numbered."""
-    old = resolve.series_seen(valid_points(spark, sf_dir).where(F.col("batch_id") % 3 == 0))
+def known_series(spark, sf_dir, found=None):
+    """The dimension as some of the batches have made it: series of every third batch, numbered. found: the valid points, if they are there already."""
+    found = valid_points(spark, sf_dir) if found is None else found
+    old = resolve.series_seen(found.where(F.col("batch_id") % 3 == 0))
     rows = old.select("tenant_id", "source_id", "name", "unit", F.col("canonical").alias("labels"), "created_at")
     return resolve.assign_ids(rows, ["tenant_id", "source_id", "name", "labels"], 1).select("id", "tenant_id", "source_id", "name", "unit", "labels", "created_at")
 
@@ -317,7 +318,8 @@ def unknown_sources(spark, sf_dir):
 
 @query("WITH " + VALID + OLD + FRESH + " SELECT tenant_id, source_id, name, canonical, unit, created_at FROM fresh")
 def new_series(spark, sf_dir):
-    return ntz(resolve.new_series(valid_points(spark, sf_dir), known_series(spark, sf_dir)))
+    found = written(valid_points(spark, sf_dir), "valid")
+    return ntz(resolve.new_series(found, known_series(spark, sf_dir, found)))
 
 
 @query(
@@ -333,7 +335,8 @@ def upsert_series(spark, sf_dir):
 
 @query("WITH " + VALID + OLD + " SELECT batch_id, pos, v.tenant_id, v.source_id, v.name, v.canonical, v.unit FROM v JOIN old USING (tenant_id, source_id, name, canonical)")
 def resolve_series(spark, sf_dir):
-    found = resolve.resolve_series(valid_points(spark, sf_dir), known_series(spark, sf_dir))
+    valid = written(valid_points(spark, sf_dir), "valid")
+    found = resolve.resolve_series(valid, known_series(spark, sf_dir, valid))
     return found.select("batch_id", "pos", "tenant_id", "source_id", "name", "canonical", "unit")
 
 
