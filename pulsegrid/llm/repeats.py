@@ -28,7 +28,7 @@ from pulsegrid.llm.common import Fields, batch_of, ddl, drop_table, free_shuffle
 from pulsegrid.llm.hashing import CHUNK, INVERSE, mix, powers, prefix_hashes, prefix_sums
 
 #: Bytes of text in a block, unless one text is longer; blocks whose anchors, or contexts, meet in one group.
-BLOCK_BYTES, ANCHOR_BLOCKS, CONTEXT_BLOCKS = CHUNK, 4, 2
+BLOCK_BYTES, ANCHOR_BLOCKS, CONTEXT_BLOCKS = 1 << 20, 8, 4
 LEAST_GROUPS = 32
 #: Blocks whose equal contexts of one anchor meet at a time: with more blocks, contexts are thinned in rounds first.
 MEET_BLOCKS = 2048
