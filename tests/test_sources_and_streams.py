@@ -393,6 +393,31 @@ def test_spool_offsets(tmp_path):
     assert SpoolReader(f"file://{tmp_path}/none", 3).latestOffset() == {}
 
 
+def test_spool_tasks_read_many_files(tmp_path, monkeypatch):
+    from pulsegrid.sources import spool
+
+    files = sorted((f"h{i:03d}", spool_file(tmp_path, f"h{i:03d}", i % 50)) for i in range(300))
+    size = (tmp_path / files[0][0] / files[0][1]).stat().st_size
+    reads = []
+    monkeypatch.setattr(spool, "points_in", lambda payload: reads.append(payload) or 1)
+    reader = spool.SpoolReader(f"file://{tmp_path}", 10**9)
+    end = reader.latestOffset()
+    assert end == dict(files) and not reads
+    parts = reader.partitions({}, end)
+    assert len(parts) == 60 and sorted(row[:2] for p in parts for row in reader.read(p)) == files
+    # a new reader knows no sizes and plans the same; bytes limit a task too, files already taken are left out
+    again = spool.SpoolReader(f"file://{tmp_path}", 10**9)
+    assert [(p.host, p.name, p.more) for p in again.partitions({}, end)] == [(p.host, p.name, p.more) for p in parts]
+    monkeypatch.setattr(spool, "TASK_BYTES", 2 * size + 10)
+    assert max(1 + len(p.more) for p in again.partitions({}, end)) == 2
+    assert sorted(row[:2] for p in again.partitions(dict(files[:200]), end) for row in again.read(p)) == files[200:]
+    # a limit that sizes do not rule out is counted in points
+    few = spool.SpoolReader(f"file://{tmp_path}", 120)
+    assert len(few.latestOffset()) == 120 == len(reads)
+    reader.commit(dict(files[:299]))
+    assert [f.name for f in tmp_path.rglob("*.json")] == [files[299][1]]
+
+
 def test_spool_stream_goes_on_after_a_failure(spark, tmp_path):
     from pulsegrid.operators.spool import spool_requests
     from pulsegrid.sources.spool import spool_stream
