@@ -47,12 +47,12 @@ def limit_cuts(requests: DataFrame, permit: int = RATE_PERMIT, window_seconds: i
     another one touches two, and has a row for each.
 
     Counts by key and window come first, so that only requests of windows over the limit are ranked, by their times and
-    ids alone. used (key_id, win, used; mode "epoch") counts what came before.
+    ids alone; those are written once for both. used (key_id, win, used; mode "epoch") counts what came before.
     """
     if mode not in ("epoch", "anchored"):
         raise ValueError(f"unknown mode {mode!r}")
     wide = window_seconds * 1_000_000
-    narrow = requests.where("key_id is not null and received_at is not null").select("key_id", F.unix_micros("received_at").alias("at"), "batch_id")
+    narrow = written(requests.where("key_id is not null and received_at is not null").select("key_id", F.unix_micros("received_at").alias("at"), "batch_id"), "arrivals")
     if mode == "epoch":
         win = F.floor(F.col("at") / wide).cast("long")
         counts = narrow.groupBy("key_id", win.alias("win")).agg(F.count(F.lit(1)).alias("n"))

@@ -9,10 +9,15 @@ from pulsegrid.functions import limits as lim
 from pulsegrid.functions.scalars import filled, name_ok, to_utc, utf16_len
 
 
-def point_reasons(p: Column, received_at: Column) -> Column:
-    """All reasons for which a point is bad, as an array; several may hold at once."""
-    ts, labels = to_utc(p["ts"]), p["labels"]
-    entries = F.coalesce(F.map_entries(labels), F.array().cast("array<struct<key:string,value:string>>"))
+def read_once(p: Column) -> Column:
+    """A point with its time and labels as point_reasons takes them: Spark would read them again for each check."""
+    entries = F.coalesce(F.map_entries(p["labels"]), F.array().cast("array<struct<key:string,value:string>>"))
+    return F.struct(p.alias("p"), to_utc(p["ts"]).alias("ts"), entries.alias("entries"))
+
+
+def point_reasons(read: Column, received_at: Column) -> Column:
+    """All reasons for which a point (of read_once) is bad, as an array; several may hold at once."""
+    p, ts, entries = read["p"], read["ts"], read["entries"]
     lengths_ok = F.coalesce(F.forall(entries, lambda e: (utf16_len(e["key"]) <= lim.MAX_LABEL_KEY) & (utf16_len(e["value"]) <= lim.MAX_LABEL_VALUE)), F.lit(False))
     total = F.aggregate(entries, F.lit(0), lambda a, e: a + utf16_len(e["key"]) + F.coalesce(utf16_len(e["value"]), F.lit(0)))
     control = F.exists(entries, lambda e: F.coalesce(e["key"].rlike(r"[\x00-\x1F]") | e["value"].rlike(r"[\x00-\x1F]"), F.lit(False)))
@@ -42,7 +47,7 @@ def with_reasons(requests: DataFrame) -> DataFrame:
     """requests with batch_reasons, and point_reasons: an array of reasons for each point."""
     points = F.coalesce("points", F.array().cast(requests.schema["points"].dataType))
     received = F.col("received_at")
-    return requests.withColumn("batch_reasons", batch_reasons(F.col("source"), F.col("points"))).withColumn("point_reasons", F.transform(points, lambda p: point_reasons(p, received)))
+    return requests.withColumn("batch_reasons", batch_reasons(F.col("source"), F.col("points"))).withColumn("point_reasons", F.transform(F.transform(points, read_once), lambda p: point_reasons(p, received)))
 
 
 def validate_batches(requests: DataFrame) -> tuple[DataFrame, DataFrame]:

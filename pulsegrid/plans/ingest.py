@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.limits import RATE_PERMIT, RATE_WINDOW_SECONDS
@@ -27,9 +27,19 @@ class Ingested:
     rejects: DataFrame
 
 
+def n_points() -> Column:
+    return F.greatest(F.coalesce(F.size("points"), F.lit(0)), F.lit(0)).cast("long").alias("n_points")
+
+
+def slim(statuses: DataFrame) -> DataFrame:
+    """Statuses as they are kept for what follows: of the points of refused requests only their number stays."""
+    points = F.when(F.col("status") == 202, F.col("points")).alias("points")
+    return statuses.select("batch_id", "received_at", "key_id", "tenant_id", "scope", "source", "status", n_points(), points)
+
+
 def rejects_of(batches: DataFrame, reason) -> DataFrame:
-    size = F.greatest(F.coalesce(F.size("points"), F.lit(0)), F.lit(0)).cast("long")
-    return batches.select("batch_id", F.lit(None).cast("int").alias("pos"), reason.alias("reason"), size.alias("n_points"))
+    size = F.col("n_points") if "n_points" in batches.columns else n_points()
+    return batches.select("batch_id", F.lit(None).cast("int").alias("pos"), reason.alias("reason"), size)
 
 
 def ingest(requests: DataFrame, keys: DataFrame, sources: DataFrame, permit: int = RATE_PERMIT, window_seconds: int = RATE_WINDOW_SECONDS, used: DataFrame | None = None, oldest: int | None = None) -> Ingested:
@@ -51,6 +61,6 @@ def ingested(statuses: DataFrame, sources: DataFrame) -> Ingested:
 def resolved_points(ingested: Ingested, series: DataFrame, weeks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(points with series_id in weeks that exist, rejects of the others, new series without ids), against a dimension that holds them."""
     fresh = new_series(ingested.points, series)
-    covered, uncovered = split_covered(resolve_series(ingested.points, series), weeks)
+    covered, uncovered = (resolve_series(found, series) for found in split_covered(ingested.points, weeks))
     lost = uncovered.select("batch_id", "pos", F.lit("no_partition").alias("reason"), F.lit(1).cast("long").alias("n_points"))
     return covered, lost, fresh

@@ -21,7 +21,7 @@ from pulsegrid.functions import limits as lim
 from pulsegrid.operators.auth import entitled_requests, ingest_status, permits_used
 from pulsegrid.operators.points import last_seen, loss_summary, touch_sources
 from pulsegrid.operators.resolve import SERIES_KEY, assign_ids, series_seen
-from pulsegrid.plans.ingest import ingested, resolved_points
+from pulsegrid.plans.ingest import ingested, resolved_points, slim
 from pulsegrid.sources.log import State, commit, new_try, read_folders, read_state, written_parts
 from pulsegrid.sources.scratch import written
 from pulsegrid.sources.tables import add_points, compact_points, read_facts
@@ -150,11 +150,12 @@ def ingest_epoch(requests: DataFrame, dims: dict[str, DataFrame], path: str, epo
     latest = before.agg(F.max("win")).first()[0]
     oldest = None if latest is None else latest - keep_windows
     number, token = state.version + 1, new_try()
-    statuses = ingest_status(requests, dims["api_keys"], permit, window_seconds, used=before, oldest=oldest).persist(StorageLevel.MEMORY_AND_DISK)
+    statuses = slim(ingest_status(requests, dims["api_keys"], permit, window_seconds, used=before, oldest=oldest)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         done = ingested(statuses, dims["sources"])
+        done.points = written(done.points.drop("labels"), "points")
         series = add_series(done.points, path, base)
-        covered, lost, _ = resolved_points(done, series.known, dims["weeks"])
+        covered, lost, _ = resolved_points(done, series.known, written(dims["weeks"].select("week").distinct(), "weeks"))
         refused, seen, lost_rows = done.rejects.unionByName(lost), done.accepted, []
         if lost_as is None:
             points, rows = add_points(covered, path)
@@ -168,7 +169,7 @@ def ingest_epoch(requests: DataFrame, dims: dict[str, DataFrame], path: str, epo
         last_seen(seen).withColumn("epoch", F.lit(number).cast("long")).write.parquet(f"{path}/last_seen/{token}")
         entitled = entitled_requests(statuses.select("batch_id", "key_id", "received_at", "scope"))
         used = permits_used(entitled, window_seconds).unionByName(before.select("key_id", "win", "used"))
-        used = used.groupBy(F.col("key_id").cast("int").alias("key_id"), "win").agg(F.sum("used").alias("used"))
+        used = written(used.groupBy(F.col("key_id").cast("int").alias("key_id"), "win").agg(F.sum("used").alias("used")), "used")
         newest = used.agg(F.max("win").alias("_newest"))
         # one row, the latest window
         used = used.crossJoin(F.broadcast(newest)).where(F.col("win") >= F.col("_newest") - keep_windows).drop("_newest")

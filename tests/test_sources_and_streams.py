@@ -10,6 +10,7 @@ from pulsegrid.functions import limits as lim
 from pulsegrid.operators import resolve
 from pulsegrid.plans import store
 from pulsegrid.sources.log import Conflict, commit, read_state, vacuum
+from pulsegrid.plans.ingest import slim
 from pulsegrid.sources.tables import compact_points, load_dims, purge_points, read_facts, read_requests, read_spool, retire_weeks, write_points
 from pulsegrid.streaming import jobs
 
@@ -101,6 +102,22 @@ def test_ingest_over_micro_batches(spark, tmp_path):
     assert seen() == want and rejects() == lost and sorted(r.id for r in store.read_series(spark, path).collect()) == [1, 2]
 
 
+def test_an_epoch_reads_its_requests_twice(spark, tmp_path):
+    read, found = spark.sparkContext.accumulator(0), requests_at(spark, list(range(40)))
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    store.ingest_epoch(found.mapInArrow(counted, found.schema), dims_of(spark), str(tmp_path), 0, 3, 60)
+    assert read.value == 80
+    # refused requests keep the number of their points alone
+    rows = found.selectExpr("*", "1 AS key_id", "1 AS tenant_id", "'ingest' AS scope", "if(batch_id = 0, 202, 429) AS status")
+    kept = slim(rows).orderBy("batch_id").collect()
+    assert {r.n_points for r in kept} == {1} and [r.batch_id for r in kept if r.points] == [0]
+
+
 def test_requests_older_than_the_kept_windows_are_refused(spark, tmp_path):
     path = str(tmp_path)
     assert store.ingest_epoch(requests_at(spark, [7200]), dims_of(spark), path, 0, 3, 60, 60) == 1
