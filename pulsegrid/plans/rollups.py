@@ -2,29 +2,30 @@
 
 Beside the points lie minutes and hours by week, in the same log. A refresh looks at the folders of points that were
 committed after the last one. The (series, minute) pairs in them, late ones too, are computed anew from all their
-points, and the hours they are in from their minutes. Rows carry the version they were made from; the latest counts.
+points, and the hours they are in from their minutes. Points and minutes are marked as new or old as they are read and
+grouped once; a group without a new row is left out, so that nothing is joined to find the touched ones. Rows carry the version they were made from; the latest counts.
 A refresh that is run again finds nothing new, and points that come twice are counted as they are stored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import limits as lim
 from pulsegrid.functions.scalars import week_start
 from pulsegrid.operators.rollup import rollup_1h, rollup_1m
 from pulsegrid.sources.log import State, commit, read_folders, read_state
-from pulsegrid.sources.scratch import written
 from pulsegrid.sources.tables import add_points, add_weeks, read_facts, week_of
 
 VALUES = ["n", "total", "least", "most", "last"]
 
 
-def latest(rows: DataFrame) -> DataFrame:
-    """Of rows of a rollup (with version) the latest of each series and bucket."""
-    newest = rows.groupBy("series_id", "bucket").agg(F.max_by(F.struct(*VALUES), "version").alias("v"))
-    return newest.select("series_id", "bucket", *[f"v.{c}" for c in VALUES])
+def latest(rows: DataFrame, *rest: str) -> DataFrame:
+    """Of rows of a rollup (with version) the latest of each series and bucket; rest: further columns, version or what follows from the bucket."""
+    by = [c for c in rest if c != "version"]
+    newest = rows.groupBy("series_id", *by, "bucket").agg(F.max_by(F.struct(*VALUES), "version").alias("v"), F.max("version").alias("version"))
+    return newest.select("series_id", "bucket", *[f"v.{c}" for c in VALUES], *rest)
 
 
 def stored_rollup(spark: SparkSession, path: str, table: str, state: State | None = None, weeks: set[str] | None = None) -> DataFrame:
@@ -42,17 +43,21 @@ def refresh_rollups(spark: SparkSession, path: str) -> int:
         return 0
     weeks = {week_of(f) for f in fresh}
     minute, hour = F.date_trunc("minute", "ts"), F.date_trunc("hour", "bucket")
-    touched = written(read_facts(spark, path, fresh).select("series_id", minute.alias("bucket")).distinct(), "touched")
-    points = read_facts(spark, path, [f for f in state.folders("points") if week_of(f) in weeks]).withColumn("bucket", minute)
+    stored = [f for f in state.folders("points") if week_of(f) in weeks and f not in set(fresh)]
+    of = lambda folders, new: read_facts(spark, path, folders).select("series_id", "ts", "value", F.lit(new).alias("new"))
+    points = of(fresh, True).unionByName(of(stored, False)) if stored else of(fresh, True)
     dated = lambda rows: rows.withColumn("version", F.lit(state.version).cast("long")).withColumn("week", week_start(F.col("bucket")).cast("date"))
-    minutes = add_weeks(dated(rollup_1m(points.join(touched, ["series_id", "bucket"], "left_semi"))), path, "minutes")
-    # an hour lies in one week, as its minutes do
+    seen = Observation()
+    touched = rollup_1m(points, F.bool_or("new").alias("new")).where("new").drop("new").observe(seen, F.count(F.lit(1)).alias("minutes"))
+    minutes = add_weeks(dated(touched), path, "minutes")
+    # an hour lies in one week, as its minutes do; it is the part of the key by which minutes are dealt out, for both steps
     after = state.after(state.version, {"add": {"minutes": minutes}})
-    hours = touched.select("series_id", hour.alias("hour")).distinct()
-    inside = stored_rollup(spark, path, "minutes", after, weeks).withColumn("hour", hour).join(hours, ["series_id", "hour"], "left_semi")
-    made = add_weeks(dated(rollup_1h(inside.drop("hour")).drop("mean")), path, "hours")
+    rows = read_folders(spark, path, after, "minutes", lim.ROLLUP, [f for f in after.folders("minutes") if week_of(f) in weeks])
+    dealt = rows.withColumn("hour", hour).repartition("series_id", "hour")
+    inside = latest(dealt, "hour", "version").withColumn("new", F.col("version") == state.version)
+    made = add_weeks(dated(rollup_1h(inside.drop("version"), F.bool_or("new").alias("new")).where("new").drop("mean", "new")), path, "hours")
     commit(spark, path, state, {"add": {"minutes": minutes, "hours": made}, "facts": {"rolled": state.version}})
-    return touched.count()
+    return seen.get["minutes"]
 
 
 def compact_rollups(spark: SparkSession, path: str) -> int:

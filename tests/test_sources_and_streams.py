@@ -376,6 +376,22 @@ def test_only_touched_minutes_are_rolled_up_again(spark, tmp_path):
     assert rows(rollups.stored_rollup(spark, path, "hours")) == rows(rollup_1h(left).drop("mean"))
 
 
+def test_a_refresh_reads_each_folder_of_points_once(spark, tmp_path, monkeypatch):
+    from pulsegrid.plans import rollups
+
+    read, facts = [], rollups.read_facts
+    monkeypatch.setattr(rollups, "read_facts", lambda s, path, folders: read.extend(folders) or facts(s, path, folders))
+    made = []
+    for turn in ([(1, 0, 1.0), (1, 90, 2.0)], [(1, 30, 5.0), (2, 7200, 3.0)]):
+        write_points(spark.createDataFrame([(k, ANCHOR + dt.timedelta(seconds=x), v) for k, x, v in turn], lim.POINT), f"{tmp_path}/p")
+        read.clear()
+        made.append((rollups.refresh_rollups(spark, f"{tmp_path}/p"), len(read), len(set(read))))
+    assert made == [(2, 1, 1), (2, 2, 2)]
+    minutes = rollups.stored_rollup(spark, f"{tmp_path}/p", "minutes").select("series_id", "n", "total", "last").collect()
+    hours = rollups.stored_rollup(spark, f"{tmp_path}/p", "hours").select("series_id", "n", "total", "last").collect()
+    assert sorted(map(tuple, minutes)) == [(1, 1, 2.0, 2.0), (1, 2, 6.0, 5.0), (2, 1, 3.0, 3.0)] and sorted(map(tuple, hours)) == [(1, 3, 8.0, 2.0), (2, 1, 3.0, 3.0)]
+
+
 # -- spools as a stream --------------------------------------------------------------------------------------------------
 
 
